@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import line_dedup, mixing
+from chronolith.llm import line_dedup, mixing, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op5_packing": packing.op5_packing,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
     }
