@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.llm import perfect_hash
-from chronolith.llm.shared import SPACE, kept, open_store, replaced, texts, widened, without
+from chronolith.llm.shared import SPACE, kept, open_store, replaced, small_batches, texts, widened, without
 
 INDEX_SCHEMA = "shard int, n_keys int, level_sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
 
@@ -169,6 +169,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], path: str, shards: int, min_char
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 17) -> DataFrame:
     """``docs`` with repeated lines dropped from text, and columns n_lines and n_dropped."""
+    small_batches(spark)
     docs = without(docs, ["n_lines", "n_dropped"])
     path, shards = build_index(spark, docs, min_chars, min_docs, shard_keys)
     return docs.mapInArrow(lambda it: _cleaned(it, path, shards, min_chars), widened(docs, [("n_lines", T.LongType()), ("n_dropped", T.LongType())]))

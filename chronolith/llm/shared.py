@@ -76,3 +76,11 @@ def replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array], schema: pa.Sch
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.names.index(name)).to_pylist()
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Python tasks get at most ``rows`` documents at a time, so that long texts fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, rows)
