@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import line_dedup, mixing, packing, quality_rules
+from chronolith.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op5_packing": packing.op5_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_ngram_join": ngram_join.ORACLE_SQL,
     }

@@ -20,13 +20,14 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.llm.shared import SPACE, replaced, texts, widened, without
+from chronolith.llm.shared import SPACE, replaced, small_batches, texts, widened, without
 
 SYMBOLS = "#*$%&|<>"
 #: Documents, about, on which costs and selectivities are estimated.
@@ -79,12 +80,9 @@ class Signals:
         return total
 
     @cached_property
-    def n_upper(self) -> int:
-        return sum(map(str.isupper, self.text)) if not self.text.islower() else 0
-
-    @cached_property
-    def n_letters(self) -> int:
-        return sum(map(str.isalpha, self.text))
+    def n_stutters(self) -> int:
+        """Words equal to the word before."""
+        return sum(map(eq, self.words, self.words[1:]))
 
 
 def few_words(s: Signals) -> bool:
@@ -107,12 +105,16 @@ def dup_lines(s: Signals) -> bool:
     return 100 * s.n_dup_lines > 30 * len(s.lines)
 
 
+def stutters(s: Signals) -> bool:
+    return 100 * s.n_stutters > 20 * s.n_words
+
+
 def base_failed(s: Signals) -> bool:
     return few_words(s) or repeated_words(s)
 
 
 Rule = Callable[[Signals], bool]
-RULES: tuple[Rule, ...] = (few_words, repeated_words, symbols, word_length, dup_lines)
+RULES: tuple[Rule, ...] = (few_words, repeated_words, symbols, word_length, dup_lines, stutters)
 #: Signals that can be returned beside the verdict.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -174,6 +176,7 @@ def _judged(batches: Iterator[pa.RecordBatch], cascade: tuple[Rule, ...], counts
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, counts: tuple[str, ...] = COUNTS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with the counts, base_failed and kept."""
+    small_batches(docs.sparkSession)
     added = [*counts, "base_failed", "kept"]
     docs = without(docs, added)
     cascade = tuple(rules[r] for r in calibrate(docs, rules, sample_docs))
@@ -183,6 +186,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, counts: tuple[str, .
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents that no rule rejects."""
+    small_batches(docs.sparkSession)
     cascade = tuple(rules[r] for r in calibrate(docs, rules, sample_docs))
     return docs.mapInArrow(lambda it: _judged(it, cascade, ()), docs.schema)
 
@@ -209,12 +213,14 @@ WITH words AS (
 ), counted AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines,
-         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(generate_series(1, len(w) - 1), lambda i: w[i] = w[i + 1])) AS n_stutters
   FROM words d LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT 10 * n_symbols > n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND NOT 100 * n_dup_lines > 30 * n_lines AS kept
+       NOT base_failed AND NOT 10 * n_symbols > n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND NOT 100 * n_dup_lines > 30 * n_lines
+       AND NOT 100 * n_stutters > 20 * n_words AS kept
 FROM judged
 """
