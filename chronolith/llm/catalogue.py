@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from chronolith.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_license_scan": license_scan.op8_license_scan,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
+        "op8_license_scan": license_scan.ORACLE_SQL,
     }
