@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules
+from chronolith.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op9_warc": warc.op9_warc,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }
