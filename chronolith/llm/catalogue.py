@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, warc
+from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_warc": warc.op9_warc,
+        "op10_html_extract": html_extract.op10_html_extract,
     }
 
 
