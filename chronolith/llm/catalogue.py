@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, warc
+from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_token_files": token_files.op4_token_files,
         "op5_packing": packing.op5_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_ngram_join": ngram_join.op7_ngram_join,
