@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, token_files, warc
+from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, token_files, topk_search, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_topk_search": topk_search.op2_topk_search,
         "op3_mixing": mixing.op3_mixing,
         "op4_token_files": token_files.op4_token_files,
         "op5_packing": packing.op5_packing,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op2_topk_search": topk_search.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
