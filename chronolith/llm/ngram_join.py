@@ -7,7 +7,8 @@ when their sets' Jaccard similarity is at least ``percent`` / 100.
    a class stands for all its copies. Exact copies are never paired.
 2. Vertical partitioning: the order of shingle hashes is cut into fragments of about
    ``fragment_tokens``. Each fragment gets its piece of every set, finds the shingles that
-   two classes or more share, and hands each class its shared shingles back. A class
+   two classes or more share, and hands each class its shared shingles back, packed by
+   buckets of classes. A class
    whose shared shingles, summed over the fragments, are under ``percent`` of its set can
    link with nothing and is done.
 3. Shingles are ordered by (documents that hold them, hash). Linked classes share a
@@ -124,30 +125,66 @@ def _dealt(batches: Iterator[pa.RecordBatch], n: int, seed: int, fragments: int)
         yield flush()
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One fragment: for each class its shingles that another class holds too."""
+def _read(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _shared(table: pa.Table, buckets: int) -> pa.Table:
+    """One fragment: each class's shingles that another class holds too, packed by bucket of classes."""
     fragment = table.column("fragment")[0].as_py()
-    read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    cls, size, count, token = read("cls", np.int64), read("size", np.uint32), read("count", np.uint32), read("token", np.uint32)
+    cls, size, count, token = (_read(table, c, k) for c, k in (("cls", np.int64), ("size", np.uint32), ("count", np.uint32), ("token", np.uint32)))
     names, which = np.unique(cls, return_inverse=True)
-    sizes = np.zeros(len(names), np.int64)
+    sizes = np.zeros(len(names), np.uint32)
     sizes[which] = size
-    of = np.repeat(which.astype(np.uint32), count)
-    pair = np.unique((token.astype(np.uint64) << np.uint64(32)) | of)  # a class once, however many of its copies came
-    token = (pair >> np.uint64(32)).astype(np.uint32)
-    of = pair.astype(np.uint32)
+    bucket = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    rank = np.lexsort((names, bucket))  # classes by bucket
+    place = np.empty(len(rank), np.uint32)
+    place[rank] = np.arange(len(rank), dtype=np.uint32)
+    names, sizes, bucket = names[rank], sizes[rank], bucket[rank]
+    pair = np.unique((token.astype(np.uint64) << np.uint64(32)) | np.repeat(place[which], count))  # a class once, however many of its copies came
+    token, of = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
     first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
     docs = np.diff(np.r_[np.flatnonzero(first), len(token)])
     held = np.repeat(docs, docs)
-    keep = held > 1
+    keep = np.flatnonzero(held > 1)
+    keep = keep[np.argsort(of[keep], kind="stable")]
     token, of, held = token[keep], of[keep], held[keep]
-    order = np.argsort(of, kind="stable")
-    token, of, held = token[order], of[order], held[order]
-    own, start = np.unique(of, return_index=True)
-    offsets = np.r_[start, len(of)].astype(np.int32)
     rarity = np.minimum(255, np.log2(np.maximum(held, 1)) * 8).astype(np.uint8)
-    packed = lambda values, width: pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.table([pa.array(names[own]), pa.array(sizes[own]), pa.array(np.full(len(own), fragment, np.int32)), packed(token, 4), packed(rarity, 1)], names=["cls", "size", "fragment", "token", "rarity"])
+    own, start, count = np.unique(of, return_index=True, return_counts=True)
+    cut = np.flatnonzero(np.diff(bucket[own])) + 1
+    rows = []
+    for i, j in zip(np.r_[0, cut], np.r_[cut, len(own)]) if len(own) else ():
+        lo, hi = start[i], start[j - 1] + count[j - 1]
+        rows.append((int(bucket[own[i]]), fragment, names[own[i:j]].tobytes(), sizes[own[i:j]].tobytes(), count[i:j].astype(np.uint32).tobytes(), token[lo:hi].tobytes(), rarity[lo:hi].tobytes()))
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate([pa.int32()] * 2 + [pa.binary()] * 5)], names=["bucket", "fragment", "cls", "size", "count", "token", "rarity"])
+
+
+def _merged(table: pa.Table, percent: int) -> pa.Table:
+    """One bucket of classes: the shared shingles of those that have enough of them, summed over the fragments."""
+    each = [len(x) // 8 for x in table.column("cls").to_pylist()]
+    fragment = np.repeat(np.array(table.column("fragment").to_pylist(), np.int32), each)
+    cls, size, count, token, rarity = (_read(table, c, k) for c, k in (("cls", np.int64), ("size", np.uint32), ("count", np.uint32), ("token", np.uint32), ("rarity", np.uint8)))
+    names, which = np.unique(cls, return_inverse=True)
+    sizes = np.zeros(len(names), np.int64)
+    sizes[which] = size
+    enough = np.bincount(which, count, len(names)) * 100 >= sizes * percent
+    order = np.lexsort((fragment, which))
+    order = order[enough[which[order]]]
+    first = np.cumsum(count, dtype=np.int64) - count
+    n = count[order].astype(np.int64)
+    at = np.arange(n.sum()) + np.repeat(first[order] - (np.cumsum(n) - n), n)
+    names, sizes = names[enough], sizes[enough]
+    pieces = np.bincount(np.searchsorted(names, cls[order]), minlength=len(names))
+    shingles_of = np.bincount(np.searchsorted(names, cls[order]), n, len(names)).astype(np.int64)
+
+    def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        offsets = np.r_[0, np.cumsum(lengths * values.itemsize)].astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+    return pa.table(
+        [pa.array(names), pa.array(sizes), packed(fragment[order], pieces), packed(count[order], pieces), packed(token[at], shingles_of), packed(rarity[at], shingles_of)],
+        names=["cls", "size", "fragment", "count", "token", "rarity"],
+    )
 
 
 def need(size, percent: int):
@@ -155,19 +192,17 @@ def need(size, percent: int):
     return -(-percent * size // 100)
 
 
-def _tokens(pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles as fragment and hash in one number, rarities) of a class, by ascending number."""
-    pieces = sorted(pieces, key=lambda p: p["fragment"])
-    if not pieces:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    return np.concatenate([(np.int64(p["fragment"]) << 32) | np.frombuffer(p["token"], np.uint32).astype(np.int64) for p in pieces]), np.concatenate([np.frombuffer(p["rarity"], np.uint8) for p in pieces])
+def _tokens(row: dict) -> np.ndarray:
+    """A class's shared shingles, fragment and hash in one number, ascending."""
+    fragments = np.repeat(np.frombuffer(row["fragment"], np.int32), np.frombuffer(row["count"], np.uint32))
+    return (fragments.astype(np.int64) << 32) | np.frombuffer(row["token"], np.uint32).astype(np.int64)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         token, cls, size, central = [], [], [], []
         for row in batch.to_pylist():
-            own, rarity = _tokens(row["pieces"])
+            own, rarity = _tokens(row), np.frombuffer(row["rarity"], np.uint8)
             n = row["size"]
             rarest = n - need(n, percent) + 1 - (n - len(own))  # shingles of this class alone come first
             at = np.lexsort((own, rarity))[:rarest]
@@ -179,6 +214,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cls, size, central)], names=["token", "cls", "size", "central"])
 
 
+def _pieces(row: dict, side: str) -> dict[int, np.ndarray]:
+    """A set's shared shingles by fragment."""
+    count = np.frombuffer(row[f"{side}_count"], np.uint32)
+    return dict(zip(np.frombuffer(row[f"{side}_fragment"], np.int32).tolist(), np.split(np.frombuffer(row[f"{side}_token"], np.uint32), np.cumsum(count)[:-1])))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose partial overlaps, fragment by fragment, add up to a link."""
     for batch in batches:
@@ -186,14 +227,14 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         for row in batch.to_pylist():
             both = row["a_size"] + row["b_size"]
             least = -(-percent * both // (100 + percent))
-            mine, theirs = ({p["fragment"]: p["token"] for p in row[side]} for side in ("a_pieces", "b_pieces"))
+            mine, theirs = (_pieces(row, side) for side in "ab")
             common = [f for f in mine if f in theirs]
-            left = [min(len(mine[f]), len(theirs[f])) // 4 for f in common]
+            left = [min(len(mine[f]), len(theirs[f])) for f in common]
             overlap, rest = 0, sum(left)
             for f, most in zip(common, left):
                 if overlap + rest < least:
                     break
-                overlap += np.intersect1d(np.frombuffer(mine[f], np.uint32), np.frombuffer(theirs[f], np.uint32), assume_unique=True).size
+                overlap += np.intersect1d(mine[f], theirs[f], assume_unique=True).size
                 rest -= most
             if overlap >= least:
                 found.append((row["a"], row["b"]))
@@ -203,13 +244,13 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The links (u, v) among pairs (a, b)."""
-    side = lambda s: classes.select(F.col("cls").alias(s), F.col("size").alias(f"{s}_size"), F.col("pieces").alias(f"{s}_pieces"))
+    side = lambda s: classes.select(F.col("cls").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("size", "fragment", "count", "token")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _verified(it, percent), "u long, v long")
 
 
 def _packed(table: pa.Table) -> pa.Table:
-    rows = sorted(table.select(["cls", "size", "root", "pieces"]).to_pylist(), key=lambda r: r["cls"])
-    own = [_tokens(r["pieces"])[0] for r in rows]
+    rows = sorted(table.select(["cls", "size", "root", "fragment", "count", "token"]).to_pylist(), key=lambda r: r["cls"])
+    own = [_tokens(r) for r in rows]
     pack = lambda values: pa.array([np.array(values, np.int64).tobytes()], pa.binary())
     return pa.table([table.column("block").slice(0, 1).combine_chunks(), *(pack([r[c] for r in rows]) for c in ("cls", "size", "root")), pack([len(x) for x in own]), pa.array([np.concatenate(own).tobytes()], pa.binary())], names=["block", "cls", "size", "root", "count", "token"])
 
@@ -262,7 +303,7 @@ def tail_links(lists: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     member, _ = kept(lists.sparkSession, member, "ngram-blocks")
     at = left.select("token", "cls").join(member.select("cls", "block"), "cls").select("token", "block").distinct()
     pairs = at.withColumnRenamed("block", "a").join(at.withColumnRenamed("block", "b"), "token").where("a <= b").select("a", "b").distinct()
-    packed = classes.join(member, "cls").select("block", "cls", "size", "root", "pieces").groupBy("block").applyInArrow(_packed, "block long, cls binary, size binary, root binary, count binary, token binary")
+    packed = classes.join(member, "cls").select("block", "cls", "size", "root", "fragment", "count", "token").groupBy("block").applyInArrow(_packed, "block long, cls binary, size binary, root binary, count binary, token binary")
     packed, _ = kept(lists.sparkSession, packed, "ngram-packed")
     side = lambda s: packed.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "root", "count", "token")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _blocks(it, percent), "u long, v long")
@@ -280,9 +321,8 @@ def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, f
     fragments = max(1, -(-tokens // fragment_tokens))
 
     dealt = docs.mapInArrow(lambda it: _dealt(it, n, seed, fragments), "fragment int, cls binary, size binary, count binary, token binary")
-    shared = dealt.groupBy("fragment").applyInArrow(_shared, "cls long, size long, fragment int, token binary, rarity binary")
-    sets = shared.groupBy("cls").agg(F.first("size").alias("size"), F.sum(F.length("rarity")).alias("shared"), F.collect_list(F.struct("fragment", "token", "rarity")).alias("pieces"))
-    sets, _ = kept(spark, sets.where(F.col("shared") * 100 >= F.col("size") * percent).drop("shared"), "ngram-sets")
+    shared = dealt.groupBy("fragment").applyInArrow(lambda t: _shared(t, fragments), "bucket int, fragment int, cls binary, size binary, count binary, token binary, rarity binary")
+    sets, _ = kept(spark, shared.groupBy("bucket").applyInArrow(lambda t: _merged(t, percent), "cls long, size long, fragment binary, count binary, token binary, rarity binary"), "ngram-sets")
 
     prefix, _ = kept(spark, sets.mapInArrow(lambda it: _prefixes(it, percent), "token long, cls long, size long, central double"), "ngram-prefix")
     lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "cls", "size")).alias("top")).where("m > 1")
