@@ -246,7 +246,7 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
 
     Status is Matched, or Incomplete where a stateful rule met an event without its group or
     distinct field (one finding a rule and field), or where an absence's deadline lies
-    behind ``until``, the time up to which input is complete.
+    behind ``until``, the time up to which input is complete (by default that of the last row).
     """
     by_id = {r.rule_id: r for r in rules if r.enabled}
     hits = matches(rows, rules, suppressions)
@@ -263,7 +263,12 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     order = Window.partitionBy("rule_id", "group_value").orderBy("us", F.col("record_id").asc_nulls_first(), "identity")
     runs = ready.withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) > F.element_at(widths, F.col("rule_id")), 1).otherwise(0)).withColumn("run", F.sum("_new").over(order))
     sorted_runs = runs.repartition("rule_id", "group_value", "run").sortWithinPartitions("rule_id", "group_value", "run", "us", F.col("record_id").asc_nulls_first(), "identity")
-    until_us = None if until is None else int(pd.Timestamp(until).value // 1000)
+    if until is not None:
+        until_us = int(pd.Timestamp(until).value // 1000)
+    elif any(r.kind == "Absence" for r in by_id.values()):
+        until_us = rows.agg(F.max(F.unix_micros("time_created"))).first()[0]
+    else:
+        until_us = None
     fed = sorted_runs.select("rule_id", "group_value", "run", "us", "identity", "steps", "distinct_value").mapInPandas(_streamed(by_id, until_us), FINDINGS)
     fired = fed.select("rule_id", "group_value", "status", F.timestamp_micros("event_us").alias("event_time"), "evidence")
     return out.unionByName(fired).unionByName(lacking).select(*columns)
