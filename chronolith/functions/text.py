@@ -97,7 +97,7 @@ def longest(*texts: Column) -> Column:
 
 def distinct_values(text: Column) -> Column:
     """A multi-valued text, split at newlines or ``;``: trimmed, distinct ignoring case, sorted."""
-    parts = F.filter(F.transform(F.split(text, r"[\n;]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"[\n;]"), lambda x: F.trim(x)), lambda x: x != "")
     keyed = F.map_from_entries(F.transform(F.array_distinct(F.transform(parts, F.upper)), lambda u: F.struct(u.alias("key"), F.get(F.filter(parts, lambda p: F.upper(p) == u), F.lit(0)).alias("value"))))
     return F.transform(F.array_sort(F.map_keys(keyed)), lambda u: F.element_at(keyed, u))
 
