@@ -193,27 +193,29 @@ class _Leaf:
     def __init__(self, column: Column, kind: T.DataType, ignore_case: bool):
         self.column, self.kind, self.ignore_case = column, kind, ignore_case
 
-    def both(self, value) -> tuple[Column, Column, Column]:
-        """(field, value, whether the field cannot be read)."""
-        text, never = isinstance(self.kind, T.StringType), F.lit(False)
+    def both(self, value) -> tuple[Column, Column, Column | None]:
+        """(field, value, whether one of them cannot be read; None if that cannot be)."""
+        text = isinstance(self.kind, T.StringType)
         if isinstance(value, bool) or isinstance(self.kind, T.BooleanType):
             got = self.column.try_cast("boolean") if text else self.column.cast("boolean")
             value = value if isinstance(value, bool) else str(value).lower() == "true"
-            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else never
+            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else None
         if isinstance(value, datetime) or isinstance(self.kind, T.TimestampType):
             got = F.try_to_timestamp(self.column) if text else self.column
             want = _literal(value) if isinstance(value, datetime) else F.try_to_timestamp(F.lit(str(value)))
-            return got, want, (self.column.isNotNull() & got.isNull()) if text else never
+            return got, want, (self.column.isNotNull() & got.isNull()) if text else None
         if isinstance(value, (int, float)):
             got = self.column.try_cast("double") if text else self.column
-            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else never
+            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else None
         if isinstance(self.kind, T.NumericType):
             want = F.lit(str(value)).try_cast("double")
             return self.column, want, want.isNull()
-        return _text(self.column.cast("string"), self.ignore_case), _text(F.lit(str(value)), self.ignore_case), never
+        return _text(self.column.cast("string"), self.ignore_case), _text(F.lit(str(value)), self.ignore_case), None
 
     def equal(self, value) -> Column:
         got, want, unread = self.both(value)
+        if unread is None:
+            return got == want
         plain = _text(self.column.cast("string"), self.ignore_case) == _text(F.lit(str(value)), self.ignore_case)
         return F.when(unread, plain).otherwise(got == want)
 
@@ -237,80 +239,100 @@ def _subnet(column: Column, cidr: str) -> Column:
     return inside(column.cast("string"))
 
 
-def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column]:
-    """(condition, error) of a comparison, both two-valued."""
+def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
+    """(condition, where null means false; error, None where there can be none) of a comparison."""
     column = resolve(df, p.field)
-    kind, never = df.select(column.alias("x")).schema["x"].dataType, F.lit(False)
+    kind = df.select(column.alias("x")).schema["x"].dataType
     v = p.values[0] if p.values else None
     if p.operator in ("IsNull", "IsNotNull"):
-        return column.isNull() if p.operator == "IsNull" else column.isNotNull(), never
+        return column.isNull() if p.operator == "IsNull" else column.isNotNull(), None
     if isinstance(kind, T.ArrayType):
         item = lambda x: _false(_Leaf(x, kind.elementType, p.ignore_case).equal(v))
         if p.operator in ("Equal", "Contains"):
-            return _false(F.exists(column, item)), never
+            return F.exists(column, item), None
         if p.operator == "NotEqual":
-            return F.when(column.isNull(), F.lit(v is not None)).otherwise(F.exists(column, lambda x: ~item(x))), never
+            return F.when(column.isNull(), F.lit(v is not None)).otherwise(F.exists(column, lambda x: ~item(x))), None
         if p.operator in ("In", "NotIn"):
             hit = _false(F.exists(column, lambda x: reduce(lambda a, b: a | b, [_false(_Leaf(x, kind.elementType, p.ignore_case).equal(w)) for w in p.values])))
-            return hit if p.operator == "In" else ~hit, never
+            return hit if p.operator == "In" else ~hit, None
         raise ValueError(f"{p.operator} does not take the array {p.field}")
     leaf = _Leaf(column, kind, p.ignore_case)
     if p.operator == "Equal":
-        return (never if v is None else _false(leaf.equal(v))), never
+        return (F.lit(False) if v is None else leaf.equal(v)), None
     if p.operator == "NotEqual":
-        return (column.isNotNull() if v is None else F.when(column.isNull(), True).otherwise(~_false(leaf.equal(v)))), never
+        return (column.isNotNull() if v is None else F.when(column.isNull(), True).otherwise(~_false(leaf.equal(v)))), None
     if p.operator in ("In", "NotIn"):
         some = [w for w in p.values if w is not None]
         if isinstance(kind, T.StringType) and all(isinstance(w, str) for w in some):
             hit = _text(column, p.ignore_case).isin([w.upper() if p.ignore_case else w for w in some])
         elif not isinstance(kind, T.StringType) and all(type(w) in (int, float) for w in some):
-            hit = column.isin(some)  # reaches the scan
+            hit = column.isin(some)
         else:
-            hit = reduce(lambda a, b: a | b, [_false(leaf.equal(w)) for w in some], never)
-        hit = _false(hit) | (column.isNull() if None in p.values else never)
-        return hit if p.operator == "In" else ~hit, never
+            hit = reduce(lambda a, b: a | b, [leaf.equal(w) for w in some], F.lit(False))
+        if None in p.values:
+            hit = hit | column.isNull()
+        return hit if p.operator == "In" else ~_false(hit), None
     text = column.cast("string")
     if p.operator in ("Contains", "StartsWith", "EndsWith"):
         test = {"Contains": "contains", "StartsWith": "startswith", "EndsWith": "endswith"}[p.operator]
-        return _false(getattr(_text(text, p.ignore_case), test)(_text(F.lit(str(v)), p.ignore_case))), never
+        return getattr(_text(text, p.ignore_case), test)(_text(F.lit(str(v)), p.ignore_case)), None
     if p.operator in ("MatchesWildcard", "MatchesRegex"):
         pattern = wildcard_regex(v) if p.operator == "MatchesWildcard" else v
-        return _false(text.rlike(("(?i)" if p.ignore_case else "") + pattern)), never
+        return text.rlike(("(?i)" if p.ignore_case else "") + pattern), None
     if p.operator == "InSubnet":
-        return _false(_subnet(column, v)), never
+        return _subnet(column, v), None
     got, want, unread = leaf.both(v)
-    test = {"GreaterThan": got > want, "GreaterThanOrEqual": got >= want, "LessThan": got < want, "LessThanOrEqual": got <= want}[p.operator]
-    return _false(test), _false(unread)
+    return {"GreaterThan": got > want, "GreaterThanOrEqual": got >= want, "LessThan": got < want, "LessThanOrEqual": got <= want}[p.operator], unread
 
 
-def _built(p: Predicate, df: DataFrame) -> tuple[Column, Column]:
+def _or(a: Column | None, b: Column | None) -> Column | None:
+    return b if a is None else a if b is None else a | b
+
+
+def _built(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
+    """(condition, error) of a tree, both two-valued; an error counts if evaluation, left to right, gets to it."""
     if p.kind == "Comparison":
-        return _leaf(p, df)
+        condition, error = _leaf(p, df)
+        return _false(condition), None if error is None else _false(error)
     parts = [_built(c, df) for c in p.children]
     if p.kind == "Not":
         return ~parts[0][0], parts[0][1]
     condition, error = parts[0]
     for c, e in parts[1:]:
-        error = error | ((condition if p.kind == "All" else ~condition) & e)
+        if e is not None:
+            error = _or(error, (condition if p.kind == "All" else ~condition) & e)
         condition = condition & c if p.kind == "All" else condition | c
     return condition, error
 
 
+def _filter(p: Predicate, df: DataFrame) -> Column:
+    """The condition for a filter, where null and false are one: conjuncts stay plain, so that they reach the scan."""
+    if p.kind == "Comparison":
+        return _leaf(p, df)[0]
+    if p.kind == "Not":
+        return ~_built(p.children[0], df)[0]
+    return reduce(lambda a, b: a & b if p.kind == "All" else a | b, [_filter(c, df) for c in p.children])
+
+
 def compile_predicate(p: Predicate, df: DataFrame) -> Column:
-    """One two-valued column for ``df``; conjuncts stay apart, so that plain ones reach the scan."""
+    """One two-valued column for ``df``."""
     validate(p)
     condition, error = _built(p, df)
-    return condition & ~error
+    return condition if error is None else condition & ~error
 
 
 def compile_with_error(p: Predicate, df: DataFrame) -> tuple[Column, Column]:
     """(condition, error) for callers that report errors instead of dropping rows."""
     validate(p)
-    return _built(p, df)
+    condition, error = _built(p, df)
+    return condition, F.lit(False) if error is None else error
 
 
 def where(df: DataFrame, p: Predicate) -> DataFrame:
-    return df.where(compile_predicate(p, df))
+    """The rows that match."""
+    validate(p)
+    error = _built(p, df)[1]
+    return df.where(_filter(p, df)) if error is None else df.where(compile_predicate(p, df))
 
 
 def guaranteed(p: Predicate, field: str) -> frozenset | None:

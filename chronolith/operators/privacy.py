@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.schema import payload
+
 
 def token(field: str, value: Column, key: bytes) -> Column:
     """``hmac-sha256:<hex>`` of the field's name and the text; null stays null."""
@@ -22,7 +24,7 @@ def token(field: str, value: Column, key: bytes) -> Column:
         known: dict[str, str] = {}
         for t in texts.dropna().unique():
             known[t] = "hmac-sha256:" + hmac.new(key, head + t.encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()
-        return texts.map(known)
+        return pd.Series([known.get(t) for t in texts], index=texts.index, dtype=object)
 
     return made(value.cast("string"))
 
@@ -32,6 +34,6 @@ def project(rows: DataFrame, keep: Sequence[str], tokens: Sequence[str] = (), ke
     lower = [k.lower() for k in keep]
     kept = F.map_filter("values", lambda k, _: F.lower(k).isin(lower))
     if tokens:
-        pairs = [F.struct(F.lit(t).alias("key"), token(t, F.get(F.map_values(F.map_filter("values", lambda k, _, t=t: F.lower(k) == t.lower())), F.lit(0)), key).alias("value")) for t in tokens]
+        pairs = [F.struct(F.lit(t).alias("key"), token(t, payload(t), key).alias("value")) for t in tokens]
         kept = F.map_concat(kept, F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())))
     return rows.withColumn("values", kept)

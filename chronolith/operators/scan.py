@@ -76,7 +76,7 @@ class Filter:
     excluded_named_data: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def column(self) -> Column:
-        """The conjunction, two-valued; id, level and time parts reach the scan."""
+        """The conjunction, for a filter (null is false); id, level and time parts reach the scan."""
         parts = []
         for names, column in ((self.event_ids, "event_id"), (self.record_ids, "record_id"), (self.levels, "level_value")):
             if names:
@@ -104,7 +104,7 @@ class Filter:
         if self.excluded_named_data:  # a row goes only if it has all keys and all match
             every = reduce(lambda a, b: a & b, [F.coalesce(payload(k).isin(list(t)), F.lit(False)) for k, t in self.excluded_named_data])
             parts.append(~every)
-        return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in parts], F.lit(True))
+        return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def intersect(a: Filter, b: Filter) -> Filter | None:
