@@ -11,8 +11,11 @@ lose all their lines except in the largest doc_id that holds them.
    becomes a perfect hash over one hash half, indexing arrays of fingerprints (the other
    half), document counts and keepers. Keys below ``min_docs`` can lose no line, so they
    are left out, and the fingerprint turns them away.
-3. Documents are read again and their lines probe the shards, one shard at a time from
-   the shared folder; no line is joined or shuffled.
+3. Documents are read again and their lines probe the shards. An index of at most
+   ``INLINE_SHARDS`` is small by that bound: each task reads it from the shared folder as
+   its documents ask for it. A larger one stays where it is: tasks send packed hashes of
+   their lines to the shards, a shard streams them past its arrays, and only the places
+   of lines that go come back to the documents. No text line is joined either way.
 
 Defined cases: null text is one empty line and stays null; a null doc_id counts as one
 document and is never the keeper; rows that share a doc_id count as one document, and all
@@ -37,6 +40,8 @@ from pyspark.sql import types as T
 from chronolith.llm import perfect_hash
 from chronolith.llm.shared import SPACE, kept, open_store, replaced, small_batches, texts, widened, without
 
+#: Shards that a task holds in memory at once, about 5 MB each; larger indexes are probed where they are.
+INLINE_SHARDS = 16
 INDEX_SCHEMA = "shard int, n_keys int, level_sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
 
 
@@ -101,10 +106,24 @@ def build_index(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
     return path, shards
 
 
+def _arrays(row: dict) -> tuple:
+    """(slots, fingerprints, document counts, keepers) of a shard."""
+    return perfect_hash.Slots(np.frombuffer(row["level_sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["keepers"], np.int64)
+
+
+def _look_up(arrays: tuple, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the hashes that are repeated keys, their document counts, their keepers)."""
+    slots, prints, counts, keepers = arrays
+    at = slots(hashes[:, 0].view(np.uint64))
+    rows = np.flatnonzero(at >= 0)
+    rows = rows[prints[at[rows]] == hashes[rows, 1]]
+    return rows, counts[at[rows]].astype(np.int64), keepers[at[rows]]
+
+
 class Index:
     """Shards of the index, read as they are needed; at most ``room`` stay in memory."""
 
-    def __init__(self, path: str, shards: int, room: int = 8):
+    def __init__(self, path: str, shards: int, room: int = INLINE_SHARDS):
         self.fs, self.path = open_store(path)
         self.shards, self.room, self.held = shards, room, OrderedDict()
 
@@ -116,7 +135,7 @@ class Index:
         got = None
         if found:
             row = pq.ParquetFile(self.fs.open_input_file(found[0].path)).read().to_pylist()[0]
-            got = (perfect_hash.Slots(np.frombuffer(row["level_sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["keepers"], np.int64))
+            got = _arrays(row)
         self.held[shard] = got
         while len(self.held) > self.room:
             self.held.popitem(last=False)
@@ -129,11 +148,8 @@ class Index:
         order = np.argsort(shard, kind="stable")
         for s, rows in zip(*_runs(shard[order], order)):
             if (got := self._read(int(s))) is not None:
-                slots, prints, n, keep = got
-                at = slots(hashes[rows, 0].view(np.uint64))
-                rows, at = rows[at >= 0], at[at >= 0]
-                true = prints[at] == hashes[rows, 1]
-                counts[rows[true]], keepers[rows[true]] = n[at[true]], keep[at[true]]
+                hit, n, keep = _look_up(got, hashes[rows])
+                counts[rows[hit]], keepers[rows[hit]] = n, keep
         return counts, keepers
 
 
@@ -167,12 +183,85 @@ def _cleaned(batches: Iterator[pa.RecordBatch], path: str, shards: int, min_char
         yield replaced(batch, {"text": pa.array(was, kind), "n_lines": pa.array([len(x) for x in lines], pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
 
+def _asked(batches: Iterator[pa.RecordBatch], shards: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Packed probes: a row for each batch and shard with (hash, document, line) arrays."""
+    for batch in batches:
+        hashes, rows, lines = [], [], []
+        for row, text in enumerate(texts(batch)):
+            if text:
+                at, got = _keys(text.split("\n"), min_chars)
+                hashes.append(got)
+                rows += [row] * len(at)
+                lines += at
+        hashes = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+        if not len(hashes):
+            continue
+        ids, prints = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+        known = np.array([i is not None for i in ids])
+        own = np.array([i or 0 for i in ids], np.int64)
+        rows, lines = np.array(rows), np.array(lines, np.int32)
+        shard = hashes[:, 0] % shards
+        order = np.argsort(shard, kind="stable")
+        for s, at in zip(*_runs(shard[order], order)):
+            of = rows[at]
+            yield pa.RecordBatch.from_pylist([{"shard": int(s), "hashes": hashes[at].tobytes(), "doc_ids": own[of].tobytes(), "known": known[of].tobytes(), "prints": prints[of].tobytes(), "lines": lines[at].tobytes()}], _PROBES)
+
+
+_PROBES = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("hashes", "doc_ids", "known", "prints", "lines"))])
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard, its arrays first, its probes behind them; out go (doc_id, text hash, line) of lines that go."""
+    shard, arrays = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if row["bits"] is not None:
+                shard, arrays = row["shard"], _arrays(row)
+            elif row["shard"] == shard:
+                hit, _, keeper = _look_up(arrays, np.frombuffer(row["hashes"], np.int64).reshape(-1, 2))
+                own, known = np.frombuffer(row["doc_ids"], np.int64)[hit], np.frombuffer(row["known"], bool)[hit]
+                gone = ~known | (own != keeper)
+                if gone.any():
+                    take = lambda c, k: np.frombuffer(row[c], k)[hit][gone]  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(own[gone], mask=~known[gone]), pa.array(take("prints", np.int64)), pa.array(take("lines", np.int32))], names=["doc_id", "print", "line"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        was, n_lines, n_dropped = texts(batch), [], []
+        for row, gone in enumerate(texts(batch, "_gone")):
+            lines = (was[row] or "").split("\n")
+            n_lines.append(len(lines))
+            n_dropped.append(len(gone or ()))
+            if gone:
+                drop = set(gone)
+                was[row] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
+        out = replaced(batch, {"text": pa.array(was, batch.schema.field("text").type), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
+        yield out.select([n for n in out.schema.names if n != "_gone"])
+
+
+def _dedup_routed(spark: SparkSession, docs: DataFrame, path: str, shards: int, min_chars: int, schema: T.StructType) -> DataFrame:
+    """What a document loses depends on its doc_id and text alone, so these two bring the places back to it."""
+    probes = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(lambda it: _asked(it, shards, min_chars), "shard int, hashes binary, doc_ids binary, known binary, prints binary, lines binary")
+    index = spark.read.schema(INDEX_SCHEMA).parquet(path)
+    both = index.drop("n_keys").withColumn("_side", F.lit(0)).unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    lines = both.repartition("shard").sortWithinPartitions("shard", "_side").drop("_side").mapInArrow(_routed, "doc_id long, print long, line int")
+    gone = lines.groupBy("doc_id", "print").agg(F.collect_set("line").alias("_gone"))
+    gone, _ = kept(spark, gone.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "_gone"), "line-places")
+    met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_print"]), "left").drop("_doc", "_print")
+    return met.mapInArrow(_cut, schema)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 17) -> DataFrame:
     """``docs`` with repeated lines dropped from text, and columns n_lines and n_dropped."""
     small_batches(spark)
     docs = without(docs, ["n_lines", "n_dropped"])
     path, shards = build_index(spark, docs, min_chars, min_docs, shard_keys)
-    return docs.mapInArrow(lambda it: _cleaned(it, path, shards, min_chars), widened(docs, [("n_lines", T.LongType()), ("n_dropped", T.LongType())]))
+    schema = widened(docs, [("n_lines", T.LongType()), ("n_dropped", T.LongType())])
+    if shards > INLINE_SHARDS:
+        return _dedup_routed(spark, docs, path, shards, min_chars, schema)
+    return docs.mapInArrow(lambda it: _cleaned(it, path, shards, min_chars), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

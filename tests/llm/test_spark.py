@@ -31,7 +31,9 @@ def empty(df):
     return df.where("false")
 
 
-def test_line_dedup(spark, odd):
+@pytest.mark.parametrize("inline", [16, 0])
+def test_line_dedup(spark, odd, monkeypatch, inline):
+    monkeypatch.setattr(line_dedup, "INLINE_SHARDS", inline)
     got = {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark, odd).collect()}
     assert {(i, 2, 1) for i in range(6)} | {(6, 2, 0), (None, 1, 0), (20, 1, 0), (21, 1, 0), (24, 2, 0)} <= got
     again = line_dedup.dedup_lines(spark, odd.withColumn("N_dropped", F.lit("x")), shard_keys=1)
@@ -40,7 +42,9 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(spark, empty(odd)).count() == 0
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("inline", [16, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, inline):
+    monkeypatch.setattr(line_dedup, "INLINE_SHARDS", inline)
     rng = random.Random(9)
     pool = [f"  {chr(97 + k) * rng.choice([38, 40, 44])}{k % 7}\t" for k in range(30)]
     rows = [(rng.randint(0, 40), "\n".join(rng.choice(pool).swapcase() if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randint(0, 12))), "s") for _ in range(60)]
