@@ -60,6 +60,8 @@ _HINTS = frozenset(
     "pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split()
 )
 _HEAD_HINTS = frozenset("header masthead".split())
+#: Words beside a header hint that make it the article's own heading.
+_OWN_HEAD = frozenset("article content entry post story".split())
 _SAFE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt".split())
 _SCOPE = frozenset("article main".split())
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
@@ -79,7 +81,7 @@ def _marked(tag: str, attributes: str, scoped: bool) -> tuple[str, bool]:
         return label, False
     if tag == "article":
         return label, bool(words & {"comment", "comments", "reply", "replies"})
-    return label, bool(words & _HINTS) or not scoped and (tag == "header" or bool(words & _HEAD_HINTS)) or found.get("role") in ("navigation", "banner", "search", "form", "alert", "dialog", "alertdialog", "menu")
+    return label, bool(words & _HINTS) or not scoped and (tag == "header" or bool(words & _HEAD_HINTS) and not words & _OWN_HEAD) or found.get("role") in ("navigation", "banner", "search", "form", "alert", "dialog", "alertdialog", "menu")
 
 
 class Block:
@@ -111,7 +113,12 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, int]]:
         if text:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _BLOCK), 0)
             node, parent = stack[at], stack[max(0, at - 1)]
-            blocks.append(Block(text, node.path, parent.path, node.scoped, any(n.tag in _SAFE for n in stack[at:0:-1]), stack[-1].dropped))
+            blocks.append(Block(text, node.path, parent.path, node.scoped, any(n.tag in _SAFE for n in stack[at:0:-1]), node.dropped))
+
+    def say(text: str) -> None:
+        """Text joins its block, but not from an inline element that is boilerplate in a block that is not."""
+        if not stack[-1].dropped or next((n.dropped for n in reversed(stack) if n.tag in _BLOCK), True):
+            said.append(text)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -122,10 +129,10 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, int]]:
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            said.append(page[at:])
+            say(page[at:])
             break
         if m.start() > at:
-            said.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue

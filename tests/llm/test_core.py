@@ -81,6 +81,7 @@ def test_html_keeps_the_article_and_nothing_else():
     )
     assert html_extract.main_text(page) == "T & x\na b cd\ne f\none\ntwo\nx\ny"
     assert html_extract.main_text("<body><div>out</div><article><h2>in</h2><p>side</article>") == "in\nside"
+    assert html_extract.main_text('<p>good <button>Share</button>text <span class="ad">buy</span></p><div class="post-header"><h1>T</h1></div><p>x <span class="ad">bad<p>next') == "good text\nT\nx\nnext"
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p></p>") == ""
     assert html_extract.main_text("plain &lt;text&gt;\n\n here") == "plain <text> here"
 
