@@ -137,3 +137,8 @@ def attempts(rows: DataFrame, keys: Sequence[str], starts: Column, ends: Column)
     order = Window.partitionBy(*keys).orderBy("time_created", "record_id")
     flagged = rows.withColumn("_begin", F.coalesce(starts, F.lit(False)) | F.coalesce(F.lag(ends).over(order), F.lit(True)))
     return flagged.withColumn("attempt", F.sum(F.col("_begin").cast("int")).over(order)).drop("_begin")
+
+
+def observed_windows(rows: DataFrame) -> DataFrame:
+    """(collector_computer, source_log, start, end, events): what a collection covered, by its first and last event."""
+    return rows.groupBy("collector_computer", "source_log").agg(F.min("time_created").alias("start"), F.max("time_created").alias("end"), F.count(F.lit(1)).alias("events"))

@@ -12,7 +12,7 @@ from chronolith.functions import decode, text, times
 from chronolith.operators import aggregate as agg
 from chronolith.operators import context, detect, occurrences, reports, rules, scan, timeline, views
 from chronolith.operators import predicates as p
-from chronolith.schema import canonical, from_app_events, payload
+from chronolith.schema import canonical, from_app_events, observed, payload
 from chronolith.sources import files, store
 from chronolith.streaming import streams
 
@@ -538,6 +538,17 @@ def _(spark, d):
     return spark.table(name)
 
 
+@query("time_observed_windows", "SELECT 'collector' AS collector_computer, 'Application' AS source_log, min(ts) AS start, max(ts) AS \"end\", count(*) AS events FROM events")
+def _(spark, d):
+    return timeline.observed_windows(events(spark, d))
+
+
+@query("src_observations", "SELECT count(DISTINCT event_id) AS identities, count(*) AS rows FROM events")
+def _(spark, d):
+    rows = observed(events(spark, d))
+    return rows.agg(F.countDistinct("observation_identity").alias("identities"), F.count_if(F.col("fields")["SourceComputer"] == F.col("source_computer")).alias("rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

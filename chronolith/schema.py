@@ -78,3 +78,17 @@ def resolve(df: DataFrame, field: str) -> Column:
     if "values" in df.columns:
         return payload(field)
     raise ValueError(f"no field {field!r}")
+
+
+#: What identifies an observation, in order.
+_IDENTITY = ("source_kind", "source_computer", "collector_computer", "source_log", "container_log", "provider", "event_id", "record_id", "time_created", "level_value", "activity_id", "related_activity_id", "process_id", "thread_id", "type", "message")
+
+
+def observed(rows: DataFrame) -> DataFrame:
+    """``rows`` with observation_identity (upper-case SHA-256 of what identifies them) and fields: payload and common columns in one map, the common ones winning."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _IDENTITY]
+    identity = F.upper(F.sha2(F.to_json(F.array(*parts, F.coalesce(F.to_json(F.array_sort(F.map_entries("values"))), F.lit("")))), 256))
+    shown = {"SourceComputer": "source_computer", "CollectorComputer": "collector_computer", "ActivityId": "activity_id", "RelatedActivityId": "related_activity_id", "ProcessId": "process_id"}
+    common = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in shown.items()]), lambda e: e["value"].isNotNull()))
+    own = F.map_filter(F.coalesce("values", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(common, k))
+    return rows.withColumn("observation_identity", identity).withColumn("fields", F.map_concat(own, common))

@@ -7,6 +7,7 @@ form; a stream fed in order of time gives the same findings.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.functions.times import calendar_start
-from chronolith.operators.detect import matches
+from chronolith.operators.detect import MACHINES, Absence, matches
 from chronolith.operators.rules import Rule
 from chronolith.sources.store import Store
 
@@ -62,33 +63,38 @@ def outbox(rows: DataFrame, deliver: Callable[[DataFrame, int], None], path: str
 _FINDING = "rule_id string, group_value string, event_us long, evidence array<string>"
 
 
-def threshold_findings(rows: DataFrame, rule: Rule, delay: str = "10 minutes") -> DataFrame:
-    """Threshold findings of a stream: state by group is the events within the window, cleared when it fires."""
-    window, n = int(rule.window_seconds * 1e6), rule.threshold
+def rule_findings(rows: DataFrame, rule: Rule, delay: str = "10 minutes") -> DataFrame:
+    """Findings of a stateful rule over a stream: the batch detector's state machine is the state of each group.
+
+    A group's state leaves when its window has passed without events. The triggers of an
+    absence rule fire when the watermark passes their deadline.
+    """
+    window, absence = int(rule.window_seconds * 1e6), rule.kind == "Absence"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, ids = (list(x) for x in state.get) if state.exists else ([], [])
+        held, last = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (Absence(rule) if absence else MACHINES[rule.kind](rule), 0)
         found = []
-        rows_ = sorted((us, i) for pdf in batches for us, i in zip(pdf["us"].tolist(), pdf["identity"].tolist()))
-        for us, identity in rows_:
-            keep = [k for k, t in enumerate(times) if t >= us - window]
-            times, ids = [times[k] for k in keep] + [us], [ids[k] for k in keep] + [identity]
-            if len(times) >= n:
-                found.append((key[0], key[1], us, list(ids)))
-                times, ids = [], []
-        if times:
-            state.update((times, ids))
-            state.setTimeoutTimestamp(max(times[-1] // 1000 + window // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
+        if state.hasTimedOut:
+            found += [(at, [i]) for at, i in held.due(state.getCurrentWatermarkMs() * 1000)] if absence else []
+        else:
+            events = sorted((us, i, tuple(s), v) for pdf in batches for us, i, s, v in zip(pdf["us"].tolist(), pdf["identity"].tolist(), pdf["steps"], pdf["distinct_value"].tolist()))
+            for us, identity, steps, value in events:
+                if absence:
+                    found += [(at, [i]) for at, i in held.feed(us, identity, steps)]
+                elif (evidence := held.feed(us, identity, steps, value)) is not None:
+                    found.append((us, evidence))
+                last = max(last, us)
+        due = held.open[0][0] + window if absence and held.open else last + window if not absence and not state.hasTimedOut else None
+        if due is None:
             state.remove()
+        else:
+            state.update((pickle.dumps(held), last))
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if found:
-            yield pd.DataFrame(found, columns=["rule_id", "group_value", "event_us", "evidence"])
+            yield pd.DataFrame([(key[0], key[1], at, evidence) for at, evidence in found], columns=["rule_id", "group_value", "event_us", "evidence"])
 
     hits = matches(rows.withWatermark("time_created", delay), [rule]).where("missing IS NULL").withColumn("us", F.unix_micros("time_created"))
-    return hits.groupBy("rule_id", "group_value").applyInPandasWithState(step, _FINDING, "times array<long>, ids array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return hits.groupBy("rule_id", "group_value").applyInPandasWithState(step, _FINDING, "machine binary, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Watchers:

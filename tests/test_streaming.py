@@ -32,11 +32,19 @@ def run(spark, df, tmp_path, name):
 def test_threshold_stream_equals_batch(spark, tmp_path):
     batches = [[("1", 0, "x"), ("2", 5, "x")], [("3", 10, "x"), ("4", 11, "y")], [("5", 12, "x"), ("6", 13, "x"), ("7", 14, "x"), ("8", 900, "y")]]
     rule = rules.Rule("t", kind="Threshold", selector=rules.Selector(types=("a",)), threshold=3, window_seconds=10, group_by="g")
-    got = run(spark, streams.threshold_findings(feed(spark, tmp_path, batches), rule), tmp_path, "found")
+    got = run(spark, streams.rule_findings(feed(spark, tmp_path, batches), rule), tmp_path, "found")
     batch = detect.evaluate(rows(spark, [e for b in batches for e in b]), [rule])
     assert sorted(tuple(r["evidence"]) for r in got.collect()) == sorted(tuple(r["evidence"]) for r in batch.collect()) == [("1", "2", "3"), ("5", "6", "7")]
 
 
+def test_absence_stream_fires_when_the_watermark_passes(spark, tmp_path):
+    batches = [[("1", 0, "x"), ("2", 3, "y")], [("3", 5, "x")], [("4", 5000, "z")], [("5", 9000, "z")]]
+    src = feed(spark, tmp_path, batches).withColumn("type", F.when(F.col("record_id") == 3, "b").when(F.col("record_id") > 3, "c").otherwise("a"))
+    rule = rules.Rule("n", kind="Absence", steps=(rules.Selector(types=("a",)), rules.Selector(types=("b", "c"))), window_seconds=10, group_by="g")
+    got = run(spark, streams.rule_findings(src, rule, "1 second"), tmp_path, "silent").collect()
+    assert [(r["group_value"], r["evidence"], r["event_us"]) for r in got] == [("Y", ["2"], int((T0 - datetime(1970, 1, 1)).total_seconds() * 1e6) + 13_000_000)]
+
+
 def test_delivery_windows_and_store(spark, tmp_path):
     batches = [[("1", 0, "x"), ("2", 5, "x")], [("1", 0, "x"), ("3", 7300, "x")]]
     src = feed(spark, tmp_path, batches)
