@@ -25,10 +25,12 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +39,34 @@ from pyspark.sql.window import Window
 from chronolith.llm.shared import kept, small_batches, texts
 
 #: Rounds of pair replacement, new rules in one round, and how often a pair must come to be worth one.
-ROUNDS, RULES_A_ROUND, MIN_PAIRS = 6, 2_500, 8
-#: Chunks of text whose ids a task remembers.
-CACHE_CHUNKS = 200_000
+ROUNDS, RULES_A_ROUND, MIN_PAIRS = 3, 5_000, 16
+#: Characters of text whose chunks a task makes distinct together.
+BATCH_CHARS = 24_000_000
+#: White space, or pairs of it, that a text must not hold to be cut into chunks; it may hold single spaces and newlines.
+UNSAFE = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: Buckets in which a round counts pairs before it counts the frequent ones apart.
+BUCKETS = 1 << 18
 MAGIC = b"RPID\x01\x00\x00\x00"
 
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
     A byte-level tokenizer without normalizer cuts text before it merges: a word with the
-    single space or newline before it never merges with its neighbours. Such chunks are
-    encoded by the library once and remembered; texts with other white space, or with what
-    may be a special token, are encoded whole.
+    single space or newline before it never merges with its neighbours. So the chunks of
+    many texts are made distinct, each is encoded by the library once, and the ids are put
+    together again. A word of letters goes straight to the library's model, without the
+    cutting; texts with other white space, or with what may be a special token, are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -61,66 +76,116 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
-        self.chunked = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.special = [t["content"] for t in made.get("added_tokens") or []]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        self.chunked = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and made["model"]["type"] == "BPE"
+        self.unsafe = (*UNSAFE, *self.special)
+        self.letters = _byte_letters()
+        if self.chunked:
+            self.newline = len(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+            self.marks = dict(zip(".,;:!?", self._whole(list(".,;:!?"))))
 
     def _whole(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
     def _safe(self, text: str) -> bool:
-        return self.chunked and "\n\n" not in text and " ".join(text.split()) == text.replace("\n", " ") and not any(s in text for s in self.special)
+        return self.chunked and not any(s in text for s in self.unsafe) and text[0] != " " and text[-1] != " "
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks: words that follow a space, and words with the newline before them."""
+        out: list[bytes | None] = [None] * len(chunks)
+        merge, pack, letters, marks = self.tokenizer.model.tokenize, array("H" if self.kind.itemsize == 2 else "I"), self.letters, self.marks
+        known: dict[str, bytes] = {}
+        rest = []
+        for i, c in enumerate(chunks):
+            word, mark = (c[:-1], marks[c[-1]]) if c[-1:] in marks else (c, b"")  # a word and the mark behind it never merge
+            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+                rest.append(i)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                spelled = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(letters)
+                ids = known[word] = array(pack.typecode, [t.id for t in merge(spelled)]).tobytes()
+            out[i] = ids + mark
+        for i, ids in zip(rest, self._whole([chunks[i] if chunks[i][:1] == "\n" else " " + chunks[i] for i in rest]) if rest else []):
+            out[i] = ids
+        return out
 
     def encode(self, batch: list[str | None]) -> list[np.ndarray]:
-        out: list[bytes] = [b""] * len(batch)
-        chunks: dict[int, list[str]] = {}
-        whole = []
+        out = [np.zeros(0, self.kind)] * len(batch)
+        safe, whole = [], []
         for i, text in enumerate(batch):
-            if text and self._safe(text):
-                chunks[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]  # the text's beginning is encoded as if after a newline, which is cut again
-            elif text:
-                whole.append(i)
+            if text:
+                (safe if self._safe(text) else whole).append(i)
         for i, got in zip(whole, self._whole([batch[i] for i in whole]) if whole else []):
-            out[i] = got
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = list(set().union(*chunks.values()) - self.cache.keys()) if chunks else []
-        if new:
-            self.cache.update(zip(new, self._whole([c if c[:1] == "\n" else " " + c for c in new])))
-        newline = len(self._whole(["\n"])[0]) if chunks else 0
-        for i, own in chunks.items():
-            out[i] = b"".join([self.cache[c] for c in own])[newline:]
-        return [np.frombuffer(x, self.kind) for x in out]
+            out[i] = np.frombuffer(got, self.kind)
+        if not safe:
+            return out
+        # The text's beginning is encoded as if behind a newline, which is cut off again.
+        cut = pc.split_pattern(pa.array(["\n" + batch[i].replace("\n", " \n") for i in safe], pa.large_string()), " ")
+        chunks = cut.values.dictionary_encode()
+        coded = self._chunks(chunks.dictionary.to_pylist())
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(coded), self.kind), np.cumsum(size) - size
+        which, bounds = chunks.indices.to_numpy(), cut.offsets.to_numpy()
+        for start in range(0, len(safe), 512):
+            some = safe[start : start + 512]
+            lo, hi = bounds[start], bounds[start + len(some)]
+            own = which[lo:hi]
+            n = size[own]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(first[own] - (ends - n), n) + np.arange(ends[-1])]
+            at = np.r_[0, ends][bounds[start : start + len(some) + 1] - lo]
+            for k, i in enumerate(some):
+                out[i] = ids[at[k] + self.newline : at[k + 1]]
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A Python worker's encoder for a tokenizers file, read once."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules) for documents that end before ``ends``."""
     room = (1 << 16) if vocabulary <= 1 << 16 else (1 << 31)
-    wide, shift = (np.uint32, 16) if room == 1 << 16 else (np.uint64, 32)
+    wide, shift, low = (np.uint32, 16, np.uint32(14)) if room == 1 << 16 else (np.uint64, 32, np.uint64(46))
+    over = np.iinfo(wide).max  # what stands for a pair over a document's end
     last = np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     symbols, rules = ids.astype(wide), []
     for _ in range(ROUNDS):
         pair = (symbols[:-1] << wide(shift)) | symbols[1:]
-        inside = np.flatnonzero(~last[:-1])
-        pair = pair[inside]
-        ordered = np.sort(pair)
-        if not len(ordered):
+        pair[last[:-1]] = over
+        most = min(RULES_A_ROUND, room - vocabulary - len(rules))
+        if not len(pair) or most <= 0:
             break
-        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        bucket = (pair * wide(0x9E3779B1) >> low).astype(np.int64)
+        held = np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+        least = max(MIN_PAIRS, int(np.partition(held, -most)[-most]))  # a pair comes no more often than its bucket
+        ordered = np.sort(pair[held[bucket] >= least])
+        start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[start, len(ordered)])
-        often = np.flatnonzero(count >= MIN_PAIRS)
-        most = min(RULES_A_ROUND, room - vocabulary - len(rules))
-        if not len(often) or most <= 0:
+        often = np.flatnonzero((count >= MIN_PAIRS) & (ordered[start] != over))
+        if not len(often):
             break
         best = often[np.lexsort((ordered[start[often]], -count[often]))[:most]]
-        chosen = ordered[start[np.sort(best)]]
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pair
-        where, which = inside[hit], at[hit]
+        chosen = np.sort(ordered[start[best]])
+        rule_of = np.zeros(BUCKETS, np.int16)  # of chosen pairs in one bucket the last stays
+        rule_of[(chosen * wide(0x9E3779B1) >> low).astype(np.int64)] = np.arange(1, len(chosen) + 1)
+        at = rule_of[bucket]
+        where = np.flatnonzero(at)
+        which = at[where].astype(np.int64) - 1
+        hit = chosen[which] == pair[where]
+        where, which = where[hit], which[hit]
+        if not len(where):
+            break
         begins = np.r_[True, np.diff(where) != 1]
         begin = where[np.maximum.accumulate(np.where(begins, np.arange(len(where)), 0))]
         free = (where - begin) % 2 == 0  # of pairs that overlap in a row, every other one
@@ -139,12 +204,12 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> b
     """A shard of documents, none of them empty."""
     sizes = np.array([len(x) for x in ids], np.uint64)
     symbols, each, rules = repair(np.concatenate(ids), np.cumsum(sizes).astype(np.int64), vocabulary)
-    lengths = np.ones(vocabulary + len(rules), np.uint64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[vocabulary + r] = lengths[a] + lengths[b]
+    lengths = [1] * vocabulary
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     head = struct.pack("<7I", np.dtype(kind).itemsize, vocabulary, len(rules), len(symbols), len(ids), 0, 0)
-    parts = [rules.astype("<u4"), lengths[vocabulary:].astype("<u8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), sizes.astype("<u8"), each.astype("<u8"), symbols.astype(kind)]
+    parts = [rules.astype("<u4"), np.array(lengths[vocabulary:], "<u8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), sizes.astype("<u8"), each.astype("<u8"), symbols.astype(kind)]
     return MAGIC + head + b"".join(p.tobytes() for p in parts)
 
 
@@ -196,7 +261,7 @@ class Shard:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+    encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
     doc_ids, ids, held = [], [], 0
 
     def shard() -> pa.RecordBatch:
@@ -206,8 +271,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_to
         return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
     end = np.array([end_id], encoder.kind)
-    for batch in batches:
-        for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch))):
+    for names, batch in _gathered(batches):
+        for doc_id, own in zip(names, encoder.encode(batch)):
             if ids and held + len(own) + 1 > shard_tokens:
                 yield shard()
                 doc_ids, ids, held = [], [], 0
@@ -218,6 +283,20 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_to
         yield shard()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """doc_ids and texts of enough rows to share their chunks."""
+    names, held, chars = [], [], 0
+    for batch in batches:
+        names += batch.column(0).to_pylist()
+        held += (own := texts(batch))
+        chars += sum(len(t) for t in own if t)
+        if chars >= BATCH_CHARS:
+            yield names, held
+            names, held, chars = [], [], 0
+    if names:
+        yield names, held
+
+
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = 1_000_000) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) into shards in the shared folder; the shards, in order of (part, seq)."""
     small_batches(spark)
@@ -230,8 +309,9 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, seq, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
             shard = Shard(payload)
-            crc = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in range(len(shard.doc_ids))]
             n = shard.sizes
+            raw, ends = memoryview(shard.expand(shard.symbols).astype("<u4").tobytes()), (np.cumsum(n) * 4).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), seq, np.int32)), pa.array(shard.doc_ids, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
 
