@@ -42,6 +42,11 @@ def project_xml(df: DataFrame, column: str = "raw_xml") -> DataFrame:
     return _from_system(df.select(parsed.alias("e")).select("e.*"))
 
 
+def matches_xpath(column: str, expression: str) -> Column:
+    """Whether an XPath 1.0 expression holds for a column of event XML; two-valued."""
+    return F.coalesce(F.xpath_boolean(F.regexp_replace(column, r"\sxmlns=(\"[^\"]*\"|'[^']*')", ""), F.lit(expression)), F.lit(False))
+
+
 def _from_system(raw: DataFrame) -> DataFrame:
     s = F.col("System")
     names = F.create_map(*[F.lit(x) for pair in ((0, "LogAlways"), (1, "Critical"), (2, "Error"), (3, "Warning"), (4, "Information"), (5, "Verbose")) for x in pair])

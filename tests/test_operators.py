@@ -204,3 +204,31 @@ def test_investigation_and_clock(spark):
     assert [r["identity"] for r in timeline.investigation(obs, found).collect()] == ["p", "f", "o"]
     assert [r["identity"] for r in timeline.investigation(obs, found, "Account", "Bob").collect()] == ["f", "o"]
     assert spark.range(1).select(timeline.clock_order(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("x")).first()["x"] == "Before"
+
+
+def test_enrichment_and_triage(spark):
+    from chronolith.operators import enrich
+
+    rows = spark.createDataFrame([(1, "1.1.1.1"), (2, "1.1.1.1"), (3, None), (4, "9.9.9.9")], "id int, ip string")
+    got = {r["id"]: r["host_name"] for r in enrich.resolve_names(rows, "ip", lookup=lambda a: {"1.1.1.1": "one"}.get(a)).collect()}
+    assert got == {1: "one", 2: "one", 3: None, 4: None}
+    assert [r["id"] for r in enrich.keep(rows, F.col("id") > 1, lambda pdf: pdf["id"] % 2 == 0).orderBy("id").collect()] == [2, 4]
+    text = "AzureAdJoined : YES\n   TenantName : x\nDomainJoined : NO"
+    out = enrich.triage(spark.createDataFrame([(text,)], "t string"), "t", {"not joined": compare("DomainJoined", "Equal", "no"), "no tenant": compare("TenantName", "IsNull")}).first()
+    assert out["failed_checks"] == ["not joined"] and out["fields"]["TenantName"] == "x"
+    xml = spark.createDataFrame([('<Event xmlns="u"><System><EventID>7</EventID></System></Event>',), (None,)], "x string")
+    assert [r[0] for r in xml.select(files.matches_xpath("x", "/Event/System[EventID=7]")).collect()] == [True, False]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from chronolith import cli
+
+    rows = event_rows(spark, [(i, at(i), "a" if i % 3 else "b", {"k": str(i)}) for i in range(9)], "record_id long, time_created timestamp, type string, values map<string,string>")
+    rows.write.parquet(f"{tmp_path}/rows")
+    assert cli.main(["query", f"{tmp_path}/rows", "--where", "k > 4 and type == 'a'", "--limit", "2"], spark) == 0
+    assert capsys.readouterr().out.count("record_id") == 2
+    assert cli.main(["measure", f"{tmp_path}/rows", "--by", "type", "--bucket", "Day"], spark) == 0
+    assert '"count":6' in capsys.readouterr().out
+    assert cli.main(["detect", f"{tmp_path}/rows"], spark) == 0
+    assert cli.main(["types"], spark) == 0 and "ADUserLogon" in capsys.readouterr().out
+    assert cli.main(["store", f"{tmp_path}/rows", f"file://{tmp_path}/st"], spark) == 0 and store.Store(spark, f"file://{tmp_path}/st").read().count() == 9
