@@ -4,7 +4,8 @@ All selectors compile into one array column, so the rows are read and tested onc
 rules; their common safe prefilter reaches the scan. Stateless findings come straight from
 it. For the others, matches are dealt by (rule, group, run), a run being a stretch
 without a gap longer than the rule's window: state never outlives a gap, so a hot group is
-many short runs. Each run is sorted by (time, record id with null first, identity) and
+many short runs. Runs are found over slots as long as the window, of which a group has few,
+not over its events. Each run is sorted by (time, record id with null first, identity) and
 streamed through a small state machine; no run is held in memory as a whole.
 """
 
@@ -259,9 +260,12 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     held = hits.where(F.col("rule_id").isin(states))
     lacking = held.where(F.col("missing").isNotNull()).groupBy("rule_id", "missing").agg(F.min("time_created").alias("event_time")).select("rule_id", F.lit(None).cast("string").alias("group_value"), F.lit("Incomplete").alias("status"), "event_time", F.array().cast("array<string>").alias("evidence"))
     widths = F.create_map(*[x for i in states for x in (F.lit(i), F.lit(int(by_id[i].window_seconds * 1e6)))])
-    ready = held.where(F.col("missing").isNull()).withColumn("us", F.unix_micros("time_created"))
-    order = Window.partitionBy("rule_id", "group_value").orderBy("us", F.col("record_id").asc_nulls_first(), "identity")
-    runs = ready.withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) > F.element_at(widths, F.col("rule_id")), 1).otherwise(0)).withColumn("run", F.sum("_new").over(order))
+    ready = held.where(F.col("missing").isNull()).withColumn("us", F.unix_micros("time_created")).withColumn("width", F.element_at(widths, F.col("rule_id"))).withColumn("slot", F.floor(F.col("us") / F.col("width")))
+    slots = ready.groupBy("rule_id", "group_value", "slot").agg(F.min("us").alias("_low"), F.max("us").alias("_high"), F.first("width").alias("_width"))
+    order = Window.partitionBy("rule_id", "group_value").orderBy("slot")
+    fresh = F.when(F.col("_low") - F.lag("_high").over(order) > F.col("_width"), 1).otherwise(0)
+    numbered = slots.withColumn("_new", fresh).select("rule_id", "group_value", "slot", F.sum("_new").over(order).alias("run"))
+    runs = ready.join(numbered, ["rule_id", "group_value", "slot"])
     sorted_runs = runs.repartition("rule_id", "group_value", "run").sortWithinPartitions("rule_id", "group_value", "run", "us", F.col("record_id").asc_nulls_first(), "identity")
     if until is not None:
         until_us = int(pd.Timestamp(until).value // 1000)
