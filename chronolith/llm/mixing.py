@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolith.llm.shared import WORD, kept, without
+from chronolith.llm.shared import WORD, kept, small_batches, without
 
 #: Sources up to which the rates are broadcast: about 100 bytes each.
 BROADCAST_SOURCES = 20_000
@@ -61,6 +61,7 @@ def coin(seed: int) -> Column:
 
 def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies."""
+    small_batches(spark)
     sized = without(docs, ADDED).withColumn("size", word_count())
     rates, _ = kept(spark, source_rates(sized.select("source", "size"), weights, share, cap), "mix-rates")
     n = rates.count()

@@ -79,8 +79,10 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Python tasks get at most ``rows`` documents at a time, so that long texts fit a worker."""
+    """Settings for long texts: Python tasks get at most ``rows`` documents at a time, and Parquet writers
+    look at a page's size every few rows, so that neither holds hundreds of long texts at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if not 0 < now <= rows:
         spark.conf.set(key, rows)
+    spark.conf.set("parquet.page.size.row.check.min", 10)
