@@ -35,6 +35,38 @@ LOGON_TYPES = ((0, "System"), (2, "Interactive"), (3, "Network"), (4, "Batch"),
 #: Kerberos encryption types.
 ENCRYPTION_TYPES = ((0x1, "DES-CBC-CRC"), (0x3, "DES-CBC-MD5"), (0x11, "AES128-CTS-HMAC-SHA1-96"), (0x12, "AES256-CTS-HMAC-SHA1-96"), (0x17, "RC4-HMAC"), (0x18, "RC4-HMAC-EXP"))
 
+#: Kerberos ticket options.
+TICKET_OPTIONS = (
+    (0x00000001, "Validate"), (0x00000002, "Renew"), (0x00000008, "EncTicketInSessionKey"), (0x00000010, "RenewableOk"), (0x00010000, "Canonicalize"), (0x00020000, "Anonymous"), (0x00040000, "OkAsDelegate"), (0x00080000, "TransitPolicyChecked"),
+    (0x00100000, "HwAuthenticated"), (0x00200000, "PreAuthenticated"), (0x00400000, "Initial"), (0x00800000, "Renewable"), (0x01000000, "Invalid"), (0x02000000, "Postdated"), (0x04000000, "AllowPostdate"), (0x08000000, "Proxy"),
+    (0x10000000, "Proxiable"), (0x20000000, "Forwarded"), (0x40000000, "Forwardable"),
+)
+#: Kerberos pre-authentication types.
+PRE_AUTH_TYPES = ((0, "None"), (2, "PA-ENC-TIMESTAMP"), (11, "PA-ETYPE-INFO"), (15, "PA-PK-AS-REP_OLD"), (16, "PA-PK-AS-REQ"), (17, "PA-PK-AS-REP"), (19, "PA-ETYPE-INFO2"), (20, "PA-SVR-REFERRAL-INFO"), (138, "PA-ENCRYPTED-CHALLENGE"))
+#: Bits of a supported-encryption mask that mean AES, and the one that means RC4.
+AES_BITS, RC4_BIT = 0x8 | 0x10 | 0x20 | 0x40 | 0x80, 0x4
+#: Logon status codes.
+STATUS_CODES = (
+    (0x0, "STATUS_SUCCESS"), (0xC000005E, "STATUS_NO_LOGON_SERVERS"), (0xC0000064, "STATUS_NO_SUCH_USER"), (0xC000006A, "STATUS_WRONG_PASSWORD"), (0xC000006D, "STATUS_LOGON_FAILURE"), (0xC000006E, "STATUS_ACCOUNT_RESTRICTION"),
+    (0xC000006F, "STATUS_INVALID_LOGON_HOURS"), (0xC0000070, "STATUS_INVALID_WORKSTATION"), (0xC0000071, "STATUS_PASSWORD_EXPIRED"), (0xC0000072, "STATUS_ACCOUNT_DISABLED"), (0xC0000133, "STATUS_TIME_DIFFERENCE_AT_DC"),
+    (0xC000015B, "STATUS_LOGON_TYPE_NOT_GRANTED"), (0xC0000193, "STATUS_ACCOUNT_EXPIRED"), (0xC0000224, "STATUS_PASSWORD_MUST_CHANGE"), (0xC0000234, "STATUS_ACCOUNT_LOCKED_OUT"), (0xC0000413, "STATUS_AUTHENTICATION_FIREWALL_FAILED"),
+)
+#: Answers and impersonation levels by resource identifier.
+YES_NO = (("%%1842", "Yes"), ("%%1843", "No"))
+IMPERSONATION_LEVELS = (("%%1831", "Anonymous"), ("%%1832", "Identification"), ("%%1833", "Impersonation"), ("%%1840", "Delegation"))
+#: Directory operations by resource identifier.
+OPERATIONS = (("%%14674", "Value Added"), ("%%14675", "Value Deleted"), ("%%14676", "Unknown"))
+#: Names of status codes by family.
+WIN32_NAMES = (
+    (0, "ERROR_SUCCESS"), (2, "ERROR_FILE_NOT_FOUND"), (3, "ERROR_PATH_NOT_FOUND"), (5, "ERROR_ACCESS_DENIED"), (32, "ERROR_SHARING_VIOLATION"), (53, "ERROR_BAD_NETPATH"), (67, "ERROR_BAD_NET_NAME"), (87, "ERROR_INVALID_PARAMETER"),
+    (112, "ERROR_DISK_FULL"), (121, "ERROR_SEM_TIMEOUT"), (122, "ERROR_INSUFFICIENT_BUFFER"), (126, "ERROR_MOD_NOT_FOUND"), (193, "ERROR_BAD_EXE_FORMAT"), (267, "ERROR_DIRECTORY"),
+)
+INSTALLER_NAMES = (
+    (0, "ERROR_SUCCESS"), (1601, "ERROR_INSTALL_SERVICE_FAILURE"), (1602, "ERROR_INSTALL_USEREXIT"), (1603, "ERROR_INSTALL_FAILURE"), (1605, "ERROR_UNKNOWN_PRODUCT"), (1612, "ERROR_INSTALL_SOURCE_ABSENT"), (1618, "ERROR_INSTALL_ALREADY_RUNNING"),
+    (1619, "ERROR_INSTALL_PACKAGE_OPEN_FAILED"), (1620, "ERROR_INSTALL_PACKAGE_INVALID"), (1622, "ERROR_INSTALL_LOG_FAILURE"), (1625, "ERROR_INSTALL_PACKAGE_REJECTED"), (1638, "ERROR_PRODUCT_VERSION"), (1641, "ERROR_SUCCESS_REBOOT_INITIATED"), (3010, "ERROR_SUCCESS_REBOOT_REQUIRED"),
+)
+HRESULT_NAMES = ((0, "S_OK"), (1, "S_FALSE"), (0x80004004, "E_ABORT"), (0x80004005, "E_FAIL"))
+
 
 def flags(value: Column, table: tuple[tuple[int, str], ...] = ACCOUNT_FLAGS) -> Column:
     """Names of the set bits, by rising bit; bits without a name come last as one ``UNKNOWN_0x..``."""
@@ -53,8 +85,8 @@ def integer(text: Column) -> Column:
 
 def name_of(code: Column, table: tuple[tuple[int, str], ...]) -> Column:
     """The name of a code; null if it has none."""
-    known = F.create_map(*[F.lit(x) for pair in table for x in pair])
-    return F.element_at(known, code.cast("int"))
+    known = F.create_map(*[c for k, v in table for c in (F.lit(k).cast("long"), F.lit(v))])
+    return F.element_at(known, code.cast("long"))
 
 
 def mask_matches(value: Column, *masks: int) -> Column:
@@ -97,3 +129,67 @@ def ipv4_number(text: Column) -> Column:
     shape = r"^(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)$"
     part = lambda n: F.regexp_extract(text, shape, n).cast("long")
     return F.when(text.rlike(shape), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
+
+
+def operation(text: Column) -> Column:
+    """The directory operation of a resource identifier or of its name, whatever its case; null if it is none."""
+    t = F.upper(F.trim(text))
+    return F.coalesce(*[F.when(t.isin(code, name.upper()), name) for code, name in OPERATIONS])
+
+
+def resource(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The name behind a resource identifier; null if the table has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table for x in pair]), F.trim(text))
+
+
+def supports_aes(mask: Column) -> Column:
+    """Whether a supported-encryption mask has AES; null without a mask."""
+    return mask.cast("long").bitwiseAND(F.lit(AES_BITS)) != 0
+
+
+def supports_rc4(mask: Column) -> Column:
+    """Whether a supported-encryption mask has RC4; null without a mask."""
+    return mask.cast("long").bitwiseAND(F.lit(RC4_BIT)) != 0
+
+
+def policy_links(text: Column) -> Column:
+    """(distinguished_name, guid, options, enabled, enforced) of the policy links ``[LDAP://dn;options]`` in order."""
+    shape = r"\[LDAP://([^;]+);(\d+)\]"
+
+    def link(x: Column) -> Column:
+        dn, options = F.regexp_extract(x, shape, 1), F.coalesce(F.regexp_extract(x, shape, 2).try_cast("int"), F.lit(0))
+        guid_ = F.nullif(F.regexp_extract(dn, r"(?i)cn=\{([0-9a-f-]+)\}", 1), F.lit(""))
+        return F.struct(dn.alias("distinguished_name"), guid_.alias("guid"), options.alias("options"), (options.bitwiseAND(1) == 0).alias("enabled"), (options.bitwiseAND(2) != 0).alias("enforced"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), link)
+
+
+def diagnostic_code(text: Column, kind: str = "Unknown") -> Column:
+    """(value, hex, facility, failure, win32, outcome, symbol) of a 32-bit number read as Win32, HResult, WindowsInstaller, ProcessExit or Unknown.
+
+    Signed and unsigned decimals and 0x-hexadecimals are read; what a number means comes
+    from its declared family only. All but outcome are null where there is none.
+    """
+    given = F.lower(F.trim(text))
+    number = F.when(given.rlike(r"^0x[0-9a-f]{1,8}$"), F.conv(F.substring(given, 3, 8), 16, 10).cast("long")).when(given.rlike(r"^[+-]?\d{1,10}$"), given.cast("long"))
+    value = F.when(number.between(0, 0xFFFFFFFF), number).when(number.between(-0x80000000, -1), number + 0x100000000)
+    none = lambda t: F.lit(None).cast(t)
+    h = kind == "HResult"
+    failed = value >= 0x80000000
+    inner = F.when(F.shiftrightunsigned(value, 16) == 0x8007, value.bitwiseAND(F.lit(0xFFFF).cast("long")))
+    if h:
+        outcome = F.when(failed, "Failure").when(value.isNotNull(), "Success")
+        symbol = F.coalesce(name_of(value, HRESULT_NAMES), F.when(inner != 0, F.concat(F.lit("HRESULT_FROM_WIN32("), name_of(inner, WIN32_NAMES), F.lit(")"))))
+    elif kind in ("Win32", "WindowsInstaller"):
+        outcome = F.when(value == 0, "Success").when(value.isNotNull(), "Failure")
+        if kind == "WindowsInstaller":
+            outcome = F.when(value == 1641, "SuccessRestartInitiated").when(value == 3010, "SuccessRestartRequired").otherwise(outcome)
+        symbol = name_of(value, WIN32_NAMES if kind == "Win32" else INSTALLER_NAMES)
+    elif kind in ("Unknown", "ProcessExit"):
+        outcome = symbol = none("string")
+    else:
+        raise ValueError(f"no family {kind!r}")
+    return F.struct(
+        value.alias("value"), F.concat(F.lit("0x"), F.lpad(F.hex(value), 8, "0")).alias("hex"), (F.shiftrightunsigned(value, 16).bitwiseAND(F.lit(0x1FFF).cast("long")).cast("int") if h else none("int")).alias("facility"),
+        (failed if h else none("boolean")).alias("failure"), (inner if h else none("bigint")).alias("win32"), F.coalesce(outcome, F.lit("Unknown")).alias("outcome"), symbol.alias("symbol"),
+    )

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolith.operators.predicates import compile_predicate, guaranteed
+from chronolith.operators.predicates import compile_predicate, compile_with_error, guaranteed
 from chronolith.operators.rules import Pack, Rule, Selector, Suppression
 from chronolith.schema import resolve
 
@@ -278,6 +279,61 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     return out.unionByName(fired).unionByName(lacking).select(*columns)
 
 
+def _failure_times(rows: DataFrame, rules: Sequence[Rule]) -> dict[str, tuple[datetime, str]]:
+    """For each rule whose predicates fail on a row: (time, identity) of the first such row. One aggregate over the rows."""
+    failing = {}
+    for r in (r for r in rules if r.enabled):
+        errors = [compile_with_error(s.predicate, rows)[1] for s in (r.selector, *r.steps) if s.predicate is not None]
+        if errors:
+            applies = reduce(lambda a, b: a | b, [selector_column(rows, replace(s, predicate=None)) for s in (r.steps or (r.selector,))])
+            failing[r.rule_id] = applies & _false(reduce(lambda a, b: a | b, errors))
+    if not failing:
+        return {}
+    order = F.struct("time_created", F.col("observation_identity").alias("identity"))
+    first = rows.agg(*[F.min(F.when(c, order)).alias(f"r{i}") for i, c in enumerate(failing.values())]).first()
+    return {rule_id: tuple(first[i]) for i, rule_id in enumerate(failing) if first[i] is not None}
+
+
+def evaluate_isolated(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), until: datetime | None = None) -> DataFrame:
+    """``evaluate``, but a rule whose predicate cannot be evaluated on a row is off from that time on, with one Error finding; others go on."""
+    broken = _failure_times(rows, rules)
+    sound = [r for r in rules if r.rule_id not in broken]
+    parts = [evaluate(rows, sound, suppressions, until)] if sound else []
+    for r in rules:
+        if r.rule_id in broken:
+            at, identity = broken[r.rule_id]
+            parts.append(evaluate(rows.where(F.col("time_created") < F.lit(at)), [r], suppressions, min(at, until) if until else at))
+            error = [(r.rule_id, None, "Error", at, [identity])]
+            parts.append(rows.sparkSession.createDataFrame(error, "rule_id string, group_value string, status string, event_time timestamp, evidence array<string>"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: The rule id of the finding that says that a run passed its bounds.
+BOUNDS_RULE = "ENGINE-BOUNDS"
+
+
+def bounds(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), max_groups: int = 25_000, max_observations: int = 1_000_000, max_candidates: int = 10_000) -> DataFrame:
+    """(bound, value, allowed): what a run would hold beyond a stated bound; empty if it keeps all. Nothing is cut.
+
+    Groups count over stateful rules, observations over rows, and candidates are the most
+    rules that one row matches.
+    """
+    hits = matches(rows, rules, suppressions)
+    stateful = [r.rule_id for r in rules if r.enabled and r.kind != "Stateless"]
+    groups = hits.where(F.col("rule_id").isin(stateful) & F.col("missing").isNull()).select("rule_id", "group_value").distinct().agg(F.lit("groups").alias("bound"), F.count(F.lit(1)).alias("value"), F.lit(max_groups).cast("long").alias("allowed"))
+    seen = rows.agg(F.lit("observations").alias("bound"), F.count(F.lit(1)).alias("value"), F.lit(max_observations).cast("long").alias("allowed"))
+    most = hits.groupBy("identity").agg(F.count(F.lit(1)).alias("n")).agg(F.lit("candidates").alias("bound"), F.coalesce(F.max("n"), F.lit(0)).alias("value"), F.lit(max_candidates).cast("long").alias("allowed"))
+    return groups.unionByName(seen).unionByName(most).where("value > allowed")
+
+
+def evaluate_bounded(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), until: datetime | None = None, **limits: int) -> DataFrame:
+    """``evaluate`` where a run keeps its bounds; else a single Incomplete finding of ENGINE-BOUNDS, never a part of the findings."""
+    passed = [r["bound"] for r in bounds(rows, rules, suppressions, **limits).collect()]  # three rows at most
+    if not passed:
+        return evaluate(rows, rules, suppressions, until)
+    return rows.sparkSession.createDataFrame([(BOUNDS_RULE, None, "Incomplete", None, sorted(passed))], "rule_id string, group_value string, status string, event_time timestamp, evidence array<string>")
+
+
 def explain(rows: DataFrame, rule: Rule, suppressions: Sequence[Suppression] = ()) -> DataFrame:
     """For each row which conditions of a rule hold."""
     s = rule.selector

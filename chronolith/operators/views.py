@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.predicates import Predicate, all_of, any_of, compare
+from chronolith.functions import decode, text
+from chronolith.operators.predicates import Predicate, all_of, any_of, compare, compile_predicate
 from chronolith.schema import payload
 
 _SEC, _SYS, _APP = "Security", "System", "Application"
@@ -185,7 +186,7 @@ def _condition(name: str) -> Column:
     if name == "ADOrganizationalUnitChangeDetailed":
         return _is("ObjectClass", "organizationalUnit") & (attribute != "GPLINK")
     if name == "ADOtherChangeDetailed":
-        return payload("ObjectClass").isNotNull() & ~_is("ObjectClass", "user", "computer", "organizationalUnit", "group", "groupPolicyContainer")
+        return payload("ObjectClass").isNotNull() & ~_is("ObjectClass", "user", "computer", "organizationalUnit", "group")
     if name == "ADGroupPolicyChanges":
         return _is("ObjectClass", "groupPolicyContainer", "container")
     if name == "ADGroupPolicyEdits":
@@ -193,7 +194,7 @@ def _condition(name: str) -> Column:
     if name == "ADGroupPolicyLinks":
         return _is("ObjectClass", "domainDNS", "organizationalUnit", "site") & (attribute == "GPLINK")
     if name == "GroupPolicyDirectoryAudit":
-        return _is("ObjectClass", "groupPolicyContainer", "msWMI-Som") | (attribute == "GPLINK")
+        return _is("ObjectClass", "groupPolicyContainer", "msWMI-Som") | attribute.isin("GPLINK", "GPOPTIONS", "GPCWQLFILTER")
     if name == "ADGroupChange":
         return ~F.coalesce(F.upper(payload("SubjectUserName")).contains("ANONYMOUS"), F.lit(False))
     if name == "ADUserLogonNTLMv1":
@@ -201,8 +202,8 @@ def _condition(name: str) -> Column:
     if name == "FileSystemError":
         return (F.col("event_id") == 55) | (payload("CorruptionActionState").try_cast("int") > 0)
     if name == "NetworkMonitorDriverLoaded":
-        evidence = F.lower(F.concat_ws(" ", payload("ServiceName"), payload("param1"), payload("ImagePath")))
-        return evidence.rlike("npcap|npf|nmnt|netmon|pktmon|ndiscap|winpcap")
+        said = lambda c: F.when(c != "", c)
+        return F.coalesce(said(payload("ServiceName")), said(payload("param1")), F.col("message")).rlike("(?i)npcap|npf|netmon")
     return F.lit(True)
 
 
@@ -252,6 +253,80 @@ def typed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.where(F.col("event_id").isin(ids)).withColumn("type", type_).where(F.col("type").isNotNull())
 
 
+def _fields(name: str) -> dict[str, Column]:
+    """The columns that a view has of its own, by what its events carry."""
+    v, code = payload, lambda key: decode.integer(payload(key))
+    ids = set(VIEWS[name].event_ids)
+    moved = F.col("event_id") == 5139
+    if name == "ADGroupPolicyLinks":
+        links = decode.policy_links(v("AttributeValue"))
+        return {"operation": decode.operation(v("OperationType")), "domain_name": v("DSName"), "linked_to_type": v("ObjectClass"), "linked_to": v("ObjectDN"), "links": links}
+    if ids & {5136, 5137, 5139, 5141}:
+        return {
+            "object_class": v("ObjectClass"), "object_guid": decode.guid(v("ObjectGUID")), "operation": F.coalesce(decode.operation(v("OperationType")), v("OperationType")),
+            "object": F.when(moved, F.coalesce(v("OldObjectDN"), v("ObjectDN"))).otherwise(v("ObjectDN")), "field_changed": v("AttributeLDAPDisplayName"),
+            "field_value": F.when(moved, F.coalesce(v("NewObjectDN"), v("AttributeValue"))).otherwise(v("AttributeValue")), "operation_correlation": v("OpCorrelationID"),
+        }
+    if ids & {4768, 4769, 4770, 4771, 4772}:
+        return {
+            "service": v("ServiceName"), "ip_address": text.normalize_ip(v("IpAddress")), "ip_port": v("IpPort").try_cast("int"), "ticket_options": decode.flags(code("TicketOptions"), decode.TICKET_OPTIONS), "status": v("Status"),
+            "encryption_type": decode.name_of(code("TicketEncryptionType"), decode.ENCRYPTION_TYPES), "session_key_encryption_type": decode.name_of(code("SessionKeyEncryptionType"), decode.ENCRYPTION_TYPES),
+            "pre_auth_type": decode.name_of(code("PreAuthType"), decode.PRE_AUTH_TYPES), "account_supports_aes": decode.supports_aes(code("AccountSupportedEncryptionTypes")), "account_supports_rc4": decode.supports_rc4(code("AccountSupportedEncryptionTypes")),
+            "weak_encryption": decode.weak_encryption(code("TicketEncryptionType")), "weak_session_key_encryption": decode.weak_encryption(code("SessionKeyEncryptionType")),
+        }
+    if ids & {4624, 4625}:
+        return {
+            "logon_type": decode.name_of(code("LogonType"), decode.LOGON_TYPES), "logon_id": v("TargetLogonId"), "ip_address": text.normalize_ip(v("IpAddress")), "ip_port": v("IpPort").try_cast("int"), "workstation": v("WorkstationName"),
+            "process": v("ProcessName"), "package": v("AuthenticationPackageName"), "lm_package": v("LmPackageName"), "status": decode.name_of(code("Status"), decode.STATUS_CODES), "sub_status": decode.name_of(code("SubStatus"), decode.STATUS_CODES),
+        }
+    if name == "ADLdapBindingSummary":
+        return {"simple_binds_without_tls": v("NoNameA0").try_cast("int"), "negotiate_binds_without_signing": v("NoNameA1").try_cast("int")}
+    if name.startswith("ADUser") or name.startswith("ADComputer"):
+        return {"sam_account": v("SamAccountName"), "display_name": v("DisplayName"), "old_flags": decode.flags(code("OldUacValue")), "new_flags": decode.flags(code("NewUacValue")), "privileges": text.distinct_values(v("PrivilegeList"))}
+    if name.startswith("ADGroup"):
+        return {"member": v("MemberName"), "member_sid": v("MemberSid"), "sam_account": v("SamAccountName"), "group_type": v("GroupTypeChange")}
+    if name.startswith("ScheduledTask"):
+        return {"task_name": v("TaskName"), "task_content": F.coalesce(v("TaskContentNew"), v("TaskContent"))}
+    if name.startswith("Firewall"):
+        return {"rule_id": v("RuleId"), "rule_name": v("RuleName"), "profile": v("ProfileChanged")}
+    if name.startswith("Defender"):
+        return {"threat": v("Threat Name"), "severity": v("Severity Name"), "category": v("Category Name"), "path": v("Path"), "action_taken": v("Action Name"), "old_value": v("Old Value"), "new_value": v("New Value")}
+    return {}
+
+
+def projected(rows: DataFrame, name: str) -> DataFrame:
+    """A leaf view with its columns: computer, action, who, account, time, record_id, those of its own, and the payload as details."""
+    own = {k: c.alias(k) for k, c in _fields(name).items()}
+    shared = {
+        "computer": F.col("source_computer"), "action": text.message_subject(F.col("message")), "who": text.compose_account(payload("SubjectDomainName"), payload("SubjectUserName")),
+        "account": text.compose_account(payload("TargetDomainName"), payload("TargetUserName")), "time": F.col("time_created"),
+    }
+    return typed(rows, [name]).select("record_id", *[c.alias(k) for k, c in shared.items()], *own.values(), F.col("values").alias("details"))
+
+
+#: What presets ask of payloads beyond their own keys, by the types that have it.
+_DERIVED = (
+    (("KerberosTGTRequest", "KerberosServiceTicket"), "WeakEncryptionAlgorithm", lambda: decode.weak_encryption(decode.integer(payload("TicketEncryptionType"))).cast("string")),
+    (("KerberosTGTRequest", "KerberosServiceTicket"), "WeakSessionKeyEncryptionAlgorithm", lambda: decode.weak_encryption(decode.integer(payload("SessionKeyEncryptionType"))).cast("string")),
+    (("ADLdapBindingSummary",), "SimpleBindsWithoutTls", lambda: payload("NoNameA0")),
+    (("ADLdapBindingSummary",), "NegotiateBindsWithoutSigning", lambda: payload("NoNameA1")),
+)
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """``rows`` with the derived payload entries of their types; entries of the same name are replaced."""
+    made = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col("type").isin(*types), F.struct(F.lit(k).alias("key"), c().alias("value"))) for types, k, c in _DERIVED])))
+    own = F.map_filter(F.coalesce("values", F.create_map().cast("map<string,string>")), lambda k, _: ~F.exists(F.map_keys(made), lambda m: F.lower(m) == F.lower(k)))
+    return rows.withColumn("values", F.map_concat(own, made))
+
+
+def preset(rows: DataFrame, name: str) -> DataFrame:
+    """The rows that a monitoring preset asks for."""
+    names, condition = PRESETS[name]
+    found = derived(typed(rows, names))
+    return found if condition is None else found.where(compile_predicate(condition, found))
+
+
 def register(rows: DataFrame) -> None:
     """A temporary SQL view for each leaf and composite."""
     for name in (*VIEWS, *COMPOSITES):
@@ -290,8 +365,6 @@ class DefinedField:
 
 def defined(rows: DataFrame, log: str, event_ids: Sequence[int], fields: Sequence[DefinedField]) -> DataFrame:
     """A user-defined view. A value that cannot be read as its kind fails the query."""
-    from chronolith.functions.text import key_value_lines
-
     names = [f.name.lower() for f in fields]
     if len(set(names)) != len(names):
         raise ValueError("field names must differ")
@@ -299,7 +372,7 @@ def defined(rows: DataFrame, log: str, event_ids: Sequence[int], fields: Sequenc
     for f in fields:
         value = {
             "Data": lambda f: payload(f.source), "Metadata": lambda f: F.col(f.source).cast("string"), "Message": lambda f: F.col("message"), "Constant": lambda f: F.lit(f.source),
-            "MessageData": lambda f: F.element_at(key_value_lines(F.col("message")), f.source),
+            "MessageData": lambda f: F.element_at(text.key_value_lines(F.col("message")), f.source),
         }[f.origin](f)
         made.append(F.coalesce(value, F.lit(f.default)).cast(f.kind).alias(f.name))
     take = [F.upper("source_log") == log.upper(), F.col("event_id").isin(list(event_ids))]

@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.functions import decode, text, times
+from chronolith.functions import decode, normalize, text, times
 from chronolith.operators import aggregate as agg
-from chronolith.operators import context, detect, occurrences, reports, rules, scan, timeline, views
+from chronolith.operators import context, detect, occurrences, policy, reports, rules, scan, timeline, views
 from chronolith.operators import predicates as p
 from chronolith.schema import canonical, from_app_events, observed, payload
 from chronolith.sources import files, store
@@ -399,6 +399,25 @@ def _(spark, d):
     return out.agg(F.count(F.lit(1)).alias("needed"), F.count_if("observed").alias("seen"))
 
 
+@query("detect_isolated", _EVENTS + "SELECT 'good' AS rule_id, 'Matched' AS status, record_id FROM c WHERE type = 'error' UNION ALL SELECT 'bad', 'Error', arg_min(record_id, time_created) FROM c WHERE type = 'view'")
+def _(spark, d):
+    made = [rules.Rule("good", selector=rules.Selector(types=("error",))), rules.Rule("bad", selector=rules.Selector(types=("view",), predicate=p.compare("type", "GreaterThan", 5)))]
+    return detect.evaluate_isolated(identified(spark, d), made).select("rule_id", "status", F.get("evidence", F.lit(0)).cast("long").alias("record_id"))
+
+
+@query("detect_bounds", "SELECT * FROM (SELECT 'groups' AS bound, count(DISTINCT user_id) AS value, 10::BIGINT AS allowed FROM events WHERE event_type = 'error' UNION ALL SELECT 'observations', count(*), 100 FROM events) WHERE value > allowed")
+def _(spark, d):
+    return detect.bounds(identified(spark, d), [_ERRORS], max_groups=10, max_observations=100)
+
+
+@query("detect_stored", _EVENTS + "SELECT record_id FROM c WHERE type = 'error' AND value > 50 AND time_created >= TIMESTAMP '2024-01-05'")
+def _(spark, d):
+    made = store.Store(spark, _folder(spark, "detect"))
+    made.write(identified(spark, d))
+    found = made.detect([rules.Rule("bad", selector=rules.Selector(types=("error",), predicate=p.Field("value") > 50))], start=datetime(2024, 1, 5))
+    return found.select(F.get("evidence", F.lit(0)).cast("long").alias("record_id"))
+
+
 _WINDOWS_LOG = {"click": 4624, "error": 4625, "purchase": 4740, "signup": 4720, "view": 4771}
 
 
@@ -421,6 +440,30 @@ def _(spark, d):
     return views.defined(windows_log(spark, d), "security", [4625], [f("logon_type", "Data", "logontype", "int"), f("account", "Data", "TargetUserName"), f("tag", "Constant", "x")]).select("record_id", "logon_type", "account", "tag")
 
 
+@query("view_columns", """SELECT event_id AS record_id, 'DOM\\user' || user_id AS account, CASE event_id % 4 WHEN 0 THEN 'System' WHEN 2 THEN 'Interactive' WHEN 3 THEN 'Network' END AS logon_type, CASE WHEN event_id % 3 = 0 THEN '-' ELSE '10.0.0.1' END AS ip_address FROM events WHERE event_type = 'error'""")
+def _(spark, d):
+    return views.projected(windows_log(spark, d), "ADUserLogonFailed").select("record_id", "account", "logon_type", "ip_address")
+
+
+def policy_log(spark, d):
+    """The application events dressed as changes of one policy a user: a sign-up names it, an error deletes it, the rest edit it."""
+    rows = events(spark, d)
+    name = F.col("type") == "signup"
+    guid = F.concat(F.lit("{00000000-0000-0000-0000-"), F.lpad("source_computer", 12, "0"), F.lit("}"))
+    values = F.create_map(
+        F.lit("ObjectClass"), F.lit("groupPolicyContainer"), F.lit("ObjectDN"), F.concat(F.lit("CN="), guid, F.lit(",CN=Policies,CN=System,DC=x")), F.lit("AttributeLDAPDisplayName"), F.when(name, "displayName").otherwise("versionNumber"),
+        F.lit("AttributeValue"), F.concat(F.lit("n"), "record_id"), F.lit("OperationType"), F.lit("%%14674"),
+    )
+    return canonical(rows.withColumn("event_id", F.when(F.col("type") == "error", 5141).otherwise(5136)).withColumn("provider", F.lit("Microsoft-Windows-Security-Auditing")).withColumn("source_log", F.lit("Security")).withColumn("values", values))
+
+
+@query("policy_audit", """WITH s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM events),
+n AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN 'n' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id, coalesce(life, 0) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS name, max(ts) OVER (PARTITION BY user_id) AS newest FROM s)
+SELECT event_id AS record_id, CASE WHEN event_type = 'error' THEN 'Deleted' ELSE 'Modified' END AS kind, CASE WHEN event_type = 'error' THEN 'Deleted' WHEN ts = newest THEN 'Current' ELSE 'Historical' END AS policy_status, name AS policy_name FROM n""")
+def _(spark, d):
+    return policy.audit(policy_log(spark, d)).select("record_id", "kind", "policy_status", "policy_name")
+
+
 @query("report_statistics", _EVENTS + "SELECT 'event_id' AS dimension, CAST(event_id AS VARCHAR) AS value, count(*) AS count FROM c GROUP BY 2 UNION ALL SELECT 'provider', 'app', count(*) FROM c UNION ALL SELECT 'computer', source_computer, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'level', CASE WHEN type = 'error' THEN 'Error' ELSE 'Information' END, count(*) FROM c GROUP BY 2")
 def _(spark, d):
     return reports.statistics(events(spark, d))
@@ -492,6 +535,26 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", found["Name"].alias("name"), F.trim(F.translate(found["Nation"], "\t", "")).alias("nation"))
 
 
+@query("fn_normalized", """SELECT c_custkey, 'Name' AS field, c_name AS display, 'Text' AS kind, 'Unchanged' AS outcome FROM customer UNION ALL SELECT c_custkey, 'MemberSid', 'S-1-5-' || c_custkey, 'SecurityIdentifier', 'Normalized' FROM customer
+UNION ALL SELECT c_custkey, 'SPN', 'a, b' || c_nationkey, 'MultiValue', 'Normalized' FROM customer UNION ALL SELECT c_custkey, 'RowGuid', 'x', 'Guid', 'Malformed' FROM customer UNION ALL SELECT c_custkey, 'OperationType', 'Value Deleted', 'DirectoryOperation', 'Normalized' FROM customer""")
+def _(spark, d):
+    values = F.create_map(F.lit("Name"), F.col("c_name"), F.lit("MemberSid"), F.concat(F.lit("s-1-5-"), "c_custkey"), F.lit("SPN"), F.concat(F.lit("b"), "c_nationkey", F.lit(";a;A")), F.lit("RowGuid"), F.lit("x"), F.lit("OperationType"), F.lit("%%14675"))
+    n = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.explode(normalize.normalized_values(values, F.lit("x"))).alias("field", "n"))
+    return n.select("c_custkey", "field", "n.display", "n.kind", "n.outcome")
+
+
+@query("fn_diagnostic_code", "SELECT p_partkey, printf('0x8007%04X', p_size) AS hex, 7 AS facility, p_size::BIGINT AS win32, 'Failure' AS outcome, CASE p_size WHEN 2 THEN 'HRESULT_FROM_WIN32(ERROR_FILE_NOT_FOUND)' WHEN 3 THEN 'HRESULT_FROM_WIN32(ERROR_PATH_NOT_FOUND)' WHEN 5 THEN 'HRESULT_FROM_WIN32(ERROR_ACCESS_DENIED)' WHEN 32 THEN 'HRESULT_FROM_WIN32(ERROR_SHARING_VIOLATION)' END AS symbol FROM part")
+def _(spark, d):
+    code = decode.diagnostic_code((F.lit(0x80070000 - (1 << 32)) + F.col("p_size")).cast("string"), "HResult")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", code.alias("c")).select("p_partkey", "c.hex", "c.facility", "c.win32", "c.outcome", "c.symbol")
+
+
+@query("fn_policy_links", "SELECT s_suppkey, 'cn={' || s_suppkey || '},dc=x' AS distinguished_name, CAST(s_suppkey AS VARCHAR) AS guid, s_suppkey % 4 & 1 = 0 AS enabled, s_suppkey % 4 & 2 <> 0 AS enforced FROM supplier")
+def _(spark, d):
+    link = F.concat(F.lit("[LDAP://cn={"), "s_suppkey", F.lit("},dc=x;"), F.col("s_suppkey") % 4, F.lit("]"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.inline(decode.policy_links(link))).drop("options")
+
+
 @query("fn_kinds", "SELECT 1 AS n, 'Guid' AS kind UNION ALL SELECT 2, 'SecurityIdentifier' UNION ALL SELECT 3, 'DistinguishedName' UNION ALL SELECT 4, 'ObjectIdentifier' UNION ALL SELECT 5, 'ResourceIdentifier' UNION ALL SELECT 6, 'MultiValue' UNION ALL SELECT 7, 'Text' UNION ALL SELECT 8, 'Unknown'")
 def _(spark, d):
     shown = [(1, "{6F9619FF-8B86-D011-B42D-00C04FC964FF}"), (2, "S-1-5-21-1-2-3-500"), (3, "CN=a, DC=b"), (4, "1.2.840.113556"), (5, "%%14674"), (6, "a;b"), (7, "plain"), (8, None)]

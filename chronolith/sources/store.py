@@ -6,14 +6,18 @@ nothing. Checkpoints are rows of their own and move by compare-and-set.
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.operators import detect
 from chronolith.operators.predicates import Predicate, compile_predicate
+from chronolith.operators.rules import Rule, Suppression
 
 _IDENTITY = ["type", "source_computer", "source_log", "provider", "event_id", "record_id", "time_created", "message"]
 
@@ -82,6 +86,35 @@ class Store:
         staged = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pruned")
         staged.getFileSystem(conf).delete(staged, True)
 
+    def detect(self, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Findings over stored rows; the ids or types that the rules allow, and the days, are filters of the scan."""
+        rows = self.read(start=start, end=end)
+        known = rows.withColumn("observation_identity", F.coalesce("observation_identity", "event_key"))
+        return detect.evaluate(known.where(detect.prefilter(known, rules)), rules, suppressions, end)
+
+    def define(self, name: str, fields: dict[str, str]) -> dict[str, str]:
+        """Merges a definition's fields (name to Spark type) into those stored under its name; a changed type is an error.
+
+        Field names go without case. Each version is a row with its hash; the same fields add none.
+        """
+        now = self.definition(name)
+        had = {k.lower(): t for k, t in now.items()}
+        clash = [k for k, t in fields.items() if had.get(k.lower(), t) != t]
+        if clash:
+            raise ValueError(f"definition {name!r}: other types for {clash}")
+        merged = {**now, **{k: t for k, t in fields.items() if k.lower() not in had}}
+        if merged != now:
+            shown = json.dumps(merged, sort_keys=True)
+            row = (name, len(merged), shown, hashlib.sha256(shown.encode()).hexdigest())
+            self.spark.createDataFrame([row], "name string, version int, fields string, hash string").coalesce(1).write.mode("append").parquet(f"{self.path}/definitions")
+        return merged
+
+    def definition(self, name: str) -> dict[str, str]:
+        """The fields stored under a name; none if it is unknown. Fields are only added, so the version with most is the last."""
+        rows = self._table("definitions")
+        last = None if rows is None else rows.where(F.lower("name") == name.lower()).orderBy(F.col("version").desc()).first()
+        return json.loads(last["fields"]) if last else {}
+
     def write_findings(self, findings: DataFrame) -> None:
         """Adds findings; one is known by its rule, group, time and evidence."""
         key = F.sha2(F.to_json(F.struct("rule_id", "group_value", "status", "event_time", "evidence")), 256)

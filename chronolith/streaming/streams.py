@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.functions.times import calendar_start
 from chronolith.operators.detect import MACHINES, Absence, matches
-from chronolith.operators.rules import Rule
+from chronolith.operators.rules import Rule, plan_hash
 from chronolith.sources.store import Store
 
 
@@ -97,6 +97,19 @@ def rule_findings(rows: DataFrame, rule: Rule, delay: str = "10 minutes") -> Dat
     return hits.groupBy("rule_id", "group_value").applyInPandasWithState(step, _FINDING, "machine binary, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def replay(rows: DataFrame, rule: Rule, store: Store, name: str, checkpoint: str, delay: str = "10 minutes", **trigger) -> StreamingQuery:
+    """Feeds a stream to a rule and its findings to the store; it goes on from its checkpoint as long as the rule is the same.
+
+    The store's checkpoint ``name`` holds the plan's hash. State made by another plan would
+    give findings of neither, so a changed rule is an error until a new name is taken.
+    """
+    bound = plan_hash([rule])
+    if not store.move_checkpoint(name, None, bound) and store.checkpoint(name) != bound:
+        raise ValueError(f"checkpoint {name!r} belongs to another plan")
+    found = rule_findings(rows, rule, delay).select("rule_id", "group_value", F.lit("Matched").alias("status"), F.timestamp_micros("event_us").alias("event_time"), "evidence")
+    return found.writeStream.foreachBatch(lambda df, _: store.write_findings(df)).option("checkpointLocation", f"{checkpoint}/{bound[:16]}").trigger(**trigger).start()
+
+
 class Watchers:
     """Named streaming queries that are started, listed and stopped together."""
 

@@ -1,6 +1,8 @@
 import time
+from dataclasses import replace
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import detect, rules
@@ -37,6 +39,18 @@ def test_threshold_stream_equals_batch(spark, tmp_path):
     assert sorted(tuple(r["evidence"]) for r in got.collect()) == sorted(tuple(r["evidence"]) for r in batch.collect()) == [("1", "2", "3"), ("5", "6", "7")]
 
 
+def test_replay_goes_on_and_refuses_another_plan(spark, tmp_path):
+    rule = rules.Rule("t", kind="Threshold", selector=rules.Selector(types=("a",)), threshold=2, window_seconds=10, group_by="g")
+    store = Store(spark, f"file://{tmp_path}/s")
+    src = feed(spark, tmp_path, [[("1", 0, "x")]])
+    streams.replay(src, rule, store, "r", f"{tmp_path}/c", availableNow=True).awaitTermination()
+    src = feed(spark, tmp_path, [[("2", 5, "x")]])
+    streams.replay(src, rule, store, "r", f"{tmp_path}/c", availableNow=True).awaitTermination()
+    assert [r["evidence"] for r in store.findings().collect()] == [["1", "2"]]
+    with pytest.raises(ValueError):
+        streams.replay(src, replace(rule, threshold=3), store, "r", f"{tmp_path}/c", availableNow=True)
+
+
 def test_absence_stream_fires_when_the_watermark_passes(spark, tmp_path):
     batches = [[("1", 0, "x"), ("2", 3, "y")], [("3", 5, "x")], [("4", 5000, "z")], [("5", 9000, "z")]]
     src = feed(spark, tmp_path, batches).withColumn("type", F.when(F.col("record_id") == 3, "b").when(F.col("record_id") > 3, "c").otherwise("a"))
