@@ -54,6 +54,34 @@ STATUS_CODES = (
 #: Answers and impersonation levels by resource identifier.
 YES_NO = (("%%1842", "Yes"), ("%%1843", "No"))
 IMPERSONATION_LEVELS = (("%%1831", "Anonymous"), ("%%1832", "Identification"), ("%%1833", "Impersonation"), ("%%1840", "Delegation"))
+#: Resource codes of a logon's failure and of a virtual account's answer.
+FAILURE_REASONS = ((0, "None"), (2304, "UnknownUserNameOrBadPassword"), (2305, "AccountRestrictions"), (2306, "AccountExpired"), (2307, "AccountLockedOut"), (2308, "PasswordExpired"), (2309, "LogonTypeNotGranted"))
+VIRTUAL_ACCOUNT = ((1843, "Yes"), (1844, "No"))
+#: Volume encryption protectors and volumes.
+PROTECTORS = ((2200, "Tpm"), (2201, "ExternalKey"), (2202, "NumericalPassword"), (2203, "TpmPin"), (2204, "TpmStartupKey"), (2205, "TpmPinAndStartupKey"), (2206, "Passphrase"), (2207, "RecoveryKey"))
+VOLUMES = ((810, "OperatingSystemVolume"), (811, "FixedDataVolume"), (812, "RemovableDataVolume"))
+#: Network access port types, from 0 on.
+PORT_TYPES = tuple(enumerate((
+    "Async", "Sync", "ISDN", "ISDNV120", "ISDNV110", "Virtual", "PIAFS", "HdlcClearChannel", "X25", "X75", "G3Fax", "SDSL", "ADSLCAP", "ADSLDMT", "IDSL", "Ethernet", "XDSL", "Cable", "WirelessOther", "WirelessIEEE80211", "TokenRing", "FDDI",
+    "WirelessCDMA", "WirelessCDPD", "WirelessIDEN", "Wireless1XEV", "IAPP", "FTTP",
+)))
+#: Hardware vendors by USB id.
+VENDORS = (("045E", "Microsoft"), ("046D", "Logitech"), ("0781", "SanDisk"), ("05AC", "Apple"), ("0BDA", "Realtek"))
+#: Privileges and logon rights by constant.
+PRIVILEGES = (
+    ("SeTrustedCredManAccessPrivilege", "Access Credential Manager as a trusted caller"), ("SeNetworkLogonRight", "Access this computer from the network"), ("SeTcbPrivilege", "Act as part of the operating system"),
+    ("SeMachineAccountPrivilege", "Add workstations to domain"), ("SeIncreaseQuotaPrivilege", "Adjust memory quotas for a process"), ("SeInteractiveLogonRight", "Allow log on locally"),
+    ("SeRemoteInteractiveLogonRight", "Allow log on through Remote Desktop Services"), ("SeBackupPrivilege", "Back up files and directories"), ("SeChangeNotifyPrivilege", "Bypass traverse checking"),
+    ("SeSystemtimePrivilege", "Change the system time"), ("SeTimeZonePrivilege", "Change the time zone"), ("SeCreatePagefilePrivilege", "Create a pagefile"), ("SeCreateTokenPrivilege", "Create a token object"),
+    ("SeCreateGlobalPrivilege", "Create global objects"), ("SeCreatePermanentPrivilege", "Create permanent shared objects"), ("SeCreateSymbolicLinkPrivilege", "Create symbolic links"), ("SeDebugPrivilege", "Debug programs"),
+    ("SeDenyNetworkLogonRight", "Deny access to this computer from the network"), ("SeDenyBatchLogonRight", "Deny log on as a batch job"), ("SeDenyServiceLogonRight", "Deny log on as a service"), ("SeDenyInteractiveLogonRight", "Deny log on locally"),
+    ("SeDenyRemoteInteractiveLogonRight", "Deny log on through Remote Desktop Services"), ("SeEnableDelegationPrivilege", "Enable computer and user accounts to be trusted for delegation"), ("SeRemoteShutdownPrivilege", "Force shutdown from a remote system"),
+    ("SeAuditPrivilege", "Generate security audits"), ("SeImpersonatePrivilege", "Impersonate a client after authentication"), ("SeIncreaseWorkingSetPrivilege", "Increase a process working set"), ("SeIncreaseBasePriorityPrivilege", "Increase scheduling priority"),
+    ("SeLoadDriverPrivilege", "Load and unload device drivers"), ("SeLockMemoryPrivilege", "Lock pages in memory"), ("SeBatchLogonRight", "Log on as a batch job"), ("SeServiceLogonRight", "Log on as a service"),
+    ("SeSecurityPrivilege", "Manage auditing and security log"), ("SeRelabelPrivilege", "Modify an object label"), ("SeSystemEnvironmentPrivilege", "Modify firmware environment values"), ("SeManageVolumePrivilege", "Perform volume maintenance tasks"),
+    ("SeProfileSingleProcessPrivilege", "Profile single process"), ("SeSystemProfilePrivilege", "Profile system performance"), ("SeUndockPrivilege", "Remove computer from docking station"), ("SeAssignPrimaryTokenPrivilege", "Replace a process level token"),
+    ("SeRestorePrivilege", "Restore files and directories"), ("SeShutdownPrivilege", "Shut down the system"), ("SeSyncAgentPrivilege", "Synchronize directory service data"), ("SeTakeOwnershipPrivilege", "Take ownership of files or other objects"),
+)
 #: Directory operations by resource identifier.
 OPERATIONS = (("%%14674", "Value Added"), ("%%14675", "Value Deleted"), ("%%14676", "Unknown"))
 #: Names of status codes by family.
@@ -138,10 +166,26 @@ def operation(text: Column) -> Column:
 
 
 def resource(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
-    """The name behind a resource identifier; null if the table has none."""
+    """The name behind a resource identifier or another text code; null if the table has none."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in table for x in pair]), F.trim(text))
 
 
+def privilege(constant: Column) -> Column:
+    """What a privilege or logon right allows; a constant that is unknown stays."""
+    return F.coalesce(resource(constant, PRIVILEGES), constant)
+
+
+def device_type(class_name: Column) -> Column:
+    """A plain name for a device class; a class without one stays."""
+    has = lambda *words: F.coalesce(F.upper(class_name).rlike("|".join(words)), F.lit(False))
+    return F.when(F.upper(class_name) == "DISKDRIVE", "Disk Drive").when(has("USB"), "USB Device").when(has("NETWORK"), "Network Adapter").when(has("IMAGE", "CAMERA"), "Imaging Device").otherwise(class_name)
+
+
+def vendor(device_id: Column) -> Column:
+    """The vendor of a device id with ``VID_xxxx``; null if it is unknown."""
+    return resource(F.upper(F.regexp_extract(device_id, "(?i)vid_([0-9a-f]{4})", 1)), VENDORS)
+
+
 def supports_aes(mask: Column) -> Column:
     """Whether a supported-encryption mask has AES; null without a mask."""
     return mask.cast("long").bitwiseAND(F.lit(AES_BITS)) != 0

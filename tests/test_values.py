@@ -71,6 +71,12 @@ def test_diagnostic_codes(spark, text, kind, expected):
     assert (d["outcome"], d["symbol"]) == expected
 
 
+def test_code_names(spark):
+    c = spark.createDataFrame([("SeTcbPrivilege", "SeNew", "Usb hub", "diskdrive", r"USB\\vid_046d&PID_1", 15)], "a string, b string, c string, d string, e string, f int")
+    got = c.select(decode.privilege(F.col("a")), decode.privilege(F.col("b")), decode.device_type(F.col("c")), decode.device_type(F.col("d")), decode.vendor(F.col("e")), decode.name_of(F.col("f"), decode.PORT_TYPES), decode.name_of(F.lit(2202), decode.PROTECTORS)).first()
+    assert tuple(got) == ("Act as part of the operating system", "SeNew", "USB Device", "Disk Drive", "Logitech", "Ethernet", "NumericalPassword")
+
+
 def test_policy_links(spark):
     text = "[LDAP://cn={E6422062-F0B5-4760-ABCC-4075DA2D4094},cn=policies;2][LDAP://x;1]"
     links = spark.createDataFrame([(text,)], "t string").select(decode.policy_links(F.col("t")).alias("x")).first()["x"]
