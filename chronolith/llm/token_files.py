@@ -2,16 +2,17 @@
 
 Documents are range-partitioned and sorted by doc_id, encoded with a tokenizers file, and
 gathered into shards of about ``shard_tokens`` ids. Within a shard frequent pairs of
-symbols are replaced by nonterminals again and again, a batch of the most frequent pairs
-a round; pairs never reach over a document's end, so each document stays a run of symbols
+symbols are replaced by nonterminals, a batch of the most frequent pairs a round, until no
+pair comes MIN_PAIRS times; pairs never reach over a document's end, so each document stays a run of symbols
 of its own. A shard keeps the rules, the expansion length of each rule, the symbols and a
 document table: any document, or any range of its ids, is decoded alone.
 
-A shard's bytes: ``RPID`` and version 1, then seven unsigned 32-bit numbers (bytes a
-symbol, vocabulary, rules, symbols, documents, 0, 0), then rules (pairs of 32-bit symbols),
+A shard's bytes: ``RPID`` and version 2, then seven unsigned 32-bit numbers (2, vocabulary,
+rules, symbols, documents, bits a symbol beyond 16, 0), then rules (pairs of 32-bit symbols),
 expansion lengths (64 bits), document ids (signed 64 bits), a byte a document that is 1
 where its id is null, ids of each document (64 bits), symbols of each document (64 bits),
-symbols; all little-endian. Shards are rows of a Parquet folder, so their writing is
+the low 16 bits of each symbol, then for each further bit, from the 17th on, that bit of all
+symbols, eight a byte, the first highest; all little-endian. Shards are rows of a Parquet folder, so their writing is
 committed with Spark's tasks.
 
 Defined cases: a null text is an empty one, only the end id; a null doc_id sorts first;
@@ -38,15 +39,15 @@ from pyspark.sql.window import Window
 
 from chronolith.llm.shared import kept, small_batches, texts
 
-#: Rounds of pair replacement, new rules in one round, and how often a pair must come to be worth one.
-ROUNDS, RULES_A_ROUND, MIN_PAIRS = 3, 5_000, 16
+#: Pairs tried in one round (and those as frequent as the last of them), and how often a pair must come to be worth a rule.
+RULES_A_ROUND, MIN_PAIRS = 2_500, 8
 #: Characters of text whose chunks a task makes distinct together.
 BATCH_CHARS = 24_000_000
 #: White space, or pairs of it, that a text must not hold to be cut into chunks; it may hold single spaces and newlines.
 UNSAFE = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Buckets in which a round counts pairs before it counts the frequent ones apart.
 BUCKETS = 1 << 18
-MAGIC = b"RPID\x01\x00\x00\x00"
+MAGIC = b"RPID\x02\x00\x00\x00"
 
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -153,49 +154,75 @@ def encoder_of(path: str) -> Encoder:
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules) for documents that end before ``ends``."""
-    room = (1 << 16) if vocabulary <= 1 << 16 else (1 << 31)
-    wide, shift, low = (np.uint32, 16, np.uint32(14)) if room == 1 << 16 else (np.uint64, 32, np.uint64(46))
-    over = np.iinfo(wide).max  # what stands for a pair over a document's end
+    """(symbols, symbols of each document, rules) for documents that end before ``ends``.
+
+    Of frequent pairs that overlap the more frequent one is replaced, whatever stands around
+    them, so copies of a passage are always cut alike. A pair found rare is not counted again
+    until a neighbour changes; a last count of all pairs ends the loop.
+    """
     last = np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
-    symbols, rules = ids.astype(wide), []
-    for _ in range(ROUNDS):
-        pair = (symbols[:-1] << wide(shift)) | symbols[1:]
-        pair[last[:-1]] = over
-        most = min(RULES_A_ROUND, room - vocabulary - len(rules))
-        if not len(pair) or most <= 0:
-            break
-        bucket = (pair * wide(0x9E3779B1) >> low).astype(np.int64)
-        held = np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
-        least = max(MIN_PAIRS, int(np.partition(held, -most)[-most]))  # a pair comes no more often than its bucket
-        ordered = np.sort(pair[held[bucket] >= least])
+    symbols, rules, rule_of = ids.astype(np.uint32), [], {}
+    at, whole, turn = np.flatnonzero(~last), True, 0
+    while True:
+        left, right = symbols[at], symbols[at + 1]
+        turn += 1
+        factor = np.uint32(0x9E3779B1 * (2 * turn + 1) & 0xFFFFFFFF)  # other buckets each round, so no clash lasts
+        bucket = ((left * factor ^ right) * np.uint32(0x85EBCA6B) >> np.uint32(14)).astype(np.intp)
+        often = np.flatnonzero((np.bincount(bucket, minlength=BUCKETS) >= MIN_PAIRS)[bucket])  # a pair comes no more often than its bucket
+        at, left, right, bucket = at[often], left[often], right[often], bucket[often]
+        pair = left.astype(np.uint64) << np.uint64(32) | right
+        free = np.ones(len(at), bool)  # of equal pairs that overlap in a row, every other one
+        twin = np.flatnonzero(left == right)
+        if len(twin):
+            begins = np.r_[True, np.diff(at[twin]) != 1]
+            free[twin] = (at[twin] - at[twin][np.maximum.accumulate(np.where(begins, np.arange(len(twin)), 0))]) % 2 == 0
+        ordered = np.sort(pair[free] if len(twin) else pair)
         start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.r_[start, len(ordered)])
-        often = np.flatnonzero((count >= MIN_PAIRS) & (ordered[start] != over))
-        if not len(often):
-            break
-        best = often[np.lexsort((ordered[start[often]], -count[often]))[:most]]
-        chosen = np.sort(ordered[start[best]])
-        rule_of = np.zeros(BUCKETS, np.int16)  # of chosen pairs in one bucket the last stays
-        rule_of[(chosen * wide(0x9E3779B1) >> low).astype(np.int64)] = np.arange(1, len(chosen) + 1)
-        at = rule_of[bucket]
-        where = np.flatnonzero(at)
-        which = at[where].astype(np.int64) - 1
-        hit = chosen[which] == pair[where]
-        where, which = where[hit], which[hit]
-        if not len(where):
-            break
-        begins = np.r_[True, np.diff(where) != 1]
-        begin = where[np.maximum.accumulate(np.where(begins, np.arange(len(where)), 0))]
-        free = (where - begin) % 2 == 0  # of pairs that overlap in a row, every other one
-        where, which = where[free], which[free]
-        symbols[where] = (vocabulary + len(rules) + which).astype(wide)
+        found = count >= MIN_PAIRS
+        chosen, count = ordered[start[found]], count[found]
+        if not len(chosen):
+            if whole:
+                break
+            at, whole = np.flatnonzero(~last), True
+            continue
+        if len(chosen) > RULES_A_ROUND:
+            held = count >= np.partition(count, -RULES_A_ROUND)[-RULES_A_ROUND]
+            chosen, count = chosen[held], count[held]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
+        mixed = (left * factor ^ right) * np.uint32(0x85EBCA6B)
+        best = np.lexsort((chosen, mixed, count))  # the most frequent last, so that it keeps its bucket
+        chosen = chosen[best]
+        rank_of = np.zeros(BUCKETS, np.int32)
+        rank_of[(mixed[best] >> np.uint32(14)).astype(np.intp)] = np.arange(1, len(chosen) + 1)
+        rank = rank_of[bucket]
+        hit = np.flatnonzero((rank > 0) & free)
+        hit = hit[chosen[rank[hit] - 1] == pair[hit]]
+        where, rank = at[hit], rank[hit] - 1
+        beside = np.diff(where) == 1
+        wins = np.ones(len(where), bool)
+        wins[1:] &= ~beside | (rank[1:] > rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] > rank[1:])
+        where, rank = where[wins], rank[wins]
+        worth = np.bincount(rank, minlength=len(chosen)) >= MIN_PAIRS
+        wins = worth[rank]
+        where, rank = where[wins], rank[wins]
+        name = np.zeros(len(chosen), np.uint32)
+        for k in np.flatnonzero(worth).tolist():
+            key = int(chosen[k])
+            if key not in rule_of:
+                rule_of[key] = vocabulary + len(rules)
+                rules.append((key >> 32, key & 0xFFFFFFFF))
+            name[k] = rule_of[key]
+        symbols[where] = name[rank]
         last[where] |= last[where + 1]
+        open_ = np.zeros(len(symbols), bool)
+        open_[at] = open_[where] = open_[np.maximum(where - 1, 0)] = True
         stay = np.ones(len(symbols), bool)
         stay[where + 1] = False
-        symbols, last = symbols[stay], last[stay]
-        rules += [(int(p) >> shift, int(p) & ((1 << shift) - 1)) for p in chosen]
+        symbols, last, open_ = symbols[stay], last[stay], open_[stay]
+        at, whole = np.flatnonzero(open_ & ~last), False
     each = np.diff(np.r_[0, np.flatnonzero(last) + 1])
     return symbols, each, np.array(rules, np.uint32).reshape(-1, 2)
 
@@ -207,9 +234,10 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], vocabulary: int) -> b
     lengths = [1] * vocabulary
     for a, b in rules.tolist():
         lengths.append(lengths[a] + lengths[b])
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    head = struct.pack("<7I", np.dtype(kind).itemsize, vocabulary, len(rules), len(symbols), len(ids), 0, 0)
-    parts = [rules.astype("<u4"), np.array(lengths[vocabulary:], "<u8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), sizes.astype("<u8"), each.astype("<u8"), symbols.astype(kind)]
+    high = max(0, (vocabulary + len(rules) - 1).bit_length() - 16)
+    planes = [np.packbits((symbols >> (16 + k) & 1).astype("u1")) for k in range(high)]
+    head = struct.pack("<7I", 2, vocabulary, len(rules), len(symbols), len(ids), high, 0)
+    parts = [rules.astype("<u4"), np.array(lengths[vocabulary:], "<u8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), sizes.astype("<u8"), each.astype("<u8"), (symbols & 0xFFFF).astype("<u2"), *planes]
     return MAGIC + head + b"".join(p.tobytes() for p in parts)
 
 
@@ -219,7 +247,7 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:8] != MAGIC:
             raise ValueError("not a token shard")
-        width, self.vocabulary, rules, symbols, docs, _, _ = struct.unpack_from("<7I", payload, 8)
+        _, self.vocabulary, rules, symbols, docs, high, _ = struct.unpack_from("<7I", payload, 8)
         at = 36
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -232,20 +260,25 @@ class Shard:
         lengths, ids, null = take("<u8", rules), take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if n else d for d, n in zip(ids.tolist(), null.tolist())]
         self.sizes, each = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
-        self.symbols = take("<u2" if width == 2 else "<u4", symbols)
+        self.symbols = take("<u2", symbols)
+        for k in range(high):
+            plane = np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols)
+            self.symbols = self.symbols.astype(np.uint32) | plane.astype(np.uint32) << np.uint32(16 + k)
         self.ends = np.cumsum(each)
         self.lengths = np.r_[np.ones(self.vocabulary, np.int64), lengths.astype(np.int64)]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
-        out = symbols.astype(np.uint32)
-        while len(rule := np.flatnonzero(out >= self.vocabulary)):
-            width = np.ones(len(out), np.int64)
-            width[rule] = 2
-            first = np.cumsum(width) - width
-            pairs = self.rules[out[rule] - self.vocabulary]
-            out = np.repeat(out, width)
-            out[first[rule]], out[first[rule] + 1] = pairs[:, 0], pairs[:, 1]
+        symbols = symbols.astype(np.int64)
+        lengths = self.lengths[symbols]
+        at = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        while len(symbols):
+            plain = symbols < self.vocabulary
+            out[at[plain]] = symbols[plain]
+            symbols, at = symbols[~plain], at[~plain]
+            pairs = self.rules[symbols - self.vocabulary].astype(np.int64)
+            symbols, at = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[at, at + self.lengths[pairs[:, 0]]]
         return out
 
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:

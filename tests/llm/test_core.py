@@ -72,6 +72,33 @@ def test_encoder_equals_the_library_and_shards_round_trip():
     assert zlib.crc32(shard.ids(0).astype("<u4").tobytes()) == zlib.crc32(np.array(gold[0] + [0], "<u4").tobytes())
 
 
+def test_shards_replace_pairs_until_none_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 50_000, 64)
+    docs = [np.r_[passage, rng.integers(1, 50_000, 5)].astype("<u2") for _ in range(2_000)]
+    docs += [np.array(x, "<u2") for x in ([7] * 5_001, [7], [1, 2, 1, 2, 1], [3] * 15)]
+    shard = token_files.Shard(token_files.pack(list(range(len(docs))), docs, 50_257))
+    assert len(shard.ids(0)) == 69 and shard.ends[0] == 6  # the passage is one symbol
+    assert all((shard.ids(i) == d).all() and (shard.ids(i, 3, 9) == d[3:9]).all() for i, d in enumerate(docs))
+    last = set((shard.ends - 1).tolist())
+    left: dict = {}
+    symbols, before = shard.symbols.tolist(), -2
+    for i, two in enumerate(zip(symbols, symbols[1:])):
+        if i in last or two[0] == two[1] and before == i - 1 and symbols[i - 1] == two[0]:
+            continue
+        before = i if two[0] == two[1] else -2
+        left[two] = left.get(two, 0) + 1
+    assert max(left.values()) < token_files.MIN_PAIRS == 8
+
+
+def test_shards_go_beyond_sixteen_bits():
+    pairs = np.arange(2_000).reshape(-1, 2)
+    docs = [np.array(p, "<u2") for p in pairs.tolist() * 8]
+    shard = token_files.Shard(token_files.pack(list(range(len(docs))), docs, 65_000))
+    assert len(shard.rules) == 1_000 and shard.symbols.max() == 65_999 and len(shard.symbols) == len(docs)
+    assert all((shard.ids(i) == d).all() for i, d in enumerate(docs))
+
+
 def test_html_keeps_the_article_and_nothing_else():
     page = (
         '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if(a<b){"</p>"}</script></head><body><header>Site</header>'
