@@ -148,7 +148,7 @@ class Store:
     def backup(self, target: str) -> dict[str, str]:
         """Copies every table and returns each one's count and hash."""
         out = {}
-        for name in ("events", "findings", "checkpoints"):
+        for name in ("events", "findings", "checkpoints", "definitions"):
             rows = self._table(name)
             if rows is not None:
                 (rows.write.partitionBy("day") if name == "events" else rows.write).mode("overwrite").parquet(f"{target}/{name}")

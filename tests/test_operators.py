@@ -174,6 +174,20 @@ def test_store(spark, tmp_path):
     assert s.findings("y").count() == 1 and s.findings("z").count() == 0
 
 
+def test_backup_holds_every_table(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.write(event_rows(spark, [(1, at(0), "a")], "record_id long, time_created timestamp, type string"))
+    s.write_findings(spark.createDataFrame([("r", "g", "Matched", at(0), ["x"])], "rule_id string, group_value string, status string, event_time timestamp, evidence array<string>"))
+    s.move_checkpoint("c", None, "1")
+    s.define("logon", {"User": "string"})
+    hashes = s.backup(f"file://{tmp_path}/b")
+    copy = store.Store(spark, f"file://{tmp_path}/b")
+    assert sorted(hashes) == ["checkpoints", "definitions", "events", "findings"] and copy.verify(hashes)
+    assert copy.definition("logon") == {"User": "string"} and copy.checkpoint("c") == "1"
+    s.define("logon", {"Ip": "string"})
+    assert not s.verify(hashes)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "e.xml").write_text('<Events><Event xmlns="u"><System><Provider Name="p"/><EventID Qualifiers="0">7</EventID><TimeCreated SystemTime="2024-01-01T00:00:01.5Z"/><EventRecordID>3</EventRecordID><Channel>L</Channel><Computer>c</Computer></System><EventData><Data Name="k">v</Data><Data></Data><Data>w</Data></EventData></Event></Events>')
     r = files.read_xml(spark, f"{tmp_path}/e.xml").first()
