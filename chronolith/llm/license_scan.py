@@ -2,8 +2,10 @@
 
 A text is brought to a canonical form: lower case, copyright lines dropped, every run of
 characters other than letters and digits made one space, equivalent spellings made one.
-Whole texts whose canonical digest is that of a known licence get its name. The table of
-known digests has a row for each text in ``LICENSES`` and is broadcast: its size is fixed.
+Whole texts whose canonical digest is that of a known licence get its name. Known are the
+texts of ``LICENSES`` and ``MORE``, the whole licences in ``license_texts`` and a table that
+the caller gives. Their digests are broadcast while they are at most MAX_BROADCAST; a larger
+table is joined by digest. A text given under several names has the first of them in order.
 
 Equivalent spellings replace one word by one word, so a text whose number of words is
 none of the known ones can match nothing, and the costly replacement is left out for it;
@@ -16,10 +18,16 @@ license_digest are replaced.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.shared import without
+from chronolith.llm.shared import kept, without
+
+#: Known texts up to which their digests are broadcast.
+MAX_BROADCAST = 20_000
 
 _PERMISSION = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -104,8 +112,40 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("https", "http"),
 )
 
+#: Known texts and notices beyond those that the SQL knows.
+MORE: tuple[tuple[str, str], ...] = (
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+)
+
+#: Where the terms of a whole licence end and advice to those who apply it begins; texts come with and without it.
+ADVICE = ("   APPENDIX: How to apply", "How to Apply These Terms", "Appendix: How to Apply", "ADDENDUM: How to use")
+
+_W = r"[\x20\x09\x0B\x0C\r]"
+_YEAR = r"(?:19|20)\d\d\b"
 #: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?im)^[\x20\x09\x0B\x0C\r]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = (
+    rf"(?im)^{_W}*(?:copyright{_W}*:?{_W}*(?:\(c\)|©|&copy;|{_YEAR}|by\b)[^\n]*|copyright\b(?!{_W}+(?:treaty|law|notice|holder|owner)s?\b)[^\n]*{_YEAR}[\x20\x09\r.]*|©[^\n]*|\(c\){_W}*(?:copyright\b|{_YEAR}|by\b)[^\n]*|\(c\)[^\n]*{_YEAR}[\x20\x09\r.]*"
+    rf"|(?<=\A{_W}{{0,40}}|\n{_W}{{0,40}}\n{_W}{{0,40}})copyright\b[^\n]*(?=\n{_W}*(?:\n|all rights reserved|copyright\b)|\n?\z)|all rights reserved[\x20\x09\x0B\x0C\r.!]*)$"
+)
+#: The pattern of the SQL, which drops every line that begins so.
+SQL_COPYRIGHT_LINE = r"(?im)^[\x20\x09\x0B\x0C\r]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the whole licences, with and without the advice behind their terms."""
+    out = []
+    for file in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        ends = [at for a in ADVICE if (at := text.rfind(a)) > 0]
+        forms = [text, *[text[:at] for at in ends]]
+        forms += [re.sub(r"(?i)all rights reserved\.", "", t) for t in forms if re.search(r"(?i)all rights reserved\.", t)]  # a wrap can put it on a line of its own
+        out += [(file.stem, t) for t in forms]
+    return out
 
 
 def plain(text: Column) -> Column:
@@ -119,21 +159,32 @@ def spelled(words: Column) -> Column:
     return F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(license_id, license_digest, words), a row for each known text."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in LICENSES])
-    table = spark.range(1).select(F.inline(rows)).withColumn("plain", plain(F.col("text")))
-    return table.select("license_id", F.md5(spelled(F.col("plain"))).alias("license_digest"), F.size(F.split("plain", " ")).alias("words")).distinct()
+def known_digests(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
+    """(license_id, license_digest, words), a row for each known text; ``table`` has license_id and text."""
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in [*LICENSES, *MORE, *whole_texts()]])
+    known = spark.range(1).select(F.inline(rows))
+    if table is not None:
+        known = known.unionByName(table.select(F.col("license_id").cast("string"), F.col("text").cast("string")).where("license_id IS NOT NULL"))
+    known = known.withColumn("plain", plain(F.col("text"))).where("plain <> ''")
+    known = known.select("license_id", F.md5(spelled(F.col("plain"))).alias("license_digest"), F.size(F.split("plain", " ")).alias("words"))
+    return known.groupBy("license_digest", "words").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with license_digest and license_id, null where the whole text is no known licence."""
-    known = known_digests(spark)
-    sizes = sorted({r["words"] for r in known.select("words").collect()})  # a row for each known text
+def scan(spark: SparkSession, docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``docs`` with license_digest and license_id, null where the whole text is no known licence; ``table`` (license_id, text) adds to the known."""
+    known, _ = kept(spark, known_digests(spark, table), "known-licenses")
+    few = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    lengths = spark.range(1).select(F.explode(F.array(*[F.lit(text) for _, text in LICENSES])).alias("t")).select(F.size(F.split(plain(F.col("t")), " ")).alias("words"))
+    shown = sorted({r["words"] for r in lengths.collect()})  # a row for each text of LICENSES
     docs = without(docs, ["license_digest", "license_id"]).withColumn("_plain", plain(F.col("text")))
+    names = [f"`{c}`" for c in docs.columns if c != "_plain"]
     words = F.length("_plain") - F.length(F.translate("_plain", " ", "")) + 1
-    docs = docs.withColumn("license_digest", F.when((F.col("_plain") != "") & words.isin(sizes), F.md5(spelled(F.col("_plain"))))).drop("_plain")
-    return docs.join(F.broadcast(known.drop("words")), "license_digest", "left").select(*[f"`{c}`" for c in docs.columns], "license_id")
+    docs = docs.withColumn("_shown", words.isin(shown))
+    sought = words.isin(sorted({*shown, *(r["words"] for r in known.select("words").distinct().collect())})) if few else F.lit(True)
+    docs = docs.withColumn("license_digest", F.when((F.col("_plain") != "") & sought, F.md5(spelled(F.col("_plain"))))).drop("_plain")
+    known = known.drop("words")
+    joined = docs.join(F.broadcast(known) if few else known, "license_digest", "left")
+    return joined.select(*names, F.when(F.col("_shown") | F.col("license_id").isNotNull(), F.col("license_digest")).alias("license_digest"), "license_id")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +195,7 @@ def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     texts = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in LICENSES)
     known = ", ".join(f"{quote(a)}: {quote(b)}" for a, b in EQUIVALENT)
-    made = lambda c: f"trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '{COPYRIGHT_LINE}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+    made = lambda c: f"trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '{SQL_COPYRIGHT_LINE}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
     digest = f"md5(array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(map {{{known}}}[w], w)), ' '))"
     return f"""
 WITH known AS (

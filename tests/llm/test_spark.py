@@ -211,6 +211,41 @@ def test_license_scan(spark):
     assert license_scan.scan(spark, docs_of(spark, [])).count() == 0
 
 
+def test_every_license_is_found_at_every_width(spark):
+    import re
+    import textwrap
+
+    stated = re.compile(r"(?i)^\s*(copyright\s*(\(c\)|\d{4}|\[|<)|all rights reserved)")
+    known = [*license_scan.LICENSES, *license_scan.MORE, *license_scan.whole_texts()]
+    rows = []
+    for name, text in known:
+        runs: list[list[str]] = [[]]
+        for line in text.split("\n"):
+            if not line.strip() or stated.match(line):
+                runs += [[line], []]
+            else:
+                runs[-1].append(line.strip())
+        for width in range(60, 101):
+            rows.append((name, "\n".join(r[0] if len(r) == 1 and stated.match(r[0]) else "\n".join(textwrap.wrap(" ".join(r), width, break_long_words=False, break_on_hyphens=False)) for r in runs if r)))
+    docs = spark.createDataFrame(rows, "name string, text string").repartition(8)
+    assert docs.where("text RLIKE '(?m)^copyright notice and'").count() > 0
+    assert [r.asDict() for r in license_scan.scan(spark, docs).where("license_id IS NULL OR license_id <> name").select("name", "license_id").distinct().collect()] == []
+
+
+def test_license_scan_drops_statements_only_and_takes_a_table(spark, monkeypatch):
+    mit = license_scan.LICENSES[0][1]
+    heads = ["Copyright 2020 A", "Copyright (c) A", "(c) 2020 A", "(c) A Inc., 2020", "© A", "Copyright by A", "Copyright A Inc. 2020", "Copyright A\nAll rights reserved.", "Copyright A"]
+    rows = [(i, f"{h}\n\n{mit}", "s") for i, h in enumerate(heads)] + [(50, "Licensed under CC BY-NC 4.0.", "s"), (51, "My own terms.", "s"), (52, "one two three four five six seven", "s")]
+    docs = docs_of(spark, rows)
+    gold = {**{i: "MIT" for i in range(len(heads))}, 50: "CC-BY-NC-4.0", 51: None, 52: None}
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(spark, docs).collect()} == gold
+    table = spark.createDataFrame([("Own", "MY OWN terms"), ("Own2", "my own terms"), ("X", None), (None, "x")], "license_id string, text string")
+    for most in (20_000, 3):
+        monkeypatch.setattr(license_scan, "MAX_BROADCAST", most)
+        got = license_scan.scan(spark, docs, table).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["license_id"] for r in got} == {**gold, 51: "Own"}
+
+
 def test_token_files(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
