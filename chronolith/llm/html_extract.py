@@ -8,7 +8,8 @@ The pages of a host are merged into a style tree with one row a path: the number
 pages that have it, how often each presentation occurs and in how many pages each text
 occurs. Presentation importance is the entropy of the presentations, base m. Content
 importance is one less the mean, over the path's texts, of log_m(pages with this text):
-menus and notices that a site repeats come near 0, article paragraphs near 1. A block's
+menus and notices that a site repeats come near 0, article paragraphs near 1. Pages of a
+host whose unmarked text is the same count once, so mirrors do not look like menus. A block's
 importance is the weighted sum of its path's content and its parent's presentation, and
 paths of low importance are cut from each page of the host.
 
@@ -62,7 +63,7 @@ _HINTS = frozenset(
 _HEAD_HINTS = frozenset("header masthead".split())
 #: Words beside a header hint that make it the article's own heading.
 _OWN_HEAD = frozenset("article content entry post story".split())
-_SAFE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt".split())
+_SAFE = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt".split())
 _SCOPE = frozenset("article main".split())
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
@@ -192,23 +193,24 @@ def parse(page: str | None) -> tuple[list[Block], dict[int, int]]:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, parent, feature, kind): kind 0 a presentation, kind 1 a text; each once a page."""
+    """(host, path, parent, feature, kind, page): kind 0 a presentation, kind 1 a text; each once a page; page: a hash of its unmarked text."""
     for batch in batches:
         hosts, rows = texts(batch, "host"), []
         for host, page in zip(hosts, texts(batch, "html")):
             blocks, styles = parse(page)
             parents = {b.path: b.parent for b in blocks}
             shown = set(parents) | set(parents.values())
-            rows += [(host, p, 0, f, 0) for p, f in styles.items() if p in shown]
-            rows += {(host, b.path, b.parent, _hash(b.text), 1) for b in blocks}
+            own = _hash(*(b.text for b in blocks if not b.dropped))
+            rows += [(host, p, 0, f, 0, own) for p, f in styles.items() if p in shown]
+            rows += {(host, b.path, b.parent, _hash(b.text), 1, own) for b in blocks}
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()])], names=["host", "path", "parent", "feature", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])], names=["host", "path", "parent", "feature", "kind", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, m, importance) for the text-bearing paths of each host; pages have host and html."""
-    seen = pages.select("host", "html").mapInArrow(_observed, "host string, path long, parent long, feature long, kind int")
-    counted = seen.groupBy("host", "path", "parent", "feature", "kind").agg(F.count(F.lit(1)).alias("k"))
+    seen = pages.select("host", "html").mapInArrow(_observed, "host string, path long, parent long, feature long, kind int, page long")
+    counted = seen.distinct().groupBy("host", "path", "parent", "feature", "kind").agg(F.count(F.lit(1)).alias("k"))
     counted, _ = kept(pages.sparkSession, counted, "style-features")
     looks = counted.where("kind = 0").groupBy("host", "path").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
     looks = looks.select("host", "path", "m", F.when(F.col("m") > 1, (F.col("m") * F.log("m") - F.col("klogk")) / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"))

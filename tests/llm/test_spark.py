@@ -300,6 +300,13 @@ def test_html_style_tree_cuts_what_a_site_repeats(spark):
     assert html_extract.extract(spark, pages.where("false")).count() == 0
 
 
+def test_html_keeps_mirrors_of_one_page(spark):
+    plain, inner = "<body><div>one story</div><div>told again</div></body>", "<body><article><p>a</p><ul><li>b</li></ul><div>c</div></article></body>"
+    rows = [(i, f"http://{h}/{i}", page) for i in range(8) for h, page in (("plain.com", plain), ("inner.com", inner))]
+    got = {(r["url"][7:12], r["text"]) for r in html_extract.extract(spark, spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {("plain", "one story\ntold again"), ("inner", "a\nb\nc")}
+
+
 def test_search_odd_rows(spark):
     rows = [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 0.5, 2.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0001]), (7, [-1.0, 0.0001]), (0, [1.0, 0.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
