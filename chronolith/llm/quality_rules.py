@@ -7,7 +7,8 @@ the rules before it pass, per second. A document is rejected at its first failin
 the order changes the cost and never the verdict.
 
 Signals (n_words and so on) are computed when a rule first asks for them and are kept for
-the rules behind it.
+the rules behind it. ``keep_good`` asks for nothing else; ``judge`` returns counts of every
+document, so there the cascade saves only what no count needs.
 
 Defined cases: null text has no words and fails ``few_words``; an empty table gives an
 empty table; input columns named like the added ones are replaced; repeated rows get the
@@ -25,9 +26,8 @@ from operator import eq
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chronolith.llm.shared import SPACE, replaced, small_batches, texts, widened, without
+from chronolith.llm.shared import SPACE, small_batches, spare, texts, without
 
 SYMBOLS = "#*$%&|<>"
 #: Documents, about, on which costs and selectivities are estimated.
@@ -154,41 +154,49 @@ def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int
     return order_rules(cost, outcomes)
 
 
-def _judged(batches: Iterator[pa.RecordBatch], cascade: tuple[Rule, ...], counts: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [Signals(t) for t in texts(batch)]
-        columns = {}
-        if counts:
-            rows = []
-            for s in found:
-                rows.append([getattr(s, c) for c in counts] + [base_failed(s), not any(rule(s) for rule in cascade)])
-                s.__dict__.clear()  # words and windows of one text at a time
-            for c, values in zip((*counts, "base_failed", "kept"), zip(*rows) if rows else [[]] * (len(counts) + 2)):
-                columns[c] = pa.array(values, pa.bool_() if c in ("base_failed", "kept") else pa.int64())
-            yield replaced(batch, columns)
-        else:
-            keep = []
-            for s in found:
-                keep.append(not any(rule(s) for rule in cascade))
-                s.__dict__.clear()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+def _verdict(texts_: Iterator[pa.Array], cascade: tuple[Rule, ...]) -> Iterator[pa.Array]:
+    for batch in texts_:
+        yield pa.array([not any(rule(s) for rule in cascade) for s in map(Signals, batch.to_pylist())], pa.bool_())
+
+
+def _counted(texts_: Iterator[pa.Array], cascade: tuple[Rule, ...], counts: tuple[str, ...]) -> Iterator[pa.Array]:
+    kinds = [*[(c, pa.int64()) for c in counts], ("base_failed", pa.bool_()), ("kept", pa.bool_())]
+    for batch in texts_:
+        rows = []
+        for s in map(Signals, batch.to_pylist()):
+            kept = not any(rule(s) for rule in cascade)  # later rules' signals are left out where an earlier one rejects
+            rows.append([*[getattr(s, c) for c in counts], base_failed(s), kept])
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        yield pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, counts: tuple[str, ...] = COUNTS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``docs`` with the counts, base_failed and kept."""
+    """``docs`` with the counts, base_failed and kept; only texts go to Python, only numbers come back."""
     small_batches(docs.sparkSession)
     added = [*counts, "base_failed", "kept"]
     docs = without(docs, added)
     cascade = tuple(rules[r] for r in calibrate(docs, rules, sample_docs))
-    schema = widened(docs, [(c, T.LongType()) for c in counts] + [("base_failed", T.BooleanType()), ("kept", T.BooleanType())])
-    return docs.mapInArrow(lambda it: _judged(it, cascade, counts), schema)
+    kind = ", ".join([*[f"{c}: bigint" for c in counts], "base_failed: boolean", "kept: boolean"])
+
+    @F.arrow_udf(f"struct<{kind}>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _counted(batches, cascade, counts)
+
+    (judged,) = spare(docs, "judged")
+    made = docs.withColumn(judged, counted(F.col("text")))
+    return made.select(*[f"`{c}`" for c in docs.columns], *[F.col(judged)[c].alias(c) for c in added])
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents that no rule rejects."""
+    """The documents that no rule rejects; only verdicts come back from Python, and Spark filters by them."""
     small_batches(docs.sparkSession)
     cascade = tuple(rules[r] for r in calibrate(docs, rules, sample_docs))
-    return docs.mapInArrow(lambda it: _judged(it, cascade, ()), docs.schema)
+
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _verdict(batches, cascade)
+
+    return docs.where(good(F.col("text")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,14 @@ _own: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is unset (tests, one machine), a folder of this process is used
-    and removed at its end; on a cluster the folder's owner clears it.
+    Where that setting is unset on one machine (tests), a folder of this process is used
+    and removed at its end. On a cluster it must be set, as executors could not see such a
+    folder; its owner clears it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chronolith-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -57,6 +60,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in lower])
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that ``df`` has not, whatever their case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        made = f"_{n}"
+        while made in have:
+            made = f"_{made}"
+        have.add(made)
+        out.append(made)
+    return out
+
+
 def widened(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
     """The schema of ``df`` with ``fields`` behind it."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
