@@ -8,14 +8,18 @@ lose all their lines except in the largest doc_id that holds them.
    (hash, doc_id) pairs are made distinct first, so a line that a third of the corpus
    holds is spread by document and only partial counts meet.
 2. Repeated keys are dealt by hash into shards of about ``shard_keys``. Each shard
-   becomes a perfect hash over one hash half, indexing arrays of fingerprints (the other
-   half), document counts and keepers. Keys below ``min_docs`` can lose no line, so they
-   are left out, and the fingerprint turns them away.
+   becomes a perfect hash over a mix of both hash halves, indexing arrays of fingerprints
+   (one half), document counts and keepers; should two keys of a shard mix to one number,
+   the shard takes another seed. Keys below ``min_docs`` can lose no line, so they are left
+   out, and the fingerprint turns them away.
 3. Documents are read again and their lines probe the shards. An index of at most
    ``INLINE_SHARDS`` is small by that bound: each task reads it from the shared folder as
-   its documents ask for it. A larger one stays where it is: tasks send packed hashes of
-   their lines to the shards, a shard streams them past its arrays, and only the places
-   of lines that go come back to the documents. No text line is joined either way.
+   its documents ask for it. Of a larger one only the ``shard_keys`` keys of most documents
+   are read so, and their lines go first: a line that a third of the corpus holds is never
+   sent anywhere. The rest stays where it is: tasks send packed hashes of their lines to
+   the shards, a shard streams them past its arrays, and only the places of lines that go
+   come back to the documents. No text line is joined either way, and both ways give the
+   same rows (held by a test).
 
 Defined cases: null text is one empty line and stays null; a null doc_id counts as one
 document and is never the keeper; rows that share a doc_id count as one document, and all
@@ -38,11 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.llm import perfect_hash
-from chronolith.llm.shared import SPACE, kept, open_store, replaced, small_batches, texts, widened, without
+from chronolith.llm.shared import SPACE, kept, open_store, replaced, small_batches, spare, texts, widened, without
 
 #: Shards that a task holds in memory at once, about 5 MB each; larger indexes are probed where they are.
 INLINE_SHARDS = 16
-INDEX_SCHEMA = "shard int, n_keys int, level_sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
+INDEX_SCHEMA = "shard int, n_keys int, seed long, level_sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
 
 
 def _keys(lines: list[str], min_chars: int) -> tuple[list[int], bytes]:
@@ -78,43 +82,56 @@ def line_counts(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return pairs.distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """One number for each (hi, lo)."""
+    with np.errstate(over="ignore"):
+        x = hashes[:, 0].view(np.uint64) ^ (hashes[:, 1].view(np.uint64) + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _shard(pdf):
     import pandas as pd
 
-    hi, lo = pdf["hi"].to_numpy().view(np.uint64), pdf["lo"].to_numpy()
-    order = np.lexsort((lo, hi))  # reruns give the same bytes
-    hi, lo, pdf = hi[order], lo[order], pdf.iloc[order]
-    first = np.ones(len(hi), bool)
-    first[1:] = hi[1:] != hi[:-1]
-    if not first.all():
-        raise ValueError("two line keys share 64 hash bits in a shard; raise the number of shards")
-    sizes, bits, slot = perfect_hash.build(hi)
+    pdf = pdf.sort_values(["hi", "lo"])  # reruns give the same bytes
+    hashes, seed = pdf[["hi", "lo"]].to_numpy(np.int64), 0
+    keys = _mixed(np.ascontiguousarray(hashes), seed)
+    while len(np.unique(keys)) < len(keys):
+        seed += 1
+        keys = _mixed(np.ascontiguousarray(hashes), seed)
+    sizes, bits, slot = perfect_hash.build(keys)
     back = np.empty(len(slot), np.int64)
     back[slot] = np.arange(len(slot))
     return pd.DataFrame([{
-        "shard": int(pdf["shard"].iloc[0]), "n_keys": len(slot), "level_sizes": sizes.tobytes(), "bits": bits.tobytes(), "fingerprints": lo[back].tobytes(),
+        "shard": int(pdf["shard"].iloc[0]), "n_keys": len(slot), "seed": seed, "level_sizes": sizes.tobytes(), "bits": bits.tobytes(), "fingerprints": hashes[back, 1].tobytes(),
         "counts": np.minimum(pdf["n_docs"].to_numpy()[back], 2**32 - 1).astype(np.uint32).tobytes(), "keepers": pdf["keeper"].to_numpy()[back].astype(np.int64).tobytes(),
     }])
 
 
-def build_index(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 17) -> tuple[str, int]:
-    """Writes the index of repeated lines to the shared folder; (path, number of shards)."""
+def _write_index(spark: SparkSession, repeated: DataFrame, shards: int) -> str:
+    index = repeated.withColumn("shard", F.expr(f"cast(pmod(hi, {shards}) as int)")).groupBy("shard").applyInPandas(_shard, INDEX_SCHEMA)
+    return kept(spark, index, "line-index", by="shard")[1]
+
+
+def build_index(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 17) -> tuple[str, int, str | None]:
+    """Writes the index of repeated lines to the shared folder; (path, number of shards, path of a one-shard index of the most frequent keys beside a large one)."""
     repeated, _ = kept(spark, line_counts(docs, min_chars).where(F.col("n_docs") >= min_docs), "line-counts")
     shards = max(1, -(-repeated.count() // shard_keys))
-    index = repeated.withColumn("shard", F.expr(f"cast(pmod(hi, {shards}) as int)")).groupBy("shard").applyInPandas(_shard, INDEX_SCHEMA)
-    _, path = kept(spark, index, "line-index", by="shard")
-    return path, shards
+    path = _write_index(spark, repeated, shards)
+    if shards <= INLINE_SHARDS:
+        return path, shards, None
+    often = repeated.orderBy(F.col("n_docs").desc(), "hi", "lo").limit(shard_keys)
+    return path, shards, _write_index(spark, often, 1)
 
 
 def _arrays(row: dict) -> tuple:
-    """(slots, fingerprints, document counts, keepers) of a shard."""
-    return perfect_hash.Slots(np.frombuffer(row["level_sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["keepers"], np.int64)
+    """(slots, fingerprints, document counts, keepers, seed) of a shard."""
+    return perfect_hash.Slots(np.frombuffer(row["level_sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["keepers"], np.int64), row["seed"]
 
 
 def _look_up(arrays: tuple, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of the hashes that are repeated keys, their document counts, their keepers)."""
-    slots, prints, counts, keepers = arrays
-    at = slots(hashes[:, 0].view(np.uint64))
+    slots, prints, counts, keepers, seed = arrays
+    at = slots(_mixed(hashes, seed))
     rows = np.flatnonzero(at >= 0)
     rows = rows[prints[at[rows]] == hashes[rows, 1]]
     return rows, counts[at[rows]].astype(np.int64), keepers[at[rows]]
@@ -227,41 +244,44 @@ def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(own[gone], mask=~known[gone]), pa.array(take("prints", np.int64)), pa.array(take("lines", np.int32))], names=["doc_id", "print", "line"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], places: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        was, n_lines, n_dropped = texts(batch), [], []
-        for row, gone in enumerate(texts(batch, "_gone")):
-            lines = (was[row] or "").split("\n")
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone or ()))
+        was, n_dropped = texts(batch), texts(batch, "n_dropped")
+        for row, gone in enumerate(texts(batch, places)):
             if gone:
                 drop = set(gone)
-                was[row] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-        out = replaced(batch, {"text": pa.array(was, batch.schema.field("text").type), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
-        yield out.select([n for n in out.schema.names if n != "_gone"])
+                was[row] = "\n".join(x for i, x in enumerate((was[row] or "").split("\n")) if i not in drop)
+                n_dropped[row] += len(drop)
+        out = replaced(batch, {"text": pa.array(was, batch.schema.field("text").type), "n_dropped": pa.array(n_dropped, pa.int64())})
+        yield out.select([n for n in out.schema.names if n != places])
+
 
+def _dedup_routed(spark: SparkSession, docs: DataFrame, path: str, shards: int, min_chars: int) -> DataFrame:
+    """``docs``, which have n_dropped, without the lines of an index that stays where it is.
 
-def _dedup_routed(spark: SparkSession, docs: DataFrame, path: str, shards: int, min_chars: int, schema: T.StructType) -> DataFrame:
-    """What a document loses depends on its doc_id and text alone, so these two bring the places back to it."""
+    What a document loses depends on its doc_id and text alone, so these two bring the places back to it.
+    """
     probes = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print")).mapInArrow(lambda it: _asked(it, shards, min_chars), "shard int, hashes binary, doc_ids binary, known binary, prints binary, lines binary")
     index = spark.read.schema(INDEX_SCHEMA).parquet(path)
     both = index.drop("n_keys").withColumn("_side", F.lit(0)).unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     lines = both.repartition("shard").sortWithinPartitions("shard", "_side").drop("_side").mapInArrow(_routed, "doc_id long, print long, line int")
-    gone = lines.groupBy("doc_id", "print").agg(F.collect_set("line").alias("_gone"))
-    gone, _ = kept(spark, gone.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "_gone"), "line-places")
-    met = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_print"]), "left").drop("_doc", "_print")
-    return met.mapInArrow(_cut, schema)
+    own, known, places = spare(docs, "doc", "print", "gone")
+    gone = lines.groupBy("doc_id", "print").agg(F.collect_set("line").alias(places))
+    gone, _ = kept(spark, gone.select(F.col("doc_id").alias(own), F.col("print").alias(known), places), "line-places")
+    met = docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]) & (F.xxhash64(docs["text"]) == gone[known]), "left").drop(own, known)
+    return met.mapInArrow(lambda it: _cut(it, places), docs.schema)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 17) -> DataFrame:
     """``docs`` with repeated lines dropped from text, and columns n_lines and n_dropped."""
     small_batches(spark)
     docs = without(docs, ["n_lines", "n_dropped"])
-    path, shards = build_index(spark, docs, min_chars, min_docs, shard_keys)
+    path, shards, often = build_index(spark, docs, min_chars, min_docs, shard_keys)
     schema = widened(docs, [("n_lines", T.LongType()), ("n_dropped", T.LongType())])
-    if shards > INLINE_SHARDS:
-        return _dedup_routed(spark, docs, path, shards, min_chars, schema)
-    return docs.mapInArrow(lambda it: _cleaned(it, path, shards, min_chars), schema)
+    if often is None:
+        return docs.mapInArrow(lambda it: _cleaned(it, path, shards, min_chars), schema)
+    first = docs.mapInArrow(lambda it: _cleaned(it, often, 1, min_chars), schema)
+    return _dedup_routed(spark, first, path, shards, min_chars)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

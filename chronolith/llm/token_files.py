@@ -43,6 +43,8 @@ from chronolith.llm.shared import kept, small_batches, texts
 RULES_A_ROUND, MIN_PAIRS = 2_500, 8
 #: Characters of text whose chunks a task makes distinct together.
 BATCH_CHARS = 24_000_000
+#: Chunks, those met twice in a batch, whose ids a worker keeps for its next texts: some 150 MB at most; then it begins anew.
+KNOWN_CHUNKS = 1_000_000
 #: White space, or pairs of it, that a text must not hold to be cut into chunks; it may hold single spaces and newlines.
 UNSAFE = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Buckets in which a round counts pairs before it counts the frequent ones apart.
@@ -84,8 +86,12 @@ class Encoder:
         self.unsafe = (*UNSAFE, *self.special)
         self.letters = _byte_letters()
         if self.chunked:
-            self.newline = len(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+            self.known: dict[str, bytes] = {}
+            self.line = self._whole(["\n"])[0]
+            self.newline = len(self.line) // self.kind.itemsize
             self.marks = dict(zip(".,;:!?", self._whole(list(".,;:!?"))))
+            self.spaced = np.zeros(self.vocabulary, bool)
+            self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _whole(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
@@ -93,24 +99,45 @@ class Encoder:
     def _safe(self, text: str) -> bool:
         return self.chunked and not any(s in text for s in self.unsafe) and text[0] != " " and text[-1] != " "
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks: words that follow a space, and words with the newline before them."""
+    def _apart(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that follow a space, encoded in one text: a chunk begins where a token begins with the space."""
+        flat = np.frombuffer(b"".join(self._whole([" " + " ".join(chunks[i : i + 4_096]) for i in range(0, len(chunks), 4_096)])), self.kind)
+        begins = np.flatnonzero(self.spaced[flat]) * self.kind.itemsize
+        raw = flat.tobytes()
+        return [raw[i:j] for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(raw)])]
+
+    def _chunks(self, chunks: list[str], often: list[bool]) -> list[bytes]:
+        """Ids of distinct chunks: words that follow a space, and words with the newline before them; often: which to keep for the worker's next texts."""
         out: list[bytes | None] = [None] * len(chunks)
         merge, pack, letters, marks = self.tokenizer.model.tokenize, array("H" if self.kind.itemsize == 2 else "I"), self.letters, self.marks
-        known: dict[str, bytes] = {}
-        rest = []
+        known, new, rest, lines = self.known, {}, [], []
+        if len(known) > KNOWN_CHUNKS:
+            known.clear()
         for i, c in enumerate(chunks):
-            word, mark = (c[:-1], marks[c[-1]]) if c[-1:] in marks else (c, b"")  # a word and the mark behind it never merge
-            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
-                rest.append(i)
+            ids = known.get(c)
+            if ids is not None:
+                out[i] = ids
                 continue
-            ids = known.get(word)
+            mark = marks.get(c[-1:])
+            word = c if mark is None else c[:-1]  # a word and the mark behind it never merge
+            ids = new.get(word)
             if ids is None:
-                spelled = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(letters)
-                ids = known[word] = array(pack.typecode, [t.id for t in merge(spelled)]).tobytes()
-            out[i] = ids + mark
-        for i, ids in zip(rest, self._whole([chunks[i] if chunks[i][:1] == "\n" else " " + chunks[i] for i in rest]) if rest else []):
-            out[i] = ids
+                bare = word[1:] if word[:1] == "\n" else word
+                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0250")):
+                    (lines if c[:1] == "\n" else rest).append(i)
+                    continue
+                spelled = bare if bare.isascii() else bare.encode().decode("latin-1").translate(letters)
+                ids = array(pack.typecode, [t.id for t in merge("\u0120" + spelled if bare is word else spelled)]).tobytes()
+                new[word] = ids = ids if bare is word else self.line + ids
+            out[i] = ids if mark is None else ids + mark
+            if often[i]:
+                known[c] = out[i]
+        if rest:
+            for i, ids in zip(rest, self._apart([chunks[i] for i in rest])):
+                out[i] = ids
+        if lines:
+            for i, ids in zip(lines, self._whole([chunks[i] for i in lines])):
+                out[i] = ids
         return out
 
     def encode(self, batch: list[str | None]) -> list[np.ndarray]:
@@ -126,10 +153,11 @@ class Encoder:
         # The text's beginning is encoded as if behind a newline, which is cut off again.
         cut = pc.split_pattern(pa.array(["\n" + batch[i].replace("\n", " \n") for i in safe], pa.large_string()), " ")
         chunks = cut.values.dictionary_encode()
-        coded = self._chunks(chunks.dictionary.to_pylist())
+        which = chunks.indices.to_numpy()
+        coded = self._chunks(chunks.dictionary.to_pylist(), (np.bincount(which) > 1).tolist())
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
         flat, first = np.frombuffer(b"".join(coded), self.kind), np.cumsum(size) - size
-        which, bounds = chunks.indices.to_numpy(), cut.offsets.to_numpy()
+        bounds = cut.offsets.to_numpy()
         for start in range(0, len(safe), 512):
             some = safe[start : start + 512]
             lo, hi = bounds[start], bounds[start + len(some)]

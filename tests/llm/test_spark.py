@@ -60,6 +60,23 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, inline):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == gold and gone
 
 
+def test_line_index_survives_clashes_of_hash_halves():
+    import numpy as np
+    import pandas as pd
+
+    hashes = np.array([(5, 7), (5, 8), (9, 7), (1, 2)], np.int64)
+    row = line_dedup._shard(pd.DataFrame({"hi": hashes[:, 0], "lo": hashes[:, 1], "n_docs": [6, 7, 8, 9], "keeper": [1, 2, 3, 4], "shard": 0})).iloc[0].to_dict()
+    rows, counts, keepers = line_dedup._look_up(line_dedup._arrays(row), np.array([*hashes.tolist(), (5, 9), (4, 4)], np.int64))
+    assert (rows.tolist(), counts.tolist(), keepers.tolist()) == ([0, 1, 2, 3], [6, 7, 8, 9], [1, 2, 3, 4])
+
+
+def test_line_dedup_keeps_columns_named_like_its_own(spark, odd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "INLINE_SHARDS", 0)
+    more = odd.withColumn("_gone", F.lit("a")).withColumn("_doc", F.lit("b")).withColumn("_print", F.lit("c"))
+    got = line_dedup.dedup_lines(spark, more)
+    assert got.columns == [*more.columns, "n_lines", "n_dropped"] and {(r["_gone"], r["_doc"], r["_print"]) for r in got.collect()} == {("a", "b", "c")}
+
+
 def test_mixing(spark, odd):
     rows = mixing.plan_mix(spark, odd.withColumn("rate", F.lit(1))).collect()
     assert len(rows) == 14
