@@ -18,10 +18,10 @@ do; a notice stands in nearly as many contexts as there are articles. With k con
 text and m of its path (at least the greatest k), the text's importance is 1 - log_m(k): 0
 for what every article of the host shows, 1 for what one shows. A path's importance is the
 mean over its texts, weighed with the entropy, base m, of its parent's presentations. A
-block goes if k is at least ``min_pages`` and DIFFERENT of its distinct pages, and its
-path's or its own importance is under ``threshold``. For its own importance alone a block
-of an article or main element goes only if it has ``MIN_WORDS`` words, and headings and
-table cells in there never go: articles share them.
+block goes if its path's importance is under ``threshold`` and its own text has at least
+``min_pages`` contexts, and in DIFFERENT of its distinct pages; headings and table cells of
+an article or main element never go: articles share them. So a passage that many articles
+quote among their own paragraphs stays, and the repeated parts of a template go.
 
 Everything is keyed by 64-bit hashes of texts and paths and counted by partial sums, so a
 hot host spreads over all tasks. The keys of texts that go meet the pages that show them in
@@ -53,12 +53,10 @@ from pyspark.sql import types as T
 
 from chronolith.llm.shared import kept, replaced, small_batches, spare, texts, widened, without
 
-#: Importance under which a block goes, and the contexts in which it must have come.
+#: Importance under which a path's blocks go, and the contexts in which it must have come.
 THRESHOLD, MIN_PAGES = 0.35, 5
 #: Weight of the parent's presentation against the content.
 PRESENTATION = 0.1
-#: Words of an article's block that may go for its own repetition.
-MIN_WORDS = 5
 
 #: Bytes of a window in a page's context, and the least part of a text's pages that must differ in context.
 WINDOW, DIFFERENT = 16, 0.25
@@ -315,13 +313,13 @@ def candidates(blocks: list[Block]) -> list[Block]:
 
 
 def keys_of(blocks: list[Block]) -> list[int]:
-    """What the style tree knows each block by: its path, its text, and whether the text alone may condemn it."""
-    return [_hash(b.text, b.path + guard(b)) for b in blocks]
+    """What the style tree knows each block by: its path and its text, and apart if it is an article's heading or cell."""
+    return [_hash(b.text, b.path + fixed(b)) for b in blocks]
 
 
-def guard(b: Block) -> int:
-    """0 for a text that may go for its own repetition, 1 for an article's short text, 2 for its heading or cell."""
-    return 0 if not b.scoped else 2 if b.heading else int(len(b.text.split(None, MIN_WORDS - 1)) < MIN_WORDS)
+def fixed(b: Block) -> int:
+    """1 for an article's heading or table cell, else 0."""
+    return int(b.scoped and b.heading)
 
 
 def contexts(blocks: list[Block]) -> tuple[int, list[int]]:
@@ -348,7 +346,7 @@ def contexts(blocks: list[Block]) -> tuple[int, list[int]]:
     return ordered[0], [other(b.text) for b in blocks]
 
 
-_SEEN = pa.schema([("page", pa.int64()), ("path", pa.int64()), ("parent", pa.int64()), ("key", pa.int64()), ("guard", pa.int32()), ("context", pa.int64()), ("own", pa.int64()), ("kind", pa.int32())])
+_SEEN = pa.schema([("page", pa.int64()), ("path", pa.int64()), ("parent", pa.int64()), ("key", pa.int64()), ("fixed", pa.int32()), ("context", pa.int64()), ("own", pa.int64()), ("kind", pa.int32())])
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,16 +359,16 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, each = contexts(blocks)
             shown = {b.parent for b in blocks}
             rows += [(number, p, 0, _hash("\0".join(styles[p])), 0, own, own, 0) for p in shown & styles.keys()]
-            rows += sorted({(number, b.path, b.parent, k, guard(b), c, own, 1) for b, k, c in zip(blocks, keys_of(blocks), each)})
+            rows += sorted({(number, b.path, b.parent, k, fixed(b), c, own, 1) for b, k, c in zip(blocks, keys_of(blocks), each)})
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEEN)], schema=_SEEN)
 
 
 def style_tree(seen: DataFrame) -> DataFrame:
-    """(key, guard, pages, k, m, own, path_importance) for the texts in rows of ``_SEEN``; own is the text's importance."""
+    """(key, fixed, pages, k, m, path_importance) for the texts in rows of ``_SEEN``."""
     seen = seen.distinct()  # copies of a page count once
-    said = seen.where("kind = 1").groupBy("path", "parent", "key", "guard", "context").agg(F.count(F.lit(1)).alias("n"))
-    k = said.groupBy("path", "parent", "key", "guard").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("pages"))
+    said = seen.where("kind = 1").groupBy("path", "parent", "key", "fixed", "context").agg(F.count(F.lit(1)).alias("n"))
+    k = said.groupBy("path", "parent", "key", "fixed").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("pages"))
     k, _ = kept(seen.sparkSession, k, "style-texts")
     pages = seen.where("kind = 1").select("path", "own").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("m"))
     paths = k.groupBy("path", "parent").agg(F.max("k").alias("most"), F.avg(F.log("k")).alias("logk")).join(pages, "path").withColumn("m", F.greatest("most", "m"))
@@ -379,15 +377,13 @@ def style_tree(seen: DataFrame) -> DataFrame:
     looks = looks.select(F.col("path").alias("parent"), F.when(F.col("n") > 1, (F.col("n") * F.log("n") - F.col("klogk")) / (F.col("n") * F.log("n"))).otherwise(1.0).alias("presentation"))
     content = F.when(F.col("m") > 1, 1 - F.col("logk") / F.log("m")).otherwise(1.0)
     weighed = paths.join(looks, "parent", "left").select("path", "m", (F.lit(PRESENTATION) * F.coalesce("presentation", F.lit(1.0)) + F.lit(1 - PRESENTATION) * content).alias("path_importance"))
-    own = F.when(F.col("m") > 1, 1 - F.log("k") / F.log("m")).otherwise(1.0)
-    return k.join(weighed, "path").select("key", "guard", "pages", "k", "m", own.alias("own"), "path_importance")
+    return k.join(weighed, "path").select("key", "fixed", "pages", "k", "m", "path_importance")
 
 
 def low_keys(tree: DataFrame, threshold: float, min_pages: int) -> DataFrame:
     """The keys of texts that go."""
-    path, own = F.col("path_importance") < threshold, F.col("own") < threshold
     often = (F.col("k") >= min_pages) & (F.col("k") >= F.lit(DIFFERENT) * F.col("pages"))
-    return tree.where(often & (own | path) & ((F.col("guard") == 0) | (F.col("guard") == 1) & path)).select("key").distinct()
+    return tree.where(often & (F.col("path_importance") < threshold) & (F.col("fixed") == 0)).select("key").distinct()
 
 
 def main_text(page: str | None, host: str = "", low: frozenset | set = frozenset()) -> str:
@@ -411,7 +407,7 @@ def host_of(url) -> F.Column:
 
 def observe(pages: DataFrame) -> DataFrame:
     """Rows of ``_SEEN`` for pages (page hash, host, html)."""
-    return pages.mapInArrow(_observed, "page long, path long, parent long, key long, guard int, context long, own long, kind int")
+    return pages.mapInArrow(_observed, "page long, path long, parent long, key long, fixed int, context long, own long, kind int")
 
 
 def extract(spark: SparkSession, pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
