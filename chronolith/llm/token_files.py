@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by doc_id, encoded with a tokenizers file, and
 gathered into shards of about ``shard_tokens`` ids. Within a shard frequent pairs of
 symbols are replaced by nonterminals, a batch of the most frequent pairs a round, until no
-pair comes MIN_PAIRS times; pairs never reach over a document's end, so each document stays a run of symbols
+pair comes MIN_PAIRS times, where a rule's 16 bytes are what its uses save; pairs never reach over a document's end, so each document stays a run of symbols
 of its own. A shard keeps the rules, the expansion length of each rule, the symbols and a
 document table: any document, or any range of its ids, is decoded alone.
 

@@ -277,6 +277,28 @@ def test_token_files(spark, odd):
     assert token_files.read_shards(token_files.write_shards(spark, empty(odd), path)).count() == 0
 
 
+def test_token_query_equals_the_library(spark, tmp_path):
+    """Whole texts by the library itself: start, n_tokens and crc32 of every document."""
+    import zlib
+
+    import numpy as np
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    words = ["word", "straße", "été,", "x1%", "***", "\n", "日本", "don't", "naïve.", "WORD!", "<|endoftext|>", "12:30"]
+    rng = random.Random(3)
+    rows = [(i * 2, " ".join(rng.choice(words) + rng.choice(["", "", "a", "é"]) for _ in range(rng.randint(1, 60))).replace(" \n ", rng.choice(["\n", " \n", "\n\n"]))) for i in range(150)]
+    rows += [(1, None), (3, ""), (5, " lead and  double\ttab "), (7, "long " * 20_000), (9, "a\u00a0b\u2003c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, start, want = Tokenizer.from_file(public.path("byte_bpe_50k.json")), 0, []
+    for doc_id, text in sorted(rows):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_files.op4_token_files(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 PAGES = "page_id long, url string, html string"
 
 
