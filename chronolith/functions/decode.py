@@ -159,6 +159,29 @@ def ipv4_number(text: Column) -> Column:
     return F.when(text.rlike(shape), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
+def ipv6_halves(text: Column) -> tuple[Column, Column]:
+    """An IPv6 address as two longs whose signed order is that of the address; null if it is none.
+
+    A ``::`` stands for the zero groups that are missing; the last 32 bits may be written as IPv4.
+    """
+    v4 = ipv4_number(F.regexp_extract(text, r"((?:\d+\.){3}\d+)$", 1))
+    tail = F.concat(F.lower(F.hex(F.floor(v4 / 65536).cast("long"))), F.lit(":"), F.lower(F.hex(F.pmod(v4, F.lit(65536)))))
+    plain = F.lower(F.when(text.contains("."), F.concat(F.regexp_extract(text, r"^(.*:)(?:\d+\.){3}\d+$", 1), tail)).otherwise(text))
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    twice = F.size(F.split(plain, "::"))
+    left, right = groups(F.get(F.split(plain, "::"), F.lit(0))), groups(F.coalesce(F.get(F.split(plain, "::"), F.lit(1)), F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+    whole = F.transform(F.when(twice == 2, F.concat(left, zeros, right)).otherwise(left), lambda g: F.lpad(g, 4, "0"))
+    shape = plain.rlike(r"^[0-9a-f:]+$") & ~plain.rlike(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$") & (twice <= 2) & (F.size(whole) == 8) & ((twice == 1) | (F.size(left) + F.size(right) < 8))
+
+    def half(start: int) -> Column:
+        text_ = F.array_join(F.slice(whole, start, 4), "")
+        upper, lower = F.conv(F.substring(text_, 1, 8), 16, 10).cast("long"), F.conv(F.substring(text_, 9, 8), 16, 10).cast("long")
+        return F.when(F.coalesce(shape, F.lit(False)), (upper - F.lit(1 << 31).cast("long")) * F.lit(1 << 32).cast("long") + lower)
+
+    return half(1), half(5)
+
+
 def operation(text: Column) -> Column:
     """The directory operation of a resource identifier or of its name, whatever its case; null if it is none."""
     t = F.upper(F.trim(text))

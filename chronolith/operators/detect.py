@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolith.operators.predicates import compile_predicate, compile_with_error, guaranteed
+from chronolith.operators.predicates import compile_predicate, compile_with_error, folded_in, guaranteed
 from chronolith.operators.rules import Pack, Rule, Selector, Suppression
 from chronolith.schema import resolve
 
@@ -40,7 +40,7 @@ def selector_column(rows: DataFrame, s: Selector) -> Column:
         parts.append(_false(F.col("event_id").isin(list(s.event_ids))))
     for column, names in (("type", s.types), ("source_log", s.channels), ("provider", s.providers)):
         if names:
-            parts.append(_false(F.upper(column).isin([n.upper() for n in names])))
+            parts.append(_false(folded_in(F.col(column), names)))
     if s.predicate is not None:
         parts.append(compile_predicate(s.predicate, rows))
     return reduce(lambda a, b: a & b, parts)
@@ -66,7 +66,7 @@ def prefilter(rows: DataFrame, rules: Sequence[Rule]) -> Column:
     if selectors and all(ids):
         return F.col("event_id").isin(sorted(frozenset.union(*ids)))
     if selectors and all(s.types for s in selectors):
-        return F.upper("type").isin(sorted({t.upper() for s in selectors for t in s.types}))
+        return folded_in(F.col("type"), sorted({t.upper() for s in selectors for t in s.types}))
     return F.lit(True)
 
 

@@ -7,6 +7,8 @@ that share a causal identifier, as long as the joined span stays within a window
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +35,47 @@ def none(rows: DataFrame) -> DataFrame:
 
 
 def transport(rows: DataFrame) -> DataFrame:
-    """Copies of one record share an occurrence; rows without record id stay single."""
-    single = F.concat(F.lit("row-"), fingerprint(*_TRANSPORT, "type", "message", "observation_identity", "collector_computer"))
-    return rows.withColumn("occurrence", F.when(F.col("record_id").isNull(), single).otherwise(fingerprint(*_TRANSPORT)))
+    """Copies of one record share an occurrence: equal computer, log, record, provider (trimmed, without case), id and time.
+
+    A row without record id, or with a blank computer or log, stays single.
+    """
+    known = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    single = F.concat(F.lit("row-"), fingerprint(*_TRANSPORT, "type", "message", "observation_identity", "collector_computer", "container_log"))
+    parts = [F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in _TRANSPORT]
+    whole = F.sha2(F.to_json(F.array(*parts)), 256)
+    return rows.withColumn("occurrence", F.when(F.col("record_id").isNotNull() & known("source_computer") & known("source_log"), whole).otherwise(single))
+
+
+def evidence_count() -> Column:
+    """Payload values that say something: not null and not empty once normalized."""
+    return F.size(F.filter(F.map_values(F.coalesce("values", F.create_map().cast("map<string,string>"))), lambda v: F.trim(v) != ""))
 
 
 def representative(rows: DataFrame) -> DataFrame:
-    """One row an occurrence: direct before forwarded, then earliest, then by computer and record; with the number of its copies."""
-    copies = F.count(F.lit(1)).over(Window.partitionBy("occurrence"))
-    direct = F.when(F.col("container_log") == "ForwardedEvents", 1).otherwise(0)
-    first = F.row_number().over(Window.partitionBy("occurrence").orderBy(direct, "time_created", "source_computer", "record_id", "collector_computer"))
-    return rows.withColumn("copies", copies).withColumn("_n", first).where("_n = 1").drop("_n")
+    """One row an occurrence, with the number of its copies.
+
+    The one with most evidence comes first, then a direct one (kept in its own log, collected
+    by its own computer), the earliest, then by computer, record id (null first) and fingerprint.
+    """
+    by = Window.partitionBy("occurrence")
+    same = lambda a, b: F.coalesce(F.upper(a) == F.upper(b), F.lit(False))
+    direct = same("source_log", "container_log") & same("source_computer", "collector_computer")
+    first = F.row_number().over(by.orderBy(evidence_count().desc(), direct.desc(), "time_created", F.upper("source_computer"), F.col("record_id").asc_nulls_first(), fingerprint(*_TRANSPORT, "type", "message", "container_log", "collector_computer")))
+    return rows.withColumn("copies", F.count(F.lit(1)).over(by)).withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def bounds(rows: DataFrame, grouped: DataFrame, max_observations: int = 100_000, max_groups: int = 25_000) -> DataFrame:
+    """(bound, value, allowed) that a grouping passes, counted no further than the bound and one; empty if it keeps both. Nothing is cut."""
+    seen = rows.limit(max_observations + 1).agg(F.lit("observations").alias("bound"), F.count(F.lit(1)).alias("value"), F.lit(max_observations).cast("long").alias("allowed"))
+    found = grouped.select("occurrence").distinct().limit(max_groups + 1).agg(F.lit("groups").alias("bound"), F.count(F.lit(1)).alias("value"), F.lit(max_groups).cast("long").alias("allowed"))
+    return seen.unionByName(found).where("value > allowed")
+
+
+def bounded(rows: DataFrame, group: Callable[[DataFrame], DataFrame], **limits: int) -> tuple[DataFrame, list[str]]:
+    """(grouped rows, no bounds), or (no rows, the bounds that were passed): a result is whole or empty."""
+    grouped = group(rows)
+    passed = sorted(r["bound"] for r in bounds(rows, grouped, **limits).collect())  # two rows at most
+    return (grouped.where(F.lit(False)), passed) if passed else (grouped, [])
 
 
 def causes() -> Column:

@@ -16,16 +16,16 @@ from __future__ import annotations
 import ast
 import ipaddress
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import reduce
+from functools import lru_cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.functions.decode import ipv4_number
+from chronolith.functions.decode import ipv4_number, ipv6_halves
 from chronolith.functions.text import wildcard_regex
 from chronolith.schema import resolve
 
@@ -187,6 +187,29 @@ def _text(c: Column, ignore_case: bool) -> Column:
     return F.upper(c) if ignore_case else c
 
 
+@lru_cache(1)
+def _widened_letters() -> frozenset:
+    """ASCII capitals with which the capitals of some other letter begin (the dotless i, the long s, ligatures)."""
+    return frozenset(chr(c).upper()[0] for c in range(0x80, 0x20000) if chr(c).upper()[0].isascii())
+
+
+def folded_in(column: Column, values: Sequence[str]) -> Column:
+    """Whether a text column is one of ``values`` without case.
+
+    Every spelling of an ASCII text lies between its capitals and its small letters. These
+    bounds are plain comparisons, so a scan can skip what they exclude.
+    """
+    hit = F.upper(column).isin([v.upper() for v in values])
+    if not values or not all(v.isascii() for v in values):
+        return hit
+
+    def high(v: str) -> str:
+        at = next((i for i, c in enumerate(v.upper()) if c in _widened_letters()), None)
+        return v.lower() if at is None else v[:at].lower() + "\U0010ffff"
+
+    return (column >= F.lit(min(v.upper() for v in values))) & (column <= F.lit(max(map(high, values)))) & hit
+
+
 class _Leaf:
     """A field as compared with a value: whether its value can be read as the value's type, and how."""
 
@@ -226,17 +249,12 @@ def _subnet(column: Column, cidr: str) -> Column:
         low, number = int(net.network_address), ipv4_number(F.trim(column))
         return number.between(low, low + net.num_addresses - 1)
 
-    @F.pandas_udf("boolean")
-    def inside(texts: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return ipaddress.ip_address(x.strip()) in net
-            except (ValueError, AttributeError):
-                return False
-
-        return texts.map(one)
-
-    return inside(column.cast("string"))
+    high, low = ipv6_halves(F.trim(column.cast("string")))
+    halves = lambda n: ((int(n) >> 64) - (1 << 63), (int(n) & (1 << 64) - 1) - (1 << 63))  # noqa: E731  signed order
+    (first_high, first_low), (last_high, last_low) = halves(net.network_address), halves(net.broadcast_address)
+    if net.prefixlen <= 64:
+        return high.between(first_high, last_high)
+    return (high == first_high) & low.between(first_low, last_low)
 
 
 def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
@@ -308,6 +326,13 @@ def _built(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
 def _filter(p: Predicate, df: DataFrame) -> Column:
     """The condition for a filter, where null and false are one: conjuncts stay plain, so that they reach the scan."""
     if p.kind == "Comparison":
+        texts = [v for v in p.values if isinstance(v, str)]
+        if p.operator in ("Equal", "In") and p.ignore_case and len(texts) == len(p.values):
+            column = resolve(df, p.field)
+            if p.field.lower() == "type" and "type_key" in df.columns:  # a store keeps the type in capitals
+                return F.col("type_key").isin([v.upper() for v in texts])
+            if isinstance(df.select(column.alias("x")).schema["x"].dataType, T.StringType):
+                return folded_in(column, texts)
         return _leaf(p, df)[0]
     if p.kind == "Not":
         return ~_built(p.children[0], df)[0]

@@ -39,10 +39,10 @@ ALIASES = {
 }
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """``df`` cast to the canonical row; columns that it lacks are null."""
+def canonical(df: DataFrame, *payload_columns: str) -> DataFrame:
+    """``df`` cast to the canonical row; columns that it lacks are null. ``payload_columns`` stay behind it."""
     have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(f"`{have[f.name]}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in CANONICAL.fields])
+    return df.select(*[(F.col(f"`{have[f.name]}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in CANONICAL.fields], *payload_columns)
 
 
 #: Event codes of the application event types.
@@ -50,7 +50,11 @@ APP_CODES = (("click", 1001), ("error", 1002), ("purchase", 1003), ("signup", 10
 
 
 def from_app_events(events: DataFrame) -> DataFrame:
-    """Canonical rows of an application event table (event_id, ts, user_id, event_type, value, props)."""
+    """Canonical rows of an application event table (event_id, ts, user_id, event_type, value, props).
+
+    The payload also stays in columns of its own, value and k: ``resolve`` prefers them to
+    the map, so filters on them reach the scan and nobody reads what they do not name.
+    """
     code = F.coalesce(*[F.when(F.col("event_type") == name, number) for name, number in APP_CODES])
     bad = F.col("event_type") == "error"
     made = events.select(
@@ -58,8 +62,9 @@ def from_app_events(events: DataFrame) -> DataFrame:
         F.lit("Application").alias("source_log"), F.lit("Application").alias("container_log"), F.col("user_id").cast("string").alias("source_computer"), F.lit("collector").alias("collector_computer"),
         F.when(bad, "Error").otherwise("Information").alias("level"), F.when(bad, 2).otherwise(4).cast("smallint").alias("level_value"),
         F.map_from_arrays(F.array(F.lit("value"), F.lit("k")), F.array(F.col("value").cast("string"), F.get_json_object("props", "$.k"))).alias("values"),
+        F.col("value"), F.get_json_object("props", "$.k").alias("k"),
     )
-    return canonical(made)
+    return canonical(made, "value", "k")
 
 
 def payload(key: str, column: str = "values") -> Column:

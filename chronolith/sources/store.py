@@ -1,16 +1,19 @@
 """The history store: Parquet tables by day, written once, read with pushed-down filters.
 
 A row's key is the hash of what identifies it, so writing the same rows again adds
-nothing. Checkpoints are rows of their own and move by compare-and-set.
+nothing. Checkpoints are files, a version each, and move by compare-and-set.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +41,17 @@ class Store:
         try:
             return self.spark.read.parquet(f"{self.path}/{name}")
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):  # none yet, or all pruned
                 return None
             raise
 
     def write(self, rows: DataFrame) -> None:
-        """Adds rows that the store has not. Only the days that come are read for comparison."""
+        """Adds rows that the store has not, for one writer at a time. Only the days that come are read for comparison.
+
+        ``type_key``, the type in capitals, is stored for filters without case.
+        """
+        self._mend()
+        rows = rows.withColumn("type_key", F.upper("type"))
         made = rows.withColumn("event_key", event_key()).dropDuplicates(["event_key"]).withColumn("day", F.to_date("time_created"))
         had = self._table("events")
         if had is not None:
@@ -53,6 +61,7 @@ class Store:
 
     def read(self, predicate: Predicate | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Stored rows; a time range prunes days before anything is read."""
+        self._mend()
         rows = self._table("events")
         if rows is None:
             raise ValueError("the store has no events")
@@ -63,28 +72,52 @@ class Store:
         return rows if predicate is None else rows.where(compile_predicate(predicate, rows))
 
     def prune(self, before: datetime, types: list[str] | None = None) -> None:
-        """Forgets rows before a time, of all types or some; days are rewritten one by one, whole days before the cutoff dropped."""
+        """Forgets rows before a time, of all types or some.
+
+        The rows that stay are written first, beside the day they come from, and a day is then
+        swapped by two renames. A run that dies in between is finished by the next ``prune``,
+        ``write`` or ``read``: at every moment a day lies whole in one of the two places.
+        """
+        self._mend()
         rows = self._table("events")
+        if rows is None:
+            return
         gone = F.col("time_created") < F.lit(before)
         if types is not None:
             gone = gone & F.upper("type").isin([t.upper() for t in types])
         days = [r["day"] for r in rows.where(F.col("day") <= F.lit(before.date())).where(gone).select("day").distinct().collect()]
         if not days:
             return
-        staged = f"{self.path}/_pruned"
-        touched = rows.where(F.col("day").isin(days))
-        touched.where(~F.coalesce(gone, F.lit(False))).write.mode("overwrite").partitionBy("day").parquet(staged)
-        kept = self.spark.read.schema(rows.schema).parquet(staged)
-        self._replace_days(kept, days)
-
-    def _replace_days(self, kept: DataFrame, days: list) -> None:
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        rows.where(F.col("day").isin(days)).where(~F.coalesce(gone, F.lit(False))).write.partitionBy("day").parquet(staged)
+        fs, path = self._files()
+        swap = path(f"{self.path}/swap.txt")
+        out = fs.create(path(f"{self.path}/swap.new"), True)
+        out.write(bytearray("\n".join([staged.rpartition("/")[2], *map(str, days)]).encode()))
+        out.close()
+        fs.rename(path(f"{self.path}/swap.new"), swap)  # from here on the swap is decided
+        self._mend()
+
+    def _files(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(conf), path
+
+    def _mend(self) -> None:
+        """Finishes a decided swap of days; a staged folder that no swap names was never decided and stays unread."""
+        fs, path = self._files()
+        swap = path(f"{self.path}/swap.txt")
+        if not fs.exists(swap):
+            return
+        staged, *days = [r["value"] for r in self.spark.read.text(f"{self.path}/swap.txt").collect()]  # a line a day
         for day in days:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/events/day={day}")
-            path.getFileSystem(conf).delete(path, True)
-        kept.write.mode("append").partitionBy("day").parquet(f"{self.path}/events")
-        staged = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pruned")
-        staged.getFileSystem(conf).delete(staged, True)
+            made, place, old = path(f"{self.path}/{staged}/day={day}"), path(f"{self.path}/events/day={day}"), path(f"{self.path}/{staged}/_old-{day}")
+            if fs.exists(place) and not fs.exists(old):
+                fs.rename(place, old)
+            if fs.exists(made) and not fs.exists(place):
+                fs.rename(made, place)
+        fs.delete(swap, False)
+        fs.delete(path(f"{self.path}/{staged}"), True)
 
     def detect(self, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Findings over stored rows; the ids or types that the rules allow, and the days, are filters of the scan."""
@@ -129,35 +162,75 @@ class Store:
         rows = self._table("findings")
         return rows if entity is None else rows.where(F.array_contains("evidence", entity))
 
+    def _checkpoint(self, name: str) -> tuple[int, str | None]:
+        """(version, position) of a checkpoint, from the last of its files; version 0 if there is none."""
+        fs, path = self._files()
+        folder = path(f"{self.path}/checkpoints/name={quote(name, safe='')}")
+        if not fs.exists(folder):
+            return 0, None
+        last = max((int(f.getPath().getName()[1:-5]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("v")), default=0)
+        if not last:
+            return 0, None
+        return last, json.loads(self.spark.read.text(f"{folder.toString()}/v{last}.json", wholetext=True).first()["value"])["position"]
+
     def checkpoint(self, name: str) -> str | None:
-        rows = self._table("checkpoints")
-        if rows is None:
-            return None
-        last = rows.where(F.col("name") == name).orderBy(F.col("version").desc()).first()
-        return last["position"] if last else None
+        return self._checkpoint(name)[1]
 
     def move_checkpoint(self, name: str, expected: str | None, position: str) -> bool:
-        """Moves a checkpoint from ``expected``; False if it is elsewhere by now."""
-        if self.checkpoint(name) != expected:
+        """Moves a checkpoint from ``expected``; False if it is elsewhere by now.
+
+        Each version is a file that only one writer can create, so of two that saw the same
+        version one wins; that needs a file system whose create without overwriting is atomic.
+        """
+        version, now = self._checkpoint(name)
+        if now != expected:
             return False
-        rows = self._table("checkpoints")
-        version = 0 if rows is None else rows.where(F.col("name") == name).count()
-        self.spark.createDataFrame([(name, version, position)], "name string, version long, position string").coalesce(1).write.mode("append").parquet(f"{self.path}/checkpoints")
+        fs, path = self._files()
+        target = path(f"{self.path}/checkpoints/name={quote(name, safe='')}/v{version + 1}.json")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            if "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"name": name, "version": version + 1, "position": position}).encode()))
+        out.close()
         return True
 
+    def _checkpoints(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema("name string, version long, position string").option("recursiveFileLookup", True).json(f"{self.path}/checkpoints")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
     def backup(self, target: str) -> dict[str, str]:
         """Copies every table and returns each one's count and hash."""
+        self._mend()
         out = {}
-        for name in ("events", "findings", "checkpoints", "definitions"):
+        for name in ("events", "findings", "definitions"):
             rows = self._table(name)
             if rows is not None:
                 (rows.write.partitionBy("day") if name == "events" else rows.write).mode("overwrite").parquet(f"{target}/{name}")
                 out[name] = digest(rows)
+        moved = self._checkpoints()
+        if moved is not None:
+            copy = Store(self.spark, target)
+            for r in moved.groupBy("name").agg(F.max_by("position", "version").alias("position")).collect():  # a row a checkpoint
+                copy.move_checkpoint(r["name"], copy.checkpoint(r["name"]), r["position"])
+            out["checkpoints"] = digest(moved.groupBy("name").agg(F.max_by("position", "version").alias("position")))
         return out
 
     def verify(self, expected: dict[str, str]) -> bool:
         """Whether the tables are those of a backup."""
-        return all((rows := self._table(n)) is not None and digest(rows) == d for n, d in expected.items())
+        for name, known in expected.items():
+            rows = self._checkpoints() if name == "checkpoints" else self._table(name)
+            if rows is not None and name == "checkpoints":
+                rows = rows.groupBy("name").agg(F.max_by("position", "version").alias("position"))
+            if rows is None or digest(rows) != known:
+                return False
+        return True
 
 
 def digest(rows: DataFrame) -> str:

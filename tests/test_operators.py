@@ -246,3 +246,54 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["detect", f"{tmp_path}/rows"], spark) == 0
     assert cli.main(["types"], spark) == 0 and "ADUserLogon" in capsys.readouterr().out
     assert cli.main(["store", f"{tmp_path}/rows", f"file://{tmp_path}/st"], spark) == 0 and store.Store(spark, f"file://{tmp_path}/st").read().count() == 9
+
+
+def test_prune_survives_a_crash(spark, tmp_path, monkeypatch):
+    rows = event_rows(spark, [(i, at(i * 40_000), "a" if i % 2 else "b") for i in range(10)], "record_id long, time_created timestamp, type string")
+    ids = lambda s: sorted(r["record_id"] for r in s.read().collect())
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.write(rows)
+    real = store.Store._mend
+    calls = []
+
+    def dies(self):
+        calls.append(1)
+        if len(calls) == 2:  # the swap is decided, nothing has moved
+            raise RuntimeError("lost")
+        real(self)
+
+    monkeypatch.setattr(store.Store, "_mend", dies)
+    with pytest.raises(RuntimeError):
+        s.prune(at(200_000), ["A"])
+    monkeypatch.setattr(store.Store, "_mend", real)
+    assert ids(store.Store(spark, f"file://{tmp_path}/s")) == [0, 2, 4, 5, 6, 7, 8, 9]
+    s.prune(at(400_000))
+    assert not (tmp_path / "s" / "swap.txt").exists()
+
+    s.write(rows)
+    fs, path = s._files()
+    staged = tmp_path / "s" / "_staged-x" / "day=2024-01-01"  # a run that died before its swap was decided
+    staged.mkdir(parents=True)
+    assert ids(s) == list(range(10))
+
+
+def test_two_writers_of_a_checkpoint(spark, tmp_path, monkeypatch):
+    a, b = (store.Store(spark, f"file://{tmp_path}/s") for _ in "ab")
+    assert a.move_checkpoint("c/1", None, "1")
+    seen = b._checkpoint("c/1")
+    monkeypatch.setattr(b, "_checkpoint", lambda name: seen)  # b read before a moved on
+    assert a.move_checkpoint("c/1", "1", "2") and not b.move_checkpoint("c/1", "1", "3") and a.checkpoint("c/1") == "2" and a.checkpoint("other") is None
+
+
+def test_transport_and_representative(spark):
+    ddl = "record_id long, source_computer string, source_log string, container_log string, collector_computer string, provider string, event_id int, time_created timestamp, values map<string,string>"
+    rows = event_rows(spark, [
+        (1, "pc", "Sec", "ForwardedEvents", "hub", "p", 5, at(0), {"a": "1", "b": "2"}), (1, " PC ", "sec", "Sec", "pc", "P", 5, at(0), {"a": "1", "b": " "}),
+        (2, "pc", "Sec", "ForwardedEvents", "hub", "p", 5, at(1), {"a": "1"}), (2, "pc", "Sec", "sec", "PC", "p", 5, at(1), {"a": "1"}),
+        (3, " ", "Sec", "Sec", "pc", "p", 5, at(2), {}), (3, " ", "Sec", "x", "pc", "p", 5, at(2), {}), (None, "pc", "Sec", "Sec", "pc", "p", 5, at(3), None), (4, "pc", None, "Sec", "pc", "p", 5, at(3), None), (4, "pc", None, "y", "pc", "p", 5, at(3), None),
+    ], ddl)
+    got = sorted(((r["record_id"], r["container_log"], r["copies"]) for r in occurrences.representative(occurrences.transport(rows)).collect()), key=str)
+    assert got == sorted([(1, "ForwardedEvents", 2), (2, "sec", 2), (3, "Sec", 1), (3, "x", 1), (None, "Sec", 1), (4, "Sec", 1), (4, "y", 1)], key=str)
+    whole, passed = occurrences.bounded(rows, occurrences.transport)
+    assert whole.count() == 9 and passed == []
+    assert [x if i else x.count() for i, x in enumerate(occurrences.bounded(rows, occurrences.transport, max_observations=8, max_groups=6))] == [0, ["groups", "observations"]]
