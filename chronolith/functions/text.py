@@ -110,3 +110,26 @@ def normalize_ip(text: Column) -> Column:
 def correlation_id(*parts: Column) -> Column:
     """16 hex digits that identify a tuple of texts."""
     return F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256), 1, 16)
+
+
+def joined_values(first: Column, second: Column, between: str = "\\", swapped: bool = False) -> Column:
+    """Two payload values with a separator, in either order; the one that is there if the other is null; empty if both are."""
+    both = F.concat(second, F.lit(between), first) if swapped else F.concat(first, F.lit(between), second)
+    return F.coalesce(both, first, second, F.lit(""))
+
+
+def contains_all(text: Column, *parts: str) -> Column:
+    """Whether a text holds every part, without case; a null text holds none."""
+    folded = F.upper(text)
+    out = F.lit(True)
+    for p in parts:
+        out = out & folded.contains(p.upper())
+    return F.coalesce(out, F.lit(False))
+
+
+def snake_keys(payload: Column) -> Column:
+    """A payload map with its keys in snake case; of keys that become equal the first stays."""
+    words = lambda k: F.regexp_replace(F.regexp_replace(k, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
+    entries = F.transform(F.map_entries(payload), lambda e: F.struct(F.lower(F.trim(F.regexp_replace(words(e["key"]), r"[^A-Za-z0-9]+", "_"), F.lit("_"))).alias("key"), e["value"].alias("value")))
+    first = F.aggregate(entries, F.filter(entries, lambda _: F.lit(False)), lambda seen, e: F.when(F.exists(seen, lambda x: x["key"] == e["key"]), seen).otherwise(F.concat(seen, F.array(e))))
+    return F.map_from_entries(first)

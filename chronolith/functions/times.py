@@ -77,6 +77,16 @@ def parse_utc(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+#: Orders of date parts that ``parse_loose`` tries behind ISO forms: month first, as text without a culture is read.
+_LOOSE = ("M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d", "d MMM yyyy H:mm:ss", "d MMM yyyy", "d MMM yyyy H:mm:ss 'GMT'")
+
+
+def parse_loose(text: Column) -> Column:
+    """An instant from text of one of several common forms, direction marks left out; null if none fits."""
+    plain = F.trim(F.regexp_replace(text, r"\p{Cf}|^\s*[A-Za-z]{3},\s*", ""))  # marks, and a day's name before a date
+    return F.coalesce(F.try_to_timestamp(plain), *[F.try_to_timestamp(plain, F.lit(f)) for f in _LOOSE])
+
+
 def calendar_start(time: Column, unit: str, zone: str = "UTC") -> Column:
     """The instant at which the hour, day, ISO week or month of ``time`` begins in ``zone``."""
     if unit == "Hour":  # an hour keeps its own offset, also where clocks are set back

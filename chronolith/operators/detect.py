@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 
 from chronolith.operators.predicates import compile_predicate, compile_with_error, folded_in, guaranteed
 from chronolith.operators.rules import Pack, Rule, Selector, Suppression
-from chronolith.schema import resolve
+from chronolith.operators.timeline import pivots
+from chronolith.schema import observed, resolve
 
 FINDINGS = "rule_id string, group_value string, status string, event_us long, evidence array<string>"
 
@@ -279,6 +280,22 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     return out.unionByName(fired).unionByName(lacking).select(*columns)
 
 
+def described(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Findings with what their rule says: title, severity (after tuning), confidence and tags; null for findings of no rule."""
+    shown = [(r.rule_id, r.title, r.severity, r.confidence, list(r.tags)) for r in rules]
+    table = findings.sparkSession.createDataFrame(shown, "rule_id string, title string, severity string, confidence int, tags array<string>")
+    return findings.join(F.broadcast(table), "rule_id", "left")  # a row a rule
+
+
+def entities(findings: DataFrame, rows: DataFrame) -> DataFrame:
+    """Findings with start_time and end_time of their evidence, and entities: its distinct (kind, value) pivots and the group."""
+    seen = observed(rows.withColumn("_id", F.col("observation_identity"))).select(F.col("_id").alias("identity"), "time_created", pivots(F.col("fields")).alias("p"))
+    keyed = findings.withColumn("_finding", F.sha2(F.to_json(F.struct("rule_id", "group_value", "status", "event_time", "evidence")), 256))
+    found = keyed.select("_finding", F.explode("evidence").alias("identity")).distinct().join(seen, "identity")
+    per = found.select("_finding", "time_created", F.explode_outer("p").alias("e")).groupBy("_finding").agg(F.min("time_created").alias("start_time"), F.max("time_created").alias("end_time"), F.array_sort(F.collect_set("e")).alias("entities"))
+    return keyed.join(per, "_finding", "left").drop("_finding")
+
+
 def _failure_times(rows: DataFrame, rules: Sequence[Rule]) -> dict[str, tuple[datetime, str]]:
     """For each rule whose predicates fail on a row: (time, identity) of the first such row. One aggregate over the rows."""
     failing = {}

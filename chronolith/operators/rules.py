@@ -40,11 +40,12 @@ class Rule:
     steps: tuple[Selector, ...] = ()
     tags: tuple[str, ...] = ()
     enabled: bool = True
+    confidence: int = 50  # from 0 to 100
 
     def check(self) -> None:
         """Raises ValueError where the rule is malformed."""
-        if self.kind not in KINDS or self.severity not in SEVERITIES or not self.rule_id:
-            raise ValueError(f"rule {self.rule_id!r}: kind {self.kind!r}, severity {self.severity!r}")
+        if self.kind not in KINDS or self.severity not in SEVERITIES or not self.rule_id or not 0 <= self.confidence <= 100:
+            raise ValueError(f"rule {self.rule_id!r}: kind {self.kind!r}, severity {self.severity!r}, confidence {self.confidence!r}")
         if self.kind in ("Threshold", "DistinctValue") and self.threshold < 2 or self.kind == "DistinctValue" and not self.distinct_by:
             raise ValueError(f"rule {self.rule_id}: a threshold of 2 at least, and the field that must differ")
         if self.kind != "Stateless" and self.window_seconds <= 0:
@@ -151,12 +152,27 @@ def compare_packs(old: Pack, new: Pack) -> dict[str, list[str]]:
     return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "changed": sorted(k for k in a.keys() & b.keys() if a[k] != b[k])}
 
 
+#: Confidence of the built-in rules, in order of their numbers; there is no ENDPOINT-0011.
+_CONFIDENCE = {
+    "EVENTING": (99, 95, 85, 90, 95, 75),
+    "IDENTITY": (80, 75, 90, 85, 80, 80, 80, 90, 75),
+    "AUTH": (95, 70, 65, 90, 90, 75, 95, 95, 90, 100),
+    "GOVERNANCE": (90, 80, 95, 90, 85, 85, 90, 90),
+    "ENDPOINT": (95, 80, 75, 70, 95, 75, 80, 85, 80, 80, None, 65),
+}
+
+
+def _sure(rule_id: str) -> int:
+    family, number = rule_id.rsplit("-", 1)
+    return _CONFIDENCE[family][int(number) - 1]
+
+
 def _on(rule_id: str, title: str, severity: str, type_: str, *tags: str, predicate: Predicate | None = None) -> Rule:
-    return Rule(rule_id, title, "Stateless", severity, Selector(types=(type_,), predicate=predicate), tags=tags)
+    return Rule(rule_id, title, "Stateless", severity, Selector(types=(type_,), predicate=predicate), tags=tags, confidence=_sure(rule_id))
 
 
 def _burst(rule_id: str, title: str, type_: str, threshold: int, seconds: int, *tags: str) -> Rule:
-    return Rule(rule_id, title, "Threshold", "Medium", Selector(types=(type_,)), threshold, seconds, "ObjectAffected", tags=tags)
+    return Rule(rule_id, title, "Threshold", "Medium", Selector(types=(type_,)), threshold, seconds, "ObjectAffected", tags=tags, confidence=_sure(rule_id))
 
 
 _WEAK = any_of(compare("WeakEncryptionAlgorithm", "Equal", True), compare("WeakSessionKeyEncryptionAlgorithm", "Equal", True))
@@ -185,7 +201,7 @@ BUILT_IN = (
     Pack("authentication", "1.0.0", (
         _on("AUTH-0001", "NTLMv1 authentication observed", "Medium", "ADUserLogonNTLMv1", "authentication", "ntlmv1", "attack.t1557"),
         _burst("AUTH-0002", "Repeated failed logons by account", "ADUserLogonFailed", 5, 300, "authentication", "password-spray", "attack.t1110"),
-        Rule("AUTH-0003", "Failed logon followed by successful logon", "OrderedTemporal", "Medium", window_seconds=600, group_by="ObjectAffected", steps=(Selector(types=("ADUserLogonFailed",)), Selector(types=("ADUserLogon", "ADUserLogonNTLMv1"))), tags=("authentication", "account-compromise", "attack.t1078")),
+        Rule("AUTH-0003", "Failed logon followed by successful logon", "OrderedTemporal", "Medium", window_seconds=600, group_by="ObjectAffected", steps=(Selector(types=("ADUserLogonFailed",)), Selector(types=("ADUserLogon", "ADUserLogonNTLMv1"))), tags=("authentication", "account-compromise", "attack.t1078"), confidence=_sure("AUTH-0003")),
         _on("AUTH-0004", "Weak Kerberos TGT or session-key encryption observed", "Medium", "KerberosTGTRequest", "authentication", "kerberos-weak-encryption", "attack.t1558", predicate=_WEAK),
         _on("AUTH-0005", "Weak Kerberos service-ticket or session-key encryption observed", "Medium", "KerberosServiceTicket", "authentication", "kerberos-weak-encryption", "attack.t1558", predicate=_WEAK),
         _burst("AUTH-0006", "Repeated Kerberos ticket failures", "KerberosTicketFailure", 5, 300, "authentication", "kerberos", "attack.t1110"),

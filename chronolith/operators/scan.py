@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.text import wildcard_regex
-from chronolith.operators.predicates import Predicate, compile_predicate
+from chronolith.operators.predicates import Predicate, compile_predicate, folded_in
 from chronolith.schema import COMMON, payload
 
 #: What each read mode takes of a row.
@@ -32,6 +32,30 @@ def merged(sources: Sequence[DataFrame], newest_first: bool = True, limit: int |
     return rows.limit(limit) if limit is not None else rows
 
 
+def raw_order(rows: DataFrame) -> DataFrame:
+    """Rows in the order of raw events: time, record id (null first), provider, log, computer, id."""
+    return rows.orderBy("time_created", F.col("record_id").asc_nulls_first(), "provider", "source_log", "source_computer", "event_id")
+
+
+def forwarded(rows: DataFrame, sources: dict[str, tuple[set[int], set[str]]], computers: Sequence[str] = ()) -> DataFrame:
+    """Rows that a collector holds for other logs: kept in ForwardedEvents, and from a log, id and provider that ``sources`` asks for.
+
+    ``computers`` limits the computers that they come from; texts compare without case.
+    """
+    kept = folded_in(F.col("container_log"), ["ForwardedEvents"])
+    if computers:
+        kept = kept & folded_in(F.col("source_computer"), computers)
+    parts = []
+    for log, (ids, providers) in sources.items():
+        part = folded_in(F.col("source_log"), [log])
+        if ids:
+            part = part & F.col("event_id").isin(sorted(ids))
+        if providers:
+            part = part & folded_in(F.col("provider"), sorted(providers))
+        parts.append(part)
+    return rows.where(kept & reduce(lambda a, b: a | b, parts, F.lit(False)))
+
+
 def limited(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(at most ``limit`` rows, one row that tells whether there were more)."""
     probe = rows.limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("limit_reached"))

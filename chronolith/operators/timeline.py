@@ -142,3 +142,9 @@ def attempts(rows: DataFrame, keys: Sequence[str], starts: Column, ends: Column)
 def observed_windows(rows: DataFrame) -> DataFrame:
     """(collector_computer, source_log, start, end, events): what a collection covered, by its first and last event."""
     return rows.groupBy("collector_computer", "source_log").agg(F.min("time_created").alias("start"), F.max("time_created").alias("end"), F.count(F.lit(1)).alias("events"))
+
+
+def evidence_rows(findings: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows behind findings: (rule_id, event_time, position) and the columns of ``rows``, found by observation_identity."""
+    wanted = findings.select("rule_id", "event_time", F.posexplode("evidence").alias("position", "observation_identity"))
+    return wanted.join(rows, "observation_identity")

@@ -234,12 +234,6 @@ def _(spark, d):
     return occurrences.none(rows.unionByName(rows)).select("record_id", F.substring_index("occurrence", "-", -1).cast("int").alias("n"))
 
 
-@query("occ_semantic")
-def _(spark, d):
-    rows = events(spark, d).withColumn("values", F.map_concat("values", F.create_map(F.lit("CorrelationId"), payload("k"))))
-    return occurrences.semantic(rows, 600).groupBy("occurrence").agg(F.count(F.lit(1)).alias("rows"), F.min("time_created").alias("first_seen"))
-
-
 @query("occ_reassemble", """WITH f AS (SELECT conv_id, turn + 1 AS n, min(text) AS text FROM conversations WHERE turn >= 0 GROUP BY 1, 2)
 SELECT conv_id AS script_block_id, md5(string_agg(coalesce(text, ''), '' ORDER BY n)) AS script_md5, count(*) AS parts, count(*) = max(n) AS complete FROM f GROUP BY 1""")
 def _(spark, d):
@@ -361,26 +355,6 @@ def _steps(*types: str) -> tuple[rules.Selector, ...]:
     return tuple(rules.Selector(types=(t,)) for t in types)
 
 
-@query("detect_distinct")
-def _(spark, d):
-    return detect.evaluate(identified(spark, d), [rules.Rule("ks", kind="DistinctValue", selector=rules.Selector(types=("click",)), threshold=3, window_seconds=432000, group_by="source_computer", distinct_by="k")])
-
-
-@query("detect_temporal")
-def _(spark, d):
-    return detect.evaluate(identified(spark, d), [rules.Rule("any", kind="Temporal", steps=_steps("view", "click", "purchase"), window_seconds=259200, group_by="source_computer")])
-
-
-@query("detect_ordered")
-def _(spark, d):
-    return detect.evaluate(identified(spark, d), [rules.Rule("order", kind="OrderedTemporal", steps=_steps("view", "click", "purchase"), window_seconds=259200, group_by="source_computer")])
-
-
-@query("detect_absence")
-def _(spark, d):
-    return detect.evaluate(identified(spark, d), [rules.Rule("silent", kind="Absence", steps=_steps("signup", "purchase"), window_seconds=259200, group_by="source_computer")])
-
-
 @query("detect_explain", _EVENTS + "SELECT record_id, type = 'error' AS type_ok, value > 50 AS predicate_ok FROM c")
 def _(spark, d):
     rule = rules.Rule("x", selector=rules.Selector(types=("error",), predicate=p.Field("value") > 50))
@@ -393,12 +367,6 @@ def _(spark, d):
     return detect.impact(identified(spark, d), rule(50), rule(80)).select("change", F.get("evidence", F.lit(0)).cast("long").alias("record_id"))
 
 
-@query("detect_pack_coverage", "SELECT count(*) AS needed, count(*) FILTER (false) AS seen FROM generate_series(1, 46)")
-def _(spark, d):
-    out = detect.coverage(rules.BUILT_IN, events(spark, d).select("type"))
-    return out.agg(F.count(F.lit(1)).alias("needed"), F.count_if("observed").alias("seen"))
-
-
 @query("detect_isolated", _EVENTS + "SELECT 'good' AS rule_id, 'Matched' AS status, record_id FROM c WHERE type = 'error' UNION ALL SELECT 'bad', 'Error', arg_min(record_id, time_created) FROM c WHERE type = 'view'")
 def _(spark, d):
     made = [rules.Rule("good", selector=rules.Selector(types=("error",))), rules.Rule("bad", selector=rules.Selector(types=("view",), predicate=p.compare("type", "GreaterThan", 5)))]
@@ -476,12 +444,6 @@ def _(spark, d):
     return reports.failed_logons(windows_log(spark, d))
 
 
-@query("report_user_logons", """WITH f AS (SELECT * FROM events WHERE event_type IN ('error', 'click')), r AS (SELECT 'computer' AS dimension, CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM f GROUP BY 2
-UNION ALL SELECT 'event_id', CASE event_type WHEN 'click' THEN '4624' ELSE '4625' END, count(*) FROM f GROUP BY 2) SELECT dimension, value, count FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY count DESC, value) AS n FROM r) WHERE n <= 5""")
-def _(spark, d):
-    return reports.user_logons(windows_log(spark, d), 5).where("dimension IN ('computer', 'event_id')")
-
-
 @query("report_lockouts", "SELECT 'target_user' AS dimension, 'user' || user_id AS value, count(*) AS count FROM events WHERE event_type = 'purchase' GROUP BY 2 UNION ALL SELECT 'computer', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_type = 'purchase' GROUP BY 2 UNION ALL SELECT 'caller', 'DOM', count(*) FROM events WHERE event_type = 'purchase'")
 def _(spark, d):
     return reports.lockouts(windows_log(spark, d))
@@ -573,11 +535,20 @@ def _(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or on one machine in a folder that goes with the process."""
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chronolith-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="chronolith-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("store_round_trip", _EVENTS + "SELECT type, count(*) AS count, max(time_created) AS last_seen FROM c WHERE time_created >= TIMESTAMP '2024-01-05' AND type <> 'view' GROUP BY 1")
@@ -612,6 +583,9 @@ def _(spark, d):
     return rows.agg(F.countDistinct("observation_identity").alias("identities"), F.count_if(F.col("fields")["SourceComputer"] == F.col("source_computer")).alias("rows"))
 
 
+from chronolith.plans import more  # noqa: E402,F401 (registers its queries; it needs the helpers above)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

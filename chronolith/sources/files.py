@@ -81,6 +81,23 @@ def read_framed_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("value").rlike(_FRAME)).select("file", part(1).alias("text"), time.alias("time"), part(8).alias("component"), part(9).alias("context"), part(10).try_cast("int").alias("type"), part(11).try_cast("int").alias("thread"))
 
 
+#: A line of a plain log that begins a record: a time and, behind it, perhaps a level.
+_PLAIN = r"(?i)^\[?(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(?:[.,]\d{1,6})?(?:Z|[+-]\d\d:?\d\d)?)\]?\s*(?:[:|-]?\s*\[?(TRACE|DEBUG|INFO|INFORMATION|WARN|WARNING|ERROR|FATAL|CRITICAL)\]?)?[\s:|-]*(.*)$"
+
+
+def read_plain_log(spark: SparkSession, path: str, encoding: str = "UTF-8", after: str | None = None) -> DataFrame:
+    """(file, line, time, level, text) of the lines of plain text logs that begin with a time.
+
+    ``after`` resumes behind the newest time that was read (``yyyy-MM-dd HH:mm:ss``). Lines
+    without a time belong to no record of their own and are left out.
+    """
+    lines = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
+    part = lambda n: F.regexp_extract("value", _PLAIN, n)
+    time = F.try_to_timestamp(F.regexp_replace(part(1), ",", "."))
+    out = lines.where(F.col("value").rlike(_PLAIN)).select(F.input_file_name().alias("file"), time.alias("time"), F.nullif(F.upper(part(2)), F.lit("")).alias("level"), part(3).alias("text"))
+    return out if after is None else out.where(F.col("time") > F.lit(after).cast("timestamp"))
+
+
 def script_context(text: Column) -> Column:
     """A map of the ``key=value`` lines of a script event's context."""
     lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.instr(x, "=") > 1)
@@ -94,13 +111,14 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, kind: str) -> None:
-    """Writes rows as csv, jsonl or xml; Spark commits a folder as a whole."""
+    """Writes rows as csv, jsonl or xml, times to the microsecond; Spark commits a folder as a whole."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     if kind == "csv":
-        flat(rows).write.option("header", True).option("escape", '"').csv(path)
+        flat(rows).write.option("header", True).option("timestampFormat", exact).option("escape", '"').csv(path)
     elif kind == "jsonl":
-        rows.write.json(path)
+        rows.write.option("timestampFormat", exact).json(path)
     elif kind == "xml":
-        flat(rows).write.format("xml").option("rootTag", "Events").option("rowTag", "Event").save(path)
+        flat(rows).write.format("xml").option("timestampFormat", exact).option("rootTag", "Events").option("rowTag", "Event").save(path)
     else:
         raise ValueError(f"no export {kind!r}")
 

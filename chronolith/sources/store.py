@@ -71,6 +71,10 @@ class Store:
             rows = rows.where((F.col("day") <= F.lit(end.date())) & (F.col("time_created") <= F.lit(end)))
         return rows if predicate is None else rows.where(compile_predicate(predicate, rows))
 
+    def newest(self, limit: int, predicate: Predicate | None = None, **span: datetime) -> DataFrame:
+        """The last rows in stored order: time, record id, key."""
+        return self.read(predicate, **span).orderBy(F.col("time_created").desc(), F.col("record_id").desc_nulls_last(), F.col("event_key").desc()).limit(limit)
+
     def prune(self, before: datetime, types: list[str] | None = None) -> None:
         """Forgets rows before a time, of all types or some.
 

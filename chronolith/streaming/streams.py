@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,6 +98,51 @@ def rule_findings(rows: DataFrame, rule: Rule, delay: str = "10 minutes") -> Dat
     return hits.groupBy("rule_id", "group_value").applyInPandasWithState(step, _FINDING, "machine binary, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def lacking(rows: DataFrame, rule: Rule, delay: str = "10 minutes") -> DataFrame:
+    """(rule_id, status, field, event_time): one Incomplete finding for each field that rows of a rule lack, within the watermark."""
+    hits = matches(rows.withWatermark("time_created", delay), [rule]).where("missing IS NOT NULL")
+    once = hits.select("rule_id", F.lit("Incomplete").alias("status"), F.col("missing").alias("field"), "time_created").dropDuplicatesWithinWatermark(["rule_id", "field"])
+    return once.withColumnRenamed("time_created", "event_time")
+
+
+def split_late(rows: DataFrame, watermark: datetime) -> DataFrame:
+    """``rows`` with late: whether a row is older than a watermark (one on it is in time). Nothing is dropped."""
+    return rows.withColumn("late", F.coalesce(F.col("time_created") < F.lit(watermark), F.lit(False)))
+
+
+def reporting_late(rows: DataFrame, handle: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None, allowed: timedelta, store: Store, name: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Hands each batch's rows to ``handle`` and late ones to ``late``; without ``late`` a late row fails the stream.
+
+    Late is what is older than the newest time of the batches before, less ``allowed``; that
+    time is the store's checkpoint ``name``, so a restarted stream judges alike.
+    """
+
+    def step(df: DataFrame, batch: int) -> None:
+        held = df.persist()
+        try:
+            now = store.checkpoint(name)
+            before, newest = (int(x) if x else None for x in (now or ",").split(","))
+            if newest is not None and before is not None and before >= batch:  # the batch runs again: its own newest time does not count
+                raise ValueError(f"batch {batch} of {name!r} was done before")
+            if newest is None:
+                handle(held, batch)
+            else:
+                marked = split_late(held, datetime.fromtimestamp(newest / 1e6, timezone.utc) - allowed)
+                behind = marked.where("late").drop("late")
+                if late is None and not behind.isEmpty():
+                    raise ValueError(f"batch {batch} of {name!r} has rows behind the watermark")
+                if late is not None:
+                    late(behind, batch)
+                handle(marked.where("NOT late").drop("late"), batch)
+            top = held.agg(F.max(F.unix_micros("time_created"))).first()[0]
+            if top is not None:
+                store.move_checkpoint(name, now, f"{batch},{max(top, newest or top)}")
+        finally:
+            held.unpersist()
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def replay(rows: DataFrame, rule: Rule, store: Store, name: str, checkpoint: str, delay: str = "10 minutes", **trigger) -> StreamingQuery:
     """Feeds a stream to a rule and its findings to the store; it goes on from its checkpoint as long as the rule is the same.
 
