@@ -11,14 +11,17 @@ for each dimension not met yet. The exact scores of the leaders so far give a fl
 walk stops when the vectors whose bound reaches the floor are few, or when all segments
 are done; those vectors, ties included, are rescored exactly.
 
-Queries travel in blocks of ``block_queries`` to every shard; a shard answers with k rows a
+Queries come in blocks of ``block_queries`` to every shard; a shard answers with k rows a
 query, and a window with a pre-limit on each task picks the best of all shards.
 
 Defined cases: a vector that is null, holds a null or non-finite component, or has no
 vec_id takes no part; only vectors of the query's length are candidates; rows with the
 query's vec_id are its own and no candidates; repeated rows of other ids are candidates
-each; a repeated query row is asked once; an empty table gives an empty table. Components
-are exact while |scale * x| < 2**24.
+each; a repeated query row is asked once; an empty table gives an empty table. Vectors with
+a component so large that sums could leave 64 bits (from 2**24 on with up to 63 dimensions,
+2**20 with up to 1023) are *wide*: they lie in shards of their own without postings, and
+whatever involves one is scored with unbounded whole numbers. A score beyond a long shows as
+the nearest long; its rank is exact.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,20 +45,38 @@ BANDS = (0.6, 0.4, 0.25, 0.15, 0.08, 0.03, 0.0, -0.05, -0.15, -0.4)
 FEW_K, FEW_PART = 8, 1 / 64
 
 
+def narrow_limit(dims: int) -> int:
+    """Components below this leave room for all sums of the walk in 64 bits."""
+    return (1 << (62 - 2 * max(1, dims).bit_length()) // 2) - STEP
+
+
 def integers(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dims, values) of the vectors that take part; values are packed 32-bit integers."""
+    """(vec_id, dims, wide, values) of the vectors that take part; values are packed 32-bit integers, or whole doubles if wide."""
     for batch in batches:
-        ids, dims, values = [], [], []
+        ids, dims, wides, values = [], [], [], []
         for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if vec_id is None or x is None or any(c is None for c in x):
                 continue
-            v = np.floor(scale * np.array(x, np.float64))
-            if not np.isfinite(v).all():
+            x = np.array(x, np.float64)
+            if not np.isfinite(x).all():
                 continue
+            with np.errstate(over="ignore"):
+                v = np.floor(scale * x)
+            if not np.isfinite(v).all():
+                v = np.nan_to_num(v)  # scale * x leaves the doubles: the greatest of them, as x is finite
+            wide = bool(len(v) and np.abs(v).max() >= narrow_limit(len(v)))
             ids.append(vec_id)
             dims.append(len(v))
-            values.append(v.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(values, pa.binary())], names=["vec_id", "dims", "values"])
+            wides.append(wide)
+            values.append(v.astype(np.float64 if wide else np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(wides, pa.bool_()), pa.array(values, pa.binary())], names=["vec_id", "dims", "wide", "values"])
+
+
+def wide_top(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """``Shard.top`` with unbounded whole numbers, and the whole scores."""
+    q = [int(x) for x in query]
+    scored = sorted((-sum(a * int(b) for a, b in zip(q, row) if a), i) for i, row in zip(ids.tolist(), vectors.tolist()) if i != query_id)[:k]
+    return np.array([i for _, i in scored], np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in scored], np.int64), [-s for s, _ in scored]
 
 
 class Shard:
@@ -133,58 +155,85 @@ class Shard:
         return q * int(levels[done]) * STEP if done < len(levels) else None
 
 
+def _numbers(raw: bytes, wide: bool, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64 if wide else np.int32).reshape(rows, -1) if rows else np.zeros((0, 0), np.int32)
+
+
 def _built(table: pa.Table) -> pa.Table:
-    ids = np.array(table.column("vec_id").to_pylist(), np.int64)
+    ids, wide = np.array(table.column("vec_id").to_pylist(), np.int64), table.column("wide")[0].as_py()
     order = np.argsort(ids, kind="stable")
-    vectors = np.frombuffer(b"".join(table.column("values").to_pylist()), np.int32).reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 0), np.int32)
-    shard = Shard(ids[order], vectors)
-    pack = lambda rows, kind: pa.array([np.concatenate(rows).astype(kind).tobytes() if rows else b""], pa.binary())
-    return pa.table([table.column("shard").slice(0, 1).combine_chunks(), table.column("dims").slice(0, 1).combine_chunks(), pa.array([shard.ids.tobytes()]), pa.array([vectors.tobytes()]), pack(shard.docs, np.int32), pack(shard.levels, np.int32)], names=["shard", "dims", "ids", "vectors", "docs", "levels"])
+    vectors = _numbers(b"".join(table.column("values").to_pylist()), wide, len(ids))[order]
+    shard = None if wide else Shard(ids[order], vectors)
+    pack = lambda rows: pa.array([np.concatenate(rows).astype(np.int32).tobytes() if rows else b""], pa.binary())
+    first = lambda c: table.column(c).slice(0, 1).combine_chunks()
+    return pa.table([first("shard"), first("dims"), first("wide"), pa.array([ids[order].tobytes()]), pa.array([vectors.tobytes()]), pack(shard.docs if shard else []), pack(shard.levels if shard else [])], names=["shard", "dims", "wide", "ids", "vectors", "docs", "levels"])
 
 
 def _loaded(row: dict) -> Shard:
     shard = Shard.__new__(Shard)
     shard.ids = np.frombuffer(row["ids"], np.int64)
     n, dims = len(shard.ids), row["dims"]
-    shard.vectors = np.frombuffer(row["vectors"], np.int32).reshape(n, dims)
-    shard.docs, shard.levels = (np.frombuffer(row[c], np.int32).reshape(dims, n) for c in ("docs", "levels"))
+    shard.vectors = _numbers(row["vectors"], row["wide"], n)
+    shard.docs, shard.levels = ([], []) if row["wide"] else (np.frombuffer(row[c], np.int32).reshape(dims, n) for c in ("docs", "levels"))
     return shard
 
 
 def _blocked(table: pa.Table) -> pa.Table:
     pack = lambda c: b"".join(table.column(c).to_pylist())
-    return pa.table([table.column("block").slice(0, 1).combine_chunks(), table.column("dims").slice(0, 1).combine_chunks(), pa.array([np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()]), pa.array([pack("values")])], names=["block", "dims", "query_ids", "queries"])
+    first = lambda c: table.column(c).slice(0, 1).combine_chunks()
+    return pa.table([first("block"), first("dims"), first("wide_query"), pa.array([np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()]), pa.array([pack("values")])], names=["block", "dims", "wide_query", "query_ids", "queries"])
+
+
+_ANSWER = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("tier", pa.int32()), ("exact", pa.string())])
 
 
 def _answered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a shard for each query of a block. Where a score leaves 64 bits, tier is its sign and ``exact`` holds its digits in an order that texts keep."""
     for batch in batches:
         for row in batch.to_pylist():
             shard, ids = _loaded(row), np.frombuffer(row["query_ids"], np.int64)
-            queries = np.frombuffer(row["queries"], np.int32).reshape(len(ids), row["dims"])
-            of, found, scores = [], [], []
-            for number, (query_id, query) in enumerate(zip(ids.tolist(), queries)):
-                best, score = shard.top(query_id, query, k)
-                of.append(np.full(len(best), number))
-                found.append(best)
-                scores.append(score)
-            at = np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"])), pa.array(at, pa.int32()), pa.array(ids[at]), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], names=["block", "number", "query_id", "vec_id", "score"])
-
-
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, shard_rows: int = 16_384, block_queries: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, embedding) for each row of ``queries`` (same columns)."""
-    made = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lambda it: integers(it, scale), "vec_id long, dims int, values binary")
+            queries, wide = _numbers(row["queries"], row["wide_query"], len(ids)), row["wide"] or row["wide_query"]
+            out = []
+            for query_id, query in zip(ids.tolist(), queries):
+                key = xxhash.xxh3_64_intdigest(query.astype(np.float64).tobytes()) - (1 << 63)  # two rows of one id may differ
+                if wide:
+                    best, score, whole = wide_top(shard.ids, shard.vectors, query_id, query, k)
+                else:
+                    best, score = shard.top(query_id, query, k)
+                    whole = score.tolist()
+                out += [(query_id, key, i, s, 0 if s == w else 1 if w > 0 else -1, sortable(w)) for i, s, w in zip(best.tolist(), score.tolist(), whole)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANSWER)], schema=_ANSWER)
+
+
+def sortable(number: int) -> str | None:
+    """A text that sorts as its number among those that leave 64 bits; None for the others."""
+    if -(1 << 63) <= number < 1 << 63:
+        return None
+    digits = str(abs(number))
+    text = f"{len(digits):05d}{digits}"
+    return "+" + text if number > 0 else "-" + text.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, shard_rows: int = 4_096, block_queries: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, embedding) for each row of ``queries`` (same columns).
+
+    A shard meets all blocks of queries in one task; there are as many tasks as shards, up to 10,000.
+    """
+    made = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lambda it: integers(it, scale), "vec_id long, dims int, wide boolean, values binary")
     rows, _ = kept(spark, made(vectors), "topk-vectors")
     asked, _ = kept(spark, made(queries).distinct(), "topk-queries")
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
     spread = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "values"), F.lit(shards)))
-    index = dealt.groupBy("dims", "shard").applyInArrow(_built, "shard long, dims int, ids binary, vectors binary, docs binary, levels binary")
+    index = dealt.groupBy("dims", "wide", "shard").applyInArrow(_built, "shard long, dims int, wide boolean, ids binary, vectors binary, docs binary, levels binary")
     index, _ = kept(spark, index, "topk-index")
-    block = asked.withColumn("block", spread(asked, blocks)).groupBy("dims", "block").applyInArrow(_blocked, "block long, dims int, query_ids binary, queries binary")
-    pairs = block.withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)"))).repartition(max(1, min(10_000, shards * blocks)), "shard", "block")
-    answers = pairs.join(index, ["dims", "shard"]).mapInArrow(lambda it: _answered(it, k), "block long, number int, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "block", "number").orderBy(F.col("score").desc(), "vec_id"))
+    block = asked.withColumn("block", spread(asked, blocks)).withColumnRenamed("wide", "wide_query").groupBy("dims", "wide_query", "block").applyInArrow(_blocked, "block long, dims int, wide_query boolean, query_ids binary, queries binary")
+    block, _ = kept(spark, block, "topk-blocks")
+    pairs = index.repartitionByRange(min(10_000, shards), "shard", "dims", "wide").join(block, "dims")
+    answers = pairs.mapInArrow(lambda it: _answered(it, k), "query_id long, query_key long, vec_id long, score long, tier int, exact string")
+    best = (F.col("tier").desc(), F.col("exact").desc_nulls_last(), F.col("score").desc(), F.col("vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(*best))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -355,6 +355,25 @@ def test_search_odd_rows(spark):
     assert topk_search.search(spark, vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_search_is_exact_for_all_finite_numbers(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    big = [3e6, -3e6, 1e16, -7e15, 1e300, -1e300, 1.7e308, 2.5, -0.001, 0.0, 16_000.0, -16_000.0]
+    rows = [(i, [float(np.float64(rng.choice(big) if i % 3 == 0 else rng.uniform(-20_000, 20_000))) for _ in range(4)]) for i in range(60)]
+    rows += [(60 + i, [9e15, 9e15, float(i), 0.0]) for i in range(6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = float(np.finfo(np.float64).max)
+    whole = {i: [int(np.floor(1024 * x)) if abs(1024 * x) < float("inf") else int(top if x > 0 else -top) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40, 60):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
+        want += [(q, r + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scored)]
+    got = topk_search.search(spark, vectors, vectors.where("vec_id % 20 = 0"), k=7, shard_rows=16, block_queries=3)
+    assert sorted(map(tuple, got.collect())) == want
+    assert topk_search.narrow_limit(63) < 1 << 25 and (topk_search.narrow_limit(1023) + 16) ** 2 * 1023 << 10 < 1 << 63
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
