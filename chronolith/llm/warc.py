@@ -2,10 +2,15 @@
 
 Pages are range-partitioned by capture key (the URL with its host reversed, then page_id),
 so an archive holds neighbours of the key order. Each task streams its records to
-``.warc.gz`` files, a gzip member a record, and packs the records' index lines, in key
-order, into compressed blocks. The blocks are the lower level of the index; their first
-and last keys with the file's name are the upper, sparse one. A look-up binary-searches the
-directory, then the block, and reads one byte range of one archive.
+``.warc.gz`` files, a gzip member a record, and appends the records' index lines, in key
+order, to a ``.idx`` file in compressed blocks. The blocks are the lower level of the index;
+a ``.dir`` file lists the task's blocks, each with its first and last key and its place. The
+upper level is sparse: a row for each task. A look-up binary-searches the rows, the
+directory file, the block, and reads one byte range of each file on the way; nothing else.
+
+Many look-ups at once are sorted by key and dealt by range, so a task goes through few
+directory files and blocks, keeps the last ones, and reads neighbouring records in one
+range. ``op9_warc`` reads every page back so, by its key.
 
 Payloads of at least ``min_bytes`` that several pages share are written once: the page with
 the smallest page_id is a ``response``, the others ``revisit`` it without a payload.
@@ -25,7 +30,8 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +48,9 @@ BLOCK_RECORDS = 1_000
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
-INDEX_SCHEMA = "file string, first_key string, last_key string, n_records int, start long, block binary"
+INDEX_SCHEMA = "directory string, first binary, last binary, n_blocks int, n_records long"
+#: Directory files and blocks that a reader keeps, and bytes of neighbouring records that it reads at once.
+KEPT_DIRECTORIES, KEPT_BLOCKS, RANGE_BYTES = 16, 16, 1 << 22
 
 
 def capture_key(url: Column) -> Column:
@@ -97,98 +105,197 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "refers_to": number(fields.get("WARC-Refers-To"))}
 
 
-def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _place(key: str, page_id: int | None) -> list:
+    """What index lines are sorted by; a page without page_id comes first."""
+    return [key, page_id is not None, page_id or 0]
+
+
+def _packed(value) -> bytes:
+    return zlib.compress(json.dumps(value).encode(), 6)
+
+
+def _unpacked(raw: bytes):
+    return json.loads(zlib.decompress(raw))
+
+
+def _archived(batches: Iterator[pa.RecordBatch], folder: str, block_records: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
     fs, root = open_store(folder)
-    out, name, at, lines, blocks = None, "", 0, [], []
+    task = uuid.uuid4().hex
+    out = index = None
+    name, at, index_at, archives, records, lines, blocks = "", 0, 0, 0, 0, [], []
 
     def close_block() -> None:
+        nonlocal index_at
         if lines:
-            blocks.append((name, lines[0][0], lines[-1][0], len(lines), lines[0][2], zlib.compress(json.dumps(lines).encode(), 6)))
+            packed = _packed(lines)
+            index.write(packed)
+            blocks.append([lines[0][:3], lines[-1][:3], name, index_at, len(packed), len(lines)])
+            index_at += len(packed)
             lines.clear()
 
     for batch in batches:
         for row in batch.to_pylist():
-            if out is None or at >= ARCHIVE_BYTES:
-                close_block()
-                if out is not None:
+            if out is None or at >= archive_bytes:
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    index = fs.open_output_stream(f"{root}/{task}.idx", compression=None)
+                else:
+                    close_block()
                     out.close()
-                name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                fs.create_dir(root, recursive=True)
+                name, at, archives = f"{task}-{archives}.warc.gz", 0, archives + 1
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
             packer = zlib.compressobj(3, zlib.DEFLATED, 31)
             member = packer.compress(record(row["page_id"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["payload_digest"], row["refers_to"])) + packer.flush()
             out.write(member)
-            lines.append((row["key"], row["page_id"], at, len(member)))
+            lines.append([*_place(row["key"], row["page_id"]), at, len(member)])
             at += len(member)
-            if len(lines) >= BLOCK_RECORDS:
+            records += 1
+            if len(lines) >= block_records:
                 close_block()
+    if out is None:
+        return
     close_block()
-    if out is not None:
-        out.close()
-    if blocks:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks), [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()])], names=["file", "first_key", "last_key", "n_records", "start", "block"])
+    out.close()
+    index.close()
+    with fs.open_output_stream(f"{root}/{task}.dir", compression=None) as f:
+        f.write(_packed(blocks))
+    ends = [json.dumps(x).encode() for x in (blocks[0][0], blocks[-1][1])]
+    yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array(ends[:1]), pa.array(ends[1:]), pa.array([len(blocks)], pa.int32()), pa.array([records], pa.int64())], names=["directory", "first", "last", "n_blocks", "n_records"])
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 100) -> tuple[str, DataFrame]:
-    """Archives ``pages`` (page_id, url, html); (folder, the index's blocks)."""
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 100, block_records: int = BLOCK_RECORDS, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
+    """Archives ``pages`` (page_id, url, html); (folder, the index's upper level, a row for each writing task)."""
     small_batches(spark)
     folder = folder or scratch(spark, "warc")
     keyed = with_origin(spark, pages, min_bytes).withColumn("key", capture_key(F.col("url")))
     dealt = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     columns = dealt.select("page_id", "url", "html", "payload_digest", "refers_to", "key")
-    index, _ = kept(spark, columns.mapInArrow(lambda it: _archived(it, folder), INDEX_SCHEMA), "warc-index")
+    index, _ = kept(spark, columns.mapInArrow(lambda it: _archived(it, folder, block_records, archive_bytes), INDEX_SCHEMA), "warc-index")
     return folder, index
 
 
-def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """The records of whole blocks: a block's records lie side by side, so one range read takes them."""
-    fs, root = open_store(folder)
+def upper_level(index: DataFrame) -> list[tuple[list, list, str]]:
+    """(first place, last place, directory) of each writing task, in key order."""
+    rows = index.select("first", "last", "directory").collect()  # a row for each task that wrote
+    return sorted((json.loads(r["first"]), json.loads(r["last"]), r["directory"]) for r in rows)
+
+
+def _covering(ranges: list, place: list) -> Iterator[int]:
+    """Which of the ranges (first, last, ...), sorted and overlapping at their ends at most, hold a place."""
+    at = bisect_right(ranges, place, key=lambda r: r[0]) - 1
+    while at >= 0 and ranges[at][1] >= place:
+        yield at
+        at -= 1
+
+
+class Reader:
+    """Look-ups by place (capture key and page_id): binary searches, and one range read of each file on the way."""
+
+    def __init__(self, folder: str, upper: list[tuple[list, list, str]]):
+        self.fs, self.root = open_store(folder)
+        self.upper, self.directories, self.blocks = upper, OrderedDict(), OrderedDict()
+
+    def _range(self, name: str, start: int, size: int) -> bytes:
+        with self.fs.open_input_file(f"{self.root}/{name}") as f:
+            return f.read_at(size, start)
+
+    def _kept(self, held: OrderedDict, key, most: int, load):
+        if key in held:
+            held.move_to_end(key)
+        else:
+            held[key] = load()
+            while len(held) > most:
+                held.popitem(last=False)
+        return held[key]
+
+    def _directory(self, task: str) -> list:
+        def load():
+            with self.fs.open_input_file(f"{self.root}/{task}.dir") as f:
+                return _unpacked(f.read())
+
+        return self._kept(self.directories, task, KEPT_DIRECTORIES, load)
+
+    def places(self, place: list) -> list[tuple[str, int, int]]:
+        """(file, offset, bytes) of the records at a place; of all records of its key, if it is the key alone."""
+        found, whole = [], len(place) == 3
+        for i in self._reach(self.upper, place, whole):
+            task = self.upper[i][2]
+            directory = self._directory(task)
+            for j in self._reach(directory, place, whole):
+                _, _, name, start, size, _ = directory[j]
+                lines = self._kept(self.blocks, (task, start), KEPT_BLOCKS, lambda: _unpacked(self._range(f"{task}.idx", start, size)))  # noqa: B023
+                at = bisect_left(lines, place)
+                while at < len(lines) and lines[at][: len(place)] == place:
+                    found.append((name, lines[at][3], lines[at][4]))
+                    at += 1
+        return found
+
+    @staticmethod
+    def _reach(ranges: list, place: list, whole: bool) -> Iterator[int]:
+        """The ranges that hold a place, or any place of a key."""
+        if whole:
+            yield from _covering(ranges, place)
+        else:
+            key = place[0]
+            at = bisect_right(ranges, key, key=lambda r: r[0][0]) - 1
+            while at >= 0 and ranges[at][1][0] >= key:
+                yield at
+                at -= 1
+
+    def records(self, found: list[tuple[str, int, int]]) -> Iterator[dict]:
+        """The records at sorted places; those that lie side by side are read in one range."""
+        at = 0
+        while at < len(found):
+            name, start, size = found[at]
+            end = at + 1
+            while end < len(found) and found[end][0] == name and found[end][1] == start + size and size < RANGE_BYTES:
+                size += found[end][2]
+                end += 1
+            raw = self._range(name, start, size)
+            for _, offset, length in found[at:end]:
+                yield parse(zlib.decompress(raw[offset - start : offset - start + length], 31))
+            at = end
+
+
+_FOUND = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], folder: str, upper: list) -> Iterator[pa.RecordBatch]:
+    reader = Reader(folder, upper)
     for batch in batches:
-        for row in batch.to_pylist():
-            lines = json.loads(zlib.decompress(row["block"]))
-            with fs.open_input_file(f"{root}/{row['file']}") as f:
-                raw = f.read_at(lines[-1][2] + lines[-1][3] - row["start"], row["start"])
-            found = [parse(zlib.decompress(raw[at - row["start"] : at - row["start"] + size], 31)) for _, _, at, size in lines]
-            kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in kinds.items()], names=list(kinds))
+        found = []
+        for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found += reader.places(_place(key, page_id))
+        rows = list(reader.records(found))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in _FOUND.items()], names=list(_FOUND))
+
 
+def look_up(spark: SparkSession, folder: str, index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records at the places ``wanted`` (key, page_id): page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-def read_archives(folder: str, index: DataFrame) -> DataFrame:
-    """Every archived page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    few = index.repartition(max(1, min(10_000, index.count())))  # blocks are small rows that stand for long reads
-    return few.mapInArrow(lambda it: _read(it, folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    The upper level goes along with each task: a row for each task that wrote archives.
+    """
+    upper, blocks = upper_level(index), index.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    places = wanted.select("key", F.col("page_id").cast("long")).distinct().repartitionByRange(max(1, min(10_000, blocks)), "key", "page_id").sortWithinPartitions("key", "page_id")
+    return places.mapInArrow(lambda it: _looked_up(it, folder, upper), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 class CaptureIndex:
-    """Look-ups of single URLs: the sparse directory in memory, blocks and records by range."""
+    """Look-ups of single URLs."""
 
     def __init__(self, folder: str, index: DataFrame):
-        self.fs, self.root = open_store(folder)
-        self.index = index
-        rows = index.select("first_key", "last_key", "file", "start").orderBy("first_key", "file", "start").collect()  # a row for each thousand records
-        self.directory = [tuple(r) for r in rows]
-        self.first = [r[0] for r in self.directory]
+        self.reader = Reader(folder, upper_level(index))
 
     def find(self, key: str) -> list[dict]:
         """The records of a capture key, in order of page_id."""
-        found = []
-        at = bisect_right(self.first, key) - 1
-        while at >= 0 and self.directory[at][1] >= key:
-            _, _, file, start = self.directory[at]
-            block = self.index.where((F.col("file") == file) & (F.col("start") == start)).first()["block"]
-            lines = json.loads(zlib.decompress(block))
-            hit = bisect_right(lines, key, key=lambda x: x[0]) - 1
-            while hit >= 0 and lines[hit][0] == key:
-                with self.fs.open_input_file(f"{self.root}/{file}") as f:
-                    found.append(parse(zlib.decompress(f.read_at(lines[hit][3], lines[hit][2]), 31)))
-                hit -= 1
-            at -= 1
-        return sorted(found, key=lambda x: (x["page_id"] is not None, x["page_id"]))
+        return sorted(self.reader.records(sorted(self.reader.places([key]))), key=lambda x: (x["page_id"] is not None, x["page_id"]))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, index = write_archives(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return read_archives(folder, index)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    folder, index = write_archives(spark, pages)
+    return look_up(spark, folder, index, pages.select(capture_key(F.col("url")).alias("key"), "page_id"))
 
 
 ORACLE_SQL = r"""

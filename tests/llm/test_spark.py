@@ -305,25 +305,38 @@ PAGES = "page_id long, url string, html string"
 def test_warc(spark):
     big = "<p>" + "x" * 200
     rows = [(3, "http://b.example.com/z?q=1", big), (1, "http://www.example.com/a", big), (2, None, big), (4, "http://example.com", "small"), (5, "http://example.com", "small"), (6, "u", None), (None, "http://example.com/n", big), (1, "http://www.example.com/a", big)]
-    folder, index = warc.write_archives(spark, spark.createDataFrame(rows, PAGES))
-    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(folder, index).collect()), key=str)
+    pages = spark.createDataFrame(rows, PAGES).withColumn("key", F.lit("k")).withColumn("payload_digest", F.lit("d")).withColumn("origin", F.lit(9))
+    folder, index = warc.write_archives(spark, pages)
+    keyed = lambda p: p.select(warc.capture_key(F.col("url")).alias("key"), "page_id")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.look_up(spark, folder, index, keyed(pages)).collect()), key=str)
     assert got == sorted([(3, 203, "revisit", 1), (1, 203, "response", None), (2, 203, "revisit", 1), (4, 5, "response", None), (5, 5, "response", None), (6, 0, "response", None), (None, 203, "revisit", 1), (1, 203, "response", None)], key=str)
     look = warc.CaptureIndex(folder, index)
     assert [x["page_id"] for x in look.find("com,example)")] == [4, 5] and look.find("com,example)/none") == []
     assert [x["payload"] for x in look.find("com,example,www)/a")] == [big.encode()] * 2
-    folder, index = warc.write_archives(spark, spark.createDataFrame([], PAGES))
-    assert warc.read_archives(folder, index).count() == 0
+    none = spark.createDataFrame([], PAGES)
+    folder, index = warc.write_archives(spark, none)
+    assert warc.look_up(spark, folder, index, keyed(pages)).count() == warc.look_up(spark, folder, index, keyed(none)).count() == 0
 
 
-def test_capture_index_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BLOCK_RECORDS", 7)
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4_000)
-    pages = spark.createDataFrame([(i, f"http://h{i % 9}.example.com/{i // 3}", f"page {i}") for i in range(300)], PAGES).coalesce(2)
+def test_warc_of_very_long_pages(spark):
+    rows = [(1, "http://a.com/1", "x" * 3_000_000), (2, "http://a.com/1", "x" * 3_000_000), (3, "http://a.com/1", "ü" * 2_000_000)]
+    pages = spark.createDataFrame(rows, PAGES)
     folder, index = warc.write_archives(spark, pages)
+    got = warc.look_up(spark, folder, index, pages.select(warc.capture_key(F.col("url")).alias("key"), "page_id")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), (3, 4_000_000, "response", None)]
+
+
+def test_capture_index_over_many_blocks(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 9}.example.com/{i // 3}", f"page {i}") for i in range(300)], PAGES).coalesce(2)
+    folder, index = warc.write_archives(spark, pages, block_records=7, archive_bytes=4_000)
     look = warc.CaptureIndex(folder, index)
     for i in range(0, 300, 23):
         assert i in [x["page_id"] for x in look.find(f"com,example,h{i % 9})/{i // 3}")]
-    assert warc.read_archives(folder, index).count() == 300
+    assert index.agg(F.sum("n_blocks")).first()[0] > 40
+    wanted = pages.select(warc.capture_key(F.col("url")).alias("key"), "page_id")
+    assert sorted(r["page_id"] for r in warc.look_up(spark, folder, index, wanted).collect()) == list(range(300))
+    assert sorted(r["page_id"] for r in warc.look_up(spark, folder, index, wanted.where("page_id % 7 = 0").union(wanted.limit(0))).collect()) == list(range(0, 300, 7))
+    assert warc.look_up(spark, folder, index, spark.createDataFrame([("none", 1), ("com,example,h1)/0", 999), ("~", None)], "key string, page_id long")).count() == 0
 
 
 def test_html_style_tree_cuts_what_a_site_repeats(spark):
