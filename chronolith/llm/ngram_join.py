@@ -1,14 +1,18 @@
 """N-gram Jaccard join by vertical partitioning, down to connected components.
 
-A document's set holds the 64-bit hashes of its distinct n-word shingles. Documents link
+A document's set holds the 64-bit hashes of its distinct n-word shingles; two shingles of
+one text that share a hash, one chance in 10**10 for a text of 60,000, count as one. Documents link
 when their sets' Jaccard similarity is at least ``percent`` / 100.
 
-1. Documents with equal sets form a class, known by a hash of the sorted set; from here on
-   a class stands for all its copies. Exact copies are never paired.
+1. Documents with equal sets form a class, known by a 128-bit hash of the sorted set and,
+   once it may link, by a number of its own; from here on a class stands for all its
+   copies. Exact copies are never paired.
 2. Vertical partitioning: the order of shingle hashes is cut into fragments of about
    ``fragment_tokens``. Each fragment gets its piece of every set, finds the shingles that
    two classes or more share, and hands each class its shared shingles back, packed by
-   buckets of classes. A class
+   buckets of classes. Shingles of more than a fiftieth of the texts would make one
+   fragment as large as the corpus: they are found while texts are signed (at most 100
+   times the mean set size, by their number), count as shared, and are dealt by class. A class
    whose shared shingles, summed over the fragments, are under ``percent`` of its set can
    link with nothing and is done.
 3. Shingles are ordered by (documents that hold them, hash). Linked classes share a
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.components import components
-from chronolith.llm.shared import kept, small_batches, texts, without
+from chronolith.llm.shared import kept, small_batches, spare, texts
 
 #: Lists up to this length give all their pairs.
 SHORT_LIST = 6
@@ -49,8 +53,10 @@ SHORT_LIST = 6
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 400_000
 #: Shingles of a fragment that the last step multiplies at once.
 GEMM_TOKENS = 8_192
-#: Shingles that a task gathers before it deals them to the fragments.
+#: Shingles that a task gathers before it deals them to the fragments, or counts them.
 BUFFER_TOKENS = 1_500_000
+#: The part of the texts that must hold a shingle, by the counts of buffers where that part does, to be dealt by class.
+HOT_PART = 0.01
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,40 +76,85 @@ def shingles(text: str | None, n: int = 5, seed: int = 0) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
+def _unique(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct rows of (hi, lo), which of them each row is)."""
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    ranked = names[order]
+    first = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)] if len(names) else np.zeros(0, bool)
+    which = np.empty(len(names), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ranked[first], which
+
+
+def _name(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("token", pa.int64()), ("hits", pa.int64())])
+
+
 def _signed(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and (token, hits) rows for shingles that HOT_PART of the distinct texts of a buffer hold."""
+    seen: set[bytes] = set()
+    held: list[np.ndarray] = []
+    tokens = 0
+
+    def frequent() -> pa.RecordBatch:
+        token, hits = np.unique(np.concatenate(held), return_counts=True)
+        often = hits >= max(2, HOT_PART * len(held))
+        none = pa.nulls(int(often.sum()), pa.int64())
+        held.clear()
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[often].view(np.int64)), pa.array(hits[often])], schema=_SIGNED)
+
     for batch in batches:
-        sizes, hi, lo = [], [], []
+        sizes, names = [], []
         for text in texts(batch):
             own = shingles(text, n, seed)
-            a, b = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist()
+            name = _name(own)
             sizes.append(len(own))
-            hi.append(a)
-            lo.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "n_shingles", "cls", "lo"])
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], n: int, seed: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    """(fragment, classes, set sizes, shingles of each class, shingles) in packed arrays."""
-    seen: set[int] = set()
+            names.append(name)
+            if len(own) and name not in seen:
+                seen.add(name)
+                held.append(own)
+                tokens += len(own)
+        hi_lo = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        none = pa.nulls(len(sizes), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), none, none], schema=_SIGNED)
+        if tokens >= BUFFER_TOKENS:
+            yield frequent()
+            tokens = 0
+    if held:
+        yield frequent()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], n: int, seed: int, fragments: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(fragment, part, classes, set sizes, shingles of each class, shingles) in packed arrays; hot shingles by their number, in parts of classes."""
+    seen: set[bytes] = set()
     sets: list[np.ndarray] = []
-    classes: list[int] = []
+    classes: list[bytes] = []
 
     def flush() -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
         of = np.repeat(np.arange(len(sets)), sizes)
-        where = ((every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+        names = np.frombuffer(b"".join(classes), np.int64).reshape(-1, 2)
+        where = ((every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+        token = every.astype(np.uint32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, every), len(hot) - 1)
+            known = hot[at] == every
+            where[known] = fragments + (names[:, 1].view(np.uint64) % np.uint64(fragments)).astype(np.int64)[of[known]]
+            token[known] = at[known]
         order = np.argsort(where, kind="stable")
-        where, of, token = where[order], of[order], every[order].astype(np.uint32)
-        cls, size, rows = np.array(classes, np.int64), sizes.astype(np.uint32), []
+        where, of, token = where[order], of[order], token[order]
+        size, rows = sizes.astype(np.uint32), []
         cut = np.flatnonzero(np.diff(where)) + 1
         for start, end in zip(np.r_[0, cut], np.r_[cut, len(where)]):
-            mine = of[start:end]
-            own, count = np.unique(mine, return_counts=True)
-            rows.append((int(where[start]), cls[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), token[start:end].tobytes()))
+            own, count = np.unique(of[start:end], return_counts=True)
+            rows.append((min(fragments, int(where[start])), max(0, int(where[start]) - fragments), names[own].tobytes(), size[own].tobytes(), count.astype(np.uint32).tobytes(), token[start:end].tobytes()))
         sets.clear()
         classes.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=["fragment", "cls", "size", "count", "token"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 4)], names=["fragment", "part", "cls", "size", "count", "token"])
 
     held = 0
     for batch in batches:
@@ -111,7 +162,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], n: int, seed: int, fragments: int)
             own = shingles(text, n, seed)
             if not len(own):
                 continue
-            cls = int(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)[0])
+            cls = _name(own)
             if cls in seen:  # a copy's shingles have gone already
                 continue
             seen.add(cls)
@@ -129,23 +180,26 @@ def _read(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _shared(table: pa.Table, buckets: int) -> pa.Table:
-    """One fragment: each class's shingles that another class holds too, packed by bucket of classes."""
+def _shared(table: pa.Table, buckets: int, hot_hits: np.ndarray) -> pa.Table:
+    """One fragment, or one part of the classes of hot shingles: each class's shingles that another class holds too, packed by bucket of classes."""
     fragment = table.column("fragment")[0].as_py()
     cls, size, count, token = (_read(table, c, k) for c, k in (("cls", np.int64), ("size", np.uint32), ("count", np.uint32), ("token", np.uint32)))
-    names, which = np.unique(cls, return_inverse=True)
+    names, which = _unique(cls.reshape(-1, 2))
     sizes = np.zeros(len(names), np.uint32)
     sizes[which] = size
-    bucket = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-    rank = np.lexsort((names, bucket))  # classes by bucket
+    bucket = (names[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    rank = np.lexsort((names[:, 1], names[:, 0], bucket))  # classes by bucket
     place = np.empty(len(rank), np.uint32)
     place[rank] = np.arange(len(rank), dtype=np.uint32)
     names, sizes, bucket = names[rank], sizes[rank], bucket[rank]
     pair = np.unique((token.astype(np.uint64) << np.uint64(32)) | np.repeat(place[which], count))  # a class once, however many of its copies came
     token, of = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-    first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
-    docs = np.diff(np.r_[np.flatnonzero(first), len(token)])
-    held = np.repeat(docs, docs)
+    if fragment == buckets:
+        held = hot_hits[token]
+    else:
+        first = np.r_[True, token[1:] != token[:-1]] if len(token) else np.zeros(0, bool)
+        docs = np.diff(np.r_[np.flatnonzero(first), len(token)])
+        held = np.repeat(docs, docs)
     keep = np.flatnonzero(held > 1)
     keep = keep[np.argsort(of[keep], kind="stable")]
     token, of, held = token[keep], of[keep], held[keep]
@@ -161,10 +215,10 @@ def _shared(table: pa.Table, buckets: int) -> pa.Table:
 
 def _merged(table: pa.Table, percent: int) -> pa.Table:
     """One bucket of classes: the shared shingles of those that have enough of them, summed over the fragments."""
-    each = [len(x) // 8 for x in table.column("cls").to_pylist()]
+    each = [len(x) // 16 for x in table.column("cls").to_pylist()]
     fragment = np.repeat(np.array(table.column("fragment").to_pylist(), np.int32), each)
     cls, size, count, token, rarity = (_read(table, c, k) for c, k in (("cls", np.int64), ("size", np.uint32), ("count", np.uint32), ("token", np.uint32), ("rarity", np.uint8)))
-    names, which = np.unique(cls, return_inverse=True)
+    names, which = _unique(cls.reshape(-1, 2))
     sizes = np.zeros(len(names), np.int64)
     sizes[which] = size
     enough = np.bincount(which, count, len(names)) * 100 >= sizes * percent
@@ -173,17 +227,18 @@ def _merged(table: pa.Table, percent: int) -> pa.Table:
     first = np.cumsum(count, dtype=np.int64) - count
     n = count[order].astype(np.int64)
     at = np.arange(n.sum()) + np.repeat(first[order] - (np.cumsum(n) - n), n)
+    number = (np.cumsum(enough) - 1)[which[order]]
     names, sizes = names[enough], sizes[enough]
-    pieces = np.bincount(np.searchsorted(names, cls[order]), minlength=len(names))
-    shingles_of = np.bincount(np.searchsorted(names, cls[order]), n, len(names)).astype(np.int64)
+    pieces = np.bincount(number, minlength=len(names))
+    shingles_of = np.bincount(number, n, len(names)).astype(np.int64)
 
     def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
         offsets = np.r_[0, np.cumsum(lengths * values.itemsize)].astype(np.int64)
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
     return pa.table(
-        [pa.array(names), pa.array(sizes), packed(fragment[order], pieces), packed(count[order], pieces), packed(token[at], shingles_of), packed(rarity[at], shingles_of)],
-        names=["cls", "size", "fragment", "count", "token", "rarity"],
+        [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes), packed(fragment[order], pieces), packed(count[order], pieces), packed(token[at], shingles_of), packed(rarity[at], shingles_of)],
+        names=["hi", "lo", "size", "fragment", "count", "token", "rarity"],
     )
 
 
@@ -309,20 +364,23 @@ def tail_links(lists: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _blocks(it, percent), "u long, v long")
 
 
-def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, fragment_tokens: int = 4_000_000, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, fragment_tokens: int = 4_000_000, hot_texts: int = 1_000, seed: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); a shingle under ``hot_texts`` texts is never dealt by class."""
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed, _ = kept(spark, docs.mapInArrow(lambda it: _signed(it, n, seed), "doc_id long, n_shingles long, cls long, lo long"), "ngram-signed")
-    classes, _ = kept(spark, signed.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.min("lo").alias("lo"), F.max("lo").alias("lo_high")), "ngram-classes")
-    tokens, clash = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("lo") != F.col("lo_high"))).first()
-    if clash:
-        raise ValueError("two sets share 64 hash bits; pass another seed")
+    made, _ = kept(spark, docs.mapInArrow(lambda it: _signed(it, n, seed), "doc_id long, n_shingles long, hi long, lo long, token long, hits long"), "ngram-signed")
+    signed = made.where("n_shingles IS NOT NULL").drop("token", "hits")
+    classes, _ = kept(spark, signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size")), "ngram-classes")
+    number, tokens = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     fragments = max(1, -(-tokens // fragment_tokens))
+    often = made.where("hits IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= max(hot_texts, HOT_PART * number))
+    found = sorted((r["token"] % (1 << 64), r["hits"]) for r in often.collect())  # at most 100 times the mean set size: their hits add up to no more than all shingles
+    hot, hot_hits = np.array([t for t, _ in found], np.uint64), np.array([h for _, h in found], np.int64)
 
-    dealt = docs.mapInArrow(lambda it: _dealt(it, n, seed, fragments), "fragment int, cls binary, size binary, count binary, token binary")
-    shared = dealt.groupBy("fragment").applyInArrow(lambda t: _shared(t, fragments), "bucket int, fragment int, cls binary, size binary, count binary, token binary, rarity binary")
-    sets, _ = kept(spark, shared.groupBy("bucket").applyInArrow(lambda t: _merged(t, percent), "cls long, size long, fragment binary, count binary, token binary, rarity binary"), "ngram-sets")
+    dealt = docs.mapInArrow(lambda it: _dealt(it, n, seed, fragments, hot), "fragment int, part int, cls binary, size binary, count binary, token binary")
+    shared = dealt.groupBy("fragment", "part").applyInArrow(lambda t: _shared(t, fragments, hot_hits), "bucket int, fragment int, cls binary, size binary, count binary, token binary, rarity binary")
+    merged = shared.groupBy("bucket").applyInArrow(lambda t: _merged(t, percent), "hi long, lo long, size long, fragment binary, count binary, token binary, rarity binary")
+    sets, _ = kept(spark, merged.withColumn("cls", F.monotonically_increasing_id()), "ngram-sets")  # written, so the numbers stay
 
     prefix, _ = kept(spark, sets.mapInArrow(lambda it: _prefixes(it, percent), "token long, cls long, size long, central double"), "ngram-prefix")
     lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "cls", "size")).alias("top")).where("m > 1")
@@ -338,10 +396,10 @@ def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, f
     if not more.isEmpty():
         roots = components(spark, roots.select(F.col("cls").alias("u"), F.col("root").alias("v")).union(more))
 
-    rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("cls", "component_id")
-    return signed.join(named, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    numbered = classes.join(sets.select("hi", "lo", "cls"), ["hi", "lo"], "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = numbered.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = numbered.join(least, "root", "left").select("hi", "lo", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"))
+    return signed.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
@@ -349,9 +407,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
 
     Of rows that share this doc_id all stay; rows without doc_id stay.
     """
-    gone = label(spark, docs, **how).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    (other,) = spare(docs, "gone")
+    gone = label(spark, docs, **how).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(other)).distinct()
     gone, _ = kept(spark, gone, "ngram-gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[other], "left_anti")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,8 +148,8 @@ def jaccard_components(rows):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("fragment_tokens", [400, 4_000_000])
-def test_ngram_join_equals_brute_force(spark, fragment_tokens):
+@pytest.mark.parametrize("fragment_tokens, hot_texts", [(400, 2), (4_000_000, 2), (400, 1_000), (4_000_000, 1_000)])
+def test_ngram_join_equals_brute_force(spark, fragment_tokens, hot_texts):
     """A long text's mutants: long lists, links at the bound, and members that link with none but share the rarest shingles."""
     rng = random.Random(12)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
@@ -163,7 +163,7 @@ def test_ngram_join_equals_brute_force(spark, fragment_tokens):
     rows += [(600 + i, " ".join(base[:40] + [f"u{i}x{k}" for k in range(60)]), "s") for i in range(10)]
     rows += [(700, "a b", "s"), (701, "A  b", "s"), (702, "", "s"), (703, None, "s"), (704, "a b c d e f g h i j", "s"), (705, "a b c d e f g h i j k", "s")]
     rng.shuffle(rows)
-    got = ngram_join.label(spark, docs_of(spark, rows), fragment_tokens=fragment_tokens)
+    got = ngram_join.label(spark, docs_of(spark, rows), fragment_tokens=fragment_tokens, hot_texts=hot_texts)
     assert sorted(map(tuple, got.collect())) == jaccard_components(rows)
 
 
