@@ -5,7 +5,8 @@ rules; their common safe prefilter reaches the scan. Stateless findings come str
 it. For the others, matches are dealt by (rule, group, run), a run being a stretch
 without a gap longer than the rule's window: state never outlives a gap, so a hot group is
 many short runs. Runs are found over slots as long as the window, of which a group has few,
-not over its events. Each run is sorted by (time, record id with null first, identity) and
+not over its events, and slots that cannot be part of a finding by their counts are left out
+before any row is sorted. Each run is sorted by (time, record id with null first, identity) and
 streamed through a small state machine; no run is held in memory as a whole.
 """
 
@@ -244,6 +245,24 @@ def _streamed(rules: dict[str, Rule], until_us: int | None):
     return run
 
 
+def _can_fire(rules: Sequence[Rule], order: Window) -> Column:
+    """Whether a slot, with the one before or behind it, has the events that a finding takes.
+
+    A finding's window reaches over two neighbouring slots at most, so events of other slots
+    are in no finding's window, and leaving them out changes none. Absence rules need all.
+    """
+    pick = lambda values: F.element_at(F.create_map(*[x for i, v in values.items() for x in (F.lit(i), F.lit(v).cast("long"))]), F.col("rule_id"))
+    need = pick({r.rule_id: 0 if r.kind == "Absence" else len(r.steps) or r.threshold for r in rules})
+    full = pick({r.rule_id: 0 if r.kind == "Absence" or not r.steps else (1 << len(r.steps)) - 1 for r in rules})
+    out = F.lit(False)
+    for shift, step in ((F.lag, -1), (F.lead, 1)):
+        beside = shift("slot").over(order) == F.col("slot") + step
+        n = F.col("_n") + F.when(beside, shift("_n").over(order)).otherwise(0)
+        mask = F.col("_mask").bitwiseOR(F.when(beside, shift("_mask").over(order)).otherwise(0))
+        out = out | F.coalesce((n >= need) & (mask.bitwiseAND(full) == full), F.lit(False))
+    return out
+
+
 def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), until: datetime | None = None) -> DataFrame:
     """Findings: rule_id, group_value, status, event_time, evidence (identities in order of time).
 
@@ -263,8 +282,10 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     lacking = held.where(F.col("missing").isNotNull()).groupBy("rule_id", "missing").agg(F.min("time_created").alias("event_time")).select("rule_id", F.lit(None).cast("string").alias("group_value"), F.lit("Incomplete").alias("status"), "event_time", F.array().cast("array<string>").alias("evidence"))
     widths = F.create_map(*[x for i in states for x in (F.lit(i), F.lit(int(by_id[i].window_seconds * 1e6)))])
     ready = held.where(F.col("missing").isNull()).withColumn("us", F.unix_micros("time_created")).withColumn("width", F.element_at(widths, F.col("rule_id"))).withColumn("slot", F.floor(F.col("us") / F.col("width")))
-    slots = ready.groupBy("rule_id", "group_value", "slot").agg(F.min("us").alias("_low"), F.max("us").alias("_high"), F.first("width").alias("_width"))
+    mask = F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.pow(F.lit(2), s).cast("long")))
+    slots = ready.groupBy("rule_id", "group_value", "slot").agg(F.min("us").alias("_low"), F.max("us").alias("_high"), F.first("width").alias("_width"), F.count(F.lit(1)).alias("_n"), F.bit_or(mask).alias("_mask"))
     order = Window.partitionBy("rule_id", "group_value").orderBy("slot")
+    slots = slots.withColumn("_alive", _can_fire([by_id[i] for i in states], order)).where("_alive")
     fresh = F.when(F.col("_low") - F.lag("_high").over(order) > F.col("_width"), 1).otherwise(0)
     numbered = slots.withColumn("_new", fresh).select("rule_id", "group_value", "slot", F.sum("_new").over(order).alias("run"))
     runs = ready.join(numbered, ["rule_id", "group_value", "slot"])
