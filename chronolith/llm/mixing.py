@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolith.llm.shared import WORD, kept, small_batches, without
+from chronolith.llm.shared import WORD, kept, small_batches, spare, without
 
 #: Sources up to which the rates are broadcast: about 100 bytes each.
 BROADCAST_SOURCES = 20_000
@@ -65,14 +65,15 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[int] = (3,
     sized = without(docs, ADDED).withColumn("size", word_count())
     rates, _ = kept(spark, source_rates(sized.select("source", "size"), weights, share, cap), "mix-rates")
     n = rates.count()
-    key = [F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none")]
-    rates, on = rates.select(*key, "source_size", "target", "rate"), ["_source", "_none"]
+    named, none, salt = spare(sized, "source", "none", "salt")
+    key = [F.coalesce("source", F.lit("")).alias(named), F.col("source").isNull().alias(none)]
+    rates, on = rates.select(*key, "source_size", "target", "rate"), [named, none]
     sized = sized.select("*", *key)
     if n <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     else:
-        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        sized, on = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), [*on, "_salt"]
+        rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized, on = sized.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), [*on, salt]
     out = sized.join(rates, on, "left").drop(*on)
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + (coin(seed) < F.col("rate") - whole).cast("long")).cast("long"))
@@ -81,7 +82,8 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: Sequence[int] = (3,
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mixture: each document as often as its copies say, with the columns of ``docs``."""
     planned = plan_mix(spark, docs, **how)
-    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(*spare(planned, "copy"))
+    return planned.where(F.col("copies") > 0).select("*", each).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Packing into optimal length buckets with token-budget batches.
 
-A global histogram of lengths goes to the driver: one row a distinct length, coarsened to
-at most ``MAX_BINS`` rows by rounding lengths up. A dynamic program over it chooses at
-most ``buckets`` boundaries that minimise padding, exactly for that histogram. A bucket's
+A global histogram of lengths goes to the driver: one row a distinct length. It is bounded
+by the corpus' size: n distinct lengths take n**2 / 2 words at least, so 10**12 words have
+1.4 million of them at most. A dynamic program over it chooses at most ``buckets``
+boundaries that minimise padding, exactly, in time linear in n. A bucket's
 batches hold ``budget // boundary`` documents (one at least), so batch rows times the
 padded length stay within the budget unless one document alone exceeds it.
 
@@ -17,6 +18,7 @@ ones are replaced.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolith.llm.mixing import word_count
-from chronolith.llm.shared import kept, small_batches, without
+from chronolith.llm.shared import small_batches, spare, without
 
-#: Distinct lengths that the driver's dynamic program takes; more are rounded up to powers-of-two steps.
-MAX_BINS = 1 << 16
 ADDED = ["n_tokens", "bucket", "bucket_length", "part", "batch", "row_in_batch", "batch_id"]
 
 
@@ -46,10 +46,10 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     for c in counts:
         before.append(before[-1] + c)
     best = [0] + [lengths[i] * before[i + 1] for i in range(n)]
-    came: list[list[int]] = [[0] * (n + 1)]
+    came = [array("q", bytes(8 * (n + 1)))]
     for _ in range(min(buckets, n) - 1):
         hull: list[int] = []
-        at, now, back = 0, [0] * (n + 1), [0] * (n + 1)
+        at, now, back = 0, [0] * (n + 1), array("q", bytes(8 * (n + 1)))
         for i in range(1, n + 1):
             m = i - 1
             while len(hull) >= 2:
@@ -77,22 +77,17 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return ends[::-1]
 
 
-def histogram(lengths: DataFrame) -> tuple[list[int], list[int], int]:
-    """(lengths, counts, step) of column n_tokens, rounded up to multiples of step so that at most MAX_BINS remain."""
-    counted, _ = kept(lengths.sparkSession, lengths.groupBy("n_tokens").count(), "pack-lengths")
-    n, most = counted.agg(F.count(F.lit(1)), F.coalesce(F.max("n_tokens"), F.lit(0))).first()
-    step = 1
-    while n > MAX_BINS and most // step > MAX_BINS - 2:
-        step *= 2
-    rows = counted.groupBy((F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("top")).agg(F.sum("count").alias("n")).orderBy("top").collect()
-    return [r["top"] for r in rows], [r["n"] for r in rows], step
+def histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
+    """(distinct lengths, documents of each) of column n_tokens."""
+    rows = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    return rows.column("n_tokens").to_pylist(), rows.column("n").to_pylist()
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 16_384, part_rows: int = 8_192, part_tokens: int = 2_000_000) -> DataFrame:
     """``docs`` with n_tokens, bucket, bucket_length, part, batch, row_in_batch and batch_id."""
     small_batches(docs.sparkSession)
-    sized = without(docs, ADDED).withColumn("n_tokens", word_count() if length is None else length)
-    lengths, counts, _ = histogram(sized.select("n_tokens"))
+    sized = without(docs, ADDED).withColumn("n_tokens", (word_count() if length is None else length).cast("long"))
+    lengths, counts = histogram(sized.select("n_tokens"))
     ends = boundaries(lengths, counts, buckets) or [0]
     room = [max(1, budget // max(1, e)) for e in ends]
     held = [0] * len(ends)
@@ -103,12 +98,13 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     number = F.size(F.filter(F.array(*[F.lit(e) for e in ends[:-1]]), lambda e: e < F.col("n_tokens"))) if len(ends) > 1 else F.lit(0)
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
     key = F.xxhash64(*[f"`{c}`" for c in sized.columns if c in ("doc_id", "text")] or ["n_tokens"])
-    dealt = sized.withColumn("_key", key).withColumn("bucket", number.cast("int")).withColumn("bucket_length", pick(ends).cast("long"))
-    dealt = dealt.withColumn("part", F.pmod("_key", pick(parts)).cast("int"))
-    row = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("_key")) - 1
+    hashed, number_in_part = spare(sized, "key", "row")
+    dealt = sized.withColumn(hashed, key).withColumn("bucket", number.cast("int")).withColumn("bucket_length", pick(ends).cast("long"))
+    dealt = dealt.withColumn("part", F.pmod(hashed, pick(parts)).cast("int"))
+    row = F.row_number().over(Window.partitionBy("bucket", "part").orderBy(hashed)) - 1
     return (
-        dealt.withColumn("_row", row).withColumn("batch", F.floor(F.col("_row") / pick(room)).cast("long")).withColumn("row_in_batch", (F.col("_row") % pick(room)).cast("int"))
-        .withColumn("batch_id", F.concat_ws("-", "bucket", "part", "batch")).drop("_row", "_key")
+        dealt.withColumn(number_in_part, row).withColumn("batch", F.floor(F.col(number_in_part) / pick(room)).cast("long")).withColumn("row_in_batch", (F.col(number_in_part) % pick(room)).cast("int"))
+        .withColumn("batch_id", F.concat_ws("-", "bucket", "part", "batch")).drop(number_in_part, hashed)
     )
 
 

@@ -211,13 +211,47 @@ def test_packing(spark, odd):
     assert packing.pack(empty(odd)).count() == 0
 
 
-def test_packing_splits_a_hot_bucket_and_coarsens(spark, monkeypatch):
+def test_packing_splits_a_hot_bucket(spark):
     docs = docs_of(spark, [(i, "a " * (1 + i % 90), "s") for i in range(900)])
     out = packing.pack(docs, buckets=2, budget=100, part_rows=32)
     assert out.select("bucket", "part").distinct().count() > 2 and out.count() == 900
-    monkeypatch.setattr(packing, "MAX_BINS", 16)
-    lengths, counts, step = packing.histogram(docs.select(mixing.word_count().alias("n_tokens")))
-    assert len(lengths) <= 16 and sum(counts) == 900 and step > 1
+    assert packing.histogram(docs.select(mixing.word_count().alias("n_tokens"))) == (list(range(1, 91)), [10] * 90)
+    clash = packing.pack(docs.withColumn("_key", F.lit("k")).withColumn("_row", F.lit("r")), buckets=2)
+    assert {(r["_key"], r["_row"]) for r in clash.collect()} == {("k", "r")}
+
+
+def test_packing_query_equals_brute_force(spark, tmp_path):
+    """Every document once, batches within the budget, and no set of 16 boundaries that pads less."""
+    rng = random.Random(7)
+    sizes = [rng.choice([0, 1, 2, 3, 5, 40, rng.randint(6, 400), rng.randint(6, 400)]) for _ in range(700)]
+    spark.createDataFrame([(i, " ".join("w" for _ in range(n)) if n else None) for i, n in enumerate(sizes)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = packing.op5_packing(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows) == list(enumerate(sizes))
+    lengths = sorted(set(sizes))
+    count = [sizes.count(x) for x in lengths]
+    total = lambda i, j: lengths[j - 1] * sum(count[i:j])  # noqa: E731  padded words of a bucket
+    best = [[0 if not j else float("inf") for j in range(len(lengths) + 1)]]
+    for _ in range(16):
+        best.append([0 if not j else min(best[-1][i] + total(i, j) for i in range(j)) for j in range(len(lengths) + 1)])
+    assert sum(r["bucket_length"] for r in rows) == min(b[-1] for b in best[1:])
+    batches = defaultdict(list)
+    for r in rows:
+        batches[r["batch_id"]].append(r)
+    for own in batches.values():
+        assert sorted(r["row_in_batch"] for r in own) == list(range(len(own))) and len({r["bucket_length"] for r in own}) == 1
+        assert all(r["n_tokens"] <= r["bucket_length"] for r in own) and (len(own) == 1 or len(own) * own[0]["bucket_length"] <= 16_384)
+
+
+def test_packing_takes_any_number_of_lengths():
+    lengths = list(range(1, 150_001))
+    ends = packing.boundaries(lengths, [1] * len(lengths), 3)
+    assert ends[-1] == 150_000 and abs(ends[0] - 50_000) <= 1 and abs(ends[1] - 100_000) <= 1
+
+
+def test_mixing_repeats_and_keeps_columns(spark):
+    docs = docs_of(spark, [(i, "a b c", "s") for i in range(20)]).withColumn("_copy", F.lit("c")).withColumn("_source", F.lit("d"))
+    mixed = mixing.mix(spark, docs, share=150.0, cap=200.0)
+    assert mixed.columns == docs.columns and mixed.count() == 20 * 150 and mixing.mix(spark, docs, share=0.0).count() == 0
 
 
 def test_license_scan(spark):
