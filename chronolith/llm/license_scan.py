@@ -24,7 +24,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.shared import kept, without
+from chronolith.llm.shared import kept, spare, without
 
 #: Known texts up to which their digests are broadcast.
 MAX_BROADCAST = 20_000
@@ -61,7 +61,7 @@ LICENSES: tuple[tuple[str, str], ...] = (
     ("MIT", "The MIT License\n\n" + _MIT_BODY),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
     ("MIT", "Released under the MIT License."),
-    ("ISC", _PERMISSION.replace("and/or", "and/or") + ", provided that the above copyright notice and this permission notice appear in all copies." + _ISC_TAIL),
+    ("ISC", _PERMISSION + ", provided that the above copyright notice and this permission notice appear in all copies." + _ISC_TAIL),
     ("ISC", "ISC License\n\n" + _PERMISSION + ", provided that the above copyright notice and this permission notice appear in all copies." + _ISC_TAIL),
     ("0BSD", _PERMISSION + "." + _ISC_TAIL),
     ("0BSD", "BSD Zero Clause License\n\n" + _PERMISSION + "." + _ISC_TAIL),
@@ -96,8 +96,6 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("labelling", "labeling"),
     ("licence", "license"),
     ("licenced", "licensed"),
-    ("merchantability", "merchantability"),
-    ("noncommercial", "noncommercial"),
     ("organisation", "organization"),
     ("organise", "organize"),
     ("practise", "practice"),
@@ -176,15 +174,17 @@ def scan(spark: SparkSession, docs: DataFrame, table: DataFrame | None = None) -
     few = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     lengths = spark.range(1).select(F.explode(F.array(*[F.lit(text) for _, text in LICENSES])).alias("t")).select(F.size(F.split(plain(F.col("t")), " ")).alias("words"))
     shown = sorted({r["words"] for r in lengths.collect()})  # a row for each text of LICENSES
-    docs = without(docs, ["license_digest", "license_id"]).withColumn("_plain", plain(F.col("text")))
-    names = [f"`{c}`" for c in docs.columns if c != "_plain"]
-    words = F.length("_plain") - F.length(F.translate("_plain", " ", "")) + 1
-    docs = docs.withColumn("_shown", words.isin(shown))
+    docs = without(docs, ["license_digest", "license_id"])
+    names = [f"`{c}`" for c in docs.columns]
+    form, listed = spare(docs, "plain", "shown")
+    docs = docs.withColumn(form, plain(F.col("text")))
+    words = F.length(form) - F.length(F.translate(form, " ", "")) + 1
+    docs = docs.withColumn(listed, words.isin(shown))
     sought = words.isin(sorted({*shown, *(r["words"] for r in known.select("words").distinct().collect())})) if few else F.lit(True)
-    docs = docs.withColumn("license_digest", F.when((F.col("_plain") != "") & sought, F.md5(spelled(F.col("_plain"))))).drop("_plain")
+    docs = docs.withColumn("license_digest", F.when((F.col(form) != "") & sought, F.md5(spelled(F.col(form))))).drop(form)
     known = known.drop("words")
     joined = docs.join(F.broadcast(known) if few else known, "license_digest", "left")
-    return joined.select(*names, F.when(F.col("_shown") | F.col("license_id").isNotNull(), F.col("license_digest")).alias("license_digest"), "license_id")
+    return joined.select(*names, F.when(F.col(listed) | F.col("license_id").isNotNull(), F.col("license_digest")).alias("license_digest"), "license_id")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,7 +40,18 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = f"file://{_own[0]}"
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this process has made, and says how many; for when all results are written."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        at = path(_made.pop())
+        gone += at.getFileSystem(conf).delete(at, True)
+    return gone
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:

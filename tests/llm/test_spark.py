@@ -262,6 +262,24 @@ def test_license_scan(spark):
     assert license_scan.scan(spark, docs_of(spark, [])).count() == 0
 
 
+def test_license_scan_of_long_and_clashing_rows(spark):
+    mit = license_scan.LICENSES[0][1]
+    docs = docs_of(spark, [(1, "word " * 400_000, "s"), (2, "Copyright 2020 A\n" * 20_000 + mit, "s"), (2, mit, "s")]).withColumn("_plain", F.lit("p")).withColumn("_shown", F.lit("q")).withColumn("LICENSE_DIGEST", F.lit("x"))
+    got = license_scan.scan(spark, docs)
+    assert got.columns == [c for c in docs.columns if c != "LICENSE_DIGEST"] + ["license_digest", "license_id"]
+    assert sorted(((r["doc_id"], r["license_id"], r["_plain"], r["_shown"]) for r in got.collect()), key=str) == [(1, None, "p", "q"), (2, "MIT", "p", "q"), (2, "MIT", "p", "q")]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from chronolith.llm import shared
+
+    _, path = shared.kept(spark, spark.range(3), "some")
+    assert os.path.isdir(path.removeprefix("file://")) and shared.clear(spark) > 0
+    assert not os.path.exists(path.removeprefix("file://")) and shared.clear(spark) == 0
+
+
 def test_every_license_is_found_at_every_width(spark):
     import re
     import textwrap
