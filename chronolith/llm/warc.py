@@ -277,7 +277,7 @@ def look_up(spark: SparkSession, folder: str, index: DataFrame, wanted: DataFram
     The upper level goes along with each task: a row for each task that wrote archives.
     """
     upper, blocks = upper_level(index), index.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
-    places = wanted.select("key", F.col("page_id").cast("long")).distinct().repartitionByRange(max(1, min(10_000, blocks)), "key", "page_id").sortWithinPartitions("key", "page_id")
+    places = wanted.select("key", F.col("page_id").cast("long")).distinct().repartitionByRange(max(1, min(10_000, -(-blocks // 4))), "key", "page_id").sortWithinPartitions("key", "page_id")
     return places.mapInArrow(lambda it: _looked_up(it, folder, upper), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
