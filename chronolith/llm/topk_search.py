@@ -42,7 +42,7 @@ STEP = 16
 #: Impacts, as parts of the greatest, at which a band ends.
 BANDS = (0.6, 0.4, 0.25, 0.15, 0.08, 0.03, 0.0, -0.05, -0.15, -0.4)
 #: Vectors left that a walk may stop with: this many times k, or this part of the shard.
-FEW_K, FEW_PART = 8, 1 / 64
+FEW_K, FEW_PART = 8, 1 / 4
 
 
 def narrow_limit(dims: int) -> int:
@@ -83,7 +83,7 @@ class Shard:
     """The postings of a set of vectors by dimension and level."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.held = ids, vectors, {}
         level = vectors // STEP
         self.docs = [np.argsort(level[:, d], kind="stable") for d in range(vectors.shape[1])]
         self.levels = [level[self.docs[d], d] for d in range(vectors.shape[1])]
@@ -104,41 +104,45 @@ class Shard:
         best = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[best]], score[best]
 
+    def segments(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """(levels of dimension d, ascending, and where their postings begin), found once."""
+        if d not in self.held:
+            self.held[d] = np.unique(self.levels[d], return_index=True)
+        return self.held[d]
+
     def _possible(self, query: np.ndarray, used: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
         n = len(self.ids)
-        best = {d: int(max(query[d] * (self.levels[d][-1] * STEP + STEP - 1), query[d] * self.levels[d][0] * STEP)) for d in used.tolist()}
-        most = max(best.values())
         bits = len(used).bit_length()  # the low bits of a sum count the dimensions in it
-        sums = np.zeros(n, np.int64)
-        done = {d: n if query[d] > 0 else 0 for d in used.tolist()}  # where the part not met yet ends, or begins
-        floor = None
-        for part in (*BANDS, None):
-            limit = None if part is None else int(most * part)
-            for d in used.tolist():
-                q, levels = int(query[d]), self.levels[d]
-                if q > 0:  # high levels first
-                    stop = 0 if limit is None else int(np.searchsorted(levels, ((limit // q) - (STEP - 1)) // STEP, "right"))
-                    if stop >= done[d]:
-                        continue
-                    at, done[d] = slice(stop, done[d]), stop
-                    gain = q * (levels[at].astype(np.int64) * STEP + STEP - 1)
-                else:  # low levels first
-                    stop = n if limit is None else int(np.searchsorted(levels, -((-limit) // (-q * STEP)) if limit < 0 else -(limit // (-q * STEP)), "left"))
-                    if stop <= done[d]:
-                        continue
-                    at, done[d] = slice(done[d], stop), stop
-                    gain = q * (levels[at].astype(np.int64) * STEP)
-                gain <<= bits
-                gain += 1
-                sums[self.docs[d][at]] += gain
-            rest = max((self._next(query, d, done[d]) for d in used.tolist()), default=None, key=lambda x: -(1 << 62) if x is None else x)
+        found = []
+        for d in used.tolist():
+            levels, begins = self.segments(d)
+            q = int(query[d])
+            found.append((d, q, q * (levels.astype(np.int64) * STEP + (STEP - 1 if q > 0 else 0)), np.r_[begins, n]))
+        most = max(int(impact.max()) for _, _, impact, _ in found)
+        limits = [int(most * part) for part in BANDS] + [-(1 << 62)]
+        walks = []  # a dimension's postings, their gains, where each band ends and the impact behind it
+        for d, q, impact, begins in found:
+            falling = -impact[::-1] if q > 0 else -impact
+            taken = np.searchsorted(falling, [-x for x in limits], "right")  # segments with at least the limit's impact
+            ends = begins[len(impact) - taken] if q > 0 else begins[taken]
+            behind = [int(-falling[t]) if t < len(falling) else None for t in taken.tolist()]
+            walks.append((self.docs[d], np.repeat((impact << bits) + 1, np.diff(begins)), q > 0, ends.tolist(), behind))
+        sums, floor = np.zeros(n, np.int64), None
+        for band in range(len(limits)):
+            rest = None
+            for docs, gain, high, ends, behind in walks:
+                start = ends[band - 1] if band else n if high else 0
+                at = slice(ends[band], start) if high else slice(start, ends[band])
+                if at.start < at.stop:
+                    sums[docs[at]] += gain[at]
+                if behind[band] is not None and (rest is None or behind[band] > rest):
+                    rest = behind[band]
             bound = sums >> bits
             if rest is not None:
                 bound += (len(used) - (sums & ((1 << bits) - 1))) * rest
-            bound = np.where(others, bound, -(1 << 62))
+            bound[~others] = -(1 << 62)
             lead = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
-            lead = lead[others[lead]]
-            scores = np.sort(self.exact(lead, query))
+            scores = np.sort(self.exact(lead[others[lead]], query))
             if len(scores) >= k and (floor is None or scores[-k] > floor):
                 floor = int(scores[-k])
             if floor is not None:
@@ -147,13 +151,6 @@ class Shard:
                     return rows[others[rows]]
         return np.flatnonzero(others)
 
-    def _next(self, query: np.ndarray, d: int, done: int) -> int | None:
-        """The greatest impact that dimension d has left."""
-        q, levels = int(query[d]), self.levels[d]
-        if q > 0:
-            return q * (int(levels[done - 1]) * STEP + STEP - 1) if done else None
-        return q * int(levels[done]) * STEP if done < len(levels) else None
-
 
 def _numbers(raw: bytes, wide: bool, rows: int) -> np.ndarray:
     return np.frombuffer(raw, np.float64 if wide else np.int32).reshape(rows, -1) if rows else np.zeros((0, 0), np.int32)
@@ -171,6 +168,7 @@ def _built(table: pa.Table) -> pa.Table:
 
 def _loaded(row: dict) -> Shard:
     shard = Shard.__new__(Shard)
+    shard.held = {}
     shard.ids = np.frombuffer(row["ids"], np.int64)
     n, dims = len(shard.ids), row["dims"]
     shard.vectors = _numbers(row["vectors"], row["wide"], n)
