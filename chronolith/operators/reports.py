@@ -107,3 +107,9 @@ PROFILE_TYPES = {
 
 def profile_counters(profile: str) -> dict[str, Column]:
     return {n: F.upper("type").isin([t.upper() for t in types]) for n, types in PROFILE_TYPES.get(profile, {}).items()}
+
+
+def rc4_bound(rows: DataFrame, max_groups: int = 10_000) -> DataFrame:
+    """(bound, value, allowed) if an RC4 report passes its number of groups, counted no further than one more; empty if it keeps it. Nothing is cut."""
+    groups = rc4_impact(rows, 0).limit(max_groups + 1).agg(F.lit("groups").alias("bound"), F.count(F.lit(1)).alias("value"), F.lit(max_groups).cast("long").alias("allowed"))
+    return groups.where("value > allowed")

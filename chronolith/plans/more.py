@@ -278,6 +278,12 @@ def _(spark, d):
     return reports.user_logons(windows_log(spark, d))
 
 
+@query("report_rc4_bound", "SELECT 'groups' AS bound, 51::BIGINT AS value, 50::BIGINT AS allowed")
+def _(spark, d):
+    rows = identified(spark, d).withColumn("event_id", (F.lit(201) + F.col("record_id") % 9).cast("int")).withColumn("provider", F.lit("Kdcsvc")).withColumn("source_log", F.lit("System"))
+    return reports.rc4_bound(rows, 50)
+
+
 @query("report_samples", "SELECT event_id AS record_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 25")
 def _(spark, d):
     return reports.samples(events(spark, d).where("type = 'error'"), 25).select("record_id")
@@ -570,6 +576,17 @@ def _(spark, d):
     return spark.createDataFrame(sorted(manifest.items()), "section string, rows long")
 
 
+@query("sink_manifest", "SELECT 'whole' AS export, 0::BIGINT AS wrong UNION ALL SELECT 'changed', 2")
+def _(spark, d):
+    """An export against its own manifest, and against one with a file renamed."""
+    path = _folder(spark, "manifest")
+    files.export(events(spark, d).coalesce(1), path, "csv")
+    known = spark.createDataFrame(files.export_manifest(spark, path).collect(), "file string, bytes long, sha256 string")
+    sides = (("whole", known), ("changed", known.withColumn("file", F.concat("file", F.lit("x")))))
+    parts = [files.changed_files(spark, path, k).agg(F.lit(n).alias("export"), F.count(F.lit(1)).alias("wrong")) for n, k in sides]
+    return parts[0].unionByName(parts[1])
+
+
 @query("sink_evidence", "SELECT n, wrong FROM (VALUES (1, ''), (2, 'changed a,missing b')) v(n, wrong)")
 def _(spark, d):
     """A bundle that is whole, and one with a file changed and one gone."""

@@ -123,6 +123,20 @@ def export(rows: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"no export {kind!r}")
 
 
+def export_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of an export's data files, hashed where they are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(file, what) of an export's files that are missing, extra or changed since its manifest."""
+    now = export_manifest(spark, path).select("file", F.col("sha256").alias("now"))
+    both = manifest.select("file", "sha256").join(now, "file", "full")
+    what = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(F.col("now") != F.col("sha256"), "changed")
+    return both.select("file", what.alias("what")).where("what IS NOT NULL")
+
+
 def report_files(sections: dict[str, DataFrame], path: str) -> dict[str, int]:
     """A CSV folder for each section of a report and a manifest of their rows."""
     manifest = {}

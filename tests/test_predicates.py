@@ -62,3 +62,33 @@ def test_plain_conjuncts_reach_the_scan(spark, tmp_path, capsys):
     spark.range(100).select(F.col("id").cast("int").alias("event_id"), F.lit("x").alias("type")).write.parquet(f"{tmp_path}/t")
     where(spark.read.parquet(f"{tmp_path}/t"), all_of(compare("event_id", "In", 3, 4), compare("event_id", "GreaterThan", 3))).explain("formatted")
     assert "PushedFilters: [" in (plan := capsys.readouterr().out) and "GreaterThan(event_id,3)" in plan and "In(event_id, [3,4])" in plan
+
+
+def test_folded_texts_reach_the_scan_and_lose_no_spelling(spark, tmp_path):
+    """Every spelling that Unicode folds to a text is found; the plan shows its bounds at the scan."""
+    from pyspark.sql import functions as F
+
+    from chronolith.operators.predicates import folded_in
+
+    texts = ["error", "ERROR", "Error", "errors", "erro", "\u017fignup", "SIGNUP", "s\u0131gnup", "V\u0131EW", "view", "stra\u00dfe", "STRASSE", "\ufb01le", "FILE", "", None, "zz", "\u212aey", "KEY"]
+    spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    for value in ("error", "signup", "view", "strasse", "file", "key", "ERROR"):
+        want = sorted(r["t"] for r in rows.where(F.upper("t") == value.upper()).collect())
+        assert sorted(r["t"] for r in rows.where(folded_in(F.col("t"), [value])).collect()) == want and want
+    assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t,ERROR), LessThanOrEqual(t,error)]" in rows.where(folded_in(F.col("t"), ["error"]))._jdf.queryExecution().toString()
+
+
+def test_event_queries_push_filters_and_prune_columns(spark):
+    import os
+    import re
+
+    from chronolith.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        return
+    for name, filters, columns in (("agg_daily_top", ["GreaterThan(value", "GreaterThanOrEqual(event_type,CLICK)"], "ts user_id event_type value"), ("pred_equal", ["LessThanOrEqual(event_type,error)"], "event_id event_type"), ("pred_in", ["GreaterThanOrEqual(c_mktsegment,BUILDING)"], "c_custkey c_mktsegment"), ("agg_store_summary", [], "ts event_type")):
+        plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert all(f in plan for f in filters), plan
+        assert re.search(r"ReadSchema: struct<([^>]*)>", plan)[1].replace(":", " ").split(",").__len__() == len(columns.split())

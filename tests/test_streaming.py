@@ -80,3 +80,21 @@ def test_delivery_windows_and_store(spark, tmp_path):
     assert w.states() == {"a": True}
     w.stop()
     assert w.states() == {}
+
+
+def test_late_rows_are_reported_or_fail_the_stream(spark, tmp_path):
+    batches = [[("1", 0, "x"), ("2", 100, "x")], [("3", 50, "x"), ("4", 95, "x"), ("5", 200, "x")]]
+    store = Store(spark, f"file://{tmp_path}/s")
+    seen, late = [], []
+    keep = lambda into: lambda df, batch: into.extend(r["observation_identity"] for r in df.collect())
+    source = feed(spark, tmp_path, batches)
+    streams.reporting_late(source, keep(seen), keep(late), timedelta(seconds=10), store, "w", f"{tmp_path}/at", availableNow=True).awaitTermination()
+    assert sorted(seen) == ["1", "2", "4", "5"] and late == ["3"]
+    with pytest.raises(Exception, match="behind the watermark"):
+        streams.reporting_late(source, keep([]), None, timedelta(seconds=10), Store(spark, f"file://{tmp_path}/t"), "w", f"{tmp_path}/at2", availableNow=True).awaitTermination()
+
+
+def test_a_stream_without_the_group_field_says_so(spark, tmp_path):
+    rule = rules.Rule("t", kind="Threshold", selector=rules.Selector(types=("a",)), threshold=2, window_seconds=10, group_by="nothing")
+    got = run(spark, streams.lacking(feed(spark, tmp_path, [[("1", 0, "x"), ("2", 1, "x")]]), rule), tmp_path, "lacking").collect()
+    assert [(r["rule_id"], r["status"], r["field"]) for r in got] == [("t", "Incomplete", "nothing")]
