@@ -90,12 +90,20 @@ def investigation(observations: DataFrame, findings: DataFrame, kind: str | None
 def clock_bounds(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """``rows`` (computer, time, id) with the least and greatest true time by the clock evidence that holds then.
 
-    Evidence: computer, valid_from, valid_through, offset_low, offset_high in seconds. Days
-    make the join equal; evidence is laid out over the days that it spans.
+    Evidence: computer, valid_from, valid_through, offset_low, offset_high in seconds. It is
+    cut to the span of the rows and laid out over days, which make the join equal. What
+    holds for a whole day is put together in one row a computer and day before it is joined;
+    only evidence that begins or ends on the day itself is compared row by row.
     """
-    e = evidence.withColumn("_day", F.explode(F.sequence(F.to_date("valid_from"), F.to_date("valid_through")))).withColumnRenamed("computer", "_computer")
+    span = rows.agg(F.min("time").alias("_from"), F.max("time").alias("_to"))  # one row
+    cut = evidence.crossJoin(F.broadcast(span)).select(F.upper("computer").alias("_computer"), F.greatest("valid_from", "_from").alias("_start"), F.least("valid_through", "_to").alias("_end"), "offset_low", "offset_high").where("_start <= _end")
+    daily = cut.withColumn("_day", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end"))))
+    first, last = F.col("_day").cast("timestamp"), F.col("_day").cast("timestamp") + F.expr("INTERVAL 86399999999 MICROSECOND")
+    marked = daily.withColumn("_whole", (F.col("_start") <= first) & (F.col("_end") >= last))
+    whole = marked.where("_whole").groupBy("_computer", "_day").agg(F.min("offset_low").alias("offset_low"), F.max("offset_high").alias("offset_high")).select("_computer", "_day", first.alias("_start"), last.alias("_end"), "offset_low", "offset_high")
+    e = whole.unionByName(marked.where(~F.col("_whole")).drop("_whole"))
     r = rows.withColumn("_day", F.to_date("time"))
-    hit = (F.upper("computer") == F.upper("_computer")) & (r["_day"] == e["_day"]) & F.col("time").between(F.col("valid_from"), F.col("valid_through"))
+    hit = (F.upper("computer") == F.col("_computer")) & (r["_day"] == e["_day"]) & F.col("time").between(F.col("_start"), F.col("_end"))
     shift = lambda c, f: F.timestamp_micros(F.unix_micros("time") + (f(c) * 1_000_000).cast("long"))
     per = r.join(e, hit, "left").groupBy("id", "computer", "time").agg(F.min("offset_low").alias("_low"), F.max("offset_high").alias("_high"))
     return per.select("id", "computer", "time", shift("_low", F.col).alias("earliest"), shift("_high", F.col).alias("latest"))

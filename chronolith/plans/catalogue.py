@@ -223,7 +223,7 @@ def _(spark, d):
 
 @query("occ_transport", "SELECT event_id AS record_id, 2::BIGINT AS copies FROM events")
 def _(spark, d):
-    rows = events(spark, d)
+    rows = events(spark, d).withColumn("collector_computer", F.col("source_computer"))  # kept where it came about: direct
     forwarded = rows.withColumn("container_log", F.lit("ForwardedEvents")).withColumn("collector_computer", F.lit("other"))
     return occurrences.representative(occurrences.transport(forwarded.unionByName(rows))).where("container_log = 'Application'").select("record_id", "copies")
 
