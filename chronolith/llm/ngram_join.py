@@ -351,6 +351,7 @@ def tail_links(lists: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     """Links across components among the members of long lists: (token, cls, size, m, leader)."""
     rooted = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    open_lists, _ = kept(lists.sparkSession, open_lists, "ngram-open")  # written, so a long list's join can be split
     left = rooted.join(open_lists, "token", "left_semi")
     member = left.groupBy("cls").agg(F.max(F.struct("m", "leader"))["leader"].alias("home"), F.first("root").alias("root"), F.first("size").alias("size"))
     parts = member.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_TOKENS)).alias("parts"))
@@ -384,7 +385,8 @@ def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, f
 
     prefix, _ = kept(spark, sets.mapInArrow(lambda it: _prefixes(it, percent), "token long, cls long, size long, central double"), "ngram-prefix")
     lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "cls", "size")).alias("top")).where("m > 1")
-    lists, _ = kept(spark, prefix.join(lists.select("token", "m", F.col("top.cls").alias("leader"), F.col("top.size").alias("leader_size")), "token"), "ngram-lists")
+    heads, _ = kept(spark, lists.select("token", "m", F.col("top.cls").alias("leader"), F.col("top.size").alias("leader_size")), "ngram-heads")
+    lists, _ = kept(spark, prefix.join(heads, "token"), "ngram-lists")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     star = lists.where((F.col("m") > SHORT_LIST) & (F.col("cls") != F.col("leader")) & near(F.col("size"), F.col("leader_size"))).select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
     short = lists.where(F.col("m") <= SHORT_LIST)
