@@ -556,11 +556,12 @@ def _(spark, d):
     return files.read_json_lines(spark, path).select("record_id", "type", "time_created", payload("k").alias("k"))
 
 
-@query("sink_csv", _EVENTS + """SELECT CAST(record_id AS VARCHAR) AS record_id, type, '{"k":"' || k || '","value":"' || CAST(value AS VARCHAR) || '"}' AS values_json FROM c WHERE value = floor(value * 100) / 100 AND value < 1000""")
+@query("sink_csv", _EVENTS + "SELECT CAST(record_id AS VARCHAR) AS record_id, type, k, value FROM c")
 def _(spark, d):
     path = _folder(spark, "csv")
-    files.export(events(spark, d).where((F.col("value") == F.floor(F.col("value") * 100) / 100) & (F.col("value") < 1000)), path, "csv")
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select("record_id", "type", "values_json")
+    files.export(events(spark, d), path, "csv")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select("record_id", "type", F.get_json_object("values_json", "$.k").alias("k"), F.get_json_object("values_json", "$.value").cast("double").alias("value"))
 
 
 @query("sink_xml", _EVENTS + "SELECT record_id, type FROM c")
