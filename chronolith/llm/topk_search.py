@@ -40,7 +40,7 @@ from chronolith.llm.shared import kept
 #: Values in a level of quantised impact.
 STEP = 16
 #: Impacts, as parts of the greatest, at which a band ends.
-BANDS = (0.6, 0.4, 0.25, 0.15, 0.08, 0.03, 0.0, -0.05, -0.15, -0.4)
+BANDS = (0.3, 0.1, 0.02, -0.05, -0.2)
 #: Vectors left that a walk may stop with: this many times k, or this part of the shard.
 FEW_K, FEW_PART = 8, 1 / 4
 
@@ -213,7 +213,7 @@ def sortable(number: int) -> str | None:
     return "+" + text if number > 0 else "-" + text.translate(str.maketrans("0123456789", "9876543210"))
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, shard_rows: int = 4_096, block_queries: int = 256) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, shard_rows: int = 8_192, block_queries: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, embedding) for each row of ``queries`` (same columns).
 
     A shard meets all blocks of queries in one task; there are as many tasks as shards, up to 10,000.
