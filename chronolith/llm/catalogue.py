@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import html_extract, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, spelling, token_files, topk_search, vector_codes, warc
+from chronolith.llm import html_extract, license_scan, line_dedup, minmax_dedup, mixing, ngram_join, packing, quality_rules, spelling, token_files, topk_search, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_warc": warc.op9_warc,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_minmax_dedup": minmax_dedup.op11_minmax_dedup,
         "op12_spelling": spelling.op12_spelling,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
@@ -35,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op11_minmax_dedup": minmax_dedup.ORACLE_SQL,
         "op12_spelling": spelling.ORACLE_SQL,
         "op13_vector_codes": vector_codes.ORACLE_SQL,
     }

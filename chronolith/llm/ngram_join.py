@@ -24,7 +24,8 @@ when their sets' Jaccard similarity is at least ``percent`` / 100.
    when the rest can't reach the bound.
 5. Classes that the links connect need no further test among themselves. What long lists
    still hold across components is tested block against block: classes go to blocks by
-   the centre that they were tested with, pairs of blocks that share a prefix shingle are
+   the centre that they were tested with, their component and their size; pairs of blocks
+   that share a prefix shingle, lie in different components and allow a link by size are
    multiplied fragment by fragment, and links alone come out, never the pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; texts
@@ -36,6 +37,7 @@ replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,8 @@ from chronolith.llm.shared import kept, small_batches, spare, texts
 SHORT_LIST = 6
 #: Classes, and shingles, in a block of the last step.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 400_000
+#: Classes of one component that get blocks of their own there.
+OWN_BLOCK = 32
 #: Shingles of a fragment that the last step multiplies at once.
 GEMM_TOKENS = 8_192
 #: Shingles that a task gathers before it deals them to the fragments, or counts them.
@@ -86,7 +90,7 @@ def _unique(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[first], which
 
 
-def _name(own: np.ndarray) -> bytes:
+def name(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
@@ -110,11 +114,11 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa
         sizes, names = [], []
         for text in texts(batch):
             own = shingles(text, n, seed)
-            name = _name(own)
+            called = name(own)
             sizes.append(len(own))
-            names.append(name)
-            if len(own) and name not in seen:
-                seen.add(name)
+            names.append(called)
+            if len(own) and called not in seen:
+                seen.add(called)
                 held.append(own)
                 tokens += len(own)
         hi_lo = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
@@ -162,7 +166,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], n: int, seed: int, fragments: int,
             own = shingles(text, n, seed)
             if not len(own):
                 continue
-            cls = _name(own)
+            cls = name(own)
             if cls in seen:  # a copy's shingles have gone already
                 continue
             seen.add(cls)
@@ -304,8 +308,8 @@ def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _packed(table: pa.Table) -> pa.Table:
-    rows = sorted(table.select(["cls", "size", "root", "fragment", "count", "token"]).to_pylist(), key=lambda r: r["cls"])
-    own = [_tokens(r) for r in rows]
+    rows = sorted(table.drop_columns(["block"]).to_pylist(), key=lambda r: r["cls"])
+    own = [np.frombuffer(r["tokens"], np.int64) if "tokens" in r else _tokens(r) for r in rows]
     pack = lambda values: pa.array([np.array(values, np.int64).tobytes()], pa.binary())
     return pa.table([table.column("block").slice(0, 1).combine_chunks(), *(pack([r[c] for r in rows]) for c in ("cls", "size", "root")), pack([len(x) for x in own]), pa.array([np.concatenate(own).tobytes()], pa.binary())], names=["block", "cls", "size", "root", "count", "token"])
 
@@ -348,23 +352,44 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def tail_links(lists: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links across components among the members of long lists: (token, cls, size, m, leader)."""
+    """Links across components among the members of long lists: (token, cls, size, m, leader).
+
+    Classes go to blocks by the leader of their longest list, by their component where it
+    has many of them, and by size, steps of the similarity apart. Two blocks of one component
+    are never paired, nor blocks whose sizes forbid a link: a list of which one component holds
+    all but a few costs its length times those few, not its square.
+    """
+    spark = lists.sparkSession
     rooted = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_lists, _ = kept(lists.sparkSession, open_lists, "ngram-open")  # written, so a long list's join can be split
+    open_lists, _ = kept(spark, open_lists, "ngram-open")  # written, so a long list's join can be split
     left = rooted.join(open_lists, "token", "left_semi")
     member = left.groupBy("cls").agg(F.max(F.struct("m", "leader"))["leader"].alias("home"), F.first("root").alias("root"), F.first("size").alias("size"))
-    parts = member.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_TOKENS)).alias("parts"))
-    member = member.join(parts, "home").select("cls", "root", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
-    member, _ = kept(lists.sparkSession, member, "ngram-blocks")
-    at = left.select("token", "cls").join(member.select("cls", "block"), "cls").select("token", "block").distinct()
-    pairs = at.withColumnRenamed("block", "a").join(at.withColumnRenamed("block", "b"), "token").where("a <= b").select("a", "b").distinct()
-    packed = classes.join(member, "cls").select("block", "cls", "size", "root", "fragment", "count", "token").groupBy("block").applyInArrow(_packed, "block long, cls binary, size binary, root binary, count binary, token binary")
-    packed, _ = kept(lists.sparkSession, packed, "ngram-packed")
+    member = member.withColumn("step", F.floor(F.log("size") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("size"))
+    alone = member.groupBy("home", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OWN_BLOCK).select("home", F.col("root"), F.col("root").alias("only"))
+    member = member.join(alone, ["home", "root"], "left").withColumn("dealt", F.xxhash64("home", F.coalesce("only", F.lit(-1)), "step"))
+    parts = member.groupBy("dealt").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_TOKENS)).alias("parts"))
+    member = member.join(parts, "dealt").select("cls", "root", "only", "step", F.xxhash64("dealt", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
+    member, _ = kept(spark, member, "ngram-blocks")
+    at = left.select("token", "cls").join(member.select("cls", "block", "only", "step"), "cls").select("token", "block", "only", "step").distinct()
+    other = at.select("token", F.col("block").alias("b"), F.col("only").alias("b_only"), F.col("step").alias("b_step"))
+    may_link = (F.col("a") <= F.col("b")) & ~F.coalesce(F.col("only") == F.col("b_only"), F.lit(False)) & (F.abs(F.col("step") - F.col("b_step")) <= 1)
+    pairs = at.withColumnRenamed("block", "a").join(other, "token").where(may_link).select("a", "b").distinct()
+    own = [c for c in ("fragment", "count", "token", "tokens") if c in classes.columns]
+    packed = classes.join(member.select("cls", "root", "block"), "cls").select("block", "cls", "size", "root", *own).groupBy("block").applyInArrow(_packed, "block long, cls binary, size binary, root binary, count binary, token binary")
+    packed, _ = kept(spark, packed, "ngram-packed")
     side = lambda s: packed.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "root", "count", "token")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _blocks(it, percent), "u long, v long")
 
 
+def labelled(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, n_shingles, hi, lo), their classes (hi, lo, first_id, cls) and the classes' roots."""
+    numbered = classes.select("hi", "lo", "first_id", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = numbered.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = numbered.join(least, "root", "left").select("hi", "lo", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"))
+    return signed.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, fragment_tokens: int = 4_000_000, hot_texts: int = 1_000, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); a shingle under ``hot_texts`` texts is never dealt by class."""
     small_batches(spark)
@@ -398,10 +423,7 @@ def label(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, f
     if not more.isEmpty():
         roots = components(spark, roots.select(F.col("cls").alias("u"), F.col("root").alias("v")).union(more))
 
-    numbered = classes.join(sets.select("hi", "lo", "cls"), ["hi", "lo"], "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = numbered.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = numbered.join(least, "root", "left").select("hi", "lo", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"))
-    return signed.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled(signed, classes.join(sets.select("hi", "lo", "cls"), ["hi", "lo"], "left"), roots)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
