@@ -11,8 +11,10 @@ for each dimension not met yet. The exact scores of the leaders so far give a fl
 walk stops when the vectors whose bound reaches the floor are few, or when all segments
 are done; those vectors, ties included, are rescored exactly.
 
-Queries come in blocks of ``block_queries`` to every shard; a shard answers with k rows a
-query, and a window with a pre-limit on each task picks the best of all shards.
+Queries are written in blocks of ``block_queries``. There are as many tasks as shards, whatever
+the queries' number: a task loads its shard once and reads the blocks one after another, so
+neither side is broadcast or joined. A shard answers with k rows a query, and a window with
+a pre-limit on each task picks the best of all shards.
 
 Defined cases: a vector that is null, holds a null or non-finite component, or has no
 vec_id takes no part; only vectors of the query's length are candidates; rows with the
@@ -30,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronolith.llm.shared import kept
+from chronolith.llm.shared import kept, open_store
 
 #: Values in a level of quantised impact.
 STEP = 16
@@ -185,12 +189,23 @@ def _blocked(table: pa.Table) -> pa.Table:
 _ANSWER = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("tier", pa.int32()), ("exact", pa.string())])
 
 
-def _answered(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a shard for each query of a block. Where a score leaves 64 bits, tier is its sign and ``exact`` holds its digits in an order that texts keep."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            shard, ids = _loaded(row), np.frombuffer(row["query_ids"], np.int64)
-            queries, wide = _numbers(row["queries"], row["wide_query"], len(ids)), row["wide"] or row["wide_query"]
+def _read_blocks(path: str, dims: int) -> Iterator[tuple[bool, np.ndarray, bytes]]:
+    """The blocks of queries of one length, read from the shared folder one at a time."""
+    store, at = open_store(path)
+    for file in sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")):
+        with store.open_input_file(file) as source:
+            for batch in pq.ParquetFile(source).iter_batches(1):
+                for row in batch.to_pylist():
+                    if row["dims"] == dims:
+                        yield row["wide_query"], np.frombuffer(row["query_ids"], np.int64), row["queries"]
+
+
+def _answered(batches: Iterator[pa.RecordBatch], k: int, blocks: str) -> Iterator[pa.RecordBatch]:
+    """The k best of each shard, loaded once, for each query. Where a score leaves 64 bits, tier is its sign and ``exact`` holds its digits in an order that texts keep."""
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        shard = _loaded(row)
+        for wide_query, ids, packed in _read_blocks(blocks, row["dims"]):
+            queries, wide = _numbers(packed, wide_query, len(ids)), row["wide"] or wide_query
             out = []
             for query_id, query in zip(ids.tolist(), queries):
                 key = xxhash.xxh3_64_intdigest(query.astype(np.float64).tobytes()) - (1 << 63)  # two rows of one id may differ
@@ -214,9 +229,9 @@ def sortable(number: int) -> str | None:
 
 
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, shard_rows: int = 8_192, block_queries: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, embedding) for each row of ``queries`` (same columns).
+    """(query_id, rank, vec_id, score): the k best of ``vectors`` (vec_id, embedding) for each row of ``queries`` (same columns; others are not read).
 
-    A shard meets all blocks of queries in one task; there are as many tasks as shards, up to 10,000.
+    There are as many tasks as shards, up to 10,000.
     """
     made = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lambda it: integers(it, scale), "vec_id long, dims int, wide boolean, values binary")
     rows, _ = kept(spark, made(vectors), "topk-vectors")
@@ -227,9 +242,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     index = dealt.groupBy("dims", "wide", "shard").applyInArrow(_built, "shard long, dims int, wide boolean, ids binary, vectors binary, docs binary, levels binary")
     index, _ = kept(spark, index, "topk-index")
     block = asked.withColumn("block", spread(asked, blocks)).withColumnRenamed("wide", "wide_query").groupBy("dims", "wide_query", "block").applyInArrow(_blocked, "block long, dims int, wide_query boolean, query_ids binary, queries binary")
-    block, _ = kept(spark, block, "topk-blocks")
-    pairs = index.repartitionByRange(min(10_000, shards), "shard", "dims", "wide").join(block, "dims")
-    answers = pairs.mapInArrow(lambda it: _answered(it, k), "query_id long, query_key long, vec_id long, score long, tier int, exact string")
+    _, at = kept(spark, block, "topk-blocks")
+    dealt = index.repartitionByRange(min(10_000, shards), "shard", "dims", "wide")
+    answers = dealt.mapInArrow(lambda it: _answered(it, k, at), "query_id long, query_key long, vec_id long, score long, tier int, exact string")
     best = (F.col("tier").desc(), F.col("exact").desc_nulls_last(), F.col("score").desc(), F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(*best))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -439,6 +439,21 @@ def test_search_is_exact_for_all_finite_numbers(spark):
     assert topk_search.narrow_limit(63) < 1 << 25 and (topk_search.narrow_limit(1023) + 16) ** 2 * 1023 << 10 < 1 << 63
 
 
+def test_topk_deals_shards_over_tasks_whatever_the_broadcast(spark):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(400)], "vec_id long, embedding array<double>, label int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    usual = sorted(map(tuple, topk_search.search(spark, vectors, vectors.where("vec_id % 20 = 0"), shard_rows=16, block_queries=4).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = topk_search.search(spark, vectors, vectors.where("vec_id % 20 = 0"), shard_rows=16, block_queries=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "rangepartitioning(shard" in plan and "25)" in plan and "Join" not in plan
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
