@@ -1,8 +1,9 @@
 """Batch detection: one projection finds what each rule matches, ordered state machines do the rest.
 
-All selectors compile into one array column, so the rows are read and tested once for all
-rules; their common safe prefilter reaches the scan. Stateless findings come straight from
-it. For the others, matches are dealt by (rule, group, run), a run being a stretch
+The selectors of a few rules compile into one array column, those of many are met by an index
+(``rule_index``), so the rows are read and tested once for all rules; their common safe prefilter
+reaches the scan. Stateless findings come straight from it. For stateful rules the matches are
+written once, narrow, and dealt by (rule, group, run), a run being a stretch
 without a gap longer than the rule's window: state never outlives a gap, so a hot group is
 many short runs. Runs are found over slots as long as the window, of which a group has few,
 not over its events, and slots that cannot be part of a finding by their counts are left out
@@ -24,13 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronolith.operators.predicates import compile_predicate, compile_with_error, folded_in, guaranteed
+from chronolith.operators.rule_index import RuleIndex
 from chronolith.operators.rules import Pack, Rule, Selector, Suppression
 from chronolith.operators.timeline import pivots
 from chronolith.schema import observed, resolve
+from chronolith.scratch import written
 
 FINDINGS = "rule_id string, group_value string, status string, event_us long, evidence array<string>"
 
 
+#: Selectors of enabled rules beyond which candidates come from an index.
+INDEXED_FROM = 16
+
+
 def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -62,18 +69,33 @@ def suppressed(rows: DataFrame, rule_id: str, suppressions: Sequence[Suppression
 
 
 def prefilter(rows: DataFrame, rules: Sequence[Rule]) -> Column:
-    """A cheap condition that every row of interest meets: the event ids, or else types, that selectors allow."""
+    """A cheap condition that every row of interest meets: for each selector its event ids, or else its types, channels or providers, joined by or."""
     selectors = [s for r in rules if r.enabled for s in (r.steps or (r.selector,))]
-    ids = [frozenset(s.event_ids) or (guaranteed(s.predicate, "event_id") if s.predicate else None) for s in selectors]
-    if selectors and all(ids):
-        return F.col("event_id").isin(sorted(frozenset.union(*ids)))
-    if selectors and all(s.types for s in selectors):
-        return folded_in(F.col("type"), sorted({t.upper() for s in selectors for t in s.types}))
-    return F.lit(True)
+    ids: set[int] = set()
+    names: dict[str, set[str]] = {"type": set(), "source_log": set(), "provider": set()}
+    for s in selectors:
+        own = frozenset(s.event_ids) or (guaranteed(s.predicate, "event_id") if s.predicate else None)
+        if own and all(type(v) is int for v in own):
+            ids |= own
+            continue
+        column, values = next(((c, v) for c, v in (("type", s.types), ("source_log", s.channels), ("provider", s.providers)) if v), (None, ()))
+        if column is None:
+            return F.lit(True)
+        names[column] |= {v.upper() for v in values}
+    parts = [F.col("event_id").isin(sorted(ids))] if ids else []
+    parts += [folded_in(F.col(c), sorted(v)) for c, v in names.items() if v]
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(not selectors)
 
 
 def matches(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = ()) -> DataFrame:
-    """(rule_id, steps, group_value, distinct_value, missing, identity, record_id, time_created), a row for each rule that takes an event."""
+    """(rule_id, steps, group_value, distinct_value, missing, identity, record_id, time_created), a row for each rule that takes an event.
+
+    A few rules are tested on every row in one projection. More would make that projection
+    too large to compile, so they go through an index of candidates; the rows are the same.
+    """
+    enabled = [r for r in rules if r.enabled]
+    if sum(1 + len(r.steps) for r in enabled) > INDEXED_FROM:
+        return RuleIndex(enabled).matches(rows.where(prefilter(rows, enabled)), suppressions)
     found = []
     for r in (r for r in rules if r.enabled):
         r.check()
@@ -245,21 +267,18 @@ def _streamed(rules: dict[str, Rule], until_us: int | None):
     return run
 
 
-def _can_fire(rules: Sequence[Rule], order: Window) -> Column:
+def _can_fire(order: Window) -> Column:
     """Whether a slot, with the one before or behind it, has the events that a finding takes.
 
     A finding's window reaches over two neighbouring slots at most, so events of other slots
     are in no finding's window, and leaving them out changes none. Absence rules need all.
     """
-    pick = lambda values: F.element_at(F.create_map(*[x for i, v in values.items() for x in (F.lit(i), F.lit(v).cast("long"))]), F.col("rule_id"))
-    need = pick({r.rule_id: 0 if r.kind == "Absence" else len(r.steps) or r.threshold for r in rules})
-    full = pick({r.rule_id: 0 if r.kind == "Absence" or not r.steps else (1 << len(r.steps)) - 1 for r in rules})
     out = F.lit(False)
     for shift, step in ((F.lag, -1), (F.lead, 1)):
         beside = shift("slot").over(order) == F.col("slot") + step
         n = F.col("_n") + F.when(beside, shift("_n").over(order)).otherwise(0)
         mask = F.col("_mask").bitwiseOR(F.when(beside, shift("_mask").over(order)).otherwise(0))
-        out = out | F.coalesce((n >= need) & (mask.bitwiseAND(full) == full), F.lit(False))
+        out = out | F.coalesce((n >= F.col("need")) & (mask.bitwiseAND(F.col("full")) == F.col("full")), F.lit(False))
     return out
 
 
@@ -278,15 +297,23 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
     out = hits.where(F.col("rule_id").isin(plain)).select("rule_id", "group_value", F.lit("Matched").alias("status"), F.col("time_created").alias("event_time"), F.array("identity").alias("evidence"))
     if not states:
         return out
-    held = hits.where(F.col("rule_id").isin(states))
+    hits = written(hits, "detect-matches")  # the rows are read and tested once; what follows reads the matches
+    out = hits.where(F.col("rule_id").isin(plain)).select("rule_id", "group_value", F.lit("Matched").alias("status"), F.col("time_created").alias("event_time"), F.array("identity").alias("evidence")) if plain else None
+    held = hits.where(F.col("rule_id").isin(states)) if plain else hits
     lacking = held.where(F.col("missing").isNotNull()).groupBy("rule_id", "missing").agg(F.min("time_created").alias("event_time")).select("rule_id", F.lit(None).cast("string").alias("group_value"), F.lit("Incomplete").alias("status"), "event_time", F.array().cast("array<string>").alias("evidence"))
-    widths = F.create_map(*[x for i in states for x in (F.lit(i), F.lit(int(by_id[i].window_seconds * 1e6)))])
-    ready = held.where(F.col("missing").isNull()).withColumn("us", F.unix_micros("time_created")).withColumn("width", F.element_at(widths, F.col("rule_id"))).withColumn("slot", F.floor(F.col("us") / F.col("width")))
+    needs = []
+    for i in states:
+        r = by_id[i]
+        every = r.kind == "Absence"
+        needs.append((i, int(r.window_seconds * 1e6), 0 if every else len(r.steps) or r.threshold, 0 if every or not r.steps else (1 << len(r.steps)) - 1))
+    table = rows.sparkSession.createDataFrame(needs, "rule_id string, width long, need long, full long")
+    ready = held.where(F.col("missing").isNull()).withColumn("us", F.unix_micros("time_created")).join(F.broadcast(table), "rule_id").withColumn("slot", F.floor(F.col("us") / F.col("width")))  # a row a rule
     mask = F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.pow(F.lit(2), s).cast("long")))
-    slots = ready.groupBy("rule_id", "group_value", "slot").agg(F.min("us").alias("_low"), F.max("us").alias("_high"), F.first("width").alias("_width"), F.count(F.lit(1)).alias("_n"), F.bit_or(mask).alias("_mask"))
+    once = [F.first(c).alias(c) for c in ("width", "need", "full")]
+    slots = ready.groupBy("rule_id", "group_value", "slot").agg(F.min("us").alias("_low"), F.max("us").alias("_high"), F.count(F.lit(1)).alias("_n"), F.bit_or(mask).alias("_mask"), *once)
     order = Window.partitionBy("rule_id", "group_value").orderBy("slot")
-    slots = slots.withColumn("_alive", _can_fire([by_id[i] for i in states], order)).where("_alive")
-    fresh = F.when(F.col("_low") - F.lag("_high").over(order) > F.col("_width"), 1).otherwise(0)
+    slots = slots.withColumn("_alive", _can_fire(order)).where("_alive")
+    fresh = F.when(F.col("_low") - F.lag("_high").over(order) > F.col("width"), 1).otherwise(0)
     numbered = slots.withColumn("_new", fresh).select("rule_id", "group_value", "slot", F.sum("_new").over(order).alias("run"))
     runs = ready.join(numbered, ["rule_id", "group_value", "slot"])
     sorted_runs = runs.repartition("rule_id", "group_value", "run").sortWithinPartitions("rule_id", "group_value", "run", "us", F.col("record_id").asc_nulls_first(), "identity")
@@ -298,7 +325,8 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
         until_us = None
     fed = sorted_runs.select("rule_id", "group_value", "run", "us", "identity", "steps", "distinct_value").mapInPandas(_streamed(by_id, until_us), FINDINGS)
     fired = fed.select("rule_id", "group_value", "status", F.timestamp_micros("event_us").alias("event_time"), "evidence")
-    return out.unionByName(fired).unionByName(lacking).select(*columns)
+    parts = [p for p in (out, fired, lacking) if p is not None]
+    return reduce(DataFrame.unionByName, parts).select(*columns)
 
 
 def described(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -177,7 +177,30 @@ def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Parameter:
+    """A value that each row brings in a column: its kind, the column, and its text as Python writes it.
+
+    ``many`` columns hold an array of values, for In and NotIn.
+    """
+
+    kind: type
+    column: Column
+    text: Column
+    many: bool = False
+
+
+def _is(value, kinds) -> bool:
+    return issubclass(value.kind, kinds) if isinstance(value, Parameter) else isinstance(value, kinds)
+
+
+def _shown(value) -> Column:
+    return value.text if isinstance(value, Parameter) else F.lit(str(value))
+
+
 def _literal(value) -> Column:
+    if isinstance(value, Parameter):
+        return value.column
     if isinstance(value, datetime):
         value = value.replace(tzinfo=value.tzinfo or timezone.utc)
     return F.lit(value)
@@ -221,27 +244,35 @@ class _Leaf:
         text = isinstance(self.kind, T.StringType)
         if isinstance(value, bool) or isinstance(self.kind, T.BooleanType):
             got = self.column.try_cast("boolean") if text else self.column.cast("boolean")
-            value = value if isinstance(value, bool) else str(value).lower() == "true"
-            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else None
+            want = F.lit(value) if isinstance(value, bool) else F.lower(_shown(value)) == "true"
+            return got, want, (self.column.isNotNull() & got.isNull()) if text else None
         if isinstance(value, datetime) or isinstance(self.kind, T.TimestampType):
             got = F.try_to_timestamp(self.column) if text else self.column
-            want = _literal(value) if isinstance(value, datetime) else F.try_to_timestamp(F.lit(str(value)))
+            want = _literal(value) if isinstance(value, datetime) else F.try_to_timestamp(_shown(value))
             return got, want, (self.column.isNotNull() & got.isNull()) if text else None
-        if isinstance(value, (int, float)):
+        if _is(value, (int, float)):
             got = self.column.try_cast("double") if text else self.column
-            return got, F.lit(value), (self.column.isNotNull() & got.isNull()) if text else None
+            return got, _literal(value), (self.column.isNotNull() & got.isNull()) if text else None
         if isinstance(self.kind, T.NumericType):
-            want = F.lit(str(value)).try_cast("double")
+            want = _shown(value).try_cast("double")
             return self.column, want, want.isNull()
-        return _text(self.column.cast("string"), self.ignore_case), _text(F.lit(str(value)), self.ignore_case), None
+        return _text(self.column.cast("string"), self.ignore_case), _text(_shown(value), self.ignore_case), None
 
     def equal(self, value) -> Column:
         got, want, unread = self.both(value)
         if unread is None:
             return got == want
-        plain = _text(self.column.cast("string"), self.ignore_case) == _text(F.lit(str(value)), self.ignore_case)
+        plain = _text(self.column.cast("string"), self.ignore_case) == _text(_shown(value), self.ignore_case)
         return F.when(unread, plain).otherwise(got == want)
 
+    def among(self, values: Parameter) -> Column:
+        """Whether the field equals one of many values of a column."""
+        if isinstance(self.kind, T.StringType) and values.kind is str:
+            return F.array_contains(values.column, _text(self.column, self.ignore_case))  # the values have this case
+        if not isinstance(self.kind, (T.StringType, T.BooleanType, T.TimestampType)) and values.kind is not str:
+            return F.array_contains(values.column, self.column.cast("long")) & (self.column.cast("long") == self.column)
+        return F.exists(values.column, lambda w: _false(self.equal(Parameter(values.kind, w, w.cast("string")))))
+
 
 def _subnet(column: Column, cidr: str) -> Column:
     net = ipaddress.ip_network(cidr, strict=False)
@@ -270,6 +301,9 @@ def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
             return F.exists(column, item), None
         if p.operator == "NotEqual":
             return F.when(column.isNull(), F.lit(v is not None)).otherwise(F.exists(column, lambda x: ~item(x))), None
+        if p.operator in ("In", "NotIn") and isinstance(v, Parameter):
+            hit = _false(F.exists(column, lambda x: _false(_Leaf(x, kind.elementType, p.ignore_case).among(v))))
+            return hit if p.operator == "In" else ~hit, None
         if p.operator in ("In", "NotIn"):
             hit = _false(F.exists(column, lambda x: reduce(lambda a, b: a | b, [_false(_Leaf(x, kind.elementType, p.ignore_case).equal(w)) for w in p.values])))
             return hit if p.operator == "In" else ~hit, None
@@ -279,6 +313,9 @@ def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
         return (F.lit(False) if v is None else leaf.equal(v)), None
     if p.operator == "NotEqual":
         return (column.isNotNull() if v is None else F.when(column.isNull(), True).otherwise(~_false(leaf.equal(v)))), None
+    if p.operator in ("In", "NotIn") and isinstance(v, Parameter):
+        hit = leaf.among(v)
+        return hit if p.operator == "In" else ~_false(hit), None
     if p.operator in ("In", "NotIn"):
         some = [w for w in p.values if w is not None]
         if isinstance(kind, T.StringType) and all(isinstance(w, str) for w in some):
@@ -293,8 +330,10 @@ def _leaf(p: Predicate, df: DataFrame) -> tuple[Column, Column | None]:
     text = column.cast("string")
     if p.operator in ("Contains", "StartsWith", "EndsWith"):
         test = {"Contains": "contains", "StartsWith": "startswith", "EndsWith": "endswith"}[p.operator]
-        return getattr(_text(text, p.ignore_case), test)(_text(F.lit(str(v)), p.ignore_case)), None
+        return getattr(_text(text, p.ignore_case), test)(_text(_shown(v), p.ignore_case)), None
     if p.operator in ("MatchesWildcard", "MatchesRegex"):
+        if isinstance(v, Parameter):
+            return F.rlike(text, v.column), None
         pattern = wildcard_regex(v) if p.operator == "MatchesWildcard" else v
         return text.rlike(("(?i)" if p.ignore_case else "") + pattern), None
     if p.operator == "InSubnet":
@@ -346,6 +385,17 @@ def compile_predicate(p: Predicate, df: DataFrame) -> Column:
     return condition if error is None else condition & ~error
 
 
+def pattern_of(p: Predicate) -> str:
+    """The regular expression of a MatchesWildcard or MatchesRegex leaf, as a parameter brings it."""
+    return ("(?i)" if p.ignore_case else "") + (wildcard_regex(p.values[0]) if p.operator == "MatchesWildcard" else p.values[0])
+
+
+def compile_shape(p: Predicate, df: DataFrame) -> Column:
+    """``compile_predicate`` of a tree whose values may be parameters; the trees that they stand for were validated."""
+    condition, error = _built(p, df)
+    return condition if error is None else condition & ~error
+
+
 def compile_with_error(p: Predicate, df: DataFrame) -> tuple[Column, Column]:
     """(condition, error) for callers that report errors instead of dropping rows."""
     validate(p)

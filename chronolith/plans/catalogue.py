@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import decode, normalize, text, times
 from chronolith.operators import aggregate as agg
+from chronolith.scratch import folder as _folder
 from chronolith.operators import context, detect, occurrences, policy, reports, rules, scan, timeline, views
 from chronolith.operators import predicates as p
 from chronolith.schema import canonical, from_app_events, observed, payload
@@ -534,23 +535,6 @@ def _(spark, d):
     return rows.select("record_id", "event_id", "source_computer", "time_created", F.element_at("values", "k").alias("k"), F.element_at("values", "NoNameA1").alias("unnamed"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or on one machine in a folder that goes with the process."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="chronolith-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("store_round_trip", _EVENTS + "SELECT type, count(*) AS count, max(time_created) AS last_seen FROM c WHERE time_created >= TIMESTAMP '2024-01-05' AND type <> 'view' GROUP BY 1")
 def _(spark, d):
     made = store.Store(spark, _folder(spark, "store"))
