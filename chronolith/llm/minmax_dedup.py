@@ -9,12 +9,13 @@ Documents link when their sets' Jaccard similarity is at least ``percent`` / 100
    probability of their similarity. The minimum and the maximum of a function go to
    different bands, so the values in a band are independent; matches of the two are
    negatively correlated, so all bands miss a pair less often than with separate functions.
-   With 192 functions, 6 values a band and 64 bands a pair of similarity 0.8 is missed once
-   in 2.7 * 10**8, one of 0.9 never in practice; a pair of 0.3 is a candidate once in 22.
+   With 120 functions, 5 values a band and 48 bands a pair of similarity 0.8 is missed once
+   in 1.9 * 10**8, one of 0.9 never in practice; a pair of 0.3 is a candidate once in 9.
 2. Documents with equal sets form a class and are never paired. Classes that share a band
    key are a list. A short list gives all its pairs; of a long list only the most
    central class, whose other lists are the longest, is paired with the others.
-3. Candidates are verified on their full sets. Links make components. What a long list
+3. Candidates are verified on their full sets, which are made again from the texts of these
+   classes alone, as the sets of all documents would be larger than the texts. Links make components. What a long list
    still holds across components is tested block against block (``ngram_join.tail_links``),
    so no candidate is left out: the star and the blocks only save tests whose answer could change nothing.
 
@@ -48,7 +49,7 @@ HELD_NAMES = 200_000
 class MinMax:
     """Seeded hash functions, signatures and their band keys."""
 
-    def __init__(self, permutations: int = 192, band: int = 6, seed: int = 0):
+    def __init__(self, permutations: int = 120, band: int = 5, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.mask = rng.integers(0, 1 << 64, (permutations, 1), np.uint64)
         self.odd = rng.integers(0, 1 << 64, (permutations, 1), np.uint64) | np.uint64(1)
@@ -74,14 +75,14 @@ class MinMax:
         return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("tokens", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("mark", pa.int64())])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, how: dict) -> Iterator[pa.RecordBatch]:
-    """A row a document; band keys and the set with the first of its copies in the task."""
+    """A row a document; band keys with the first of its copies in the task."""
     hasher, seen = MinMax(**how), set()
     for batch in batches:
-        sizes, names, bands, tokens = [], [], [], []
+        sizes, names, bands = [], [], []
         for text in texts(batch):
             own = shingles(text, n)
             called = name(own)
@@ -93,9 +94,24 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, how: dict) -> Iterator[pa
             sizes.append(len(own))
             names.append(called)
             bands.append(hasher.keys(hasher.signature(own)) if fresh else None)
-            tokens.append(own.tobytes() if fresh else None)
         hi_lo = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], schema=_SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi_lo[:, 0]), pa.array(hi_lo[:, 1]), pa.array(bands, pa.list_(pa.int64())), batch.column(2)], schema=_SIGNED)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(cls, size, tokens) of rows (cls, hi, lo, text) that hold their class's set; a row that comes again at once is passed over."""
+    last = None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["cls"] == last:
+                continue
+            own = shingles(row["text"], n)
+            if name(own) == np.array([row["hi"], row["lo"]], np.int64).tobytes():  # two rows may share a mark, hardly ever
+                out.append((row["cls"], len(own), own.tobytes()))
+                last = row["cls"]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["cls", "size", "tokens"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -127,28 +143,31 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     return star.union(square).distinct()
 
 
-def label(spark: SparkSession, docs: DataFrame, n: int = 4, percent: int = 80, permutations: int = 192, band: int = 6, seed: int = 0) -> DataFrame:
+def label(spark: SparkSession, docs: DataFrame, n: int = 4, percent: int = 80, permutations: int = 120, band: int = 5, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     small_batches(spark)
     how = {"permutations": permutations, "band": band, "seed": seed}
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    made = docs.mapInArrow(lambda it: _signed(it, n, how), "doc_id long, n_shingles long, hi long, lo long, bands array<long>, tokens binary")
+    docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))  # finds a row again
+    made = docs.mapInArrow(lambda it: _signed(it, n, how), "doc_id long, n_shingles long, hi long, lo long, bands array<long>, mark long")
     made, _ = kept(spark, made.withColumn("row", F.monotonically_increasing_id()), "minmax-signed")
     signed = made.select("doc_id", "n_shingles", "hi", "lo")
-    first = F.min(F.when(F.col("fresh"), F.col("row")))
-    classes = made.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo", "row", F.col("bands").isNotNull().alias("fresh")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), first.alias("cls"))
-    classes, _ = kept(spark, classes, "minmax-classes")
+    first = F.min(F.when(F.col("fresh"), F.struct("row", "mark")))
+    classes = made.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo", "row", "mark", F.col("bands").isNotNull().alias("fresh")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), first.alias("first"))
+    classes, _ = kept(spark, classes.select("hi", "lo", "first_id", "size", F.col("first.row").alias("cls"), F.col("first.mark").alias("mark")), "minmax-classes")
 
-    fresh = made.where("bands IS NOT NULL").select(F.col("row").alias("cls"), "bands").join(classes.select("cls", "size"), "cls")
-    keys, _ = kept(spark, fresh.select("cls", "size", F.explode("bands").alias("token")), "minmax-keys")
+    fresh = made.where("bands IS NOT NULL").select(F.col("row").alias("cls"), "bands").join(classes.select("cls"), "cls", "left_semi")
+    keys = fresh.select("cls", F.explode("bands").alias("token"))
     counts, _ = kept(spark, keys.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "minmax-counts")
-    shared, _ = kept(spark, keys.join(counts, "token"), "minmax-shared")
-    central = shared.groupBy("cls").agg(F.sum(F.log2("m")).alias("central"))
+    met = keys.join(counts, "token")
+    shared, _ = kept(spark, met.join(classes.select("cls", "size"), "cls"), "minmax-shared")
+    central, _ = kept(spark, shared.groupBy("cls").agg(F.sum(F.log2("m")).alias("central")), "minmax-central")
     heads = shared.join(central, "cls").groupBy("token").agg(F.max(F.struct("central", "cls", "size")).alias("top"))
     heads, _ = kept(spark, heads.select("token", F.col("top.cls").alias("leader"), F.col("top.size").alias("leader_size")), "minmax-heads")
     lists, _ = kept(spark, shared.join(heads, "token"), "minmax-lists")
-    sets = made.where("tokens IS NOT NULL").select(F.col("row").alias("cls"), "n_shingles", "tokens").join(central.select("cls"), "cls", "left_semi")
-    sets, _ = kept(spark, sets.select("cls", F.col("n_shingles").alias("size"), "tokens"), "minmax-sets")
+    wanted = classes.join(central.select("cls"), "cls", "left_semi").select("cls", "hi", "lo", "mark")
+    sets = docs.join(wanted, "mark").select("cls", "hi", "lo", "text").mapInArrow(lambda it: _sets(it, n), "cls long, size long, tokens binary")
+    sets, _ = kept(spark, sets, "minmax-sets")
 
     pairs, _ = kept(spark, candidates(lists, percent), "minmax-pairs")
     links, _ = kept(spark, verify(pairs, sets, percent), "minmax-links")
