@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,3 +136,40 @@ def snake_keys(payload: Column) -> Column:
     entries = F.transform(F.map_entries(payload), lambda e: F.struct(F.lower(F.trim(F.regexp_replace(words(e["key"]), r"[^A-Za-z0-9]+", "_"), F.lit("_"))).alias("key"), e["value"].alias("value")))
     first = F.aggregate(entries, F.filter(entries, lambda _: F.lit(False)), lambda seen, e: F.when(F.exists(seen, lambda x: x["key"] == e["key"]), seen).otherwise(F.concat(seen, F.array(e))))
     return F.map_from_entries(first)
+
+
+@lru_cache(1)
+def latin_pairs() -> dict[str, str]:
+    """Letter and mark to the letter that composes them, by Unicode's own data, for Latin letters."""
+    out = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+            out["".join(chr(int(x, 16)) for x in parts)] = c
+    return out
+
+
+#: Marks that compose with Latin letters lie here; a text without characters from here on is composed as it is.
+_MARKS = "[\u0300-\u036f]"
+
+
+def composed(column: Column) -> Column:
+    """A text with Latin letters and the marks behind them composed, up to two marks a letter; no other text changes."""
+    pairs = F.create_map(*[F.lit(x) for pair in sorted(latin_pairs().items()) for x in pair])
+
+    def once(text: Column) -> Column:
+        met = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(\\p{{IsLatin}}{_MARKS})"), F.lit(1)))
+        return F.aggregate(met, text, lambda made, pair: F.replace(made, pair, F.coalesce(F.element_at(pairs, pair), pair)))
+
+    return F.when(column.rlike(_MARKS), once(once(column))).otherwise(column)
+
+
+def nfc(column: Column) -> Column:
+    """Unicode's composed form of any text; only texts with characters from U+0300 on go to Python with a value."""
+
+    @F.pandas_udf("string")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    beyond = column.rlike("[^\u0000-\u02ff]")
+    return F.when(beyond, made(F.when(beyond, column))).otherwise(column)

@@ -1,6 +1,7 @@
 """Bounded aggregation: groups, calendar buckets, measures and top-N.
 
-Groups ignore case; a group shows the least of its variants. Ties and output order follow
+Groups and distinct values ignore case and how a Latin letter's marks are written (``text.composed``; ``text.nfc``
+does so for every script and goes through Python); a group shows the least of its variants. Ties and output order follow
 the group's identity, a text that gives each key's type and length before its value.
 Sets and counts are exact. Bounds never truncate: ``complete`` tells whether the groups
 and distinct values stayed within them.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from chronolith.functions.text import composed
 from chronolith.functions.times import calendar_end, calendar_start
 from chronolith.schema import resolve
 
@@ -58,7 +60,7 @@ def identity(pairs: Sequence[tuple[Column, str]]) -> Column:
     """The identity of a group from (value, type name) pairs."""
     parts = []
     for value, name in pairs:
-        text = F.upper(value.cast("string"))
+        text = F.upper(composed(value.cast("string"))) if name == "Text" else F.upper(value.cast("string"))
         shown = F.concat(F.lit(f"{len(name)}:{name}"), F.length(text).cast("string"), F.lit(":"), text, F.lit("|"))
         parts.append(F.when(value.isNull(), "4:Null0:|").otherwise(shown))
     return F.concat(*parts) if parts else F.lit("")
@@ -75,7 +77,8 @@ def _measures(df: DataFrame, d: Definition) -> list[Column]:
         if m.kind in ("Count", "Rate"):
             made = F.count(F.lit(1))
         elif m.kind == "DistinctCount":
-            value = F.upper(_typed(df, m.field)[0].cast("string"))
+            value, name = _typed(df, m.field)
+            value = F.upper(composed(value.cast("string"))) if name == "Text" else F.upper(value.cast("string"))
             made = F.countDistinct(value) + (F.max(value.isNull().cast("long")) if m.include_nulls else F.lit(0))
         elif m.kind in ("FirstSeen", "LastSeen"):
             made = (F.min if m.kind == "FirstSeen" else F.max)(_time(df, m.field))

@@ -120,9 +120,15 @@ class Threshold:
     def __init__(self, rule: Rule):
         self.n, self.window, self.held = rule.threshold, int(rule.window_seconds * 1e6), deque()
 
-    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+    def expire(self, us: int) -> None:
         while self.held and self.held[0][0] < us - self.window:
             self.held.popleft()
+
+    def size(self) -> int:
+        return len(self.held)
+
+    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+        self.expire(us)
         self.held.append((us, identity))
         if len(self.held) < self.n:
             return None
@@ -137,11 +143,17 @@ class Distinct:
     def __init__(self, rule: Rule):
         self.n, self.window, self.held = rule.threshold, int(rule.window_seconds * 1e6), {}
 
+    def expire(self, us: int) -> None:
+        while self.held and next(iter(self.held.values()))[0] < us - self.window:
+            self.held.pop(next(iter(self.held)))
+
+    def size(self) -> int:
+        return len(self.held)
+
     def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
         self.held.pop(value, None)  # a value's latest event goes to the end
         self.held[value] = (us, identity)
-        while next(iter(self.held.values()))[0] < us - self.window:
-            self.held.pop(next(iter(self.held)))
+        self.expire(us)
         if len(self.held) < self.n:
             return None
         out = [x for _, x in self.held.values()]
@@ -160,10 +172,16 @@ class Temporal:
         self.steps, self.window = len(rule.steps), int(rule.window_seconds * 1e6)
         self.held: list[deque] = [deque(maxlen=self.steps) for _ in rule.steps]
 
-    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+    def expire(self, us: int) -> None:
         for own in self.held:
             while own and own[0][0] < us - self.window:
                 own.popleft()
+
+    def size(self) -> int:
+        return sum(map(len, self.held))
+
+    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+        self.expire(us)
         for s in steps:
             self.held[s].append((us, identity))
         if not all(self.held):
@@ -193,10 +211,16 @@ class Ordered:
         self.steps, self.window = len(rule.steps), int(rule.window_seconds * 1e6)
         self.prefix: list[list | None] = [None] * (self.steps - 1)
 
-    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+    def expire(self, us: int) -> None:
         for i, p in enumerate(self.prefix):
             if p is not None and p[0][0] < us - self.window:
                 self.prefix[i] = None
+
+    def size(self) -> int:
+        return sum(len(p) for p in self.prefix if p)
+
+    def feed(self, us: int, identity: str, steps, value) -> list[str] | None:
+        self.expire(us)
         for done in range(self.steps - 1, 0, -1):
             source = self.prefix[done - 1]
             if source is None or done not in steps:
@@ -229,6 +253,9 @@ class Absence:
             out.append((at + self.window, identity))
         return out
 
+    def size(self) -> int:
+        return len(self.open)
+
     def feed(self, us: int, identity: str, steps) -> list[tuple[int, str]]:
         out = self.due(us)
         if 1 in steps and self.open:
@@ -238,31 +265,55 @@ class Absence:
         return out
 
 
-def _streamed(rules: dict[str, Rule], until_us: int | None):
+class Machine:
+    """A rule's state for one group, holding at most ``most`` observations.
+
+    ``feed`` gives (time, evidence, status) for what fires. Where the state is full and nothing in it
+    has left the window, an event is not evaluated, and the first such event gives one Incomplete.
+    """
+
+    def __init__(self, rule: Rule, most: int):
+        self.absence = rule.kind == "Absence"
+        self.inner, self.most, self.full, self.last = Absence(rule) if self.absence else MACHINES[rule.kind](rule), most, False, 0
+
+    def feed(self, us: int, identity: str, steps, value) -> list[tuple[int, list[str], str]]:
+        self.last = us
+        out = []
+        if self.inner.size() >= self.most:
+            if self.absence:
+                out = [(at, [i], "Matched") for at, i in self.inner.due(us)]
+            else:
+                self.inner.expire(us)
+            if self.inner.size() >= self.most and not (self.absence and 1 in steps):
+                told, self.full = self.full, True
+                return out if told else [*out, (us, [], "Full")]
+        if self.absence:
+            return out + [(at, [i], "Matched") for at, i in self.inner.feed(us, identity, steps)]
+        evidence = self.inner.feed(us, identity, steps, value)
+        return [] if evidence is None else [(us, evidence, "Matched")]
+
+    def due(self, us: int | None, status: Callable[[int], str] = lambda at: "Matched") -> list[tuple[int, list[str], str]]:
+        """What an absence rule finds without more events, up to a time or at the end."""
+        return [(at, [i], status(at)) for at, i in self.inner.due(us)] if self.absence else []
+
+
+def _streamed(rules: dict[str, Rule], until_us: int | None, most: int):
+    ended = lambda at: "Matched" if until_us is not None and at <= until_us else "Incomplete"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine, rule = None, None, None
+        key, machine = None, None
         for pdf in batches:
             out = []
-
-            def end() -> None:
-                if rule is not None and rule.kind == "Absence":
-                    out.extend((rule.rule_id, key[1], "Matched" if until_us is not None and at <= until_us else "Incomplete", at, [i]) for at, i in machine.due(None))  # noqa: B023
-
             for rule_id, group, stretch, us, identity, steps, value in zip(*(pdf[c].tolist() for c in ("rule_id", "group_value", "run", "us", "identity", "steps", "distinct_value"))):
                 if (rule_id, group, stretch) != key:
-                    end()
-                    key, rule = (rule_id, group, stretch), rules[rule_id]
-                    machine = Absence(rule) if rule.kind == "Absence" else MACHINES[rule.kind](rule)
-                if rule.kind == "Absence":
-                    out.extend((rule_id, group, "Matched", at, [i]) for at, i in machine.feed(us, identity, steps))
-                elif (evidence := machine.feed(us, identity, steps, value)) is not None:
-                    out.append((rule_id, group, "Matched", us, evidence))
+                    if machine is not None:
+                        out += [(key[0], key[1], status, at, found) for at, found, status in machine.due(None, ended)]
+                    key, machine = (rule_id, group, stretch), Machine(rules[rule_id], most)
+                out += [(rule_id, group, status, at, found) for at, found, status in machine.feed(us, identity, steps, value)]
             if out:
                 yield pd.DataFrame(out, columns=["rule_id", "group_value", "status", "event_us", "evidence"])
-        if rule is not None and rule.kind == "Absence":
-            last = [(rule.rule_id, key[1], "Matched" if until_us is not None and at <= until_us else "Incomplete", at, [i]) for at, i in machine.due(None)]
-            if last:
-                yield pd.DataFrame(last, columns=["rule_id", "group_value", "status", "event_us", "evidence"])
+        if machine is not None and (last := machine.due(None, ended)):
+            yield pd.DataFrame([(key[0], key[1], status, at, found) for at, found, status in last], columns=["rule_id", "group_value", "status", "event_us", "evidence"])
 
     return run
 
@@ -282,12 +333,18 @@ def _can_fire(order: Window) -> Column:
     return out
 
 
-def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), until: datetime | None = None) -> DataFrame:
+#: Observations that a rule's state for one group holds at most.
+MAX_HELD = 250_000
+
+
+def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Suppression] = (), until: datetime | None = None, max_held: int = MAX_HELD) -> DataFrame:
     """Findings: rule_id, group_value, status, event_time, evidence (identities in order of time).
 
     Status is Matched, or Incomplete where a stateful rule met an event without its group or
     distinct field (one finding a rule and field), or where an absence's deadline lies
     behind ``until``, the time up to which input is complete (by default that of the last row).
+    A group whose state would hold more than ``max_held`` observations goes on without those
+    that find no room, and its rule gets one Incomplete finding without evidence.
     """
     by_id = {r.rule_id: r for r in rules if r.enabled}
     hits = matches(rows, rules, suppressions)
@@ -323,7 +380,11 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], suppressions: Sequence[Supp
         until_us = rows.agg(F.max(F.unix_micros("time_created"))).first()[0]
     else:
         until_us = None
-    fed = sorted_runs.select("rule_id", "group_value", "run", "us", "identity", "steps", "distinct_value").mapInPandas(_streamed(by_id, until_us), FINDINGS)
+    fed = sorted_runs.select("rule_id", "group_value", "run", "us", "identity", "steps", "distinct_value").mapInPandas(_streamed(by_id, until_us, max_held), FINDINGS)
+    if any(by_id[i].kind not in ("Temporal", "OrderedTemporal") for i in states):  # the state of the others is bounded by their steps
+        fed = written(fed, "detect-fired")
+        full = fed.where("status = 'Full'").groupBy("rule_id").agg(F.min("event_us").alias("event_us")).select("rule_id", F.lit(None).cast("string").alias("group_value"), F.lit("Incomplete").alias("status"), "event_us", F.array().cast("array<string>").alias("evidence"))
+        fed = fed.where("status <> 'Full'").unionByName(full)
     fired = fed.select("rule_id", "group_value", "status", F.timestamp_micros("event_us").alias("event_time"), "evidence")
     parts = [p for p in (out, fired, lacking) if p is not None]
     return reduce(DataFrame.unionByName, parts).select(*columns)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from chronolith.operators import detect
 from chronolith.operators.predicates import Predicate, compile_predicate
 from chronolith.operators.rules import Rule, Suppression
+from chronolith.scratch import written
 
 _IDENTITY = ["type", "source_computer", "source_log", "provider", "event_id", "record_id", "time_created", "message"]
 
@@ -31,6 +32,14 @@ def event_key() -> Column:
     return F.sha2(F.to_json(F.struct(F.array(*parts).alias("c"), F.array_sort(F.map_entries("values")).alias("v"))), 256)
 
 
+#: Partitions of the entity table.
+ENTITY_BUCKETS = 64
+
+
+def entity_bucket(value_key: Column) -> Column:
+    return F.pmod(F.xxhash64(value_key), F.lit(ENTITY_BUCKETS)).cast("int")
+
+
 class Store:
     """A folder with events, findings and checkpoints."""
 
@@ -153,12 +162,19 @@ class Store:
         return json.loads(last["fields"]) if last else {}
 
     def write_findings(self, findings: DataFrame) -> None:
-        """Adds findings; one is known by its rule, group, time and evidence."""
+        """Adds findings; one is known by its rule, group, time and evidence. Their ``entities`` (kind, value), where they
+        have that column, also go to a table of their own, dealt by the value without case."""
         key = F.sha2(F.to_json(F.struct("rule_id", "group_value", "status", "event_time", "evidence")), 256)
         made = findings.withColumn("finding_key", key).dropDuplicates(["finding_key"])
         had = self._table("findings")
         if had is not None:
             made = made.join(had.select("finding_key"), "finding_key", "left_anti")
+        if "entities" in findings.columns:
+            made = written(made, "findings")  # two tables come of it
+            each = made.select("finding_key", F.explode("entities").alias("e")).select("finding_key", "e.kind", "e.value").where("value IS NOT NULL")
+            dealt = each.withColumn("value_key", F.upper("value")).withColumn("bucket", entity_bucket(F.col("value_key")))
+            # entities first: a run that dies in between leaves some that name no finding yet, and is made good by the next
+            dealt.distinct().repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/finding_entities")
         made.write.mode("append").parquet(f"{self.path}/findings")
 
     def findings(self, entity: str | None = None) -> DataFrame:
@@ -166,6 +182,17 @@ class Store:
         rows = self._table("findings")
         return rows if entity is None else rows.where(F.array_contains("evidence", entity))
 
+    def findings_about(self, value: str, kind: str | None = None) -> DataFrame:
+        """Stored findings with an entity, an account or a computer say, without case; of the entity table one bucket is read."""
+        rows, table = self._table("findings"), self._table("finding_entities")
+        if rows is None or table is None:
+            raise ValueError("the store has no findings with entities")
+        bucket = self.spark.range(1).select(entity_bucket(F.upper(F.lit(value)))).first()[0]
+        hit = table.where((F.col("bucket") == bucket) & (F.col("value_key") == F.upper(F.lit(value))))
+        if kind is not None:
+            hit = hit.where(F.lower("kind") == kind.lower())
+        return rows.join(hit.select("finding_key"), "finding_key", "left_semi")
+
     def _checkpoint(self, name: str) -> tuple[int, str | None]:
         """(version, position) of a checkpoint, from the last of its files; version 0 if there is none."""
         fs, path = self._files()
@@ -213,10 +240,10 @@ class Store:
         """Copies every table and returns each one's count and hash."""
         self._mend()
         out = {}
-        for name in ("events", "findings", "definitions"):
-            rows = self._table(name)
+        for name in ("events", "findings", "finding_entities", "definitions"):
+            rows, dealt = self._table(name), {"events": "day", "finding_entities": "bucket"}.get(name)
             if rows is not None:
-                (rows.write.partitionBy("day") if name == "events" else rows.write).mode("overwrite").parquet(f"{target}/{name}")
+                (rows.write.partitionBy(dealt) if dealt else rows.write).mode("overwrite").parquet(f"{target}/{name}")
                 out[name] = digest(rows)
         moved = self._checkpoints()
         if moved is not None:

@@ -114,16 +114,17 @@ def reporting_late(rows: DataFrame, handle: Callable[[DataFrame, int], None], la
     """Hands each batch's rows to ``handle`` and late ones to ``late``; without ``late`` a late row fails the stream.
 
     Late is what is older than the newest time of the batches before, less ``allowed``; that
-    time is the store's checkpoint ``name``, so a restarted stream judges alike.
+    time is the store's checkpoint ``name``, so a restarted stream judges alike. A batch that dies
+    before the checkpoint moves is handed over again, whole; one that dies after it is not.
     """
 
     def step(df: DataFrame, batch: int) -> None:
         held = df.persist()
         try:
             now = store.checkpoint(name)
-            before, newest = (int(x) if x else None for x in (now or ",").split(","))
-            if newest is not None and before is not None and before >= batch:  # the batch runs again: its own newest time does not count
-                raise ValueError(f"batch {batch} of {name!r} was done before")
+            done, newest = (int(x) if x else None for x in (now or ",").split(","))
+            if done is not None and done >= batch:  # it was done before a crash kept Spark from noting so: handling it twice would be wrong
+                return
             if newest is None:
                 handle(held, batch)
             else:
@@ -135,8 +136,9 @@ def reporting_late(rows: DataFrame, handle: Callable[[DataFrame, int], None], la
                     late(behind, batch)
                 handle(marked.where("NOT late").drop("late"), batch)
             top = held.agg(F.max(F.unix_micros("time_created"))).first()[0]
-            if top is not None:
-                store.move_checkpoint(name, now, f"{batch},{max(top, newest or top)}")
+            last = max((x for x in (top, newest) if x is not None), default=None)
+            if last is not None and not store.move_checkpoint(name, now, f"{batch},{last}"):
+                raise ValueError(f"checkpoint {name!r} was moved by another stream")
         finally:
             held.unpersist()
 
