@@ -518,10 +518,12 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.inline(decode.policy_links(link))).drop("options")
 
 
-@query("fn_kinds", "SELECT 1 AS n, 'Guid' AS kind UNION ALL SELECT 2, 'SecurityIdentifier' UNION ALL SELECT 3, 'DistinguishedName' UNION ALL SELECT 4, 'ObjectIdentifier' UNION ALL SELECT 5, 'ResourceIdentifier' UNION ALL SELECT 6, 'MultiValue' UNION ALL SELECT 7, 'Text' UNION ALL SELECT 8, 'Unknown'")
+@query("fn_kinds", "SELECT CASE event_id % 8 WHEN 0 THEN 'Guid' WHEN 1 THEN 'SecurityIdentifier' WHEN 2 THEN 'DistinguishedName' WHEN 3 THEN 'ObjectIdentifier' WHEN 4 THEN 'ResourceIdentifier' WHEN 5 THEN 'MultiValue' WHEN 6 THEN 'Text' ELSE 'Unknown' END AS kind, count(*) AS values FROM events GROUP BY 1")
 def _(spark, d):
-    shown = [(1, "{6F9619FF-8B86-D011-B42D-00C04FC964FF}"), (2, "S-1-5-21-1-2-3-500"), (3, "CN=a, DC=b"), (4, "1.2.840.113556"), (5, "%%14674"), (6, "a;b"), (7, "plain"), (8, None)]
-    return spark.createDataFrame(shown, "n int, v string").select("n", decode.kind_of(F.col("v")).alias("kind"))
+    n = F.col("record_id").cast("string")
+    forms = (F.concat(F.lit("{6F9619FF-8B86-D011-B42D-"), F.lpad(n, 12, "0"), F.lit("}")), F.concat(F.lit("S-1-5-21-1-2-3-"), n), F.concat(F.lit("CN=a"), n, F.lit(", DC=b")), F.concat(F.lit("1.2.840."), n), F.concat(F.lit("%%"), n), F.concat(F.lit("a;b"), n), F.concat(F.lit("plain "), n))
+    made = F.coalesce(*[F.when(F.col("record_id") % 8 == i, form) for i, form in enumerate(forms)])
+    return events(spark, d).select(decode.kind_of(made).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("values"))
 
 
 @query("src_xml", _EVENTS + "SELECT record_id, event_id, source_computer, time_created, k, 'second' AS unnamed FROM c")
@@ -567,7 +569,7 @@ def _(spark, d):
     return rows.agg(F.countDistinct("observation_identity").alias("identities"), F.count_if(F.col("fields")["SourceComputer"] == F.col("source_computer")).alias("rows"))
 
 
-from chronolith.plans import more  # noqa: E402,F401 (registers its queries; it needs the helpers above)
+from chronolith.plans import flows, more  # noqa: E402,F401 (they register their queries and need the helpers above)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -356,12 +356,14 @@ def _(spark, d):
     return p.where(rows, p.compare("ip", "InSubnet", "fe80::1:0:0/109")).select("s_suppkey")
 
 
-@query("pred_guaranteed", "SELECT 1 AS n, '1001,1002' AS ids UNION ALL SELECT 2, '1001' UNION ALL SELECT 3, NULL")
+@query("pred_guaranteed", _EVENTS + "SELECT 1 AS n, '1001,1002' AS ids, count(*) AS rows FROM c WHERE event_id IN (1001, 1002) UNION ALL SELECT 2, '1001', count(*) FROM c WHERE event_id = 1001 UNION ALL SELECT 3, NULL, count(*) FROM c")
 def _(spark, d):
-    """Which event ids predicates allow at most; taken from the plan, not from rows."""
-    id_ = p.Field("event_id")
+    """Which event ids predicates allow at most, and the rows that a scan by these ids reads."""
+    id_, rows = p.Field("event_id"), events(spark, d)
     shown = [p.guaranteed(x, "event_id") for x in (id_.in_(1001, 1002), (id_ == 1001) & (p.Field("k") > 3), (id_ == 1001) | (p.Field("k") > 3))]
-    return spark.createDataFrame([(i + 1, None if s is None else ",".join(map(str, sorted(s)))) for i, s in enumerate(shown)], "n int, ids string")
+    read = [F.count_if(F.col("event_id").isin(sorted(s)) if s is not None else F.lit(True)) for s in shown]
+    out = [F.struct(F.lit(i + 1).alias("n"), F.lit(None if s is None else ",".join(map(str, sorted(s)))).cast("string").alias("ids"), n.alias("rows")) for i, (s, n) in enumerate(zip(shown, read))]
+    return rows.agg(F.array(*out).alias("a")).select(F.inline("a"))
 
 
 @query("pred_xpath", "SELECT event_id AS record_id FROM events WHERE event_type = 'error' AND value > 50")
@@ -388,28 +390,51 @@ def _leaf_sample(spark: SparkSession) -> DataFrame:
     return canonical(spark.createDataFrame(rows, "message string, source_log string, event_id int, provider string, values map<string,string>"))
 
 
-@query("view_leaves", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(i) * max(1, len(pr))}::BIGINT)" for n, _, i, pr in _SIMPLE) + ") v(view, rows)")
-def _(spark, d):
-    """Every leaf view takes its own sample rows, whatever the case of log and provider."""
-    rows = _leaf_sample(spark)
+_SELECTORS = [(name, log, i, provider) for name, log, ids, providers in _SIMPLE for i in ids for provider in providers or ("any",)]
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _leaf_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a row of one of the selectors of all leaf views, by its id."""
+    kinds = _leaf_sample(spark)
+    numbered = spark.createDataFrame([(j, *s) for j, s in enumerate(_SELECTORS)], "_j long, message string, log string, event_id int, provider string")
+    kinds = kinds.drop("record_id").join(numbered.select("_j", "message", "event_id", F.lower("provider").alias("provider")), ["message", "event_id", "provider"])
+    own = events(spark, d).select("record_id", (F.col("record_id") % len(_SELECTORS)).alias("_j"))
+    return canonical(own.join(F.broadcast(kinds), "_j"))  # a row a selector
+
+
+def _leaf_hits(rows: DataFrame) -> DataFrame:
     hits = F.array_compact(F.array(*[F.when((F.col("message") == n) & views.VIEWS[n].column(), F.lit(n)) for n, *_ in _SIMPLE]))
-    return rows.select(F.explode(hits).alias("view")).groupBy("view").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.select("record_id", F.explode(hits).alias("view"))
 
 
-@query("view_composites", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(views.expand([n]))}::BIGINT)" for n in views.COMPOSITES) + ") v(view, leaves)")
+@query("view_leaves", f"SELECT view, count(*) AS rows FROM events JOIN {_values((j, s[0]) for j, s in enumerate(_SELECTORS))} v(j, view) ON event_id % {len(_SELECTORS)} = j GROUP BY 1")
 def _(spark, d):
-    return spark.createDataFrame([(n, leaf) for n in views.COMPOSITES for leaf in views.expand([n])], "view string, leaf string").groupBy("view").agg(F.count_distinct("leaf").alias("leaves"))
+    """Every leaf view takes the rows made for it, whatever the case of log and provider."""
+    return _leaf_hits(_leaf_rows(spark, d)).groupBy("view").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_MEMBERS = [(n, leaf) for n in views.COMPOSITES for leaf in views.expand([n]) if leaf not in views.UNAVAILABLE]
 
 
-@query("view_typed_rows", "SELECT event_id AS record_id, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'ADUserLogonNTLMv1' ELSE 'ADUserLogon' END WHEN 'error' THEN 'ADUserLogonFailed' END AS type FROM events WHERE event_type IN ('click', 'error')")
+@query("view_composites", f"SELECT c.view, count(*) AS rows FROM events JOIN {_values((j, s[0]) for j, s in enumerate(_SELECTORS))} v(j, leaf) ON event_id % {len(_SELECTORS)} = j JOIN {_values(_MEMBERS)} c(view, leaf) ON c.leaf = v.leaf GROUP BY 1")
 def _(spark, d):
-    return views.typed(windows_log(spark, d), ["ADUserLogonNTLMv1", "ADUserLogon", "ADUserLogonFailed"]).select("record_id", "type")
+    """A composite has the rows of its leaves."""
+    members = F.broadcast(spark.createDataFrame(_MEMBERS, "composite string, view string"))
+    return _leaf_hits(_leaf_rows(spark, d)).join(members, "view").groupBy(F.col("composite").alias("view")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("view_sources", "SELECT 'Security' AS log, 1104 AS event_id, 'Microsoft-Windows-Eventlog' AS provider UNION ALL SELECT 'System', 104, 'Microsoft-Windows-Eventlog'")
+@query("view_sources", f"SELECT log, id AS event_id, provider, count(*) AS rows FROM events JOIN {_values((j, log, i, pr) for j, (_, log, i, pr) in enumerate(_SELECTORS))} v(j, log, id, provider) ON event_id % {len(_SELECTORS)} = j WHERE (log, id, provider) IN (('Security', 1104, 'Microsoft-Windows-Eventlog'), ('System', 104, 'Microsoft-Windows-Eventlog')) GROUP BY ALL")
 def _(spark, d):
+    """What two views need to read, as a filter of rows by log, id and provider."""
     found = views.sources(["LogsClearedOther", "LogsFullSecurity"])
-    return spark.createDataFrame([(log, i, pr) for log, (ids, providers) in found.items() for i in ids for pr in providers], "log string, event_id int, provider string")
+    needs = spark.createDataFrame([(log, i, pr) for log, (ids, providers) in found.items() for i in ids for pr in providers], "log string, event_id int, need string")
+    rows = _leaf_rows(spark, d)
+    met = rows.join(F.broadcast(needs), (F.upper("log") == F.upper("source_log")) & (rows["event_id"] == needs["event_id"]) & (F.lower("need") == F.lower("provider")))
+    return met.groupBy("log", needs["event_id"], F.col("need").alias("provider")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("view_preset", "SELECT event_id AS record_id FROM events WHERE event_type = 'click' AND event_id % 5 = 0")
@@ -671,10 +696,14 @@ def _(spark, d):
     return _stored(spark, d, "ordered").newest(100, p.Field("type") == "ERROR", start=datetime(2024, 1, 5)).select("record_id")
 
 
-@query("store_checkpoints", "SELECT * FROM (VALUES ('first', true), ('again', false), ('next', true)) v(step, moved)")
+@query("store_checkpoints", "SELECT step, moved, (SELECT max(event_id) FROM events WHERE event_type = 'click') AS position FROM (VALUES ('first', true), ('again', false), ('next', true)) v(step, moved)")
 def _(spark, d):
+    """A checkpoint moves to a table's positions, from where it is only; it ends at the last click."""
     made = store.Store(spark, _folder(spark, "checkpoints"))
-    return spark.createDataFrame([("first", made.move_checkpoint("c", None, "1")), ("again", made.move_checkpoint("c", None, "2")), ("next", made.move_checkpoint("c", "1", "2"))], "step string, moved boolean")
+    tops = {r["type"]: str(r["top"]) for r in events(spark, d).groupBy("type").agg(F.max("record_id").alias("top")).collect()}  # five types
+    moves = [("first", None, "error"), ("again", None, "view"), ("next", "error", "click")]
+    done = [(step, made.move_checkpoint("c", tops.get(was), tops[to])) for step, was, to in moves]
+    return spark.createDataFrame([(*x, int(made.checkpoint("c"))) for x in done], "step string, moved boolean, position long")
 
 
 # Streams

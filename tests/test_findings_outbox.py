@@ -72,17 +72,17 @@ def test_a_message_that_the_sink_does_not_name_keeps_its_lease(spark, tmp_path):
 
 
 def test_composed_text(spark):
-    words = ["é", "é", "É", "plain", "", None, "ốx ậ", "́e", "ص́", "가", "ệ", "Å"]
+    words = ["\u00e9", "e\u0301", "E\u0301", "plain", "", None, "o\u0302\u0301x a\u0323\u0302", "\u0301e", "\u0635\u0301", "\u1100\u1161", "e\u0302\u0323", "A\u030a", "\u212b"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     for r in df.select("w", text.composed(F.col("w")).alias("c"), text.nfc(F.col("w")).alias("n")).collect():
         nfc = None if r["w"] is None else unicodedata.normalize("NFC", r["w"])
         assert r["n"] == nfc
-        if r["w"] not in ("가", "ệ", "Å"):  # not Latin with marks in order
+        if r["w"] not in ("\u1100\u1161", "e\u0302\u0323", "\u212b"):  # not Latin with marks in order
             assert r["c"] == nfc
     assert len(text.latin_pairs()) > 400
 
 
 def test_groups_do_not_see_how_marks_are_written(spark):
-    rows = canonical(spark.createDataFrame([("Café", "a"), ("café", "a"), ("CAFÉ", "Á"), ("cafe", "á")], "type string, source_computer string"))
+    rows = canonical(spark.createDataFrame([("Caf\u00e9", "a"), ("cafe\u0301", "a"), ("CAFE\u0301", "\u00c1"), ("cafe", "a\u0301")], "type string, source_computer string"))
     got = aggregate.aggregate(rows, aggregate.Definition(("type",), (aggregate.Measure("Count", "count"), aggregate.Measure("DistinctCount", "n", "source_computer")))).collect()
     assert sorted((r["count"], r["n"]) for r in got) == [(1, 1), (3, 2)]
