@@ -1,13 +1,14 @@
 """Candidate rules by inverted index, for rule sets of any size.
 
 Each of four dimensions (event id, type, channel, provider) has postings: for a value the
-numbers of the rules that name it, and a list of the rules that name none. A row looks its
-four values up in broadcast postings and takes the shortest list, with the open rules of
-that dimension, as its candidates. Candidates are rows from there on: one broadcast join brings
-the rule's selectors and values, and plain expressions test them.
+numbers of the rules that name it. A rule is posted once, in that of its dimensions where the
+longest list of its values is shortest; rules that name nothing are open. A row looks its four values up in
+broadcast postings: its candidates are those lists and the open rules, each rule once. Candidates
+are rows from there on: one broadcast join brings the rule's selectors and values, and plain
+expressions test them.
 
 Predicates with the same tree of fields and operators are one *shape*, whatever their
-values; a rule brings its values as arrays. So the plan has four look-ups, one join and one
+values; a rule brings its values as arrays. So the plan has four look-ups at most, one join and one
 condition a shape, and does not grow with the number of rules.
 
 Suppressions are conditions of their own, few by nature. Rows per event are its candidates,
@@ -18,7 +19,7 @@ size is that of the rule set; both are written by the driver, which has the rule
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -106,17 +107,18 @@ class RuleIndex:
         self._known: dict[str, int] = {}
         self.groups = sorted({r.group_by for r in self.rules if r.group_by}, key=str.lower)
         self.distincts = sorted({r.distinct_by for r in self.rules if r.distinct_by}, key=str.lower)
+        named = [{name: self._named(r, part) for name, _, part in DIMENSIONS} for r in self.rules]
+        load = {name: Counter(v for own in named for v in own[name]) for name, _, _ in DIMENSIONS}
         self.postings = {name: defaultdict(list) for name, _, _ in DIMENSIONS}
-        self.open: dict[str, list[int]] = {name: [] for name, _, _ in DIMENSIONS}
+        self.open: list[int] = []
         self.rows = []
-        for no, r in enumerate(self.rules):
+        for no, (r, own) in enumerate(zip(self.rules, named)):
             r.check()
-            for name, _, part in DIMENSIONS:
-                values = self._named(r, part)
-                for v in values:
-                    self.postings[name][v].append(no)
-                if not values:
-                    self.open[name].append(no)
+            at = min((name for name in own if own[name]), key=lambda name: max(load[name][v] for v in own[name]), default=None)
+            if at is None:
+                self.open.append(no)
+            for v in own[at] if at else ():
+                self.postings[at][v].append(no)
             group, distinct = (names.index(x) if x else -1 for names, x in ((self.groups, r.group_by), (self.distincts, r.distinct_by)))
             self.rows.append((no, r.rule_id, r.kind == "Stateless", group, r.group_by, distinct, r.distinct_by, self._selector(r.selector), [self._selector(s) for s in r.steps]))
 
@@ -142,36 +144,31 @@ class RuleIndex:
 
     def candidates(self, event_id: int | None, *names: str | None) -> list[int]:
         """What a row's candidates are, by the rule that the plan follows."""
-        found = []
+        found = list(self.open)
         for (name, _, _), v in zip(DIMENSIONS, (event_id, *names)):
-            found.append(self.postings[name].get(v.upper() if isinstance(v, str) else v, []) + self.open[name])
-        return sorted(min(found, key=len))
+            found += self.postings[name].get(v.upper() if isinstance(v, str) else v, [])
+        return sorted(found)
 
     def met(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with _candidates, the numbers of the rules that may match each."""
-        spark, seeds = rows.sparkSession, []
-        for name, column, _ in DIMENSIONS:
-            posted = self.postings[name]
-            if not posted:
-                continue
-            kind = "int" if name == "ids" else "string"
-            table = spark.createDataFrame(list(posted.items()), f"_key_{name} {kind}, _rules_{name} array<int>")
-            key = F.col(column) if name == "ids" else F.upper(column)
-            rows = rows.join(F.broadcast(table), key == F.col(f"_key_{name}"), "left").drop(f"_key_{name}")  # the size of the rule set
-            open_ = F.from_json(F.lit(json.dumps(self.open[name])), "array<int>")
-            seeds.append((F.concat(F.coalesce(f"_rules_{name}", F.array().cast("array<int>")), open_), F.coalesce(F.size(f"_rules_{name}"), F.lit(0)) + len(self.open[name])))
-        if not seeds:
-            return rows.withColumn("_candidates", F.sequence(F.lit(0), F.lit(len(self.rules) - 1)))
-        least = F.least(*[n for _, n in seeds]) if len(seeds) > 1 else seeds[0][1]
-        picked = F.coalesce(*[F.when(n == least, made) for made, n in seeds])
-        return rows.withColumn("_candidates", picked).drop(*[f"_rules_{name}" for name, _, _ in DIMENSIONS])
+        """``rows`` with rule_no, a row for each rule that may match; texts are compared as _key_ columns."""
+        spark, lists = rows.sparkSession, []
+        for name, _, _ in DIMENSIONS:
+            if self.postings[name]:
+                kind = "int" if name == "ids" else "string"
+                table = spark.createDataFrame(list(self.postings[name].items()), f"_posted {kind}, _rules_{name} array<int>")
+                rows = rows.join(F.broadcast(table), F.col(f"_key_{name}") == F.col("_posted"), "left").drop("_posted")  # the size of the rule set
+                lists.append(F.coalesce(f"_rules_{name}", F.array().cast("array<int>")))
+        if self.open:
+            lists.append(F.from_json(F.lit(json.dumps(self.open)), "array<int>"))
+        every = F.concat(*lists) if lists else F.array().cast("array<int>")
+        return rows.withColumn("rule_no", F.explode(every)).drop(*[f"_rules_{name}" for name, _, _ in DIMENSIONS])
 
     def _takes(self, s: Column, rows: DataFrame) -> Column:
         """Whether a selector that a column holds takes the row."""
-        parts = []
-        for name, column, _ in DIMENSIONS:
-            value = F.col(column) if name == "ids" else F.upper(column)
-            parts.append((F.size(s[name]) == 0) | F.coalesce(F.array_contains(s[name], value), F.lit(False)))
+        parts = [F.lit(True)]
+        for name, _, part in DIMENSIONS:
+            if any(getattr(x, part) for r in self.rules for x in (r.selector, *r.steps)):
+                parts.append((F.size(s[name]) == 0) | F.coalesce(F.array_contains(s[name], F.col(f"_key_{name}")), F.lit(False)))
         shape = F.lit(True)
         if self.shapes:
             cases = F.when(s["shape"] < 0, F.lit(True))
@@ -193,7 +190,8 @@ class RuleIndex:
         groups = F.array(*[resolve(rows, g).cast("string") for g in self.groups]).cast("array<string>")
         distincts = F.array(*[resolve(rows, d).cast("string") for d in self.distincts]).cast("array<string>")
         slim = rows.select(*own, *[resolve(rows, f).alias(f) for f in extra], groups.alias("_groups"), distincts.alias("_distincts"))
-        met = self.met(slim).withColumn("rule_no", F.explode("_candidates")).drop("_candidates")
+        keyed = slim.select("*", *[(F.col(c) if name == "ids" else F.upper(c)).alias(f"_key_{name}") for name, c, _ in DIMENSIONS])
+        met = self.met(keyed)
         table = rows.sparkSession.createDataFrame(self.rows, _RULES)
         pairs = met.join(F.broadcast(table), "rule_no")  # a row a rule
         hit = self._takes(F.col("base"), slim)

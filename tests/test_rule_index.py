@@ -86,11 +86,12 @@ def test_findings_do_not_depend_on_the_way(rows, monkeypatch):
     assert index == shown(detect.evaluate(rows, made)) and index
 
 
-def test_candidates_are_the_shortest_list():
-    made = [rules.Rule(f"a{i}", selector=rules.Selector(event_ids=(i % 5,), types=("x",))) for i in range(50)] + [rules.Rule("open"), rules.Rule("steps", kind="Temporal", window_seconds=1, steps=(rules.Selector(types=("y",)), rules.Selector(types=("Z",))))]
+def test_a_rule_is_posted_once_where_its_list_is_shortest():
+    made = [rules.Rule(f"a{i}", selector=rules.Selector(event_ids=(i % 5,), types=("x",))) for i in range(50)]
+    made += [rules.Rule("open"), rules.Rule("steps", kind="Temporal", window_seconds=1, steps=(rules.Selector(types=("y",)), rules.Selector(types=("Z",)))), rules.Rule("log", selector=rules.Selector(channels=("Security",), types=("x",)))]
     index = RuleIndex(made)
-    assert index.candidates(3, "X", None, None) == [*range(3, 50, 5), 50, 51] and index.candidates(3, "z", None, None) == [50, 51] and index.candidates(None, None, None, None) == [50]
-    assert index.candidates(9, "x", None, None) == [50, 51]
+    assert index.candidates(3, "X", None, None) == [*range(3, 50, 5), 50] and index.candidates(9, "z", None, None) == [50, 51]
+    assert index.candidates(None, "x", "SECURITY", None) == [50, 52] and index.candidates(None, None, None, None) == [50]
 
 
 def test_plan_does_not_grow_with_rules(spark, rows):
