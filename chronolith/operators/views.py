@@ -253,6 +253,68 @@ def typed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.where(F.col("event_id").isin(ids)).withColumn("type", type_).where(F.col("type").isNotNull())
 
 
+#: The columns of views whose events carry them as they are: (column, kind, payload keys, the first that is there counts).
+_VM = (("vm_name", "text", ("VmName", "Name")), ("user", "text", ("User", "UserName", "AccountName")))
+_DEVICE = (("device_id", "text", ("DeviceId",)), ("device_name", "text", ("DeviceDescription", "DeviceName")), ("class_id", "text", ("ClassId",)), ("class_name", "text", ("ClassName",)))
+_POLICY = (("policy_scope", "text", ("NoNameA0",)), ("item_name", "text", ("NoNameA1",)), ("policy_name", "text", ("NoNameA2", "ExtensionName")), ("error", "text", ("NoNameA3", "ErrorDescription")))
+_DEGRADATION = (
+    ("name", "text", ("Name",)), ("friendly_name", "text", ("FriendlyName",)), ("version", "text", ("Version",)), ("path", "text", ("Path",)),
+    ("duration_ms", "long", ("TotalTime",)), ("degradation_ms", "long", ("DegradationTime",)), ("incident_time", "time", ("StartTime",)),
+)
+_START = (("start_time", "time", ("StartTime", "#text", "ActionDetailsDateTime")),)
+OWN_COLUMNS = {
+    "OSCrash": _START, "OSStartup": _START, "OSShutdown": _START, "OSUncleanShutdown": _START, "OSStartupSecurity": _START, "OSCrashOnAuditFailRecovery": _START,
+    "OSTimeChange": (("previous_time", "text", ("PreviousTime",)), ("new_time", "text", ("NewTime",))),
+    "OSBugCheck": (
+        ("bug_check_code", "text", ("BugcheckCode", "param1")), ("parameter1", "text", ("BugcheckParameter1",)), ("parameter2", "text", ("BugcheckParameter2",)), ("parameter3", "text", ("BugcheckParameter3",)),
+        ("parameter4", "text", ("BugcheckParameter4",)), ("dump_file", "text", ("DumpFile", "param2")), ("report_id", "text", ("ReportId", "param3")),
+    ),
+    "WindowsUpdateFailure": (("reason", "text", ("ErrorDescription", "Message", "ErrorCode", "ResultCode")),),
+    "BitLockerKeyChange": (("master_key_id", "text", ("MasterKeyId",)), ("recovery_server", "text", ("RecoveryServer",))),
+    "DeviceRecognized": (*_DEVICE, ("vendor_ids", "text", ("VendorIds",)), ("compatible_ids", "text", ("CompatibleIds",)), ("location", "text", ("LocationInformation",))),
+    "DeviceDisabled": (*_DEVICE, ("reason", "text", ("Reason",))),
+    "AuditPolicyChange": (("category_id", "text", ("CategoryId",)), ("subcategory_id", "text", ("SubcategoryId",)), ("subcategory_guid", "text", ("SubcategoryGuid",)), ("changes", "text", ("AuditPolicyChanges",))),
+    "KerberosPolicyChange": (("policy_changes", "text", ("KerberosPolicyChange",)),),
+    "ADLdapBindingDetails": (("remote_endpoint", "text", ("NoNameA0",)), ("account_name", "text", ("NoNameA1",)), ("bind_type", "text", ("NoNameA2",))),
+    "LogsClearedSecurity": (("backup_path", "text", ("BackupPath",)),), "LogsClearedOther": (("backup_path", "text", ("BackupPath",)),), "ObjectDeletion": (("path", "text", ("ObjectName",)),),
+    "DhcpLeaseCreated": (("ip_address", "text", ("IpAddress", "ClientIp")), ("mac_address", "text", ("HwAddress", "MacAddress"))),
+    "NetworkAccessAuthenticationPolicy": (
+        ("security_id", "text", ("SubjectUserSid",)), ("called_station_id", "text", ("CalledStationID",)), ("calling_station_id", "text", ("CallingStationID",)), ("nas_ipv4", "text", ("NASIPv4Address",)),
+        ("nas_ipv6", "text", ("NASIPv6Address",)), ("nas_identifier", "text", ("NASIdentifier",)), ("nas_port", "text", ("NASPort",)), ("nas_port_type", "text", ("NASPortType",)),
+        ("provider_used", "text", ("AuthenticationProvider",)), ("server_used", "text", ("AuthenticationServer",)), ("authentication_type", "text", ("AuthenticationType",)), ("eap_type", "text", ("EAPType",)),
+        ("client_ip", "text", ("ClientIPAddress",)), ("client_name", "text", ("ClientName",)), ("request_policy", "text", ("ProxyPolicyName",)), ("network_policy", "text", ("NetworkPolicyName",)),
+        ("reason", "text", ("Reason",)), ("reason_code", "text", ("ReasonCode",)),
+    ),
+    "ClientGroupPoliciesApplication": _POLICY, "ClientGroupPoliciesSystem": _POLICY,
+    "HyperVVirtualMachineShutdown": _VM, "HyperVVirtualMachineStarted": _VM, "HyperVCheckpointCreated": (*_VM, ("checkpoint_name", "text", ("CheckpointName", "SnapshotName", "FriendlyName"))),
+    "ExchangeDatabaseMounted": (("database", "text", ("Database", "Mailbox Database")),), "SqlDatabaseCreated": (("database", "text", ("Database", "Database Name")),),
+    "AADConnectRunProfile": (("connector", "text", ("Connector", "Connector Name")), ("run_profile", "text", ("RunProfileName", "Run Profile Name"))),
+    "AADConnectStagingDisabled": (("operator", "text", ("Operator",)),), "AADConnectStagingEnabled": (("operator", "text", ("Operator",)),), "NetworkPromiscuousMode": (("adapter", "text", ("AdapterName", "Name")),),
+    "DiskError": (("device_name", "text", ("DeviceName", "NoNameA0")), ("block_address", "text", ("Lba", "NoNameA1")), ("disk_number", "long", ("DiskNumber", "NoNameA2"))),
+    "FileSystemError": (("volume_name", "text", ("DriveName", "NoNameA1")), ("device_name", "text", ("DeviceName", "NoNameA0")), ("corruption_state", "long", ("CorruptionActionState",)), ("description", "text", ("Description",)), ("outcome", "text", ("Outcome",))),
+    "StorageReset": (("device_name", "text", ("DeviceName", "NoNameA0")),), "DisplayDriverReset": (("driver_name", "text", ("DriverName", "NoNameA0")),),
+    "HardwareError": (("error_source", "text", ("ErrorSource",)), ("error_type", "text", ("ErrorType",)), ("processor", "text", ("ApicId",)), ("device_name", "text", ("PrimaryDeviceName",)), ("physical_address", "text", ("PhysicalAddress",))),
+    "ApplicationCrash": (
+        ("application", "text", ("AppName", "NoNameA0")), ("application_version", "text", ("AppVersion", "NoNameA1")), ("module", "text", ("ModuleName", "NoNameA3")), ("module_version", "text", ("ModuleVersion", "NoNameA4")),
+        ("exception_code", "text", ("ExceptionCode", "NoNameA6")), ("fault_offset", "text", ("FaultingOffset", "NoNameA7")), ("application_path", "text", ("AppPath", "NoNameA10")), ("module_path", "text", ("ModulePath", "NoNameA11")),
+        ("report_id", "text", ("IntegratorReportId", "NoNameA12")),
+    ),
+    "ApplicationHang": (
+        ("application", "text", ("AppName", "NoNameA0")), ("application_version", "text", ("AppVersion", "NoNameA1")), ("application_path", "text", ("ExeFileName", "NoNameA5")), ("hang_type", "text", ("HangType", "NoNameA9")),
+        ("report_id", "text", ("ReportId", "NoNameA6")),
+    ),
+    "BootPerformance": (("duration_ms", "long", ("BootTime",)), ("main_path_ms", "long", ("MainPathBootTime",)), ("post_boot_ms", "long", ("BootPostBootTime",)), ("is_degradation", "truth", ("BootIsDegradation",)), ("incident_time", "time", ("BootStartTime",))),
+    "ShutdownPerformance": (("duration_ms", "long", ("ShutdownTime",)), ("services_ms", "long", ("ShutdownServicesTime",)), ("is_degradation", "truth", ("ShutdownIsDegradation",)), ("incident_time", "time", ("ShutdownStartTime",))),
+    "StartupDegradation": _DEGRADATION, "ShutdownDegradation": _DEGRADATION,
+}
+
+
+def own_columns(name: str) -> dict[str, Column]:
+    """The columns of ``OWN_COLUMNS``; an empty payload text counts as none."""
+    cast = {"text": lambda c: c, "long": lambda c: c.try_cast("long"), "truth": lambda c: c.try_cast("boolean"), "time": lambda c: F.try_to_timestamp(c)}
+    return {column: cast[kind](F.coalesce(*[F.nullif(payload(k), F.lit("")) for k in keys])) for column, kind, keys in OWN_COLUMNS.get(name, ())}
+
+
 def _fields(name: str) -> dict[str, Column]:
     """The columns that a view has of its own, by what its events carry."""
     v, code = payload, lambda key: decode.integer(payload(key))
@@ -291,7 +353,18 @@ def _fields(name: str) -> dict[str, Column]:
         return {"rule_id": v("RuleId"), "rule_name": v("RuleName"), "profile": v("ProfileChanged")}
     if name.startswith("Defender"):
         return {"threat": v("Threat Name"), "severity": v("Severity Name"), "category": v("Category Name"), "path": v("Path"), "action_taken": v("Action Name"), "old_value": v("Old Value"), "new_value": v("New Value")}
-    return {}
+    if name == "ServiceFailure":
+        id_ = F.col("event_id")
+        of = lambda ids, key: F.when(id_.isin(*ids), v(key))
+        return {
+            "service_name": F.when(id_ == 7009, v("param2")).otherwise(v("param1")), "error": of((7000, 7023), "param2"), "failure_count": of((7031, 7034), "param2").try_cast("long"),
+            "timeout_ms": of((7009,), "param1").try_cast("long"), "recovery_delay_ms": of((7031,), "param3").try_cast("long"), "recovery_action": of((7031,), "param5"),
+        }
+    if name == "SyncCompleted":
+        return {"counts": F.map_from_arrays(F.regexp_extract_all("message", F.lit(r"(\w+):\s*\d+"), F.lit(1)), F.transform(F.regexp_extract_all("message", F.lit(r"\w+:\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("long")))}
+    if name == "IISSiteBindingFailure":
+        return {"binding": F.nullif(F.regexp_extract("message", r"(?i)URL prefix\s+(\S+)", 1), F.lit("")), "site": F.nullif(F.regexp_extract("message", r"site\s+['\"]?([^'\"]+)", 1), F.lit(""))}
+    return own_columns(name)
 
 
 def projected(rows: DataFrame, name: str) -> DataFrame:

@@ -427,6 +427,23 @@ def _(spark, d):
     return _leaf_hits(_leaf_rows(spark, d)).join(members, "view").groupBy(F.col("composite").alias("view")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+_COLUMNS = [(view, column, kind, keys) for view, own in views.OWN_COLUMNS.items() for column, kind, keys in own]
+
+
+@query("view_own_columns", f"SELECT view, column_name, count(*) AS rows, count(DISTINCT CASE WHEN kind IN ('text', 'long') THEN event_id WHEN kind = 'time' THEN event_id % 28 ELSE event_id % 2 END) AS values FROM events JOIN {_values((j, v, c, k) for j, (v, c, k, _) in enumerate(_COLUMNS))} x(j, view, column_name, kind) ON event_id % {len(_COLUMNS)} = j GROUP BY 1, 2")
+def _(spark, d):
+    """The columns that views have of their own: each event brings one of them, under one of the keys that it may have."""
+    n, j = F.col("record_id"), (F.col("record_id") % len(_COLUMNS)).cast("int")
+    table = spark.createDataFrame([(i, v, c, k, list(keys)) for i, (v, c, k, keys) in enumerate(_COLUMNS)], "j int, view string, column_name string, kind string, keys array<string>")
+    rows = events(spark, d).select("record_id", j.alias("j")).join(F.broadcast(table), "j")
+    said = F.when(F.col("kind") == "time", F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit(" 00:00:00"))).when(F.col("kind") == "truth", F.when(n % 2 == 0, "true").otherwise("false")).otherwise(n.cast("string"))
+    key = F.get("keys", (F.floor(n / len(_COLUMNS)) % F.size("keys")).cast("int"))
+    rows = rows.withColumn("values", F.create_map(key, said))
+    shown = {v: views.own_columns(v) for v in views.OWN_COLUMNS}
+    got = F.coalesce(*[F.when(F.col("j") == i, shown[v][c].cast("string")) for i, (v, c, _, _) in enumerate(_COLUMNS)])
+    return rows.groupBy("view", "column_name").agg(F.count(got).alias("rows"), F.count_distinct(got).alias("values"))
+
+
 @query("view_sources", f"SELECT log, id AS event_id, provider, count(*) AS rows FROM events JOIN {_values((j, log, i, pr) for j, (_, log, i, pr) in enumerate(_SELECTORS))} v(j, log, id, provider) ON event_id % {len(_SELECTORS)} = j WHERE (log, id, provider) IN (('Security', 1104, 'Microsoft-Windows-Eventlog'), ('System', 104, 'Microsoft-Windows-Eventlog')) GROUP BY ALL")
 def _(spark, d):
     """What two views need to read, as a filter of rows by log, id and provider."""
