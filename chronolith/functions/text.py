@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,3 +174,22 @@ def nfc(column: Column) -> Column:
 
     beyond = column.rlike("[^\u0000-\u02ff]")
     return F.when(beyond, made(F.when(beyond, column))).otherwise(column)
+
+
+def _indent(script: str) -> str:
+    """Depth is the running sum of braces, raised by its own lowest point: it never falls below 0."""
+    lines = [x.strip() for x in script.replace("\r", "").split("\n")]
+    opened = np.array([0] + [x.endswith("{") for x in lines[:-1]], dtype=np.int64)
+    depth = np.cumsum(opened - np.array([x.startswith("}") for x in lines], dtype=np.int64))
+    depth -= np.minimum(np.minimum.accumulate(depth), 0)
+    return "".join(f"{'    ' * n}{x}\n" for n, x in zip(depth.tolist(), lines))
+
+
+def indented(column: Column) -> Column:
+    """A script with each line trimmed, four spaces for each brace that is open before it, and a newline behind it; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(scripts: pd.Series) -> pd.Series:
+        return scripts.map(_indent, na_action="ignore")
+
+    return run(column)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronolith.functions.text import indented
 from chronolith.schema import payload
 
 #: Payload fields that name a cause, in order; the spellings of the activity id count as one.
@@ -142,14 +143,15 @@ def semantic(rows: DataFrame, window_seconds: float = 10.0) -> DataFrame:
     return moved.join(named, "occurrence", "left").withColumn("occurrence", F.coalesce("semantic", "occurrence")).drop("semantic", "_producer", "_computer")
 
 
-def reassemble(fragments: DataFrame) -> DataFrame:
+def reassemble(fragments: DataFrame, indent: bool = False) -> DataFrame:
     """Scripts from their parts (script_block_id, message_number, message_total, script_block_text, time_created).
 
     A part that comes twice counts once, the earliest; number 0 is metadata. A script is
-    complete when it has each part from 1 to its total.
+    complete when it has each part from 1 to its total. ``indent`` lays it out by its braces.
     """
     parts = fragments.where("message_number > 0").groupBy("script_block_id", "message_number").agg(F.min_by("script_block_text", "time_created").alias("text"), F.max("message_total").alias("total"), F.min("time_created").alias("time"))
     ordered = F.array_sort(F.collect_list(F.struct("message_number", "text")))
     whole = parts.groupBy("script_block_id").agg(ordered.alias("p"), F.max("total").alias("message_total"), F.count(F.lit(1)).alias("parts"), F.max("message_number").alias("_last"), F.min("time").alias("first_time"))
     done = (F.col("parts") == F.col("message_total")) & (F.col("_last") == F.col("message_total"))
-    return whole.select("script_block_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("script"), "parts", "message_total", done.alias("complete"), "first_time")
+    script = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return whole.select("script_block_id", (indented(script) if indent else script).alias("script"), "parts", "message_total", done.alias("complete"), "first_time")

@@ -173,6 +173,22 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_log").agg(F.max("time_created").alias("latest"), F.count(F.lit(1)).alias("events"))
 
 
+def probe(rows: DataFrame, logs: DataFrame, asked: Predicate | None = None) -> DataFrame:
+    """(source_log, status, latest, events, all_events) for each name in ``logs`` (source_log), ignoring case.
+
+    ``events`` counts the rows that ``asked`` takes, ``all_events`` every row of the log.
+    Status: Ok; NoUsableTimestamp where no such row has a time; NoEvent where the log has
+    rows but none that is asked for; LogNotFound where it has none. One aggregation; a name
+    that comes twice is answered twice.
+    """
+    take = F.lit(True) if asked is None else F.coalesce(compile_predicate(asked, rows), F.lit(False))
+    name = F.upper("source_log")
+    held = rows.groupBy(name.alias("_log")).agg(F.count(F.lit(1)).alias("all_events"), F.count_if(take).alias("events"), F.max(F.when(take, F.col("time_created"))).alias("latest"))
+    status = F.when(F.col("all_events").isNull(), "LogNotFound").when(F.col("events") == 0, "NoEvent").when(F.col("latest").isNull(), "NoUsableTimestamp").otherwise("Ok")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return logs.join(held, name == F.col("_log"), "left").select("source_log", status.alias("status"), "latest", count("events"), count("all_events"))
+
+
 def generic_columns(rows: DataFrame, most: int = 12) -> DataFrame:
     """``rows`` with a column for each payload key, or one Details column if there are more than ``most`` keys.
 

@@ -569,7 +569,7 @@ def _(spark, d):
     return rows.agg(F.countDistinct("observation_identity").alias("identities"), F.count_if(F.col("fields")["SourceComputer"] == F.col("source_computer")).alias("rows"))
 
 
-from chronolith.plans import flows, more  # noqa: E402,F401 (they register their queries and need the helpers above)
+from chronolith.plans import flows, more, reported  # noqa: E402,F401 (they register their queries and need the helpers above)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -630,20 +630,6 @@ def _(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query("sink_evidence", "SELECT n, wrong FROM (VALUES (1, ''), (2, 'changed a,missing b')) v(n, wrong)")
-def _(spark, d):
-    """A bundle that is whole, and one with a file changed and one gone."""
-    import io
-    import zipfile
-
-    whole = files.evidence_bundle({"a": b"1", "b": b"2"})
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(whole)) as src, zipfile.ZipFile(out, "w") as dst:
-        dst.writestr("a", b"other")
-        dst.writestr("manifest.json", src.read("manifest.json"))
-    return spark.createDataFrame([(i + 1, ",".join(files.verify_bundle(b))) for i, b in enumerate((whole, out.getvalue()))], "n int, wrong string")
-
-
 @query("src_framed_log", "SELECT o_orderkey, o_orderdate + INTERVAL 60 MINUTE AS time, 'Orders' AS component FROM orders")
 def _(spark, d):
     path = _folder(spark, "framed")

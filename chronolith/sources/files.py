@@ -7,7 +7,7 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.schema import COMMON, canonical
@@ -138,14 +138,47 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
 
 
 def report_files(sections: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """A CSV folder for each section of a report and a manifest of their rows."""
+    """A CSV folder for each section of a report and a manifest of their rows, counted while they are written."""
     manifest = {}
     for name, rows in sections.items():
-        export(rows, f"{path}/{name}", "csv")
-        manifest[name] = rows.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/{name}").count()
+        seen = Observation()
+        export(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/{name}", "csv")
+        manifest[name] = seen.get["rows"]
     return manifest
 
 
+#: Rows of an evidence file: a file is hashed as a whole by the task that reads it.
+EVIDENCE_ROWS = 100_000
+
+
+def write_evidence(sections: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes sections as JSON lines under ``path``/data and a manifest (section, file, bytes, sha256) of all files beside them.
+
+    Files are written and hashed by tasks; empty files, which hold no evidence, are not listed. The manifest comes last, so a folder without one was not finished.
+    """
+    spark = next(iter(sections.values())).sparkSession
+    for name, rows in sections.items():
+        if not name.replace("_", "").replace("-", "").isalnum():
+            raise ValueError(f"section {name!r}")
+        rows.write.option("maxRecordsPerFile", EVIDENCE_ROWS).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}/data/section={name}")
+    _evidence_files(spark, path).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def _evidence_files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(f"{path}/data")
+    at = F.regexp_extract("path", r"/section=([^/]+)/([^/]+)$", 1), F.regexp_extract("path", r"/section=([^/]+)/([^/]+)$", 2)
+    return found.select(at[0].alias("section"), at[1].alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_evidence(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(section, file, what) of evidence files that are missing, extra or changed since their manifest, or that one kept elsewhere."""
+    known = (spark.read.parquet(f"{path}/manifest") if manifest is None else manifest).select("section", "file", F.col("sha256").alias("was"))
+    both = known.join(_evidence_files(spark, path).select("section", "file", F.col("sha256").alias("now")), ["section", "file"], "full")
+    what = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "extra").when(F.col("now") != F.col("was"), "changed")
+    return both.select("section", "file", what.alias("what")).where("what IS NOT NULL")
+
+
 def evidence_bundle(files: dict[str, bytes]) -> bytes:
     """A ZIP of small evidence files with a manifest of their SHA-256 hashes; the same files give the same bytes."""
     out = io.BytesIO()

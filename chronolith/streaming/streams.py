@@ -8,11 +8,14 @@ form; a stream fed in order of time gives the same findings.
 from __future__ import annotations
 
 import pickle
+import threading
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -158,21 +161,108 @@ def replay(rows: DataFrame, rule: Rule, store: Store, name: str, checkpoint: str
     return found.writeStream.foreachBatch(lambda df, _: store.write_findings(df)).option("checkpointLocation", f"{checkpoint}/{bound[:16]}").trigger(**trigger).start()
 
 
+def first_matches(rows: DataFrame, path: str, checkpoint: str, most: int | None = None, **trigger) -> StreamingQuery:
+    """Writes the rows of a stream under ``path``, a folder a micro-batch, and no more than ``most`` in all.
+
+    Of the micro-batch that reaches ``most`` the earliest rows are taken, so one batch holds
+    at most that many. A batch that runs again writes its folder again, and what earlier
+    batches wrote is counted from their files: restarts neither lose nor repeat a row.
+    """
+
+    def deliver(df: DataFrame, batch: int) -> None:
+        if most is not None:
+            room = most - taken(df.sparkSession, path, batch)
+            if room <= 0:
+                return
+            df = df.orderBy("time_created", "record_id").limit(room)
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return rows.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def taken(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """How many rows stand under ``path``, in batches before one, or in all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") < before).count() if before is not None else rows.count()
+
+
+@dataclass
+class _Watch:
+    query: StreamingQuery
+    deadline: float | None
+    enough: Callable[[], bool] | None
+    reason: str = "running"
+    thread: threading.Thread | None = None
+
+
 class Watchers:
-    """Named streaming queries that are started, listed and stopped together."""
+    """Named streaming queries that are started, listed and stopped together, or that stop by themselves.
+
+    A watcher ends after ``timeout`` seconds, once ``enough()`` is true, when its source
+    ends, by failure, or by ``stop``; ``reasons`` says which. Starting one that runs is an
+    error, whatever its settings.
+    """
+
+    #: Seconds between two looks at a watcher.
+    EVERY = 0.5
 
     def __init__(self):
         self.running: dict[str, StreamingQuery] = {}
+        self._watches: dict[str, _Watch] = {}
 
-    def start(self, name: str, begin: Callable[[], StreamingQuery]) -> StreamingQuery:
+    def start(self, name: str, begin: Callable[[], StreamingQuery], timeout: float | None = None, enough: Callable[[], bool] | None = None) -> StreamingQuery:
+        if timeout is not None and timeout <= 0:
+            raise ValueError("a timeout must be positive")
         if name in self.running and self.running[name].isActive:
             raise ValueError(f"a watcher {name!r} is running")
-        self.running[name] = begin()
-        return self.running[name]
+        query = begin()
+        watch = _Watch(query, None if timeout is None else time.monotonic() + timeout, enough)
+        self.running[name], self._watches[name] = query, watch
+        watch.thread = threading.Thread(target=self._follow, args=(watch,), daemon=True)
+        watch.thread.start()
+        return query
+
+    def _follow(self, watch: _Watch) -> None:
+        try:
+            while not watch.query.awaitTermination(self.EVERY):
+                due = watch.deadline is not None and time.monotonic() >= watch.deadline
+                if due or watch.enough is not None and watch.enough():
+                    watch.reason = "timeout" if due else "enough"
+                    watch.query.stop()
+                    return
+            if watch.reason == "running":
+                watch.reason = "ended"
+        except Exception as e:  # noqa: BLE001 - a watcher's failure is its result
+            if watch.reason == "running":
+                watch.reason = f"failed: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+                watch.query.stop()
 
     def states(self) -> dict[str, bool]:
         return {n: q.isActive for n, q in self.running.items()}
 
-    def stop(self, name: str | None = None) -> None:
-        for n in [name] if name else list(self.running):
+    def reasons(self) -> dict[str, str]:
+        """What each watcher does, or why it ended; stopped ones too."""
+        return {n: w.reason for n, w in self._watches.items()}
+
+    def find(self, query_id: str) -> list[str]:
+        """The names of watchers whose query has this id."""
+        return [n for n, q in self.running.items() if q.id == query_id]
+
+    def wait(self) -> dict[str, str]:
+        """Waits until no watcher runs, and says why each ended."""
+        for w in list(self._watches.values()):
+            w.thread.join()
+        return self.reasons()
+
+    def stop(self, name: str | None = None, query_id: str | None = None) -> None:
+        """Stops one watcher by name or by its query's id, or all."""
+        names = [name] if name else self.find(query_id) if query_id else list(self.running)
+        for n in names:
+            watch = self._watches[n]
+            if watch.reason == "running" and watch.query.isActive:
+                watch.reason = "stopped"
             self.running.pop(n).stop()
+            watch.thread.join()
