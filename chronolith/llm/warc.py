@@ -13,7 +13,9 @@ directory files and blocks, keeps the last ones, and reads neighbouring records
 range. ``op9_warc`` reads every page back so, by its key.
 
 Payloads of at least ``min_bytes`` that several pages share are written once: the page with
-the smallest page_id is a ``response``, the others ``revisit`` it without a payload.
+the smallest page_id is a ``response``, the others ``revisit`` it without a payload. Which
+ones do is found from digests alone; those rows then go along in the shuffle by key that
+the pages make anyway, each right before its page, so html is shuffled once.
 
 A task names its files anew at each attempt, and the index comes only from committed
 tasks, so files of lost attempts are never read.
@@ -60,15 +62,17 @@ def capture_key(url: Column) -> Column:
     return F.coalesce(F.when(host != "", F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)).otherwise(url), F.lit(""))
 
 
-def with_origin(spark: SparkSession, pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, refers_to): refers_to names the page whose payload this one repeats."""
-    body = F.coalesce("html", F.lit(""))
-    sized = pages.select(F.col("page_id").cast("long"), "url", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"))
-    big = sized.where(F.col("payload_bytes") >= min_bytes)
-    shared = big.groupBy("payload_digest").agg(F.min("page_id").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1 AND origin IS NOT NULL").select("payload_digest", "origin")
-    shared, _ = kept(spark, shared, "warc-shared")  # payloads that repeat; small ones are broadcast by their size
-    joined = sized.join(shared, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("origin").eqNullSafe(F.col("page_id")), F.col("origin"))).drop("origin")
+def _digest() -> Column:
+    return F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+
+
+def revisits(spark: SparkSession, pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """(key, page_id, payload_digest, refers_to) of the pages whose payload another one repeats; no page travels for it, only its digest."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    big = pages.where(size >= min_bytes).select(capture_key(F.col("url")).alias("key"), F.col("page_id").cast("long"), _digest().alias("payload_digest"))
+    big, _ = kept(spark, big, "warc-digests")
+    shared = big.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    return big.join(shared, "payload_digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select("key", "page_id", "payload_digest", "refers_to")
 
 
 def _clean(url: str | None) -> str:
@@ -123,6 +127,7 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str, block_records: int
     task = uuid.uuid4().hex
     out = index = None
     name, at, index_at, archives, records, lines, blocks = "", 0, 0, 0, 0, [], []
+    place, told = None, {}
 
     def close_block() -> None:
         nonlocal index_at
@@ -135,6 +140,11 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str, block_records: int
 
     for batch in batches:
         for row in batch.to_pylist():
+            if place != (row["key"], row["page_id"]):
+                place, told = (row["key"], row["page_id"]), {}
+            if row["refers_to"] is not None:  # stands before its page
+                told[row["payload_digest"]] = row["refers_to"]
+                continue
             if out is None or at >= archive_bytes:
                 if out is None:
                     fs.create_dir(root, recursive=True)
@@ -145,7 +155,7 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str, block_records: int
                 name, at, archives = f"{task}-{archives}.warc.gz", 0, archives + 1
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
             packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-            member = packer.compress(record(row["page_id"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["payload_digest"], row["refers_to"])) + packer.flush()
+            member = packer.compress(record(row["page_id"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["payload_digest"], told.get(row["payload_digest"]))) + packer.flush()
             out.write(member)
             lines.append([*_place(row["key"], row["page_id"]), at, len(member)])
             at += len(member)
@@ -167,9 +177,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     """Archives ``pages`` (page_id, url, html); (folder, the index's upper level, a row for each writing task)."""
     small_batches(spark)
     folder = folder or scratch(spark, "warc")
-    keyed = with_origin(spark, pages, min_bytes).withColumn("key", capture_key(F.col("url")))
-    dealt = keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    columns = dealt.select("page_id", "url", "html", "payload_digest", "refers_to", "key")
+    key = capture_key(F.col("url"))
+    records = pages.select(F.col("page_id").cast("long"), "url", "html", _digest().alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), key.alias("key"))
+    both = records.unionByName(revisits(spark, pages, min_bytes), allowMissingColumns=True)
+    columns = both.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", F.col("refers_to").asc_nulls_last())
     index, _ = kept(spark, columns.mapInArrow(lambda it: _archived(it, folder, block_records, archive_bytes), INDEX_SCHEMA), "warc-index")
     return folder, index
 
