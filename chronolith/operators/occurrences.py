@@ -155,3 +155,28 @@ def reassemble(fragments: DataFrame, indent: bool = False) -> DataFrame:
     done = (F.col("parts") == F.col("message_total")) & (F.col("_last") == F.col("message_total"))
     script = F.array_join(F.transform("p", lambda x: x["text"]), "")
     return whole.select("script_block_id", (indented(script) if indent else script).alias("script"), "parts", "message_total", done.alias("complete"), "first_time")
+
+
+def incomplete(fragments: DataFrame) -> DataFrame:
+    """(script_block_id, parts, message_total, missing, first_missing) of scripts that lack parts.
+
+    A part beyond the total is not counted as one of it; a script without a total lacks what
+    is not known: missing and first_missing are null.
+    """
+    parts = fragments.where("message_number > 0").groupBy("script_block_id", "message_number").agg(F.max("message_total").alias("total"))
+    held = parts.groupBy("script_block_id").agg(F.array_sort(F.collect_list("message_number")).alias("p"), F.max("total").alias("message_total"))
+    inside = held.withColumn("parts", F.size("p").cast("long")).withColumn("p", F.filter("p", lambda n: n <= F.col("message_total")))
+    gaps = F.filter(F.transform("p", lambda n, i: F.when(n != i + 1, i + 1)), lambda x: x.isNotNull())
+    first = F.coalesce(F.get(gaps, F.lit(0)), F.size("p") + 1)
+    shown = inside.withColumn("missing", F.col("message_total").cast("long") - F.size("p")).withColumn("first_missing", F.when(F.col("message_total").isNotNull(), first).cast("long"))
+    return shown.where("missing IS NULL OR missing > 0").select("script_block_id", "parts", "message_total", "missing", "first_missing")
+
+
+def script_bounds(fragments: DataFrame, max_scripts: int = 100_000, max_pending: int = 10_000, max_parts: int = 10_000) -> DataFrame:
+    """(bound, value, allowed): scripts, scripts that lack parts, and the most parts of one, where they pass a stated bound; nothing is cut."""
+    sizes = fragments.where("message_number > 0").groupBy("script_block_id").agg(F.countDistinct("message_number").alias("n"))
+    seen = sizes.agg(F.count(F.lit(1)).alias("scripts"), F.coalesce(F.max("n"), F.lit(0)).alias("parts"))
+    waiting = incomplete(fragments).agg(F.count(F.lit(1)).alias("pending"))
+    row = lambda name, value, allowed: F.struct(F.lit(name).alias("bound"), F.col(value).alias("value"), F.lit(allowed).cast("long").alias("allowed"))
+    counted = seen.select(F.explode(F.array(row("scripts", "scripts", max_scripts), row("parts", "parts", max_parts))).alias("b"))
+    return counted.unionByName(waiting.select(row("pending", "pending", max_pending).alias("b"))).select("b.*").where("value > allowed")

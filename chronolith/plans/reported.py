@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import detect, policy, projection, reports, rules, scan, timeline, views
+from chronolith.operators import detect, occurrences, policy, projection, reports, rules, scan, timeline, views
 from chronolith.operators import predicates as p
 from chronolith.plans.catalogue import _EVENTS, _folder, events, identified, policy_log, query, windows_log
 from chronolith.schema import CANONICAL
@@ -166,3 +166,32 @@ def _(spark, d):
         watchers.start("errors", start, timeout=600, enough=lambda: streams.taken(spark, f"{out}/rows") >= 25)
         watchers.wait()
     return spark.read.parquet(f"{out}/rows").select("record_id", "time_created")
+
+
+_PARTS = "WITH f AS (SELECT conv_id, turn + 1 AS n, (SELECT max(turn) + 1 FROM conversations c WHERE c.conv_id = x.conv_id) AS total FROM conversations x WHERE turn >= 0 AND (conv_id + turn * 7) % 5 <> 0)"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as scripts of which about every fifth part was lost."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    total = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("message_total"))
+    kept = turns.where("turn >= 0 AND (conv_id + turn * 7) % 5 <> 0").join(total, "conv_id")
+    return kept.select(F.col("conv_id").alias("script_block_id"), (F.col("turn") + 1).alias("message_number"), "message_total", F.col("text").alias("script_block_text"))
+
+
+@query(
+    "occ_incomplete",
+    _PARTS + """, g AS (SELECT conv_id, max(total) AS total, count(DISTINCT n) AS parts, list(DISTINCT n) AS held FROM f GROUP BY 1)
+SELECT conv_id AS script_block_id, parts, total AS message_total, total - parts AS missing, list_min(list_filter(range(1, total + 1), lambda x: NOT list_contains(held, x))) AS first_missing FROM g WHERE total > parts""",
+)
+def _(spark, d):
+    return occurrences.incomplete(_parts(spark, d))
+
+
+@query(
+    "occ_script_bounds",
+    _PARTS + """, g AS (SELECT conv_id, max(total) AS total, count(DISTINCT n) AS parts FROM f GROUP BY 1)
+SELECT * FROM (SELECT 'scripts' AS bound, count(*) AS value, 3::BIGINT AS allowed FROM g UNION ALL SELECT 'pending', count(*), 2 FROM g WHERE total > parts UNION ALL SELECT 'parts', coalesce(max(parts), 0), 4 FROM g) WHERE value > allowed""",
+)
+def _(spark, d):
+    return occurrences.script_bounds(_parts(spark, d), 3, 2, 4)

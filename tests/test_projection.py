@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import projection, rules, scan
+from chronolith.operators import occurrences, projection, rules, scan
 from chronolith.operators import predicates as p
 from chronolith.schema import CANONICAL, canonical
 from chronolith.sources import files
@@ -132,3 +132,12 @@ def test_watchers_say_why_they_ended(spark, tmp_path):
     got = w.wait()
     assert {n: r.split(":")[0] for n, r in got.items()} == {"slow": "timeout", "full": "enough", "broken": "failed", "named": "stopped", "by id": "stopped"}
     assert not any(w.states().values())
+
+
+def test_scripts_that_lack_parts_say_which(spark):
+    given = [("whole", 1, 2), ("whole", 2, 2), ("whole", 2, 2), ("start", 2, 3), ("start", 3, 3), ("middle", 1, 3), ("middle", 3, 3), ("end", 1, 4), ("beyond", 1, 2), ("beyond", 5, 2), ("none", 1, None), ("meta", 0, 5)]
+    parts = spark.createDataFrame(given, "script_block_id string, message_number int, message_total int")
+    got = {r["script_block_id"]: tuple(r)[1:] for r in occurrences.incomplete(parts).collect()}
+    assert got == {"start": (2, 3, 1, 1), "middle": (2, 3, 1, 2), "end": (1, 4, 3, 2), "beyond": (2, 2, 1, 2), "none": (1, None, None, None)}
+    assert {tuple(r) for r in occurrences.script_bounds(parts, 5, 5, 1).collect()} == {("scripts", 6, 5), ("parts", 2, 1)}
+    assert occurrences.script_bounds(parts.limit(0), 0, 0, 0).count() == 0
