@@ -164,7 +164,8 @@ def _(spark, d):
         found = spark.readStream.schema(CANONICAL).parquet(source).where("type = 'error'")
         start = lambda found=found: streams.first_matches(found, f"{out}/rows", f"{out}/at", 25, availableNow=True)
         watchers.start("errors", start, timeout=600, enough=lambda: streams.taken(spark, f"{out}/rows") >= 25)
-        watchers.wait()
+        if (ended := watchers.wait()["errors"]) not in ("enough", "ended"):
+            raise RuntimeError(f"the watcher {ended}")
     return spark.read.parquet(f"{out}/rows").select("record_id", "time_created")
 
 

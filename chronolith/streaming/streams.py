@@ -165,28 +165,36 @@ def first_matches(rows: DataFrame, path: str, checkpoint: str, most: int | None
     """Writes the rows of a stream under ``path``, a folder a micro-batch, and no more than ``most`` in all.
 
     Of the micro-batch that reaches ``most`` the earliest rows are taken, so one batch holds
-    at most that many. A batch that runs again writes its folder again, and what earlier
-    batches wrote is counted from their files: restarts neither lose nor repeat a row.
+    at most that many. A folder counts once Spark has marked it as finished: a batch that died before is
+    written again, one that runs again after it is passed over, and what earlier batches wrote is
+    counted from their files. So restarts, or a stop at any time, neither lose nor repeat a row.
     """
 
     def deliver(df: DataFrame, batch: int) -> None:
+        spark, at = df.sparkSession, f"{path}/batch={batch}"
+        if _matching(spark, f"{at}/_SUCCESS"):
+            return
         if most is not None:
-            room = most - taken(df.sparkSession, path, batch)
+            room = most - taken(spark, path, batch)
             if room <= 0:
                 return
             df = df.orderBy("time_created", "record_id").limit(room)
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        df.write.mode("overwrite").parquet(at)
 
     return rows.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+
+
 def taken(spark: SparkSession, path: str, before: int | None = None) -> int:
-    """How many rows stand under ``path``, in batches before one, or in all."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return 0
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("batch") < before).count() if before is not None else rows.count()
+    """How many rows stand under ``path`` in finished batches: those before one, or all."""
+    done = [f.removesuffix("/_SUCCESS") for f in _matching(spark, f"{path}/batch=*/_SUCCESS")]
+    done = [f for f in done if before is None or int(f.rpartition("batch=")[2]) < before]
+    return spark.read.parquet(*done).count() if done else 0
 
 
 @dataclass

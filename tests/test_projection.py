@@ -109,6 +109,20 @@ def test_the_first_matches_are_taken_once_over_restarts(spark, tmp_path):
     assert sorted(r["record_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 4]
 
 
+def test_a_folder_that_is_being_written_holds_no_matches_yet(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    (tmp_path / "out/batch=0/_temporary/0").mkdir(parents=True)  # a task is writing
+    assert streams.taken(spark, out) == 0
+    src = stream(spark, tmp_path, (5, "A", 1, "x"), (3, "A", 2, "x"))
+    take = lambda: streams.first_matches(src, out, f"{tmp_path}/at", 3, availableNow=True).awaitTermination()
+    take()
+    before = sorted((tmp_path / "out/batch=0").glob("part-*"))
+    for commit in (tmp_path / "at/commits").glob("*0*"):  # stopped behind the write: the batch runs again, its folder is not touched
+        commit.unlink()
+    take()
+    assert streams.taken(spark, out) == 2 and sorted((tmp_path / "out/batch=0").glob("part-*")) == before
+
+
 def test_watchers_say_why_they_ended(spark, tmp_path):
     src = stream(spark, tmp_path, (1, "A", 1, "x"))
     begin = lambda name, f=None: lambda: src.writeStream.foreachBatch(f or (lambda df, n: None)).option("checkpointLocation", f"{tmp_path}/cp-{name}").start()
