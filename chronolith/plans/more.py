@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from chronolith.operators import predicates as p
 from chronolith.plans.catalogue import _EVENTS, _folder, _steps, events, identified, query, windows_log
 from chronolith.schema import canonical, from_app_events, payload
 from chronolith.sources import files, store
-from chronolith.streaming import streams
+from chronolith.streaming import ordered, streams
 
 # Stateful rules. The state of a group is a row of a recursive query; evidence shows as one text.
 
@@ -717,10 +716,19 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, rows: DataFrame, mode: str = "append") -> DataFrame:
-    """The result of a stream that ends with its input."""
-    name = f"t_{uuid.uuid4().hex}"
-    rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The result of a stream that ends with its input, written by tasks; state lies in RocksDB, since it grows with the keys."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was, out = spark.conf.get(key), _folder(spark, "streamed")
+    ordered.use_rocksdb(spark)
+    try:
+        sink = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/at").trigger(availableNow=True)
+        if mode == "append":
+            sink.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+        else:  # each batch has the whole result
+            sink.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start().awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
 
 @query("stream_threshold", _THRESHOLD + _FOUND.format(rule="errors"))

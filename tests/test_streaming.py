@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import detect, rules
+from chronolith.plans import catalogue, more  # noqa: F401 - the catalogue imports the others
 from chronolith.schema import CANONICAL, canonical
 from chronolith.sources.store import Store
 from chronolith.streaming import streams
@@ -98,3 +99,14 @@ def test_a_stream_without_the_group_field_says_so(spark, tmp_path):
     rule = rules.Rule("t", kind="Threshold", selector=rules.Selector(types=("a",)), threshold=2, window_seconds=10, group_by="nothing")
     got = run(spark, streams.lacking(feed(spark, tmp_path, [[("1", 0, "x"), ("2", 1, "x")]]), rule), tmp_path, "lacking").collect()
     assert [(r["rule_id"], r["status"], r["field"]) for r in got] == [("t", "Incomplete", "nothing")]
+
+
+def test_a_streams_result_is_written_by_tasks(spark, tmp_path):
+    src = feed(spark, tmp_path, [[("1", 0, "x"), ("2", 5, "x"), ("1", 0, "x")]])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    once = more._table(spark, streams.delivered_once(src))
+    assert sorted(r["observation_identity"] for r in once.collect()) == ["1", "2"] and once.inputFiles()
+    counts = more._table(spark, streams.windowed_counts(src), "complete")
+    assert [r["count"] for r in counts.collect()] == [3] and counts.inputFiles()
+    assert spark.conf.get(key) == was
