@@ -15,6 +15,7 @@ from chronolith.operators import detect, enrich, occurrences, privacy, reports,
 from chronolith.operators import predicates as p
 from chronolith.plans.catalogue import _EVENTS, _folder, _steps, events, identified, query, windows_log
 from chronolith.schema import canonical, from_app_events, payload
+from chronolith.scratch import written
 from chronolith.sources import files, store
 from chronolith.streaming import ordered, streams
 
@@ -585,8 +586,7 @@ def _xml_text(spark: SparkSession, d: str) -> DataFrame:
 @query("src_xml_files", _EVENTS + "SELECT record_id, event_id, source_computer, time_created, k FROM c")
 def _(spark, d):
     path = _folder(spark, "xml")
-    line = lambda x: spark.createDataFrame([(x,)], "value string")
-    line("<Events>").union(_xml_text(spark, d)).union(line("</Events>")).coalesce(1).write.text(path)  # one document
+    files.write_documents(_xml_text(spark, d), path, "Events")
     return files.read_xml(spark, path).select("record_id", "event_id", "source_computer", "time_created", F.element_at("values", "k").alias("k"))
 
 
@@ -620,11 +620,13 @@ def _(spark, d):
 
 @query("sink_manifest", "SELECT 'whole' AS export, 0::BIGINT AS wrong UNION ALL SELECT 'changed', 2")
 def _(spark, d):
-    """An export against its own manifest, and against one with a file renamed."""
+    """An export against its own manifest, and against one with its first file renamed."""
     path = _folder(spark, "manifest")
-    files.export(events(spark, d).coalesce(1), path, "csv")
-    known = spark.createDataFrame(files.export_manifest(spark, path).collect(), "file string, bytes long, sha256 string")
-    sides = (("whole", known), ("changed", known.withColumn("file", F.concat("file", F.lit("x")))))
+    files.export(events(spark, d), path, "csv")
+    known = written(files.export_manifest(spark, path), "manifest-known")
+    first = known.agg(F.min("file").alias("_first"))
+    renamed = known.crossJoin(F.broadcast(first)).withColumn("file", F.when(F.col("file") == F.col("_first"), F.concat("file", F.lit("x"))).otherwise(F.col("file"))).drop("_first")
+    sides = (("whole", known), ("changed", renamed))
     parts = [files.changed_files(spark, path, k).agg(F.lit(n).alias("export"), F.count(F.lit(1)).alias("wrong")) for n, k in sides]
     return parts[0].unionByName(parts[1])
 

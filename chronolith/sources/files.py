@@ -6,12 +6,17 @@ import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.schema import COMMON, canonical
 
+#: Rows of a file that is written here: one that is read or hashed as a whole is read by one task.
+FILE_ROWS = 100_000
+
 #: One rendered event; named and unnamed data keep their order.
 _EVENT_XML = (
     "System struct<Provider:struct<_Name:string,_Guid:string>,EventID:string,Version:short,Level:short,Task:int,Opcode:short,Keywords:string,TimeCreated:struct<_SystemTime:string>,EventRecordID:long,"
@@ -36,6 +41,36 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return _from_system(raw)
 
 
+def _enclosed(batches: Iterator[pa.RecordBatch], root: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The lines of a task as documents of ``most`` lines, the last one shorter: the tags of ``root`` around elements."""
+    lines = lambda x: pa.RecordBatch.from_arrays([x], names=["value"])
+    line = lambda x: lines(pa.array([x], pa.string()))
+    room = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            if not room:
+                yield line(f"<{root}>")
+                room = most - 2
+            part = batch.column(0).slice(at, room)
+            yield lines(part)
+            at, room = at + len(part), room - len(part)
+            if not room:
+                yield line(f"</{root}>")
+    if room:
+        yield line(f"</{root}>")
+
+
+def write_documents(elements: DataFrame, path: str, root: str) -> None:
+    """Writes a column of XML elements, one a row, as whole documents of at most FILE_ROWS lines.
+
+    A document is a file: XML is read as a whole by one task, so documents are bounded and not one for all rows. Without rows there is no document.
+    """
+    most = FILE_ROWS
+    whole = elements.toDF("value").mapInArrow(lambda it: _enclosed(it, root, most), "value string")
+    whole.write.option("maxRecordsPerFile", most).text(path)
+
+
 def project_xml(df: DataFrame, column: str = "raw_xml") -> DataFrame:
     """Canonical rows of a column with one rendered event each."""
     parsed = F.from_xml(F.regexp_replace(column, r"\sxmlns=(\"[^\"]*\"|'[^']*')", ""), _EVENT_XML, {"attributePrefix": "_", "ignoreNamespace": "true"})
@@ -111,14 +146,14 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, kind: str) -> None:
-    """Writes rows as csv, jsonl or xml, times to the microsecond; Spark commits a folder as a whole."""
+    """Writes rows as csv, jsonl or xml in files of at most FILE_ROWS rows, times to the microsecond; Spark commits a folder as a whole."""
     exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     if kind == "csv":
-        flat(rows).write.option("header", True).option("timestampFormat", exact).option("escape", '"').csv(path)
+        flat(rows).write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("timestampFormat", exact).option("escape", '"').csv(path)
     elif kind == "jsonl":
-        rows.write.option("timestampFormat", exact).json(path)
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("timestampFormat", exact).json(path)
     elif kind == "xml":
-        flat(rows).write.format("xml").option("timestampFormat", exact).option("rootTag", "Events").option("rowTag", "Event").save(path)
+        flat(rows).write.format("xml").option("maxRecordsPerFile", FILE_ROWS).option("timestampFormat", exact).option("rootTag", "Events").option("rowTag", "Event").save(path)
     else:
         raise ValueError(f"no export {kind!r}")
 
@@ -147,10 +182,6 @@ def report_files(sections: dict[str, DataFrame], path: str) -> dict[str, int]:
     return manifest
 
 
-#: Rows of an evidence file: a file is hashed as a whole by the task that reads it.
-EVIDENCE_ROWS = 100_000
-
-
 def write_evidence(sections: dict[str, DataFrame], path: str) -> DataFrame:
     """Writes sections as JSON lines under ``path``/data and a manifest (section, file, bytes, sha256) of all files beside them.
 
@@ -160,7 +191,7 @@ def write_evidence(sections: dict[str, DataFrame], path: str) -> DataFrame:
     for name, rows in sections.items():
         if not name.replace("_", "").replace("-", "").isalnum():
             raise ValueError(f"section {name!r}")
-        rows.write.option("maxRecordsPerFile", EVIDENCE_ROWS).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}/data/section={name}")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}/data/section={name}")
     _evidence_files(spark, path).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 

@@ -1,5 +1,6 @@
 import random
 from datetime import datetime
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text
 from chronolith.operators import occurrences, projection, rules, scan
 from chronolith.operators import predicates as p
+from chronolith.plans import catalogue
 from chronolith.schema import CANONICAL, canonical
 from chronolith.sources import files
 from chronolith.streaming import streams
@@ -89,6 +91,28 @@ def test_evidence_folders_know_what_changed(spark, tmp_path):
         files.write_evidence({"../x": seen}, f"{path}2")
 
 
+def test_many_events_are_many_whole_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_ROWS", 10, raising=False)
+    event = F.concat(F.lit("<Event><System><EventRecordID>"), F.col("id"), F.lit("</EventRecordID></System><EventData><Data Name='k'>a\nb</Data></EventData></Event>"))
+    files.write_documents(spark.range(0, 50, 1, 2).select(event), f"file://{tmp_path}/d", "Events")
+    found = [ElementTree.parse(f).getroot() for f in (tmp_path / "d").glob("part-*")]
+    assert {r.tag for r in found} == {"Events"} and sorted(map(len, found)) == [1, 1, 8, 8, 8, 8, 8, 8]
+    back = files.read_xml(spark, f"file://{tmp_path}/d")
+    assert sorted((r["record_id"], r["values"]["k"]) for r in back.collect()) == [(i, "a\nb") for i in range(50)]
+    made = catalogue.QUERIES["src_xml_files"](spark, "/root/testdata/sf0.001")
+    assert made.count() == 1_000 and len(made.inputFiles()) >= 125
+
+
+@pytest.mark.parametrize("kind", ["csv", "jsonl", "xml"])
+def test_exports_are_files_of_bounded_rows(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(files, "FILE_ROWS", 10, raising=False)
+    seen = rows(spark, *((i, "A", i, "x") for i in range(1, 36))).coalesce(1)
+    files.export(seen, f"file://{tmp_path}/e", kind)
+    assert files.export_manifest(spark, f"file://{tmp_path}/e").count() == 4
+    got = catalogue.QUERIES["sink_manifest"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == [("changed", 2), ("whole", 0)]
+
+
 def stream(spark, tmp_path, *given):
     rows(spark, *given).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     return spark.readStream.schema(CANONICAL).parquet(f"file://{tmp_path}/in")
