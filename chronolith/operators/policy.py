@@ -14,6 +14,7 @@ from chronolith.functions.text import blank_to_empty, compose_account
 from chronolith.operators import context
 from chronolith.operators.views import typed
 from chronolith.schema import payload
+from chronolith.scratch import written
 
 #: What an event id does to a directory object.
 KINDS = ((5136, "Modified"), (5137, "Created"), (5139, "Moved"), (5141, "Deleted"))
@@ -21,13 +22,16 @@ KINDS = ((5136, "Modified"), (5137, "Created"), (5139, "Moved"), (5141, "Deleted
 
 def changes(rows: DataFrame) -> DataFrame:
     """(record_id, source_computer, at, kind, who, policy_id, object_class, object, old_object, new_object, object_guid, attribute, value, operation, correlation), one a directory change."""
-    text = lambda key: F.nullif(blank_to_empty(payload(key)), F.lit(""))
-    object_ = F.coalesce(text("NewObjectDN"), text("ObjectDN"), text("OldObjectDN"))
-    policy = decode.guid(F.regexp_extract(object_, r"(?i)cn=(\{[0-9a-f-]+\}),cn=policies", 1))
-    return typed(rows, ["GroupPolicyDirectoryAudit"]).select(
-        "record_id", "source_computer", F.col("time_created").alias("at"), decode.name_of(F.col("event_id"), KINDS).alias("kind"), compose_account(payload("SubjectDomainName"), payload("SubjectUserName")).alias("who"), policy.alias("policy_id"),
-        text("ObjectClass").alias("object_class"), object_.alias("object"), text("OldObjectDN").alias("old_object"), text("NewObjectDN").alias("new_object"), decode.guid(payload("ObjectGUID")).alias("object_guid"),
-        text("AttributeLDAPDisplayName").alias("attribute"), text("AttributeValue").alias("value"), decode.operation(payload("OperationType")).alias("operation"), text("OpCorrelationID").alias("correlation"),
+    keys = ("ObjectClass", "ObjectDN", "OldObjectDN", "NewObjectDN", "ObjectGUID", "AttributeLDAPDisplayName", "AttributeValue", "OperationType", "OpCorrelationID", "SubjectDomainName", "SubjectUserName")
+    # Each payload value is a column before it is used: an expression used twice would search the map twice.
+    held = typed(rows, ["GroupPolicyDirectoryAudit"]).select("record_id", "source_computer", F.col("time_created").alias("at"), "event_id", *[payload(k).alias(k) for k in keys])
+    text = lambda key: F.nullif(blank_to_empty(F.col(key)), F.lit(""))
+    held = held.withColumn("object", F.coalesce(text("NewObjectDN"), text("ObjectDN"), text("OldObjectDN")))
+    held = held.withColumn("_policy", F.regexp_extract("object", r"(?i)cn=(\{[0-9a-f-]+\}),cn=policies", 1))
+    return held.select(
+        "record_id", "source_computer", "at", decode.name_of(F.col("event_id"), KINDS).alias("kind"), compose_account(F.col("SubjectDomainName"), F.col("SubjectUserName")).alias("who"), decode.guid(F.col("_policy")).alias("policy_id"),
+        text("ObjectClass").alias("object_class"), "object", text("OldObjectDN").alias("old_object"), text("NewObjectDN").alias("new_object"), decode.guid(F.col("ObjectGUID")).alias("object_guid"),
+        text("AttributeLDAPDisplayName").alias("attribute"), text("AttributeValue").alias("value"), decode.operation(F.col("OperationType")).alias("operation"), text("OpCorrelationID").alias("correlation"),
     )
 
 
@@ -46,13 +50,9 @@ def facts(changed: DataFrame) -> DataFrame:
 def audit(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The changes with policy_status and policy_name as of each change; ``known`` are facts from elsewhere.
 
-    Changes to what is no policy have null in both.
+    Changes to what is no policy have null in both. The changes are read more than once, so they are written once.
     """
-    changed = changes(rows)
+    changed = written(changes(rows), "policy-changes")
     told = facts(changed) if known is None else facts(changed).unionByName(known)
-    key = F.to_json(F.struct("source_computer", "record_id", "at"))
-    asked = changed.where((F.upper("object_class") == "GROUPPOLICYCONTAINER") & F.col("policy_id").isNotNull()).select(
-        key.alias("query_id"), F.lit("GroupPolicy").alias("object_kind"), F.col("policy_id").alias("canonical_id"), F.lit(None).cast("string").alias("alias"), "at", F.lit(None).cast("string").alias("authorization_context")
-    ).dropDuplicates(["query_id"])
-    answers = context.resolve(asked, told).select("query_id", F.col("status").alias("policy_status"), F.col("name").alias("policy_name"))
-    return changed.withColumn("query_id", key).join(answers, "query_id", "left").drop("query_id")
+    policy = F.when(F.upper("object_class") == "GROUPPOLICYCONTAINER", F.col("policy_id"))
+    return context.answered(changed.withColumn("_policy", policy), told, "GroupPolicy", "_policy", "at", "policy_status", "policy_name").drop("_policy")

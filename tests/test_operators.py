@@ -297,3 +297,17 @@ def test_transport_and_representative(spark):
     whole, passed = occurrences.bounded(rows, occurrences.transport)
     assert whole.count() == 9 and passed == []
     assert [x if i else x.count() for i, x in enumerate(occurrences.bounded(rows, occurrences.transport, max_observations=8, max_groups=6))] == [0, ["groups", "observations"]]
+
+
+def test_policy_changes_that_share_a_row_are_answered_apart(spark):
+    from chronolith.operators import policy
+    from chronolith.schema import canonical
+
+    guid = lambda n: f"00000000-0000-0000-0000-{n:012d}"
+    change = lambda i, n, s, event, name: (i, datetime(2024, 1, 1, 0, 0, s), event, "DC", {"ObjectClass": "groupPolicyContainer", "ObjectDN": f"CN={{{guid(n)}}},CN=Policies,DC=x", "AttributeLDAPDisplayName": "displayName" if name else "versionNumber", "AttributeValue": name or "1", "OperationType": "%%14674"})
+    link = (9, datetime(2024, 1, 1), 5136, "DC", {"ObjectClass": "site", "ObjectDN": "CN=s", "AttributeLDAPDisplayName": "gPLink"})
+    given = [change(1, 1, 1, 5136, "one"), change(2, 2, 1, 5136, "two"), change(3, 1, 2, 5136, None), change(3, 2, 2, 5141, None), change(4, 1, 3, 5136, None), link]
+    made = spark.createDataFrame(given, "record_id long, time_created timestamp, event_id int, source_computer string, values map<string,string>")
+    log = canonical(made.withColumn("provider", F.lit("Microsoft-Windows-Security-Auditing")).withColumn("source_log", F.lit("Security")))
+    got = {(r["record_id"], (r["policy_id"] or "")[-1:]): (r["policy_status"], r["policy_name"]) for r in policy.audit(log).collect()}
+    assert got == {(1, "1"): ("Historical", "one"), (2, "2"): ("Historical", "two"), (3, "1"): ("Historical", "one"), (3, "2"): ("Deleted", "two"), (4, "1"): ("Current", "one"), (9, ""): (None, None)}
