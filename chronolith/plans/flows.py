@@ -56,19 +56,19 @@ def _(spark, d):
 
 _JITTER = "(event_id * 7919) % 21600"
 _CHUNK = f"CAST(floor((epoch_us(ts) / 1e6 + {_JITTER} - 1704067200) / 864000) AS BIGINT)"
-_CHUNKS = 4
 
 
-def _disordered(spark: SparkSession, d: str) -> str:
-    """A folder with the events in files by arrival, and a heartbeat behind them."""
+def _disordered(spark: SparkSession, d: str) -> tuple[str, list[int]]:
+    """A folder with the events in files by arrival and the chunks that there are, the last a heartbeat behind them."""
     folder = _folder(spark, "disorder")
-    rows = identified(spark, d)
     arrival = F.unix_micros("time_created") / 1e6 + (F.col("record_id") * 7919) % 21600
-    chunk = F.floor((arrival - 1704067200) / 864_000)
-    for n in range(_CHUNKS):
-        rows.where(chunk == n).select(*CANONICAL.fieldNames()).coalesce(4).write.parquet(f"{folder}/part={n}")
-    ordered.heartbeat(spark, datetime(2025, 1, 1)).coalesce(1).write.parquet(f"{folder}/part={_CHUNKS}")
-    return folder
+    rows = identified(spark, d).select(*CANONICAL.fieldNames(), F.floor((arrival - 1704067200) / 864_000).alias("part")).where("part IS NOT NULL")
+    rows.write.partitionBy("part").parquet(folder)
+    chunks = [(r["part"], r["top"]) for r in spark.read.schema(rows.schema).parquet(folder).groupBy("part").agg(F.max("time_created").alias("top")).orderBy("part").collect()]  # one a ten days
+    last = max((n for n, _ in chunks), default=0) + 1
+    beat = max([datetime(2025, 1, 1), *(top + timedelta(days=30) for _, top in chunks)])
+    ordered.heartbeat(spark, beat).coalesce(1).write.parquet(f"{folder}/part={last}")
+    return folder, [*(n for n, _ in chunks), last]
 
 
 def _stream(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
@@ -78,10 +78,10 @@ def _stream(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
 def _ran(spark: SparkSession, d: str, rule: rules.Rule, window: str) -> DataFrame:
     """A rule over the arriving files, a micro-batch each; the folder of results is read when the stream has ended."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    was, folder, out = spark.conf.get(key), _disordered(spark, d), _folder(spark, "reordered")
+    was, (folder, chunks), out = spark.conf.get(key), _disordered(spark, d), _folder(spark, "reordered")
     ordered.use_rocksdb(spark)
     try:
-        for n in range(_CHUNKS + 1):  # the stream is started anew for each file: it goes on from its checkpoint
+        for n in chunks:  # the stream is started anew for each file: it goes on from its checkpoint
             _append(spark, _stream(spark, folder, n), f"{out}/in")
             rows = spark.readStream.schema(CANONICAL).parquet(f"{out}/in")
             found = ordered.reordered_findings(rows, rule, window)
@@ -92,7 +92,7 @@ def _ran(spark: SparkSession, d: str, rule: rules.Rule, window: str) -> DataFram
 
 
 def _append(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    rows.coalesce(4).write.mode("append").parquet(path)
+    rows.write.mode("append").parquet(path)
 
 
 def _threshold_sql(kept: str) -> str:
